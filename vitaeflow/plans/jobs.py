@@ -77,8 +77,9 @@ def load_records(
 
     ``reviewed`` has the record fields, ``pdf_name`` and ``ingest_ts``; ``texts``
     gives the text of each ``pdf_name``. Corrections apply first, by ``pdf_name``,
-    and may set the key. A key is refreshed as a whole: where one of its chunks
-    has no vector, its old rows stay and the chunks come back as failed.
+    and may set the key. A key is refreshed as a whole: where ``texts`` lacks its
+    document, or one of its chunks has no vector, its old rows stay and such
+    chunks come back as failed.
     """
     if corrections is not None:
         reviewed = candidates.apply_corrections(reviewed, corrections, SOURCE_NAME)
@@ -95,7 +96,7 @@ def load_records(
     keyed = texts.select(SOURCE_NAME, "text").join(to_index, SOURCE_NAME)
     pieces = index_texts(keyed, embedder, size=size)
     failed = pieces.where(F.col("error").isNotNull())
-    ready = changed.select("RUN").distinct().join(failed.select("RUN").distinct(), "RUN", "left_anti")
+    ready = pieces.select("RUN").distinct().join(failed.select("RUN").distinct(), "RUN", "left_anti")
     chunks_table.refresh(pieces.select(*CHUNKS.names), ready)
     clear_table(reviewed.sparkSession, staging)
     return Load(changed, invalid, failed)

@@ -34,13 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` decides. Only where it is unset (a test session)
     a temporary folder takes its place.
     """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="vitaeflow-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or tempfile.mkdtemp(prefix="vitaeflow-")).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -51,10 +46,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the copy.
 
-    Used after model calls, so that a lost executor does not repeat them.
+    Used after model calls, so that neither a lost executor nor a second use
+    repeats them. A parquet copy keeps column pruning and gives Catalyst sizes.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = new_folder(df.sparkSession, "copy")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def measured_bytes(df: DataFrame) -> int:
