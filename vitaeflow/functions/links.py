@@ -23,7 +23,7 @@ def document_path(key: Column) -> Column:
 def key_in_path(path: Column) -> Column:
     """The normalised key a stored path was built from: its file name, unsuffixed."""
     name = F.substring_index(path, "/", -1)
-    return F.regexp_replace(name, r"\.pdf$", "")
+    return F.regexp_replace(name, r"(?i)\.pdf$", "")
 
 
 def base64_text(content: Column) -> Column:
