@@ -21,8 +21,15 @@ def test_table_life(spark):
     assert [(r["col_name"], r["data_type"]) for r in table.describe().limit(2).collect()] == [("RUN", "string"), ("n", "int")]
     table.insert(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "RUN STRING, n INT"))
     table.insert(spark.createDataFrame([("a", 4), (None, 5)], "RUN STRING, n INT"))
-    assert rows(table.read(), "RUN", "n") == [("a", 1), ("a", 4), ("b", 2), ("c", 3)]
-    table.delete(spark.createDataFrame([("a",), ("nobody",)], "RUN STRING"))
+    assert rows(table.read(), "n", "RUN") == [(1, "a"), (2, "b"), (3, "c"), (4, "a"), (5, None)]
+    table.delete(spark.createDataFrame([("a",), ("nobody",), (None,)], "RUN STRING"))
+    assert rows(table.read(), "n") == [(2,), (3,), (5,)]
+    table.refresh(spark.createDataFrame([(None, 7)], "RUN STRING, n INT"), spark.createDataFrame([(None,)], "RUN STRING"))
+    assert rows(table.read(), "n") == [(2,), (3,), (5,)]
+    kept = table.read().where("RUN IS NOT NULL")
+    table.empty()
+    table.insert(spark.createDataFrame([("b", 2), ("c", 3)], "RUN STRING, n INT"))
+    assert kept.columns == ["RUN", "n"]
     assert rows(table.read(), "RUN", "n") == [("b", 2), ("c", 3)]
     table.refresh(spark.createDataFrame([(9, "b"), (8, "c")], "n INT, RUN STRING"), spark.createDataFrame([("b",)], "RUN STRING"))
     assert rows(table.read(), "RUN", "n") == [("b", 9), ("c", 3)]

@@ -107,7 +107,8 @@ def merge(
     incoming = last.select(
         _q(key).alias("_key"), *[_q(c).alias(f"_in_{c}") for c in values], F.lit(True).alias("_staged")
     )
-    sized = broadcast_if_small(incoming)
+    # what is staged bounds what is left of it
+    sized = broadcast_if_small(incoming, bound=staging.select(*[_q(c) for c in columns]))
 
     differs = F.lit(False)
     for c in values:

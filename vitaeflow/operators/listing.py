@@ -35,9 +35,14 @@ def put_documents(
 
 
 def fetch_documents(keys: DataFrame, stored: DataFrame, key: str = RECORD_KEY) -> DataFrame:
-    """Add the stored bytes of each key; null where there is none."""
+    """Add the stored bytes of each key; null where there is none.
+
+    Null keys, which may be many, stay out of the join.
+    """
     wanted = keys.withColumn("run_norm", normal_key(F.col(f"`{key}`")))
-    return wanted.join(stored.select("run_norm", "content"), "run_norm", "left")
+    found = wanted.where(F.col("run_norm").isNotNull()).join(stored.select("run_norm", "content"), "run_norm", "left")
+    without = wanted.where(F.col("run_norm").isNull()).withColumn("content", F.lit(None).cast("binary"))
+    return found.unionByName(without)
 
 
 def candidate_listing(

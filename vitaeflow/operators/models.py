@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitaeflow.fixed_values import WHITESPACE
 from vitaeflow.operators.candidates import latest_rows
 
 #: ``embed(texts) -> vectors``
@@ -96,7 +95,7 @@ def hash_embed(rows: DataFrame, text: str = "text", output: str = "vector", dime
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = F.filter(F.split(F.lower(F.col(text)), f"[{WHITESPACE}]+"), lambda word: word != "")
+    words = F.array_remove(F.split(F.lower(F.col(text)), r"\s+"), "")
     counted = HashingTF(numFeatures=dimension, inputCol="_words", outputCol="_counts").transform(
         rows.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
     )

@@ -26,10 +26,16 @@ from vitaeflow.session import BROADCAST_BYTES, cut_lineage
 
 #: Most queries that one broadcast matrix holds.
 SCAN_QUERIES = 8192
-#: Rows per side of a tile.
-TILE_ROWS = 4096
-#: Most cells the exact tile join divides the vectors into.
+#: Arrow bytes of the vectors on either side of a tile. The chunk side only
+#: streams past the query matrix in slices, so it may be the larger one.
+TILE_CHUNK_BYTES = 256 * 1024 * 1024
+TILE_QUERY_BYTES = 32 * 1024 * 1024
+#: Rows of a slice that is searched at a time.
+SLICE_ROWS = 16384
+#: Most cells the vectors are divided into.
 MAX_CELLS = 1024
+#: Chunks per cell that a small table aims at.
+CELL_ROWS = 4096
 #: Keeps float noise from pruning a cell that holds a hit.
 _SLACK = 1e-6
 
@@ -67,8 +73,9 @@ def _vector_tools():
 
 
 def _searcher(k: int, keys: list[str], grouped: bool):
-    """``search(state, queries, batch)`` folds one Arrow table of chunks into ``state``."""
+    """``search(state, queries, table)`` folds one Arrow table of chunks into ``state``."""
     unit_rows, best_columns = _vector_tools()
+    slice_rows = SLICE_ROWS
 
     def fold(entry, score, key):
         """Keep the best ``k`` of a query, one per group when grouped."""
@@ -82,7 +89,11 @@ def _searcher(k: int, keys: list[str], grouped: bool):
         entry.sort()
         del entry[k:]
 
-    def search(state, queries, batch):
+    def search(state, queries, table):
+        for start in range(0, table.num_rows, slice_rows):
+            search_slice(state, queries, table.slice(start, slice_rows))
+
+    def search_slice(state, queries, batch):
         import numpy as np
         import pyarrow as pa
 
@@ -91,8 +102,6 @@ def _searcher(k: int, keys: list[str], grouped: bool):
         batch = batch.sort_by([(name, "ascending") for name in keys])
         column = batch.column("vector")
         vectors = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        if isinstance(vectors, pa.ChunkedArray):
-            vectors = pa.concat_arrays(vectors.chunks)
         names = list(zip(*[batch.column(name).to_pylist() for name in keys]))
         rows, matrix = unit_rows(vectors, queries.shape[1])
         step = max(256, 4_000_000 // max(1, len(queries)))
@@ -177,6 +186,10 @@ def _query_side(queries: DataFrame, query_id: str, vector: str) -> DataFrame:
     return queries.select(query_id, F.col(vector).alias("vector")).where(F.size("vector") > 0)
 
 
+def _cell_bytes(rows: DataFrame, vector: str) -> int:
+    return 4 if rows.schema[vector].dataType.elementType.typeName() == "float" else 8
+
+
 def top_k(
     queries: DataFrame,
     chunks: DataFrame,
@@ -197,7 +210,7 @@ def top_k(
         .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("cells"))
         .first()
     )
-    small = size["rows"] <= SCAN_QUERIES and 8 * size["cells"] <= BROADCAST_BYTES
+    small = size["rows"] <= SCAN_QUERIES and _cell_bytes(queries, vector) * size["cells"] <= BROADCAST_BYTES
     search = top_k_scan if small else top_k_tiles
     return search(queries, chunks, k, query_id, keys, vector, per_candidate)
 
@@ -223,26 +236,32 @@ def top_k_scan(
 
     import numpy as np
 
+    width = np.float32 if queries.schema[vector].dataType.elementType.typeName() == "float" else np.float64
     by_length: dict[int, tuple[list, list]] = {}
     for row in rows:
-        if None in row["vector"]:
-            continue
-        values = np.asarray(row["vector"], dtype=np.float64)
-        norm = np.sqrt((values * values).sum())
-        if np.isfinite(norm) and norm > 0:
-            ids, vectors = by_length.setdefault(len(values), ([], []))
+        if None not in row["vector"]:
+            ids, vectors = by_length.setdefault(len(row["vector"]), ([], []))
             ids.append(row[query_id])
-            vectors.append(values / norm)
+            vectors.append(np.asarray(row["vector"], dtype=width))
     spark = chunks.sparkSession
     packed = spark.sparkContext.broadcast([(ids, np.vstack(vectors)) for ids, vectors in by_length.values()])
     schema = _hit_schema(queries, chunks, query_id, keys)
     search, emit = _searcher(k, keys, per_candidate), _emitter(k, query_id, keys)
     arrow_schema = _arrow(schema)
 
+    def scaled(ids, matrix):
+        """Ids and unit vectors of the queries that can be scored."""
+        import numpy
+
+        matrix = matrix.astype(numpy.float64)
+        norms = numpy.sqrt(numpy.einsum("ij,ij->i", matrix, matrix))
+        usable = numpy.isfinite(norms) & (norms > 0)
+        return [i for i, ok in zip(ids, usable) if ok], matrix[usable] / norms[usable, None]
+
     def scan(batches):
         import pyarrow as pa
 
-        blocks = packed.value
+        blocks = [block for block in (scaled(*side) for side in packed.value) if block[0]]
         states = [{} for _ in blocks]
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -261,6 +280,11 @@ def _arrow(schema: T.StructType):
     return to_arrow_schema(schema)
 
 
+def _tile_rows(size: int, cell_bytes: int, dimension: int) -> int:
+    """Rows of ``dimension`` numbers that fit in ``size`` bytes, within reason for short ones."""
+    return max(256, min(262_144, size // (cell_bytes * dimension)))
+
+
 def _join_tiles(
     queries: DataFrame,
     chunks: DataFrame,
@@ -269,22 +293,24 @@ def _join_tiles(
     keys: list[str],
     grouped: bool,
     dimension: int,
-    tile_rows: int,
+    tile_rows: int | None,
     chunk_rows: dict[int, int] | None = None,
 ) -> DataFrame:
     """Partial hits of queries and chunks that share a ``cell``.
 
-    A cell may hold most of either side. Both are cut into sub-blocks of about
-    ``tile_rows`` rows by a hash of the row's own key, and each pair of
-    sub-blocks is one group, so a group's size does not grow with the data.
-    The number of cells is bounded by the caller, hence the statistics too.
+    A cell may hold most of either side. Both are cut into sub-blocks of
+    bounded size by a hash of the row's own key, and each pair of sub-blocks is
+    one group, so a group's size does not grow with the data. The number of
+    cells is bounded by the caller, hence the statistics too.
     """
     spark = chunks.sparkSession
+    chunk_tile = tile_rows or _tile_rows(TILE_CHUNK_BYTES, _cell_bytes(chunks, "vector"), dimension)
+    query_tile = tile_rows or _tile_rows(TILE_QUERY_BYTES, _cell_bytes(queries, "vector"), dimension)
     if chunk_rows is None:
         chunk_rows = {r["cell"]: r["count"] for r in chunks.groupBy("cell").count().collect()}
     query_rows = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}
     parts = [
-        (cell, math.ceil(chunk_rows[cell] / tile_rows), math.ceil(query_rows[cell] / tile_rows))
+        (cell, math.ceil(chunk_rows[cell] / chunk_tile), math.ceil(query_rows[cell] / query_tile))
         for cell in sorted(chunk_rows.keys() & query_rows.keys())
     ]
     sizes = F.broadcast(spark.createDataFrame(parts, "cell INT, chunk_parts INT, query_parts INT"))
@@ -344,7 +370,7 @@ def top_k_tiles(
     keys: list[str] | None = None,
     vector: str = "vector",
     per_candidate: bool = False,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
     max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """Exact top-k with both sides unbounded.
@@ -357,8 +383,9 @@ def top_k_tiles(
     """
     keys = keys or ["RUN", "chunk_no"]
     asked = _query_side(queries, query_id, vector)
+    total = chunks.count()
     parts = [
-        _tiles_of_length(n, _complete(asked, n), _complete(_named(chunks, keys, vector), n), k, query_id, keys,
+        _tiles_of_length(n, _complete(asked, n), _complete(_named(chunks, keys, vector), n), total, k, query_id, keys,
                          per_candidate, tile_rows, max_cells)
         for n in _lengths(queries, query_id, vector)
     ]
@@ -372,14 +399,18 @@ def top_k_tiles(
     return _rank(hits, k, query_id, keys, per_candidate)
 
 
-def _tiles_of_length(dimension, queries, chunks, k, query_id, keys, per_candidate, tile_rows, max_cells):
+def _tiles_of_length(dimension, queries, chunks, total, k, query_id, keys, per_candidate, tile_rows, max_cells):
     import numpy as np
 
     most = max(1, min(max_cells, BROADCAST_BYTES // (8 * dimension)))
-    cells = min(most, math.ceil(chunks.count() / tile_rows))
+    cells = min(most, math.ceil(total / (tile_rows or CELL_ROWS)))
     # at least k pivots where there are as many chunks, for the bound on the k-th hit
     wanted = min(most, max(cells, 4 * k))
-    sample = chunks.orderBy(F.xxhash64(*keys), *keys).limit(wanted).collect()
+    # about four times as many chunks as wanted take part, evenly from all tasks
+    share = F.xxhash64(*keys) <= F.lit(min(2**63 - 1, 4 * wanted * 2**64 // max(1, total) - 2**63))
+    sample = chunks.where(share).orderBy(F.xxhash64(*keys), *keys).limit(wanted).collect()
+    if not sample:
+        sample = chunks.limit(wanted).collect()
     if not sample:
         return None
     pivots = np.asarray([row["vector"] for row in sample], dtype=np.float64)
@@ -459,22 +490,25 @@ def top_k_hashed(
     keys: list[str] | None = None,
     vector: str = "vector",
     per_candidate: bool = False,
-    tables: int = 8,
+    tables: int = 4,
     width: int = 6,
     bucket_length: float = 0.5,
     max_cells: int = MAX_CELLS,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Approximate top-k: chunks that share a hash bucket with the query, ranked exactly.
 
     ``width`` random projections make one bucket key; a chunk is a candidate
     if it agrees with the query in any of ``tables`` keys. Bucket keys fold
-    into at most ``max_cells`` cells per table, which can only add candidates.
-    Queries that find fewer than ``k`` go through the exact search.
+    into at most ``max_cells`` cells per table, fewer for few chunks, which can
+    only add candidates. Queries that find fewer than ``k`` go through the exact
+    search. Each table shuffles the vectors of the cells that are asked for
+    once, so this pays for large query sides over well separated vectors.
     """
     keys = keys or ["RUN", "chunk_no"]
     asked = _query_side(queries, query_id, vector)
+    max_cells = min(max_cells, max(1, math.ceil(8 * chunks.count() / CELL_ROWS)))
     found = None
     for n in _lengths(queries, query_id, vector):
         chunk_side = _hash_cells(_complete(_named(chunks, keys, vector), n), n, tables, width, bucket_length,

@@ -11,7 +11,7 @@ from vitaeflow.fixed_values import HITS_PER_QUESTION, RECORD_KEY, SOURCE_NAME
 from vitaeflow.functions.prompts import chat_request, extraction_prompt, summary_prompt
 from vitaeflow.operators import answers, candidates, documents, extraction, models, similarity
 from vitaeflow.schema import CHUNKS, STAGING
-from vitaeflow.session import cut_lineage
+from vitaeflow.session import broadcast_if_small, cut_lineage
 from vitaeflow.sources.tables import KeyedTable, append_rows, clear_table
 
 
@@ -72,6 +72,7 @@ def load_records(
     embedder: models.Embedder,
     corrections: DataFrame | None = None,
     size: int | None = None,
+    concurrency: int | None = None,
 ) -> Load:
     """Load reviewed records and refresh the vectors of the keys that changed.
 
@@ -93,8 +94,8 @@ def load_records(
     )
     changed = cut_lineage(candidates_table.merge(staged))
     to_index = candidates.with_changed_key(source, changed).select("RUN", SOURCE_NAME)
-    keyed = texts.select(SOURCE_NAME, "text").join(to_index, SOURCE_NAME)
-    pieces = index_texts(keyed, embedder, size=size)
+    keyed = texts.select(SOURCE_NAME, "text").join(broadcast_if_small(to_index), SOURCE_NAME)
+    pieces = index_texts(keyed, embedder, size=size, concurrency=concurrency)
     failed = pieces.where(F.col("error").isNotNull())
     ready = pieces.select("RUN").distinct().join(failed.select("RUN").distinct(), "RUN", "left_anti")
     chunks_table.refresh(pieces.select(*CHUNKS.names), ready)
@@ -110,6 +111,7 @@ def answer_questions(
     k: int = HITS_PER_QUESTION,
     keys: list[str] | None = None,
     per_candidate: bool = False,
+    concurrency: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Answers ``(query_id, answer_text)`` and the hits behind them.
 
@@ -117,15 +119,17 @@ def answer_questions(
     failed; the hits carry the reasons.
     """
     keys = keys or ["RUN", "chunk_no"]
-    asked = cut_lineage(models.embed(questions, embedder, text="question"))
+    asked = cut_lineage(models.embed(questions, embedder, text="question", concurrency=concurrency))
     hits = cut_lineage(similarity.top_k(asked, chunks, k, keys=keys, per_candidate=per_candidate))
-    return answer_hits(hits, chunks, model, keys)
+    return answer_hits(hits, chunks, model, keys, concurrency)
 
 
-def answer_hits(hits: DataFrame, chunks: DataFrame, model: models.ChatModel, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def answer_hits(hits: DataFrame, chunks: DataFrame, model: models.ChatModel, keys: list[str],
+                concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The second half of ``answer_questions``: from hits to texts."""
     found = answers.hit_texts(hits, chunks, keys)
-    called = models.complete(found.withColumn("payload", chat_request(summary_prompt(F.col("text")))), model)
+    asking = found.withColumn("payload", chat_request(summary_prompt(F.col("text"))))
+    called = models.complete(asking, model, concurrency=concurrency)
     read = extraction.read_chat_replies(called.withColumnRenamed("error", "_call_error"))
     summed = read.withColumn("error", F.coalesce("_call_error", "error")).withColumnRenamed("content", "answer")
     done = cut_lineage(summed.select(*hits.columns, "answer", "total_tokens", "error"))

@@ -165,6 +165,11 @@ def digest_records() -> models.ChatModel:
     return models.chat_model(answer)
 
 
+def workers(spark: SparkSession) -> int:
+    """Model calls cost more than moving their texts, so they use every core."""
+    return spark.sparkContext.defaultParallelism
+
+
 def scratch_table(spark: SparkSession, schema, key: str) -> tables.KeyedTable:
     return tables.KeyedTable(spark, f"scratch_{uuid.uuid4().hex}", schema, key, buckets=8).create()
 
@@ -306,7 +311,7 @@ def extract_records(spark, sf_dir):
         F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("pdf_name"),
         F.timestamp_seconds(F.lit(0)).alias("ingest_ts"), "text",
     )
-    found = jobs.extract_records(texts, digest_records())
+    found = jobs.extract_records(texts, digest_records(), concurrency=workers(spark))
     return found.select("pdf_name", "Nombre", "Ciudad", F.col(f"`{RECORD_KEY}`").alias("run"), "error")
 
 
@@ -401,7 +406,8 @@ def load_records(spark, sf_dir):
         F.timestamp_seconds(F.lit(0)).alias("ingest_ts"),
     )
     texts = document.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("pdf_name"), "text")
-    done = jobs.load_records(reviewed, texts, held, indexed, staging, letter_counts(), size=CHUNK_SIZE)
+    done = jobs.load_records(reviewed, texts, held, indexed, staging, letter_counts(), size=CHUNK_SIZE,
+                             concurrency=workers(spark))
     found = indexed.read().groupBy("RUN").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars")
     )
@@ -455,7 +461,7 @@ def table_delete(spark, sf_dir):
 def index_documents(spark, sf_dir):
     """The whole index job with a stand-in embedding, one row per vector cell."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("RUN"), "text")
-    rows = jobs.index_texts(texts, letter_counts(), size=CHUNK_SIZE)
+    rows = jobs.index_texts(texts, letter_counts(), size=CHUNK_SIZE, concurrency=workers(spark))
     cells = rows.select("RUN", "chunk_no", F.posexplode("vector").alias("letter", "n"))
     return cells.withColumn("n", F.col("n").cast("long"))
 
@@ -502,7 +508,7 @@ def knn_per_candidate(spark, sf_dir):
 @register
 def knn_lsh(spark, sf_dir):
     asked, held = vector_sides(spark, sf_dir)
-    return _scored(similarity.top_k_hashed(asked, held.select("vec_id", "vector"), keys=["vec_id"], tile_rows=1024))
+    return _scored(similarity.top_k_hashed(asked, held.select("vec_id", "vector"), keys=["vec_id"]))
 
 
 @register
@@ -535,8 +541,8 @@ def answer_questions(spark, sf_dir):
         F.col("text").alias("question"),
     )
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("RUN"), "text")
-    held = jobs.index_texts(texts, letter_counts(), size=None)
-    answered, _ = jobs.answer_questions(asked, held, letter_counts(), digest_answers())
+    held = jobs.index_texts(texts, letter_counts(), size=None, concurrency=workers(spark))
+    answered, _ = jobs.answer_questions(asked, held, letter_counts(), digest_answers(), concurrency=workers(spark))
     return answered
 
 

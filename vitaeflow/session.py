@@ -75,10 +75,11 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(size + 16), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when ``df`` measures at most ``limit`` bytes.
+def broadcast_if_small(df: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """Hint a broadcast only when ``df`` measures at most ``BROADCAST_BYTES``.
 
-    Beyond it the DataFrame comes back unhinted: Catalyst plans a shuffle join
+    ``bound`` is measured instead where it holds at least what ``df`` holds
+    and is cheaper to read. Beyond the limit the DataFrame comes back unhinted: Catalyst plans a shuffle join
     and adaptive execution splits its skewed keys.
     """
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
+    return F.broadcast(df) if measured_bytes(df if bound is None else bound) <= BROADCAST_BYTES else df

@@ -96,9 +96,8 @@ class KeyedTable:
         return C.changes(self.spark.read.schema(schema).parquet(folder), self.key)
 
     def _buckets_of(self, rows: DataFrame) -> list[int]:
-        """Buckets the keys fall in; at most ``buckets`` numbers."""
-        keyed = rows.where(F.col(f"`{self.key}`").isNotNull())
-        found = keyed.select(key_bucket(F.col(f"`{self.key}`"), self.buckets).alias("b")).distinct()
+        """Buckets the keys fall in, null keys included; at most ``buckets`` numbers."""
+        found = rows.select(key_bucket(F.col(f"`{self.key}`"), self.buckets).alias("b")).distinct()
         return sorted(row["b"] for row in found.collect())
 
     def _rows_in(self, touched: list[int]) -> DataFrame:
@@ -121,11 +120,19 @@ class KeyedTable:
         table = _quoted(self.name)
         schema = T.StructType([*self.schema.fields, T.StructField(_BUCKET, T.IntegerType())])
         filled = {r[_BUCKET] for r in self.spark.read.schema(schema).parquet(folder).select(_BUCKET).distinct().collect()}
-        for bucket in touched:
-            part = f"PARTITION ({_BUCKET}={bucket})"
-            if bucket in filled:
-                self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {part}")
-                self.spark.sql(f"ALTER TABLE {table} {part} SET LOCATION '{folder}/{_BUCKET}={bucket}'")
-            else:
-                self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {part}")
+        known = {int(r[0].split("=")[1]) for r in self.spark.sql(f"SHOW PARTITIONS {table}").collect()}
+
+        def part(bucket: int) -> str:
+            return f"PARTITION ({_BUCKET}={bucket})"
+
+        def place(bucket: int) -> str:
+            return f"LOCATION '{folder}/{_BUCKET}={bucket}'"
+
+        for bucket in sorted(filled & known):
+            self.spark.sql(f"ALTER TABLE {table} {part(bucket)} SET {place(bucket)}")
+        if filled - known:
+            added = " ".join(f"{part(bucket)} {place(bucket)}" for bucket in sorted(filled - known))
+            self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {added}")
+        if emptied := sorted((set(touched) & known) - filled):
+            self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(part(bucket) for bucket in emptied)}")
         self.spark.catalog.refreshTable(self.name)
