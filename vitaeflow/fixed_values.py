@@ -63,18 +63,6 @@ EXTRACTION_PROMPT = (
     "No incluyas texto adicional, ni bloques de código.\nCurrículum:\n"
 )
 
-# Prompt around one search hit: before and after the text.
-SUMMARY_PROMPT = (
-    "Quiero que de este texto, hagas un resumen de lo mas importante:\n\n"
-    "                         '",
-    "'\n\n"
-    "                         Muestralo de manera ordenada y resumida que tu output sea solo texto, \n"
-    "                         por favor sin comandos de saltos de linea ni nada. \n"
-    "                         Quien verá este texto es una persona encargada de reclutamiento de personal, \n"
-    "                         por lo que puedes hacer resumen de cada uno de los candidatos y ciertas recomendaciones.\n"
-    "                      ",
-)
-
 # Search.
 VECTOR_DIMENSION = 3072
 HITS_PER_QUESTION = 2
@@ -82,3 +70,11 @@ CHUNK_SIZE = 1000
 KEYS_LISTED = 5
 
 # ----------------------------------------------------------------------------
+
+# Default prompt around one search hit: before and after the text. Our own
+# wording; jobs take another one as ``template``.
+SUMMARY_PROMPT = (
+    "Resume lo más importante del siguiente texto:\n\n'",
+    "'\n\nResponde con un resumen breve y ordenado, solo texto y sin saltos de línea. "
+    "Lo leerá la persona que selecciona candidatos: describe a cada candidato e incluye recomendaciones.",
+)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitaeflow.fixed_values import HITS_PER_QUESTION, RECORD_KEY, SOURCE_NAME
+from vitaeflow.fixed_values import EXTRACTION_PROMPT, HITS_PER_QUESTION, RECORD_KEY, SOURCE_NAME, SUMMARY_PROMPT
 from vitaeflow.functions.prompts import chat_request, extraction_prompt, summary_prompt
 from vitaeflow.operators import answers, candidates, documents, extraction, models, similarity
 from vitaeflow.schema import CHUNKS, STAGING
@@ -27,7 +27,8 @@ def read_documents(files: DataFrame, extract: documents.PageExtractor) -> DataFr
 
 
 def extract_records(texts: DataFrame, model: models.ChatModel, fence_only: bool = False,
-                    batch_size: int = 16, concurrency: int | None = None) -> DataFrame:
+                    batch_size: int = 16, concurrency: int | None = None,
+                    template: str = EXTRACTION_PROMPT) -> DataFrame:
     """Records from document texts ``(pdf_name, ingest_ts, text[, error])``.
 
     Blank documents are not sent to the model. Every document keeps one row:
@@ -37,7 +38,7 @@ def extract_records(texts: DataFrame, model: models.ChatModel, fence_only: bool
     marked = documents.mark_blank(texts)
     earlier = [F.col("error")] if "error" in texts.columns else []
     marked = marked.withColumn("error", F.coalesce(*earlier, F.col("reject_reason")))
-    payload = F.when(F.col("error").isNull(), chat_request(extraction_prompt(F.col("text"))))
+    payload = F.when(F.col("error").isNull(), chat_request(extraction_prompt(F.col("text"), template)))
     called = models.complete(marked.withColumn("payload", payload), model, batch_size=batch_size,
                              concurrency=concurrency)
     read = extraction.read_chat_replies(called.withColumnRenamed("error", "_call_error"))
@@ -112,6 +113,7 @@ def answer_questions(
     keys: list[str] | None = None,
     per_candidate: bool = False,
     concurrency: int | None = None,
+    template: tuple[str, str] = SUMMARY_PROMPT,
 ) -> tuple[DataFrame, DataFrame]:
     """Answers ``(query_id, answer_text)`` and the hits behind them.
 
@@ -121,14 +123,15 @@ def answer_questions(
     keys = keys or ["RUN", "chunk_no"]
     asked = cut_lineage(models.embed(questions, embedder, text="question", concurrency=concurrency))
     hits = cut_lineage(similarity.top_k(asked, chunks, k, keys=keys, per_candidate=per_candidate))
-    return answer_hits(hits, chunks, model, keys, concurrency)
+    return answer_hits(hits, chunks, model, keys, concurrency, template)
 
 
 def answer_hits(hits: DataFrame, chunks: DataFrame, model: models.ChatModel, keys: list[str],
-                concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
+                concurrency: int | None = None,
+                template: tuple[str, str] = SUMMARY_PROMPT) -> tuple[DataFrame, DataFrame]:
     """The second half of ``answer_questions``: from hits to texts."""
     found = answers.hit_texts(hits, chunks, keys)
-    asking = found.withColumn("payload", chat_request(summary_prompt(F.col("text"))))
+    asking = found.withColumn("payload", chat_request(summary_prompt(F.col("text"), template)))
     called = models.complete(asking, model, concurrency=concurrency)
     read = extraction.read_chat_replies(called.withColumnRenamed("error", "_call_error"))
     summed = read.withColumn("error", F.coalesce("_call_error", "error")).withColumnRenamed("content", "answer")

@@ -138,6 +138,11 @@ def _field_checks() -> str:
 ORACLES: dict[str, str] = {
     "doc_assemble": """
   select conv_id, string_agg(coalesce(text, ''), chr(10) order by turn)||chr(10) as text, count(*) as n_pages
+  from conversations group by conv_id""",
+    "document_files": """
+  select conv_id, cast(strlen(string_agg(text, chr(12) order by turn)) + 1 as bigint) as length,
+    cast(count(*) as integer) as n_pages, string_agg(text, chr(10) order by turn)||chr(10) as text,
+    cast(null as varchar) as error
   from conversations group by conv_id""",
     "doc_pages": """
   select doc_id, cast(unnest(range(0, len(parts))) as integer) as page_no, unnest(parts) as text
@@ -214,6 +219,13 @@ ORACLES: dict[str, str] = {
     "merge_candidates": _MERGED,
     "changed_keys": f"""
   select distinct "{RECORD_KEY}" as "RUN", action from ({_MERGED}) where action in ('NEW', 'UPDATED')""",
+    "inserted_keys": f"""select distinct "{RECORD_KEY}" as "RUN" from ({_MERGED}) where action = 'NEW'""",
+    "updated_keys": f"""select distinct "{RECORD_KEY}" as "RUN" from ({_MERGED}) where action = 'UPDATED'""",
+    "merge_only_changed": f"""
+  select "{RECORD_KEY}" as "RUN", case when "Carrera" = 'BUILDING' then "Nombre"||' bis' else "Nombre" end as "Nombre",
+    case when "Carrera" = 'BUILDING' then 'UPDATED' else 'KEPT' end as action
+  from ({_HELD})""",
+    "candidate_scan": "select * from customer",
     "changed_sources": f"""
   select "{RECORD_KEY}" as "RUN", pdf_name from ({_STAGED})
   where "{RECORD_KEY}" in (select "{RECORD_KEY}" from ({_MERGED}) where action = 'UPDATED')""",
@@ -239,6 +251,7 @@ ORACLES: dict[str, str] = {
   select * from ({_chunks(300, "RUN")}) where "RUN" in (select doc_id from labels)""",
     "table_delete": """
   select doc_id, lang, source, n_chars from documents where doc_id not in (select doc_id from labels)""",
+    "table_reload": "select doc_id, lang, lang||'/'||source as source, n_chars from documents",
     "index_documents": f"""
   select "RUN", chunk_no, cast(unnest(range(0, 26)) as integer) as letter,
     unnest(list_transform({_letter_counts('text')}, lambda x: cast(x as bigint))) as n

@@ -30,7 +30,7 @@ from vitaeflow.operators import (
 from vitaeflow.plans import jobs
 from vitaeflow.schema import CANDIDATES, CHUNKS
 from vitaeflow.session import configure, new_folder
-from vitaeflow.sources import tables
+from vitaeflow.sources import files, tables
 from vitaeflow.streaming.intake import start_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,6 +206,25 @@ def chunk_whole(spark, sf_dir):
     return documents.chunk(table(spark, sf_dir, "documents"), "doc_id", None)
 
 
+@register
+def document_files(spark, sf_dir):
+    """Conversations written out as one file each, then read as files: names, bytes, pages, text."""
+    folder = new_folder(spark, "files")
+    page = F.expr("listagg(text, '\f') WITHIN GROUP (ORDER BY turn)")
+    written = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(page.alias("value"))
+    written.repartition("conv_id").write.partitionBy("conv_id").text(folder)
+
+    def extract(content: bytes) -> list[str]:
+        return content.decode()[:-1].split("\f")
+
+    read = documents.read_pages(files.document_files(spark, folder, glob="*.txt"), extract)
+    number = F.regexp_extract("path", r"conv_id=(\d+)/", 1).cast("long")
+    return read.select(
+        number.alias("conv_id"), "length", F.size("pages").alias("n_pages"),
+        documents.pages_text(F.col("pages")).alias("text"), "error",
+    )
+
+
 # --- replies and records ----------------------------------------------------
 
 
@@ -378,6 +397,34 @@ def changed_keys(spark, sf_dir):
     return candidates.changes(candidates.merge(held_candidates(spark, sf_dir), staged_records(spark, sf_dir)))
 
 
+@register
+def inserted_keys(spark, sf_dir):
+    changed = candidates.changes(candidates.merge(held_candidates(spark, sf_dir), staged_records(spark, sf_dir)))
+    return candidates.inserted(changed).select("RUN")
+
+
+@register
+def updated_keys(spark, sf_dir):
+    changed = candidates.changes(candidates.merge(held_candidates(spark, sf_dir), staged_records(spark, sf_dir)))
+    return candidates.updated(changed).select("RUN")
+
+
+@register
+def merge_only_changed(spark, sf_dir):
+    """Every candidate is submitted again, customers of the building segment under another name."""
+    held = held_candidates(spark, sf_dir)
+    again = held.withColumn(
+        "Nombre", F.when(F.col("Carrera") == "BUILDING", F.concat("Nombre", F.lit(" bis"))).otherwise(F.col("Nombre"))
+    ).withColumn("ingest_ts", F.timestamp_seconds(F.lit(0)))
+    merged = candidates.merge(held, again, only_changed=True)
+    return merged.select(F.col(f"`{RECORD_KEY}`").alias("RUN"), "Nombre", "action")
+
+
+@register
+def candidate_scan(spark, sf_dir):
+    return files.read_candidates(spark, f"{sf_dir}/customer.parquet", "parquet")
+
+
 @register
 def changed_sources(spark, sf_dir):
     """Submissions of the keys that were updated."""
@@ -457,6 +504,17 @@ def table_delete(spark, sf_dir):
     return stored.read()
 
 
+@register
+def table_reload(spark, sf_dir):
+    """A table is filled, emptied and filled with something else."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    stored = scratch_table(spark, rows.schema, "doc_id")
+    stored.insert(rows)
+    stored.empty()
+    stored.insert(rows.withColumn("source", F.concat("lang", F.lit("/"), "source")))
+    return stored.read()
+
+
 @register
 def index_documents(spark, sf_dir):
     """The whole index job with a stand-in embedding, one row per vector cell."""
@@ -633,7 +691,7 @@ def stream_intake(spark, sf_dir):
     held = scratch_table(spark, CANDIDATES, RECORD_KEY)
     indexed = scratch_table(spark, CHUNKS, "RUN")
     query = start_intake(arriving, new_folder(spark, "intake"), digest_records(), letter_counts(), held, indexed,
-                         f"scratch_{uuid.uuid4().hex}", size=CHUNK_SIZE)
+                         f"scratch_{uuid.uuid4().hex}", size=CHUNK_SIZE, concurrency=workers(spark))
     query.awaitTermination()
     found = indexed.read().groupBy("RUN").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars")

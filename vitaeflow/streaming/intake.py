@@ -24,6 +24,7 @@ def start_intake(
     size: int | None = None,
     rejects: Callable[[DataFrame, int], None] | None = None,
     available_now: bool = True,
+    concurrency: int | None = None,
 ) -> StreamingQuery:
     """Run a stream of ``(pdf_name, ingest_ts, text[, error])`` into the tables.
 
@@ -36,9 +37,10 @@ def start_intake(
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         held = jobs.cut_lineage(batch)
-        records = jobs.extract_records(held, model)
+        records = jobs.extract_records(held, model, concurrency=concurrency)
         into = [KeyedTable(spark, t.name, t.schema, t.key, t.buckets) for t in (candidates_table, chunks_table)]
-        result = jobs.load_records(extraction.accepted(records), held, *into, staging, embedder, size=size)
+        result = jobs.load_records(extraction.accepted(records), held, *into, staging, embedder, size=size,
+                                   concurrency=concurrency)
         if rejects is not None:
             unkeyed = result.invalid.withColumn("error", F.lit("no usable key"))
             rejects(extraction.rejected(records).unionByName(unkeyed), batch_id)
