@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitaeflow import session
 from vitaeflow.operators import candidates as C
 from vitaeflow.operators import chunks as K
+from vitaeflow.operators import listing
 
 SLOW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 TARGET = "run STRING, a STRING, pdf_name STRING"
@@ -89,6 +90,38 @@ def test_refresh_leaves_other_keys(spark, side):
     assert rows(K.without_keys(old, keys), "RUN") == [("b",)]
 
 
+@pytest.mark.parametrize("join", ["semi", "anti", "refresh", "listing"])
+def test_hot_keys_are_split(spark, monkeypatch, join):
+    """A third of the rows on one key, no broadcasts: the final plan splits that key."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        number = F.col("id").cast("string")
+        made = spark.range(0, 300_000, 1, 4).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), number)).alias("RUN"), F.sha2(number, 256).alias("text"))
+        keys = spark.range(1000).select(F.concat(F.lit("k"), number).alias("RUN")).unionByName(
+            spark.createDataFrame([("hot",)], "RUN STRING")).withColumn("action", F.lit("NEW"))
+        result = {
+            "semi": lambda: C.with_changed_key(made, keys),
+            "anti": lambda: K.without_keys(made, keys),
+            "refresh": lambda: K.refresh(made, made, keys),
+            "listing": lambda: listing.candidate_listing(
+                made, keys.select(F.col("RUN").alias("run_norm"), F.encode("RUN", "utf-8").alias("content")), "RUN"),
+        }[join]()
+        rows = result.toArrow().num_rows
+        assert rows == {"semi": 100_666, "anti": 199_334, "refresh": 300_000, "listing": 300_000}[join]
+        plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("skew=true") == (2 if join == "refresh" else 1)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_keys(spark):
     held = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "RUN STRING")
     assert rows(K.keys_of(held), "RUN") == [("a",), ("b",), ("c",)]

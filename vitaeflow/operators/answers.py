@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitaeflow.session import lookup_side
+
 
 def hit_texts(hits: DataFrame, chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Hits with the text of their chunk; texts are read for the hits only."""
-    from vitaeflow.session import broadcast_if_small
-
     texts = chunks.select(*keys, F.col(text).alias("text"))
-    return texts.join(broadcast_if_small(hits), keys)
+    return texts.join(lookup_side(hits), keys)
 
 
 def join_answers(answers: DataFrame, query_id: str = "query_id", answer: str = "answer",

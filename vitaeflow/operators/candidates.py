@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitaeflow.fixed_values import RECORD_KEY
 from vitaeflow.functions.text import normal_key, valid_key
-from vitaeflow.session import broadcast_if_small
+from vitaeflow.session import is_small, lookup_side
 
 
 def _q(name: str) -> Column:
@@ -55,7 +55,7 @@ def apply_corrections(records: DataFrame, corrections: DataFrame, key: str) -> D
         *[_q(c).alias(f"_new_{c}") for c in edited],
         *([_q(f"new_{key}").alias("_new_key")] if f"new_{key}" in corrections.columns else []),
     )
-    joined = records.join(broadcast_if_small(renamed), _q(key) == F.col("_key"), "left")
+    joined = records.join(lookup_side(renamed), _q(key) == F.col("_key"), "left")
 
     def cell(name: str) -> Column:
         if name in edited:
@@ -107,15 +107,14 @@ def merge(
     incoming = last.select(
         _q(key).alias("_key"), *[_q(c).alias(f"_in_{c}") for c in values], F.lit(True).alias("_staged")
     )
-    # what is staged bounds what is left of it
-    sized = broadcast_if_small(incoming, bound=staging.select(*[_q(c) for c in columns]))
 
     differs = F.lit(False)
     for c in values:
         differs = differs | ~_q(c).eqNullSafe(_q(f"_in_{c}"))
     matched = F.lit("UPDATED") if not only_changed else F.when(differs, "UPDATED").otherwise("KEPT")
 
-    if sized is incoming:
+    # what is staged bounds what is left of it
+    if not is_small(staging.select(*[_q(c) for c in columns])):
         joined = target.withColumn("_held", F.lit(True)).join(incoming, _q(key) == F.col("_key"), "full_outer")
         staged, held = F.col("_staged").isNotNull(), F.col("_held").isNotNull()
         action = F.when(staged & ~held, "NEW").when(staged, matched).otherwise("KEPT")
@@ -125,7 +124,7 @@ def merge(
             action.alias("action"),
         ).select(*[_q(c) for c in columns], "action")
 
-    looked_up = target.join(sized, _q(key) == F.col("_key"), "left")
+    looked_up = target.join(F.broadcast(incoming), _q(key) == F.col("_key"), "left")
     staged = F.col("_staged").isNotNull()
     old = looked_up.select(
         _q(key),
@@ -156,7 +155,7 @@ def updated(changed: DataFrame) -> DataFrame:
 def with_changed_key(rows: DataFrame, changed: DataFrame, key: str = "RUN") -> DataFrame:
     """Rows whose key a merge inserted or updated."""
     keys = changed.select(F.col("RUN").alias(key)).distinct()
-    return rows.join(broadcast_if_small(keys), key, "left_semi")
+    return rows.join(lookup_side(keys), key, "left_semi")
 
 
 def row_count(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitaeflow.session import broadcast_if_small
+from vitaeflow.session import lookup_side
 
 
 def keys_of(chunks: DataFrame, key: str = "RUN", limit: int | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def rows_of_key(chunks: DataFrame, value: object, key: str = "RUN") -> DataFrame
 def without_keys(chunks: DataFrame, keys: DataFrame, key: str = "RUN") -> DataFrame:
     """The collection without the rows of the given keys; unknown keys are no error."""
     gone = keys.select(key).distinct()
-    return chunks.join(broadcast_if_small(gone), key, "left_anti")
+    return chunks.join(lookup_side(gone), key, "left_anti")
 
 
 def refresh(chunks: DataFrame, fresh: DataFrame, keys: DataFrame, key: str = "RUN") -> DataFrame:
@@ -30,7 +30,7 @@ def refresh(chunks: DataFrame, fresh: DataFrame, keys: DataFrame, key: str = "RU
 
     Rows of other keys stay as they are, whatever ``fresh`` holds for them.
     """
-    changed = broadcast_if_small(keys.select(key).distinct())
+    changed = lookup_side(keys.select(key).distinct())
     kept = chunks.join(changed, key, "left_anti")
     new = fresh.join(changed, key, "left_semi")
     return kept.unionByName(new.select(*chunks.columns))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitaeflow.session import lookup_side
+
 
 def append_turns(log: DataFrame, turns: DataFrame) -> DataFrame:
     """Put new turns after the last one of their conversation.
@@ -13,7 +15,7 @@ def append_turns(log: DataFrame, turns: DataFrame) -> DataFrame:
     of one conversation, counted from 0.
     """
     ends = log.groupBy("conv_id").agg(F.max("turn").alias("_end"))
-    placed = turns.join(ends, "conv_id", "left").withColumn(
+    placed = turns.join(lookup_side(ends), "conv_id", "left").withColumn(
         "turn", F.coalesce(F.col("_end") + 1, F.lit(0)) + F.col("seq")
     )
     return log.unionByName(placed.select(*log.columns))

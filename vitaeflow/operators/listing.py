@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitaeflow.fixed_values import LINK_MISSING, RECORD_KEY
 from vitaeflow.functions.links import data_link, key_in_path, path_link
 from vitaeflow.functions.text import normal_key, valid_key
-from vitaeflow.session import broadcast_if_small, configure
+from vitaeflow.session import configure, lookup_side
 
 
 def stored_under_key(files: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def put_documents(
     last = usable.groupBy("run_norm").agg(F.max(F.struct(*stamp)).alias("_last"))
     winners = last.select("run_norm", *[F.col("_last")[c].alias(c) for c in stamp])
     rest = [c for c in documents.columns if c not in (key, content, *stamp)]
-    return usable.join(broadcast_if_small(winners), ["run_norm", *stamp], "left_semi").select(
+    return usable.join(lookup_side(winners), ["run_norm", *stamp], "left_semi").select(
         "run_norm", *stamp, *rest, content
     )
 

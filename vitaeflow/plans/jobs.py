@@ -11,7 +11,7 @@ from vitaeflow.fixed_values import EXTRACTION_PROMPT, HITS_PER_QUESTION, RECORD_
 from vitaeflow.functions.prompts import chat_request, extraction_prompt, summary_prompt
 from vitaeflow.operators import answers, candidates, documents, extraction, models, similarity
 from vitaeflow.schema import CHUNKS, STAGING
-from vitaeflow.session import broadcast_if_small, cut_lineage
+from vitaeflow.session import cut_lineage, lookup_side
 from vitaeflow.sources.tables import KeyedTable, append_rows, clear_table
 
 
@@ -95,7 +95,7 @@ def load_records(
     )
     changed = cut_lineage(candidates_table.merge(staged))
     to_index = candidates.with_changed_key(source, changed).select("RUN", SOURCE_NAME)
-    keyed = texts.select(SOURCE_NAME, "text").join(broadcast_if_small(to_index), SOURCE_NAME)
+    keyed = texts.select(SOURCE_NAME, "text").join(lookup_side(to_index), SOURCE_NAME)
     pieces = index_texts(keyed, embedder, size=size, concurrency=concurrency)
     failed = pieces.where(F.col("error").isNotNull())
     ready = pieces.select("RUN").distinct().join(failed.select("RUN").distinct(), "RUN", "left_anti")

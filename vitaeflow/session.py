@@ -75,11 +75,16 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(size + 16), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
-def broadcast_if_small(df: DataFrame, bound: DataFrame | None = None) -> DataFrame:
-    """Hint a broadcast only when ``df`` measures at most ``BROADCAST_BYTES``.
+def is_small(df: DataFrame) -> bool:
+    return measured_bytes(df) <= BROADCAST_BYTES
 
-    ``bound`` is measured instead where it holds at least what ``df`` holds
-    and is cheaper to read. Beyond the limit the DataFrame comes back unhinted: Catalyst plans a shuffle join
-    and adaptive execution splits its skewed keys.
+
+def lookup_side(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is looked up.
+
+    Broadcast if it measures at most ``BROADCAST_BYTES``. Else it is written
+    down: the join then has a plain shuffle on either side, which is what
+    adaptive execution needs to split the other side's hot keys. An aggregate
+    or join feeding it directly would prevent that.
     """
-    return F.broadcast(df) if measured_bytes(df if bound is None else bound) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if is_small(df) else cut_lineage(df)
