@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vitaeflow.fixed_values import RECORD_KEY
 from vitaeflow.operators import extraction, models
 from vitaeflow.plans import jobs
-from vitaeflow.schema import CANDIDATES, CHUNKS
+from vitaeflow.schema import CANDIDATES, CHUNKS, STORED_DOCUMENTS
 from vitaeflow.sources import files
 from vitaeflow.sources.tables import KeyedTable
 from vitaeflow.streaming.intake import start_intake
@@ -70,11 +70,17 @@ def test_from_files_to_answers(spark, tmp_path):
         ("1-9", 0, "ada/1-"), ("1-9", 1, "9\ncc\n"), ("3-5", 0, "bea/2-"), ("3-5", 1, "7\nhh\n")]
     assert spark.table(staging).count() == 0
 
+    stored = KeyedTable(spark, "files_stored", STORED_DOCUMENTS, "run_norm", 4).create()
+    reviewed = extraction.accepted(records).where("Nombre <> 'bea'")
+    jobs.store_documents(files.document_files(spark, str(tmp_path)), reviewed, stored)
+    assert [(r["run_norm"], bytes(r["content"])) for r in stored.read().collect()] == [("19", b"ada/1-9|cc")]
+
     questions = spark.createDataFrame([("q1", "ccc"), ("q2", "hhh")], "query_id STRING, question STRING")
     echo = models.chat_model(lambda prompts: ["says " + p.split("'")[1].split("\n")[1] for p in prompts])
-    answered, hits = jobs.answer_questions(questions, indexed.read(), letters, echo, k=1)
-    assert rows(answered, "query_id", "answer_text") == [("q1", "says cc\n"), ("q2", "says hh\n")]
-    assert hits.where("error IS NOT NULL").count() == 0
+    for source in (indexed, indexed.read()):
+        answered, hits = jobs.answer_questions(questions, source, letters, echo, k=1, template=("'", "'"))
+        assert rows(answered, "query_id", "answer_text") == [("q1", "says cc\n"), ("q2", "says hh\n")]
+        assert hits.where("error IS NOT NULL").count() == 0
 
 
 def test_second_load_refreshes_only_changed_keys(spark):

@@ -55,6 +55,19 @@ def test_rewrite_touches_only_its_buckets(spark):
     assert len(after - before) == 1 and table.read().count() == 199
 
 
+def test_lookups_read_only_their_buckets(spark):
+    table = keyed(spark, "looked_up", 16).create()
+    table.insert(spark.range(200).select(F.col("id").cast("string").alias("RUN"), F.col("id").cast("int").alias("n")))
+    one = table.rows_of_key("7")
+    assert rows(one, "RUN", "n") == [("7", 7)]
+    near = table.near(spark.createDataFrame([("7",), ("nobody",)], "RUN STRING"))
+    assert near.where("RUN = '7'").count() == 1 and near.count() < 60
+    for found, most in ((one, 1), (near, 2)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "key_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert found.select(F.input_file_name()).distinct().count() <= most
+
+
 def test_same_refresh_twice(spark):
     table = keyed(spark, "twice").create()
     table.insert(spark.createDataFrame([("a", 1), ("b", 2)], "RUN STRING, n INT"))

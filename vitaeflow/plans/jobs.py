@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitaeflow.fixed_values import EXTRACTION_PROMPT, HITS_PER_QUESTION, RECORD_KEY, SOURCE_NAME, SUMMARY_PROMPT
 from vitaeflow.functions.prompts import chat_request, extraction_prompt, summary_prompt
-from vitaeflow.operators import answers, candidates, documents, extraction, models, similarity
+from vitaeflow.operators import answers, candidates, documents, extraction, listing, models, similarity
 from vitaeflow.schema import CHUNKS, STAGING
 from vitaeflow.session import cut_lineage, lookup_side
 from vitaeflow.sources.tables import KeyedTable, append_rows, clear_table
@@ -26,6 +26,17 @@ def read_documents(files: DataFrame, extract: documents.PageExtractor) -> DataFr
     )
 
 
+def store_documents(files: DataFrame, records: DataFrame, stored: KeyedTable) -> None:
+    """Keep the files of ``records`` under their normalised keys, the last one of a key.
+
+    ``stored`` is keyed on ``run_norm``; what it holds for a key is replaced.
+    Records without a usable key store nothing.
+    """
+    keyed = files.join(lookup_side(records.select(SOURCE_NAME, F.col(f"`{RECORD_KEY}`"))), SOURCE_NAME)
+    last = listing.put_documents(keyed, RECORD_KEY, ["modificationTime", "path"])
+    stored.refresh(last, last.select("run_norm"))
+
+
 def extract_records(texts: DataFrame, model: models.ChatModel, fence_only: bool = False,
                     batch_size: int = 16, concurrency: int | None = None,
                     template: str = EXTRACTION_PROMPT) -> DataFrame:
@@ -106,7 +117,7 @@ def load_records(
 
 def answer_questions(
     questions: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | KeyedTable,
     embedder: models.Embedder,
     model: models.ChatModel,
     k: int = HITS_PER_QUESTION,
@@ -117,13 +128,16 @@ def answer_questions(
 ) -> tuple[DataFrame, DataFrame]:
     """Answers ``(query_id, answer_text)`` and the hits behind them.
 
-    A question without hits has no row, as has one whose model calls all
+    From a keyed table the search reads the vectors, and the texts come only
+    from the buckets with hits. A question without hits has no row, as has one whose model calls all
     failed; the hits carry the reasons.
     """
     keys = keys or ["RUN", "chunk_no"]
     asked = cut_lineage(models.embed(questions, embedder, text="question", concurrency=concurrency))
-    hits = cut_lineage(similarity.top_k(asked, chunks, k, keys=keys, per_candidate=per_candidate))
-    return answer_hits(hits, chunks, model, keys, concurrency, template)
+    held = chunks.read() if isinstance(chunks, KeyedTable) else chunks
+    hits = cut_lineage(similarity.top_k(asked, held, k, keys=keys, per_candidate=per_candidate))
+    texts = chunks.near(hits) if isinstance(chunks, KeyedTable) else chunks
+    return answer_hits(hits, texts, model, keys, concurrency, template)
 
 
 def answer_hits(hits: DataFrame, chunks: DataFrame, model: models.ChatModel, keys: list[str],

@@ -306,6 +306,13 @@ ORACLES: dict[str, str] = {
     "doc_put": f"""
   select replace(replace({_key('conv_id')}, '.', ''), '-', '') as run_norm, max(turn) as turn, md5(arg_max(text, turn)) as digest
   from conversations group by conv_id""",
+    "document_store": f"""
+  with conv as (select conv_id, string_agg(text, chr(10) order by turn)||chr(10) as text from conversations group by conv_id),
+  kept as (select coalesce(conv_id, doc_id) as n, case when conv_id is not null then '1-'||conv_id else '0-'||doc_id end||'.pdf' as path,
+      coalesce(c.text, d.text) as text
+    from documents d full outer join conv c on c.conv_id = d.doc_id)
+  select replace(replace({_key('n')}, '.', ''), '-', '') as run_norm, path, cast(strlen(text) as bigint) as length, md5(text) as digest
+  from kept""",
     "stream_intake": f"""
   with pieces as (select "RUN", count(*) as n_chunks, cast(sum(length(text)) as bigint) as n_chars
     from (select digest as "RUN", unnest(list_transform(range(0, length(text), 1000), lambda i: substring(text, cast(i as bigint) + 1, 1000))) as text

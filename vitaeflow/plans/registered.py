@@ -28,7 +28,7 @@ from vitaeflow.operators import (
     similarity,
 )
 from vitaeflow.plans import jobs
-from vitaeflow.schema import CANDIDATES, CHUNKS
+from vitaeflow.schema import CANDIDATES, CHUNKS, STORED_DOCUMENTS
 from vitaeflow.session import configure, new_folder
 from vitaeflow.sources import files, tables
 from vitaeflow.streaming.intake import start_intake
@@ -675,6 +675,25 @@ def doc_put(spark, sf_dir):
     return kept.select("run_norm", "turn", F.md5("content").alias("digest"))
 
 
+@register
+def document_store(spark, sf_dir):
+    """Documents are stored under their number, then conversations that share it replace them."""
+    stored = scratch_table(spark, STORED_DOCUMENTS, "run_norm")
+    batches = [
+        (table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), "text"), 0),
+        (documents.assemble(table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumnRenamed("conv_id", "n"), 1),
+    ]
+    for rows, day in batches:
+        name = F.concat(F.lit(f"{day}-"), F.col("n").cast("string"), F.lit(".pdf"))
+        arrived = rows.select(
+            name.alias("pdf_name"), name.alias("path"), F.timestamp_seconds(F.lit(day)).alias("modificationTime"),
+            F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"),
+        )
+        records = rows.select(name.alias("pdf_name"), national_key(F.col("n")).alias(RECORD_KEY))
+        jobs.store_documents(arrived, records, stored)
+    return stored.read().select("run_norm", "path", "length", F.md5("content").alias("digest"))
+
+
 # --- continuous intake ------------------------------------------------------
 
 

@@ -15,7 +15,9 @@ _S, _I, _L = T.StringType(), T.IntegerType(), T.LongType()
 
 PAGES = _struct(("doc_key", _S), ("page_no", _I), ("text", _S))
 DOCUMENTS = _struct(("doc_key", _S), ("text", _S))
-STORED_DOCUMENTS = _struct(("run_norm", _S), ("path", _S), ("content", T.BinaryType()))
+STORED_DOCUMENTS = _struct(
+    ("run_norm", _S), ("path", _S), ("modificationTime", T.TimestampType()), ("length", _L), ("content", T.BinaryType())
+)
 
 RECORD = _struct(*((name, _S) for name in RECORD_FIELDS))
 CANDIDATES = T.StructType([*RECORD.fields, T.StructField(SOURCE_NAME, _S)])

@@ -64,6 +64,15 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self.spark.table(self.name).drop(_BUCKET)
 
+    def near(self, keys: DataFrame) -> DataFrame:
+        """The rows of the buckets that ``keys`` fall in; other partitions are not read."""
+        return self._rows_in(self._buckets_of(keys))
+
+    def rows_of_key(self, value: object) -> DataFrame:
+        """The rows of one key, from its bucket alone."""
+        bucket = key_bucket(F.lit(value).cast(self.schema[self.key].dataType), self.buckets)
+        return K.rows_of_key(self.spark.table(self.name).where(F.col(_BUCKET) == bucket), value, self.key).drop(_BUCKET)
+
     def insert(self, rows: DataFrame) -> None:
         """Add rows without looking at the ones there are."""
         touched = self._buckets_of(rows)
