@@ -37,7 +37,7 @@ def fixed_chunks(text: Column, size: int | None) -> Column:
     would walk from the start of the text every time.
     """
     if size is None:
-        return F.filter(F.array(text), lambda piece: F.length(piece) > 0)
+        return F.when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
     if size <= 0:
         raise ValueError(f"chunk size must be positive, got {size}")
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))

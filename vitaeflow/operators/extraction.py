@@ -60,22 +60,23 @@ def extract_records(
     names = [f"_kind{i}" for i in range(len(RECORD_FIELDS))]
     staged = (
         # one projection per step, so that no parse is repeated per field
-        replies.withColumn("_json", R.braced(R.clean_reply(F.col(reply), fence_only)))
+        replies.withColumn("_clean", R.clean_reply(F.col(reply), fence_only))
+        .withColumn("_json", R.braced(F.col("_clean")))
         .withColumn("_doc", R.whole_object(F.col("_json")))
         .withColumns({n: R.field_kind(F.col("_doc"), f) for n, f in zip(names, RECORD_FIELDS)})
-        .withColumn("_bad", R.bad_fields(F.array(*names)))
+        .withColumn("_bad", R.bad_fields([F.col(n) for n in names]))
     )
     reason = (
         F.when(F.col(reply).isNull(), "no reply")
         .when(F.col("_json").isNull(), "no JSON object in reply")
         .when(F.col("_doc").isNull(), "invalid JSON")
         .when(~R.is_object(F.col("_doc")), "JSON is not an object")
-        .when(F.size("_bad") > 0, F.concat(F.lit("not text: "), F.array_join("_bad", ", ")))
+        .when(F.col("_bad") != "", F.concat(F.lit("not text: "), F.col("_bad")))
     )
     if earlier_error is not None:
         reason = F.coalesce(earlier_error, reason)
     fields = {f: F.when(F.col("error").isNull(), R.field_text(F.col("_doc"), f)) for f in RECORD_FIELDS}
-    return staged.withColumn("error", reason).withColumns(fields).drop("_json", "_doc", "_bad", *names)
+    return staged.withColumn("error", reason).withColumns(fields).drop("_clean", "_json", "_doc", "_bad", *names)
 
 
 def accepted(records: DataFrame) -> DataFrame:
