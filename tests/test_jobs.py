@@ -130,12 +130,16 @@ def test_stream_twice(spark, tmp_path):
     inbox, checkpoint = tmp_path / "inbox", str(tmp_path / "checkpoint")
     inbox.mkdir()
     held, indexed, staging = stores(spark, "stream")
-    kept = []
+    kept, adaptive = [], []
+
+    def note(batch, _):
+        kept.extend(rows(batch, "pdf_name", "error"))
+        adaptive.append(batch.sparkSession.conf.get("spark.sql.adaptive.enabled"))
 
     def run():
         stream = jobs.read_documents(files.document_file_stream(spark, str(inbox)), extract_pages)
         query = start_intake(stream, checkpoint, reader_model(), letters, held, indexed, staging,
-                             rejects=lambda batch, _: kept.extend(rows(batch, "pdf_name", "error")))
+                             rejects=note)
         query.awaitTermination()
         return rows(held.read(), RECORD_KEY, "Nombre"), rows(indexed.read(), "RUN", "text")
 
@@ -144,6 +148,7 @@ def test_stream_twice(spark, tmp_path):
     assert first == ([("1-9", "ada")], [("1-9", "ada/1-9\n")])
     assert sorted(kept) == [("three.pdf", "no usable key"), ("two.pdf", "no JSON object in reply")]
     assert run() == first and len(kept) == 2
+    assert adaptive == ["true"]
     write(inbox, four="ada maria/1-9|b", five="leo/5-1")
     assert run() == ([("1-9", "ada maria"), ("5-1", "leo")], [("1-9", "ada maria/1-9\nb\n"), ("5-1", "leo/5-1\n")])
 

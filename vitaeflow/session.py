@@ -43,15 +43,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from the copy.
+def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder once and go on from the copy, in ``spark`` if given.
 
     Used after model calls, so that neither a lost executor nor a second use
     repeats them. A parquet copy keeps column pruning and gives Catalyst sizes.
     """
     folder = new_folder(df.sparkSession, "copy")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return (spark or df.sparkSession).read.schema(df.schema).parquet(folder)
 
 
 def measured_bytes(df: DataFrame) -> int:

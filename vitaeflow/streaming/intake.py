@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vitaeflow.operators import extraction, models
 from vitaeflow.plans import jobs
+from vitaeflow.session import cut_lineage
 from vitaeflow.sources.tables import KeyedTable
 
 
@@ -34,13 +35,15 @@ def start_intake(
     rejected records. ``checkpoint`` belongs on the folder all executors share.
     """
 
+    spark = texts.sparkSession
+
     def load(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        held = jobs.cut_lineage(batch)
+        # A batch's own session runs without adaptive execution. From its copy
+        # on, the load runs in the outer session, which splits hot keys.
+        held = cut_lineage(batch, spark)
         records = jobs.extract_records(held, model, concurrency=concurrency)
-        into = [KeyedTable(spark, t.name, t.schema, t.key, t.buckets) for t in (candidates_table, chunks_table)]
-        result = jobs.load_records(extraction.accepted(records), held, *into, staging, embedder, size=size,
-                                   concurrency=concurrency)
+        result = jobs.load_records(extraction.accepted(records), held, candidates_table, chunks_table, staging,
+                                   embedder, size=size, concurrency=concurrency)
         if rejects is not None:
             unkeyed = result.invalid.withColumn("error", F.lit("no usable key"))
             rejects(extraction.rejected(records).unionByName(unkeyed), batch_id)
