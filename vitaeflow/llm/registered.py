@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm import quality_rules
+from vitaeflow.llm import quality_rules, secret_scan, sharding
 from vitaeflow.llm.common import table
 from vitaeflow.session import configure
 
@@ -80,3 +80,27 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
             WHEN failures & 3 = 0 THEN 'base-1' ELSE '' END AS kept_by
 FROM f
 """
+
+
+@register
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets as spans, with counts and a digest of the base kinds."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    shown = F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.start, s.end))
+    base = [rule.kind for rule in secret_scan.BASE]
+    basic = F.transform(F.filter("spans", lambda s: s.kind.isin(base)), lambda s: F.concat_ws(":", s.kind, s.start, s.end))
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter("spans", lambda s, k=kind: s.kind == k)).cast("bigint").alias(f"n_{kind}") for kind in base),
+        F.sha2(F.array_join(basic, ","), 256).alias("base_sha256"),
+        F.array_join(shown, ",").alias("spans"),
+    )
+
+
+@register
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot; shards have near equal bytes."""
+    return sharding.assign(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
