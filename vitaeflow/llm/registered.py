@@ -1,8 +1,9 @@
 """One query per operator, over its whole table with production parameters, and its SQL where SQL can express it."""
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaeflow.llm import quality_rules, secret_scan, sharding
@@ -82,6 +83,10 @@ FROM f
 """
 
 
+def _is_kind(kind: str, span: Column) -> Column:
+    return span.kind == kind
+
+
 @register
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets as spans, with counts and a digest of the base kinds."""
@@ -91,7 +96,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     basic = F.transform(F.filter("spans", lambda s: s.kind.isin(base)), lambda s: F.concat_ws(":", s.kind, s.start, s.end))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda s, k=kind: s.kind == k)).cast("bigint").alias(f"n_{kind}") for kind in base),
+        *(F.size(F.filter("spans", partial(_is_kind, kind))).cast("bigint").alias(f"n_{kind}") for kind in base),
         F.sha2(F.array_join(basic, ","), 256).alias("base_sha256"),
         F.array_join(shown, ",").alias("spans"),
     )
