@@ -6,7 +6,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm import chat_format, quality_rules, secret_scan, sharding
+from vitaeflow.llm import chat_format, positional_index, quality_rules, secret_scan, sharding
 from vitaeflow.llm.common import table
 from vitaeflow.session import configure
 
@@ -25,6 +25,50 @@ def register(query: Query) -> Query:
     return query
 
 
+@register
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words hit by windows of the benchmark, and the items they come from."""
+    index = positional_index.build(table(spark, sf_dir, "documents"))
+    found = positional_index.judge(positional_index.search(index, table(spark, sf_dir, "benchmark")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+LLM_ORACLES["op1_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(ws[i : i + size - 1], ' ') AS w
+  FROM (SELECT item, ws, least(13, len(ws)) AS size, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), runs AS (
+  SELECT r, size, i, array_to_string(ws[i : i + size - 1], ' ') AS w
+  FROM (SELECT r, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes WHERE len(ws) >= size)
+), found AS (
+  SELECT r, i, size, item FROM runs JOIN windows USING (size, w)
+), hits AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT r, i, size FROM found)) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
+
 @register
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measurements, failure bits and verdict under the production policy."""
