@@ -6,7 +6,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm import chat_format, positional_index, quality_rules, secret_scan, sharding
+from vitaeflow.llm import chat_format, minhash_join, positional_index, quality_rules, secret_scan, sharding
 from vitaeflow.llm.common import table
 from vitaeflow.session import configure
 
@@ -158,6 +158,37 @@ FROM e GROUP BY conv_id
 """
 
 
+@register
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near duplicates and whether it is the one that stays."""
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+LLM_ORACLES["op5_minhash_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS met FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * met >= 85 * (na.n + nb.n - met)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def _is_kind(kind: str, span: Column) -> Column:
     return span.kind == kind
 
