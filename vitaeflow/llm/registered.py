@@ -6,7 +6,15 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm import chat_format, minhash_join, positional_index, quality_rules, secret_scan, sharding
+from vitaeflow.llm import (
+    chat_format,
+    minhash_join,
+    piece_lattice,
+    positional_index,
+    quality_rules,
+    secret_scan,
+    sharding,
+)
 from vitaeflow.llm.common import table
 from vitaeflow.session import configure
 
@@ -215,3 +223,23 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def piece_model() -> str:
+    """The vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best ids, its N best segmentations as edits, and whether decoding gives the text back."""
+    shared = piece_lattice.shared_pieces(spark, piece_model())
+    rows = piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), shared)
+    rows = rows.select("doc_id", "text", "encoded.*")
+    back = piece_lattice.decode(rows, shared, "ids", "back")
+    return back.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"), "ids", "nbest",
+        F.col("back").eqNullSafe(F.col("text")).alias("decodes"),
+    )
