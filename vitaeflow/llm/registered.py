@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from vitaeflow.llm import (
     chat_format,
+    html_extraction,
+    language_id,
     minhash_join,
     piece_lattice,
     positional_index,
+    quality_classifier,
     quality_rules,
     secret_scan,
     sharding,
@@ -77,6 +80,13 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
 
+@register
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.train(pages))
+
+
 @register
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measurements, failure bits and verdict under the production policy."""
@@ -197,6 +207,25 @@ FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+@register
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.held_out(5, 0)
+    found = language_id.identify(docs, language_id.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.held_out(3, 1)
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = quality_classifier.classify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def _is_kind(kind: str, span: Column) -> Column:
     return span.kind == kind
 
