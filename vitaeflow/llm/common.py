@@ -1,6 +1,7 @@
 """What the operators share: column functions over Arrow arrays, words, written copies."""
 
 from collections.abc import Callable, Iterator
+from dataclasses import fields
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,11 @@ def write_down(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def parts(record) -> tuple:
+    """A data class's values, to broadcast: broadcasts are pickled plainly, which needs importable classes."""
+    return tuple(getattr(record, field.name) for field in fields(record))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import array_function, utf8
+from vitaeflow.llm.common import array_function, parts, utf8
 from vitaeflow.llm.dom import BIT, FEATURES, Page, read_page
 
 #: Pages that are learned from, and their greatest length in characters.
@@ -208,7 +208,7 @@ def chances(pages: list[Page], model: Model) -> list[list[tuple[str, float]]]:
 
 def _extract(shared):
     def make():
-        model = shared.value
+        model = Model(*shared.value)
 
         def work(sources: pa.Array) -> pa.Array:
             texts, counts, waiting, nodes = [], [], [], 0
@@ -235,7 +235,7 @@ def _extract(shared):
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
     """``page_id, url, text, n_chars, n_blocks`` of every page; no shuffle."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast(parts(model))
     rows = pages.select("page_id", "url", _extract(shared)(utf8("html")).alias("x"))
     return rows.select("page_id", "url", F.col("x.text").alias("text"), F.length("x.text").cast("bigint").alias("n_chars"),
                        F.col("x.blocks").alias("n_blocks"))

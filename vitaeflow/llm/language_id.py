@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import array_function, utf8
+from vitaeflow.llm.common import array_function, parts, utf8
 from vitaeflow.llm.svm import train_svm
 
 #: Documents of each language that are learned from, and languages at most, the most frequent first.
@@ -161,7 +161,7 @@ def train(docs: DataFrame, learn_from: Column) -> Model:
 
 def _predict(shared):
     def make():
-        model = shared.value
+        model = Model(*shared.value)
 
         def work(texts: pa.Array) -> pa.Array:
             rows = [model.predict(data) for data in texts.to_pylist()]
@@ -175,6 +175,6 @@ def _predict(shared):
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row, from ``text`` alone; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(parts(model))
     return docs.select("doc_id", _predict(shared)(utf8("text")).alias("p")).select(
         "doc_id", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import array_function, utf8
+from vitaeflow.llm.common import array_function, parts, utf8
 
 #: Segmentations for each text.
 N_BEST = 4
@@ -314,7 +314,7 @@ _NBEST = pa.list_(pa.struct([("score", pa.float64()), ("edits", _EDITS)]))
 
 def _encode(shared, n: int):
     def make():
-        encoder = Encoder(shared.value, n)
+        encoder = Encoder(Pieces(*shared.value), n)
 
         def work(texts: pa.Array) -> pa.Array:
             ids, choices = [], []
@@ -336,7 +336,7 @@ def _encode(shared, n: int):
 
 def _decode(shared):
     def make():
-        texts = shared.value.texts
+        texts = Pieces(*shared.value).texts
 
         def work(lists: pa.Array) -> pa.Array:
             made = []
@@ -355,12 +355,12 @@ def _decode(shared):
 
 def shared_pieces(spark: SparkSession, path: str, scores: str = "zipf"):
     """The vocabulary as a broadcast; some MB, bounded by the file."""
-    return spark.sparkContext.broadcast(load_pieces(path, scores))
+    return spark.sparkContext.broadcast(parts(load_pieces(path, scores)))
 
 
-def encode(docs: DataFrame, shared, n: int = N_BEST) -> DataFrame:
-    """``docs`` with ``encoded``: the best ``ids``, and ``nbest`` as scores and edits of them; no shuffle."""
-    return docs.withColumn("encoded", _encode(shared, n)(utf8("text")))
+def encode(docs: DataFrame, shared, n: int = N_BEST, name: str = "encoded") -> DataFrame:
+    """``docs`` with the struct ``name``: the best ``ids``, and ``nbest`` as scores and edits of them; no shuffle."""
+    return docs.withColumn(name, _encode(shared, n)(utf8("text")))
 
 
 def decode(rows: DataFrame, shared, ids: str = "ids", text: str = "text") -> DataFrame:

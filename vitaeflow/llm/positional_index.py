@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import Numbering, free_name, utf8
+from vitaeflow.llm.common import Numbering, free_name, parts, utf8
 from vitaeflow.session import new_folder
 
 #: Words of a block, unless one document has more.
@@ -210,10 +210,10 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _search(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(queries)
+    shared = index.sparkSession.sparkContext.broadcast(parts(queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
+        asked = Queries(*shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 cell = {name: batch.column(name)[i] for name in ("block", "doc_ids", "ends", "terms", "counts", "gaps")}

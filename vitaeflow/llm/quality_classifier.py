@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import array_function, utf8
+from vitaeflow.llm.common import array_function, parts, utf8
 
 PER_CLASS = 1000
 #: Rows of the table, numbers in a vector, lengths of n-grams.
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model:
 
 def _score(shared):
     def make():
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         return lambda texts: pa.array(scorer.scores(texts.to_pylist()), pa.float64())
 
     return array_function(make, "double")
@@ -194,6 +194,6 @@ def _score(shared):
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, predicted`` of every row, from ``text`` alone; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(parts(model))
     return docs.select("doc_id", _score(shared)(utf8("text")).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
