@@ -44,14 +44,17 @@ from vitaeflow.llm.common import array_function, parts, utf8
 N_BEST = 4
 #: Words of a task that are remembered, and their characters; beyond either, all are forgotten.
 _REMEMBERED, _HELD = 400_000, 16_000_000
+#: Characters of texts that are encoded together.
+_GROUP = 2_000_000
 _SPACE = "▁"
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """``table`` has every piece with its score and id, and every beginning of a piece with id -1."""
+    """``tree`` has the pieces by character, from the last to the first: each node is its own branches, the
+    score and id of the piece that begins there, and id -1 if none does."""
 
-    table: dict[str, tuple[float, int]]
+    tree: dict[str, tuple]
     byte_ids: tuple[int, ...]
     unknown: float
     texts: tuple[bytes, ...]
@@ -86,37 +89,42 @@ def load_pieces(path: str, scores: str = "zipf") -> Pieces:
         raise ValueError("the vocabulary needs a piece for every byte")
     order = sorted(found, key=lambda text: (-found[text][1], found[text][0]))
     value = {t: _zipf(rank, size) for rank, t in enumerate(order)} if scores == "zipf" else {t: found[t][1] for t in found}
-    table = {t: (value[t], i) for t, (i, _) in found.items()}
-    for text in found:
-        for k in range(1, len(text)):
-            table.setdefault(text[:k], (0.0, -1))
-    return Pieces(table, tuple(byte_ids), min(value.values()) - 10.0, tuple(texts))
+    tree = piece_tree({t: (value[t], i) for t, (i, _) in found.items()})
+    return Pieces(tree, tuple(byte_ids), min(value.values()) - 10.0, tuple(texts))
+
+
+def piece_tree(pieces: dict[str, tuple[float, int]]) -> dict[str, tuple]:
+    """The tree of pieces given by text, with score and id."""
+    top: dict[str, tuple] = {}
+    for text in sorted(pieces, key=len):  # a piece comes before those that it ends
+        branches = top
+        for character in text[:0:-1]:
+            branches = branches.setdefault(character, ({}, 0.0, -1))[0]
+        branches[text[0]] = ({}, *pieces[text])
+    return top
 
 
 # --- one lattice ---------------------------------------------------------------
 
 
-def lattice(pieces: Pieces, text: str) -> tuple[list[tuple[int, int, float, int]], list[float]]:
-    """Edges ``(start, end, score, id)`` by start, and the forward Viterbi score of every position."""
-    table, n = pieces.table, len(text)
-    edges: list[tuple[int, int, float, int]] = []
-    best = [0.0] + [-math.inf] * n
-    for i in range(n):
-        here, single = best[i], False
-        for j in range(i + 1, n + 1):
-            entry = table.get(text[i:j])
-            if entry is None:
+def lattice(pieces: Pieces, text: str) -> tuple[list[list[tuple[int, int, float, int]]], list[float]]:
+    """Edges ``(start, end, score, id)`` by their end, and the forward Viterbi score of every position."""
+    ending: list[list[tuple[int, int, float, int]]] = [[]]
+    best = [0.0]
+    for j in range(1, len(text) + 1):
+        edges, branches = [], pieces.tree
+        for i in range(j - 1, -1, -1):
+            node = branches.get(text[i])
+            if node is None:
                 break
-            score, number = entry
+            branches, score, number = node
             if number >= 0:
-                single = single or j == i + 1
                 edges.append((i, j, score, number))
-                if here + score > best[j]:
-                    best[j] = here + score
-        if not single:  # the character's bytes, as one edge
-            edges.append((i, i + 1, pieces.unknown, -1))
-            best[i + 1] = max(best[i + 1], here + pieces.unknown)
-    return edges, best
+        if not edges or edges[0][0] < j - 1:  # the character's bytes, as one edge
+            edges.append((j - 1, j, pieces.unknown, -1))
+        ending.append(edges)
+        best.append(max(best[i] + score for i, _, score, _ in edges))
+    return ending, best
 
 
 def _ids(pieces: Pieces, text: str, path: list[tuple[int, int, float, int]]) -> list[int]:
@@ -137,10 +145,7 @@ def nbest(pieces: Pieces, text: str, n: int) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations by backward A* search, best first; fewer if there are fewer."""
     if not text:
         return [(0.0, [])]
-    edges, best = lattice(pieces, text)
-    ending: list[list] = [[] for _ in range(len(text) + 1)]
-    for edge in edges:
-        ending[edge[1]].append(edge)
+    ending, best = lattice(pieces, text)
     tie = count()
     # (-score of the best completion, tie, position, score from there to the end, edges from there on)
     heap = [(-best[-1], next(tie), len(text), 0.0, None)]
@@ -160,47 +165,58 @@ def nbest(pieces: Pieces, text: str, n: int) -> list[tuple[float, list[int]]]:
     return found
 
 
-def first_choice(pieces: Pieces, text: str) -> tuple[float, float, list[int]]:
-    """Score and ids of the best segmentation, and how much the second best costs more.
+def first_choices(pieces: Pieces, words: list[str]):
+    """For each of the sorted words: score and ids of the best segmentation, and how much the second best costs more.
 
-    One forward pass that keeps the two best scores of every position and the best one's last edge.
+    One forward pass keeps the two best scores of every position and the best one's last edge. What a
+    word has in common with the one before it is not done again.
     """
-    find, n = pieces.table.get, len(text)
-    best, second = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
-    origin, last = [0] * (n + 1), [-1] * (n + 1)
-    for i in range(n):
-        one, two, single = best[i], second[i], False
-        for j in range(i + 1, n + 1):
-            entry = find(text[i:j])
-            if entry is None:
+    tree, unknown, before = pieces.tree, pieces.unknown, ""
+    best, second, origin, last = [0.0], [-math.inf], [0], [-1]
+    for word in words:
+        n, k = len(word), 0
+        for a, b in zip(before, word):
+            if a != b:
                 break
-            score, number = entry
-            if number < 0:
-                continue
-            single = single or j == i + 1
-            score += one
-            if score > best[j]:
-                after = score - one + two
-                second[j] = best[j] if best[j] > after else after
-                best[j], origin[j], last[j] = score, i, number
-            elif score > second[j]:
-                second[j] = score
-        if not single:
-            j, score = i + 1, one + pieces.unknown
-            if score > best[j]:
-                second[j] = max(best[j], two + pieces.unknown)
-                best[j], origin[j], last[j] = score, i, -1
-            elif score > second[j]:
-                second[j] = score
-    ids, at = [], n
-    while at:
-        if last[at] >= 0:
-            ids.append(last[at])
-        else:
-            ids += _bytes(pieces, text[origin[at] : at])[::-1]
-        at = origin[at]
-    ids.reverse()
-    return best[n], best[n] - second[n], ids
+            k += 1
+        del best[k + 1 :], second[k + 1 :], origin[k + 1 :], last[k + 1 :]
+        for j in range(k + 1, n + 1):
+            top, after, start, chosen, branches = -math.inf, -math.inf, j - 1, -1, tree
+            single = False
+            for i in range(j - 1, -1, -1):
+                node = branches.get(word[i])
+                if node is None:
+                    break
+                branches, score, number = node
+                if number >= 0:
+                    single = single or i == j - 1
+                    score += best[i]
+                    if score > top:
+                        other = score - best[i] + second[i]
+                        after = top if top > other else other
+                        top, start, chosen = score, i, number
+                    elif score > after:
+                        after = score
+            if not single:
+                score = best[j - 1] + unknown
+                if score > top:
+                    after = max(top, second[j - 1] + unknown)
+                    top, start, chosen = score, j - 1, -1
+                elif score > after:
+                    after = score
+            best.append(top)
+            second.append(after)
+            origin.append(start)
+            last.append(chosen)
+        before, ids, at = word, [], n
+        while at:
+            if last[at] >= 0:
+                ids.append(last[at])
+            else:
+                ids += _bytes(pieces, word[origin[at] : at])[::-1]
+            at = origin[at]
+        ids.reverse()
+        yield best[n], best[n] - second[n], ids
 
 
 # --- whole texts -----------------------------------------------------------------
@@ -208,13 +224,25 @@ def first_choice(pieces: Pieces, text: str) -> tuple[float, float, list[int]]:
 _WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
+def _stands_alone(tree: dict[str, tuple], character: str) -> bool:
+    """Whether no longer piece has the character."""
+    if tree.get(character, ({},))[0]:
+        return False
+    todo = [node[0] for node in tree.values()]
+    while todo:
+        branches = todo.pop()
+        if character in branches:
+            return False
+        todo += [node[0] for node in branches.values()]
+    return True
+
+
 class Encoder:
     """Encodes texts, remembering words. ``words`` splits only where no piece goes across."""
 
     def __init__(self, pieces: Pieces, n: int = N_BEST):
         self.pieces, self.n = pieces, n
-        across = any("\n" in text and len(text) > 1 for text in pieces.table)
-        self.words = re.compile(r" +[^ ]*|[^ ]+") if across else _WORD
+        self.words = _WORD if _stands_alone(pieces.tree, "\n") else re.compile(r" +[^ ]*|[^ ]+")
         self.forget()
 
     def forget(self) -> None:
@@ -228,9 +256,8 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         while len(self.number) + len(words) > self.facts.shape[1]:
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)], axis=1)
-        facts, before = [], len(self.number)
-        for number, word in enumerate(words, before):
-            score, extra, ids = first_choice(self.pieces, word)
+        facts, before, order = [], len(self.number), sorted(words)
+        for number, (word, (score, extra, ids)) in enumerate(zip(order, first_choices(self.pieces, order)), before):
             facts.append((score, extra, len(ids)))
             self.number[word] = number
             self.encoded[word] = array("i", ids).tobytes()
@@ -238,14 +265,29 @@ class Encoder:
         if facts:
             self.facts[:, before : before + len(facts)] = np.array(facts).T
 
+    def encode_all(self, texts: list[str | None]):
+        """``encode`` for every text, in order; the new words of texts that follow each other are learned together."""
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and (not group or size < _GROUP):
+                text = texts[at]
+                group.append(self.words.findall(" " + text) if text else None if text is None else [])
+                size += len(text or "")
+                at += 1
+            if len(self.number) >= _REMEMBERED or self.held >= _HELD or len(self.lists) >= _REMEMBERED // 4:
+                self.forget()
+            self.learn(set().union(*(words for words in group if words)).difference(self.number))
+            for words in group:
+                yield (b"", []) if words is None else self._encoded(words)
+
     def encode(self, text: str) -> tuple[bytes, list[dict]]:
         """The best ids as 32-bit numbers, and the N best as edits of them."""
-        if not text:
+        return next(iter(self.encode_all([text])))
+
+    def _encoded(self, words: list[str]) -> tuple[bytes, list[dict]]:
+        if not words:
             return b"", [{"score": 0.0, "edits": []}]
-        words = self.words.findall(" " + text)
-        if len(self.number) >= _REMEMBERED or self.held >= _HELD or len(self.lists) >= _REMEMBERED // 4:
-            self.forget()
-        self.learn(set(words).difference(self.number))
         number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         ids = b"".join(map(self.encoded.__getitem__, words))
         score, extra, length = self.facts[:, number]
@@ -318,8 +360,7 @@ def _encode(shared, n: int):
 
         def work(texts: pa.Array) -> pa.Array:
             ids, choices = [], []
-            for data in texts.to_pylist():
-                made, best = encoder.encode(data.decode()) if data is not None else (b"", [])
+            for made, best in encoder.encode_all([data if data is None else data.decode() for data in texts.to_pylist()]):
                 ids.append(made)
                 choices.append(best)
             # texts that are null get a null list
