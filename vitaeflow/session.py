@@ -31,11 +31,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it.
 
-    ``spark.checkpoint.dir`` decides. Only where it is unset (a test session)
-    a temporary folder takes its place.
+    ``spark.checkpoint.dir`` decides. Where it is unset, a cluster takes a folder of the warehouse,
+    which all executors see too; a local session, whose executors are this machine, a temporary one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or tempfile.mkdtemp(prefix="vitaeflow-")).rstrip("/")
+    if not folder:
+        master = spark.sparkContext.master
+        if master == "local" or master.startswith("local["):
+            folder = tempfile.mkdtemp(prefix="vitaeflow-")
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_vitaeflow"
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
