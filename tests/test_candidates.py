@@ -111,7 +111,7 @@ def test_hot_keys_are_split(spark, monkeypatch, join):
             "anti": lambda: K.without_keys(made, keys),
             "refresh": lambda: K.refresh(made, made, keys),
             "listing": lambda: listing.candidate_listing(
-                made, keys.select(F.col("RUN").alias("run_norm"), F.encode("RUN", "utf-8").alias("content")), "RUN"),
+                made, keys.select(F.col("RUN").alias("run_norm"), F.encode("RUN", "utf-8").alias("content")), "RUN", "data_uri"),
         }[join]()
         rows = result.toArrow().num_rows
         assert rows == {"semi": 100_666, "anti": 199_334, "refresh": 300_000, "listing": 300_000}[join]

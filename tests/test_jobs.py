@@ -62,7 +62,8 @@ def test_from_files_to_answers(spark, tmp_path):
     assert records.where("pdf_name = 'three.pdf'").first()["raw"] == "sin datos"
 
     held, indexed, staging = stores(spark, "files")
-    fixes = spark.createDataFrame([("two.pdf", "3-5")], ["pdf_name", RECORD_KEY])
+    two = records.where("pdf_name = 'two.pdf'").first()["path"]
+    fixes = spark.createDataFrame([(two, "3-5")], ["path", RECORD_KEY])
     done = jobs.load_records(extraction.accepted(records), texts, held, indexed, staging, letters, corrections=fixes, size=6)
     assert rows(done.changes, "RUN", "action") == [("1-9", "NEW"), ("3-5", "NEW")]
     assert rows(done.invalid, "pdf_name") == [("six.pdf",)]
@@ -126,6 +127,92 @@ def test_failed_embedding_keeps_the_old_rows(spark):
     assert rows(indexed.read(), "RUN", "text") == [("1", "aa")]
 
 
+def reviewed(spark, *people):
+    """Records and texts of ``(name, key, path, pdf_name, text)``."""
+    made = spark.createDataFrame(list(people), ["Nombre", RECORD_KEY, "path", "pdf_name", "text"])
+    records = made.select(*[F.col(f"`{f.name}`") if f.name in made.columns else F.lit("-").alias(f.name) for f in CANDIDATES.fields],
+                          F.current_timestamp().alias("ingest_ts"), "path")
+    return records, made.select("path", "pdf_name", "text")
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder, text in (("x", "ana/1-9|aa"), ("y", "benito/2-7|bb")):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder, cv=text)
+    inbox = files.document_files(spark, str(tmp_path))
+    texts = jobs.read_documents(inbox, extract_pages)
+    records = jobs.extract_records(texts, reader_model())
+    held, indexed, staging = stores(spark, "one_name")
+    fixes = spark.createDataFrame([(records.where("Nombre = 'ana'").first()["path"], "Santiago")], "path STRING, Ciudad STRING")
+    jobs.load_records(extraction.accepted(records), texts, held, indexed, staging, letters, corrections=fixes)
+    assert rows(indexed.read(), "RUN", "chunk_no", "text") == [("1-9", 0, "ana/1-9\naa\n"), ("2-7", 0, "benito/2-7\nbb\n")]
+    assert rows(held.read(), "Nombre", "Ciudad") == [("ana", "Santiago"), ("benito", "No especificado")]
+    stored = KeyedTable(spark, "one_name_stored", STORED_DOCUMENTS, "run_norm", 4).create()
+    jobs.store_documents(inbox, records, stored)
+    assert sorted((r["run_norm"], bytes(r["content"])) for r in stored.read().collect()) == [("19", b"ana/1-9|aa"), ("27", b"benito/2-7|bb")]
+
+
+def test_a_load_leaves_rows_of_another_alone(spark):
+    held, indexed, staging = stores(spark, "apart")
+    load = lambda *people: jobs.load_records(*reviewed(spark, *people), held, indexed, staging, letters)
+    load(("old", "1", "p1", "n", "old"))
+    dead, _ = reviewed(spark, ("dead", "1", "p9", "n", "new"))
+    from vitaeflow.schema import STAGING
+    from vitaeflow.sources import tables
+
+    tables.stage_rows(dead.select(*[F.col(f"`{f.name}`") for f in STAGING.fields]), staging)
+    done = load(("b", "2", "p2", "n", "bb"))
+    assert rows(done.changes, "RUN") == [("2",)]
+    assert rows(held.read(), RECORD_KEY, "Nombre") == [("1", "old"), ("2", "b")] and spark.table(staging).count() == 1
+
+
+def test_an_emptied_document_loses_its_chunks(spark):
+    held, indexed, staging = stores(spark, "emptied")
+    load = lambda *people: jobs.load_records(*reviewed(spark, *people), held, indexed, staging, letters)
+    load(("a", "1", "p1", "n", "aa"), ("b", "2", "p2", "n", "bb"), ("c", "3", "p3", "n", "cc"))
+    load(("a2", "1", "p4", "n", ""), ("b2", "2", "p5", "n", None))
+    assert rows(indexed.read(), "RUN", "text") == [("2", "bb"), ("3", "cc")]  # a missing text is not an empty one
+
+
+def test_refused_questions_come_back(spark):
+    def embedder(texts):
+        if any("no" in t for t in texts):
+            raise RuntimeError("refused")
+        return letters(texts)
+
+    held = jobs.index_texts(spark.createDataFrame([("1", "aa"), ("2", "bad a")], "RUN STRING, text STRING"), letters)
+
+    def summing(payloads):
+        if any("bad" in p for p in payloads):
+            raise RuntimeError("no summary")
+        return models.chat_model(lambda prompts: ["sum"] * len(prompts))(payloads)
+
+    questions = spark.createDataFrame([("q1", "a"), ("q2", "no")], "query_id STRING, question STRING")
+    answered, hits = jobs.answer_questions(questions, held, embedder, summing)
+    assert rows(answered, "query_id", "answer_text", "failed_hits") == [("q1", "sum\n", 1)]
+    lost = {(r["query_id"], r["RUN"]): r["error"] for r in hits.where("error IS NOT NULL").collect()}
+    assert lost == {("q1", "2"): "model call failed: no summary", ("q2", None): "model call failed: refused"}
+
+
+def test_stream_rejects_have_failed_chunks(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    held, indexed, staging = stores(spark, "lost")
+
+    def embedder(texts):
+        if any("boom" in t for t in texts):
+            raise RuntimeError("refused")
+        return letters(texts)
+
+    write(inbox, one="ada/1-9|boom", two="eva/2-7")
+    kept = []
+    stream = jobs.read_documents(files.document_file_stream(spark, str(inbox)), extract_pages)
+    start_intake(stream, str(tmp_path / "checkpoint"), reader_model(), embedder, held, indexed, staging,
+                 lambda batch, _: kept.extend(rows(batch, RECORD_KEY, "error"))).awaitTermination()
+    assert kept == [("1-9", "chunks not embedded: model call failed: refused")]
+    assert rows(indexed.read(), "RUN") == [("2-7",)] and held.read().count() == 2
+
+
 def test_stream_twice(spark, tmp_path):
     inbox, checkpoint = tmp_path / "inbox", str(tmp_path / "checkpoint")
     inbox.mkdir()

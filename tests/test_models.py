@@ -40,9 +40,27 @@ def test_batches_and_single_use(spark):
     assert texts.value % 100 == 0 and calls.value == 4 * (texts.value // 100)
 
 
-def test_concurrency_limits_tasks(spark):
-    rows = spark.range(100).select(F.col("id").cast("string").alias("text"))
-    assert M.embed(rows, lambda b: [[1.0]] * len(b), concurrency=3).rdd.getNumPartitions() == 3
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "TASK_CALLS", 2)
+    for n, tasks in ((50, 3), (1000, 50)):
+        rows = spark.range(n).select(F.col("id").cast("string").alias("text"))
+        assert M.embed(rows, lambda b: [[1.0]] * len(b), batch_size=10, concurrency=3).rdd.getNumPartitions() == tasks
+
+
+def test_a_call_is_tried_again(spark):
+    calls = spark.sparkContext.accumulator(0)
+    state = []
+
+    def embedder(texts):
+        calls.add(1)
+        state.append(1)
+        if len(state) == 1:
+            raise RuntimeError("busy")
+        return [[1.0]] * len(texts)
+
+    rows = spark.range(20).select(F.col("id").cast("string").alias("text")).coalesce(1)
+    assert M.embed(rows, embedder, batch_size=20).where("error IS NULL").count() == 20
+    assert calls.value == 2
 
 
 def test_request_shape(spark):

@@ -1,5 +1,6 @@
 import base64
 
+import pytest
 from pyspark.sql import functions as F
 
 from vitaeflow.operators import conversation, listing
@@ -55,6 +56,63 @@ def test_rewrite_touches_only_its_buckets(spark):
     assert len(after - before) == 1 and table.read().count() == 199
 
 
+def numbers(spark, low, high):
+    return spark.range(low, high).select(F.col("id").cast("string").alias("RUN"), F.col("id").cast("int").alias("n"))
+
+
+def files_of(table):
+    return {r[0] for r in table.read().select(F.input_file_name()).distinct().collect()}
+
+
+def test_new_keys_are_appended(spark):
+    schema = spark.createDataFrame([], "RUN STRING, n INT, pdf_name STRING").schema
+    table = tables.KeyedTable(spark, "appended", schema, "RUN", 8).create()
+    table.insert(numbers(spark, 0, 200).withColumn("pdf_name", F.lit("f")))
+    before = files_of(table)
+    table.insert(numbers(spark, 200, 240).withColumn("pdf_name", F.lit("f")))
+    assert before < files_of(table) and table.read().count() == 240
+    before = files_of(table)
+    changed = table.merge(numbers(spark, 300, 310).withColumns({"pdf_name": F.lit("g"), "ingest_ts": F.current_timestamp()}))
+    assert changed.where("action = 'NEW'").count() == 10
+    assert before < files_of(table) and table.read().count() == 250
+    table.refresh(numbers(spark, 5, 6).withColumn("pdf_name", F.lit("h")), numbers(spark, 5, 6))
+    assert rows(table.read().where("RUN = '5'"), "n", "pdf_name") == [(5, "h")] and table.read().count() == 250
+    folder = table._location()
+    old = len(list_files(spark, folder))
+    table.remove_old()
+    assert len(list_files(spark, folder)) < old and table.read().count() == 250
+    table.drop()
+    assert list_files(spark, folder) == []
+
+
+def list_files(spark, folder):
+    import glob
+
+    return glob.glob(folder.removeprefix("file:") + "/**/*.parquet", recursive=True)
+
+
+def test_another_bucket_count_is_refused(spark):
+    table = keyed(spark, "counted", 4).create()
+    table.insert(numbers(spark, 0, 9))
+    with pytest.raises(ValueError):
+        keyed(spark, "counted", 64)
+    with pytest.raises(ValueError):
+        tables.KeyedTable(spark, "counted", table.schema, "n")
+    again = tables.KeyedTable(spark, "counted", table.schema, "RUN")
+    again.delete(numbers(spark, 3, 5))
+    assert again.buckets == 4 and again.rows_of_key("7").count() == 1 and again.read().count() == 7
+
+
+def test_scratch_files_are_not_the_tables(spark):
+    import shutil
+
+    table = keyed(spark, "own_files").create()
+    table.insert(numbers(spark, 0, 9))
+    table.delete(numbers(spark, 3, 5))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert all(not f.removeprefix("file:").startswith(shared) for f in files_of(table))
+
+
 def test_lookups_read_only_their_buckets(spark):
     table = keyed(spark, "looked_up", 16).create()
     table.insert(spark.range(200).select(F.col("id").cast("string").alias("RUN"), F.col("id").cast("int").alias("n")))
@@ -91,11 +149,23 @@ def test_merge_into_table(spark):
 def test_staging(spark):
     made = spark.createDataFrame([("a", 1)], "RUN STRING, n INT")
     tables.clear_table(spark, "staged_rows")
-    tables.append_rows(made, "staged_rows")
-    tables.append_rows(made, "staged_rows")
+    first = tables.stage_rows(made, "staged_rows")
+    tables.stage_rows(made, "staged_rows")
     assert spark.table("staged_rows").count() == 2
+    tables.drop_load(spark, "staged_rows", first)
+    assert spark.table("staged_rows").count() == 1
     tables.clear_table(spark, "staged_rows")
-    assert spark.table("staged_rows").count() == 0 and spark.table("staged_rows").columns == ["RUN", "n"]
+    assert spark.table("staged_rows").count() == 0 and spark.table("staged_rows").columns == ["RUN", "n", "load_id"]
+
+
+def test_files_are_packed_by_folder(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "cv.pdf").write_bytes(folder.encode())
+    for _ in range(2):
+        packed = files.pack_documents(spark, [str(tmp_path / "a"), str(tmp_path / "b")], str(tmp_path / "packed"))
+        assert sorted(bytes(r["content"]) for r in packed.collect()) == [b"a", b"b"]
+    assert packed.columns == files.document_files(spark, str(tmp_path / "a")).columns
 
 
 def test_domain_schemas_make_tables(spark):
@@ -123,7 +193,7 @@ def test_document_files(spark, tmp_path):
     # Spark lists no empty files: like missing ones they have no link
     assert rows(stored, "run_norm", "length") == [("123456789K", 3), ("4", 4)]
     held = spark.createDataFrame([("12.345.678-9 K",), ("2",), ("3",), (None,), ("No especificado",)], "run STRING")
-    got = dict(rows(listing.candidate_listing(held.na.drop(), stored, "run", link_column="link"), "run", "link"))
+    got = dict(rows(listing.candidate_listing(held.na.drop(), stored, "run", mode="data_uri", link_column="link"), "run", "link"))
     assert got["12.345.678-9 K"] == '<a href="data:application/pdf;base64,b25l" target="_blank">Ver PDF</a>'
     assert {got[k] for k in got if k != "12.345.678-9 K"} == {"No disponible"}
     path = listing.candidate_listing(held, stored, "run", mode="path", link_column="link")
@@ -133,10 +203,20 @@ def test_document_files(spark, tmp_path):
     assert bytes(fetched["12.345.678-9 K"]) == b"one" and fetched["3"] is None and fetched[None] is None and len(fetched) == 5
 
 
+def test_a_short_list_moves_few_contents(spark):
+    stored = spark.createDataFrame([(str(i), "p", bytearray(b"x")) for i in range(50)], "run_norm STRING, path STRING, content BINARY")
+    listed = spark.createDataFrame([("7",), ("8",)], "run STRING")
+    for df in (listing.candidate_listing(listed, stored, "run", mode="data_uri"), listing.fetch_documents(listed, stored, "run")):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # the store meets the wanted keys by a broadcast before any exchange of contents
+        assert "BroadcastHashJoin [run_norm" in plan and "LeftSemi" in plan
+
+
 def test_link_has_no_line_breaks(spark):
     content = bytes(range(256)) + bytes(44)
     stored = spark.createDataFrame([("1", "p", bytearray(content))], "run_norm STRING, path STRING, content BINARY")
-    link = listing.candidate_listing(spark.createDataFrame([("1",)], "run STRING"), stored, "run").first()["Ver PDF"]
+    link = listing.candidate_listing(spark.createDataFrame([("1",)], "run STRING"), stored, "run", mode="data_uri").first()["Ver PDF"]
     text = link.split("base64,")[1].split('"')[0]
     assert len(text) == 400 and base64.b64decode(text) == content
 

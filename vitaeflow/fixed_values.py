@@ -64,7 +64,6 @@ EXTRACTION_PROMPT = (
 )
 
 # Search.
-VECTOR_DIMENSION = 3072
 HITS_PER_QUESTION = 2
 CHUNK_SIZE = 1000
 KEYS_LISTED = 5
@@ -74,7 +73,6 @@ KEYS_LISTED = 5
 # Default prompt around one search hit: before and after the text. Our own
 # wording; jobs take another one as ``template``.
 SUMMARY_PROMPT = (
-    "Resume lo más importante del siguiente texto:\n\n'",
-    "'\n\nResponde con un resumen breve y ordenado, solo texto y sin saltos de línea. "
-    "Lo leerá la persona que selecciona candidatos: describe a cada candidato e incluye recomendaciones.",
+    "Fragmento de un documento:\n\n'",
+    "'\n\nEscribe en una o dos frases qué dice este fragmento que ayude a responder la consulta.",
 )

@@ -14,11 +14,6 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def mark_key(records: DataFrame, key: str = RECORD_KEY) -> DataFrame:
-    """Add ``key_ok``."""
-    return records.withColumn("key_ok", valid_key(_q(key)))
-
-
 def split_by_key(records: DataFrame, key: str = RECORD_KEY) -> tuple[DataFrame, DataFrame]:
     """Rows with a usable key, and the rest."""
     ok = valid_key(_q(key))
@@ -87,7 +82,7 @@ def merge(
     target: DataFrame,
     staging: DataFrame,
     key: str = RECORD_KEY,
-    order: tuple[str, ...] = ("ingest_ts", "pdf_name"),
+    order: tuple[str, ...] = ("ingest_ts", "pdf_name", "path"),
     only_changed: bool = False,
 ) -> DataFrame:
     """The target after the merge, with ``action``: NEW, UPDATED or KEPT.
@@ -115,14 +110,16 @@ def merge(
 
     # what is staged bounds what is left of it
     if not is_small(staging.select(*[_q(c) for c in columns])):
-        joined = target.withColumn("_held", F.lit(True)).join(incoming, _q(key) == F.col("_key"), "full_outer")
+        # nothing staged has a null key; those of the target may be many and would meet in one task
+        named, unnamed = target.where(_q(key).isNotNull()), target.where(_q(key).isNull())
+        joined = named.withColumn("_held", F.lit(True)).join(incoming, _q(key) == F.col("_key"), "full_outer")
         staged, held = F.col("_staged").isNotNull(), F.col("_held").isNotNull()
         action = F.when(staged & ~held, "NEW").when(staged, matched).otherwise("KEPT")
         return joined.select(
             F.coalesce(_q(key), F.col("_key")).alias(key),
             *[F.when(staged, _q(f"_in_{c}")).otherwise(_q(c)).alias(c) for c in values],
             action.alias("action"),
-        ).select(*[_q(c) for c in columns], "action")
+        ).select(*[_q(c) for c in columns], "action").unionByName(unnamed.withColumn("action", F.lit("KEPT")))
 
     looked_up = target.join(F.broadcast(incoming), _q(key) == F.col("_key"), "left")
     staged = F.col("_staged").isNotNull()
@@ -140,8 +137,8 @@ def merge(
 
 
 def changes(merged: DataFrame, key: str = RECORD_KEY) -> DataFrame:
-    """``(RUN, action)`` of the keys a merge inserted or updated."""
-    return merged.where(F.col("action").isin("NEW", "UPDATED")).select(_q(key).alias("RUN"), "action").distinct()
+    """``(RUN, action)`` of the keys a merge inserted or updated, one row each, as a merge has."""
+    return merged.where(F.col("action").isin("NEW", "UPDATED")).select(_q(key).alias("RUN"), "action")
 
 
 def inserted(changed: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ def append_turns(log: DataFrame, turns: DataFrame) -> DataFrame:
     """Put new turns after the last one of their conversation.
 
     ``turns`` has ``(conv_id, seq, role, text)``; ``seq`` orders the new turns
-    of one conversation, counted from 0.
+    of one conversation, counted from 0. Only the conversations in ``turns`` are looked at.
     """
-    ends = log.groupBy("conv_id").agg(F.max("turn").alias("_end"))
+    touched = log.join(lookup_side(turns.select("conv_id").distinct()), "conv_id", "left_semi")
+    ends = touched.groupBy("conv_id").agg(F.max("turn").alias("_end"))
     placed = turns.join(lookup_side(ends), "conv_id", "left").withColumn(
         "turn", F.coalesce(F.col("_end") + 1, F.lit(0)) + F.col("seq")
     )

@@ -99,17 +99,7 @@ def mark_blank(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.withColumn("reject_reason", reason)
 
 
-def with_text(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Documents that hold some text."""
-    return documents.where(has_text(F.col(text)))
-
-
 def chunk(documents: DataFrame, key: str, size: int | None = None, text: str = "text") -> DataFrame:
     """Chunk rows ``(key, chunk_no, text)``: fixed size, no overlap."""
     pieces = fixed_chunks(F.col(text), size)
     return documents.select(F.col(key), F.posexplode(pieces).alias("chunk_no", "text"))
-
-
-def name_source(records: DataFrame, source: Column, column: str = "pdf_name") -> DataFrame:
-    """Add the name of the file a record came from."""
-    return records.withColumn(column, source)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitaeflow.fixed_values import LINK_MISSING, RECORD_KEY
 from vitaeflow.functions.links import data_link, key_in_path, path_link
 from vitaeflow.functions.text import normal_key, valid_key
-from vitaeflow.session import configure, lookup_side
+from vitaeflow.session import configure, is_small, lookup_side
 
 
 def stored_under_key(files: DataFrame) -> DataFrame:
@@ -26,21 +26,39 @@ def put_documents(
     ``stamp`` must identify a row within its key.
     """
     usable = documents.where(valid_key(F.col(f"`{key}`"))).withColumn("run_norm", normal_key(F.col(f"`{key}`")))
-    last = usable.groupBy("run_norm").agg(F.max(F.struct(*stamp)).alias("_last"))
-    winners = last.select("run_norm", *[F.col("_last")[c].alias(c) for c in stamp])
+    winners = last_documents(documents, key, stamp)
     rest = [c for c in documents.columns if c not in (key, content, *stamp)]
     return usable.join(lookup_side(winners), ["run_norm", *stamp], "left_semi").select(
         "run_norm", *stamp, *rest, content
     )
 
 
+def last_documents(documents: DataFrame, key: str, stamp: list[str]) -> DataFrame:
+    """``(run_norm, *stamp)`` of the last document of each normalised key."""
+    usable = documents.where(valid_key(F.col(f"`{key}`"))).withColumn("run_norm", normal_key(F.col(f"`{key}`")))
+    last = usable.groupBy("run_norm").agg(F.max(F.struct(*stamp)).alias("_last"))
+    return last.select("run_norm", *[F.col("_last")[c].alias(c) for c in stamp])
+
+
+def _wanted(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """The stored documents under ``keys (run_norm)``.
+
+    For a list that measures small the others drop out where they are, before contents move. A long one
+    wants most of the store, which then meets it in the one join that follows.
+    """
+    distinct = keys.distinct()
+    return stored.join(F.broadcast(distinct), "run_norm", "left_semi") if is_small(distinct) else stored
+
+
 def fetch_documents(keys: DataFrame, stored: DataFrame, key: str = RECORD_KEY) -> DataFrame:
     """Add the stored bytes of each key; null where there is none.
 
     Null keys, which may be many, stay out of the join.
     """
     wanted = keys.withColumn("run_norm", normal_key(F.col(f"`{key}`")))
-    found = wanted.where(F.col("run_norm").isNotNull()).join(stored.select("run_norm", "content"), "run_norm", "left")
+    named = wanted.where(F.col("run_norm").isNotNull())
+    held = _wanted(stored.select("run_norm", "content"), named.select("run_norm"))
+    found = named.join(held, "run_norm", "left")
     without = wanted.where(F.col("run_norm").isNull()).withColumn("content", F.lit(None).cast("binary"))
     return found.unionByName(without)
 
@@ -49,13 +67,13 @@ def candidate_listing(
     candidates: DataFrame,
     stored: DataFrame,
     key: str = RECORD_KEY,
-    mode: str = "data_uri",
+    mode: str = "path",
     link_column: str = "Ver PDF",
 ) -> DataFrame:
     """Candidates with a link to their document: one join for the whole table.
 
-    ``data_uri`` inlines the bytes; ``path`` links the stored path and reads
-    no content. ``stored`` has one row per ``run_norm`` (see ``put_documents``).
+    ``path`` links the stored path and reads no content; ``data_uri`` inlines the bytes of the listed
+    candidates' documents. ``stored`` has one row per ``run_norm`` (see ``put_documents``).
     Rows with unusable keys, which may be many and equal, bypass the join:
     documents are never stored under such keys.
     """
@@ -71,7 +89,8 @@ def candidate_listing(
         )
         link = path_link(F.col("_path"), F.col("_length"))
     else:
-        documents = stored.select(F.col("run_norm").alias("_norm"), F.col("content").alias("_content"))
+        held = _wanted(stored.select("run_norm", "content"), listed.select(F.col("_norm").alias("run_norm")))
+        documents = held.select(F.col("run_norm").alias("_norm"), F.col("content").alias("_content"))
         link = data_link(F.col("_content"))
     joined = listed.join(documents, "_norm", "left").withColumn(link_column, link)
     columns = [F.col(f"`{c}`") for c in [*candidates.columns, link_column]]

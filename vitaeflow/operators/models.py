@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,27 +17,38 @@ Embedder = Callable[[list[str]], list[list[float]]]
 #: ``model(request bodies) -> reply bodies``, both JSON texts
 ChatModel = Callable[[list[str]], list[str]]
 
+#: Calls that one task makes at most, where rows are dealt out for them, and the first pause in seconds.
+TASK_CALLS, _PAUSE = 64, 0.2
+
 
 def _call(rows: DataFrame, function: Callable, source: str, output: str, kind: T.DataType,
-          batch_size: int, concurrency: int | None) -> DataFrame:
+          batch_size: int, concurrency: int | None, attempts: int) -> DataFrame:
     """Add ``output`` and ``error``: one call per ``batch_size`` inputs.
 
-    Only the input column goes to Python. A failing call is repeated input by
-    input, so that one bad input costs one row; null inputs are not sent.
-    ``concurrency`` limits the tasks that call at a time.
+    Only the input column goes to Python. A failing call is tried ``attempts`` times, each after a
+    longer pause, then input by input, so that one bad input costs one row; null inputs are not sent.
+
+    With ``concurrency`` the rows are dealt to that many tasks, and to more where a task would have
+    over ``TASK_CALLS`` calls, so that a lost task repeats few of them. How many run at a time is up
+    to the cluster's cores; a service that takes fewer is best protected by a limiter in ``function``.
     """
     result = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])
 
-    def answer(inputs):
+    def answer(inputs, tries=attempts):
+        import time
+
         try:
             answers = list(function(inputs))
             if len(answers) != len(inputs):
                 raise ValueError(f"{len(answers)} results for {len(inputs)} inputs")
             return [(value, None if value is not None else "empty result") for value in answers]
         except Exception as problem:
+            if tries > 1:
+                time.sleep(_PAUSE * 2 ** (attempts - tries))
+                return answer(inputs, tries - 1)
             if len(inputs) == 1:
                 return [(None, f"model call failed: {problem}")]
-            return [pair for one in inputs for pair in answer([one])]
+            return [pair for one in inputs for pair in answer([one], 1)]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import pandas
@@ -53,7 +65,7 @@ def _call(rows: DataFrame, function: Callable, source: str, output: str, kind: T
     # nondeterministic: Catalyst must neither repeat nor reorder the calls
     call = F.pandas_udf(run, result).asNondeterministic()
     if concurrency is not None:
-        rows = rows.repartition(concurrency)
+        rows = rows.repartition(max(concurrency, math.ceil(rows.count() / (TASK_CALLS * batch_size))))
     called = rows.withColumn("_call", call(F.col(source))).withColumn(output, F.col("_call.value"))
     error = F.col("_call.error")
     if "error" in rows.columns:
@@ -62,15 +74,15 @@ def _call(rows: DataFrame, function: Callable, source: str, output: str, kind: T
 
 
 def embed(rows: DataFrame, embedder: Embedder, text: str = "text", output: str = "vector",
-          batch_size: int = 64, concurrency: int | None = None) -> DataFrame:
+          batch_size: int = 64, concurrency: int | None = None, attempts: int = 2) -> DataFrame:
     """Add the embedding of a text column and ``error``."""
-    return _call(rows, embedder, text, output, T.ArrayType(T.FloatType()), batch_size, concurrency)
+    return _call(rows, embedder, text, output, T.ArrayType(T.FloatType()), batch_size, concurrency, attempts)
 
 
 def complete(rows: DataFrame, model: ChatModel, payload: str = "payload", output: str = "body",
-             batch_size: int = 16, concurrency: int | None = None) -> DataFrame:
+             batch_size: int = 16, concurrency: int | None = None, attempts: int = 2) -> DataFrame:
     """Add the reply body to request bodies and ``error``."""
-    return _call(rows, model, payload, output, T.StringType(), batch_size, concurrency)
+    return _call(rows, model, payload, output, T.StringType(), batch_size, concurrency, attempts)
 
 
 def chat_model(answer: Callable[[list[str]], list[str]]) -> ChatModel:
@@ -91,14 +103,18 @@ def chat_model(answer: Callable[[list[str]], list[str]]) -> ChatModel:
 
 
 def hash_embed(rows: DataFrame, text: str = "text", output: str = "vector", dimension: int = 256) -> DataFrame:
-    """Offline embedding without a model: hashed word counts, scaled to length one."""
-    from pyspark.ml.feature import HashingTF, Normalizer
+    """Offline embedding without a model: hashed word counts, scaled to length one.
+
+    A word's place is the first eight hex digits of its MD5 modulo ``dimension``, which other systems
+    can repeat.
+    """
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
     from pyspark.ml.functions import vector_to_array
 
     words = F.array_remove(F.split(F.lower(F.col(text)), r"\s+"), "")
-    counted = HashingTF(numFeatures=dimension, inputCol="_words", outputCol="_counts").transform(
-        rows.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
-    )
+    places = F.transform(words, lambda word: F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint"), F.lit(dimension)).cast("string"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dimension)], inputCol="_words", outputCol="_counts")
+    counted = counter.transform(rows.withColumn("_words", F.coalesce(places, F.array().cast("array<string>"))))
     scaled = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
     return scaled.withColumn(output, vector_to_array("_unit", "float32")).drop("_words", "_counts", "_unit")
 

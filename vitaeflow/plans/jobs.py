@@ -12,13 +12,22 @@ from vitaeflow.functions.prompts import chat_request, extraction_prompt, summary
 from vitaeflow.operators import answers, candidates, documents, extraction, listing, models, similarity
 from vitaeflow.schema import CHUNKS, STAGING
 from vitaeflow.session import cut_lineage, lookup_side
-from vitaeflow.sources.tables import KeyedTable, append_rows, clear_table
+from vitaeflow.sources.tables import KeyedTable, drop_load, stage_rows
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``path``, which tells documents apart; names may repeat from folder to folder.
+
+    Rows that never were files have none: theirs is their ``pdf_name``.
+    """
+    return rows if "path" in rows.columns else rows.withColumn("path", F.col(SOURCE_NAME))
 
 
 def read_documents(files: DataFrame, extract: documents.PageExtractor) -> DataFrame:
-    """``(pdf_name, ingest_ts, text, error)`` from document files."""
+    """``(path, pdf_name, ingest_ts, text, error)`` from document files."""
     read = documents.read_pages(files, extract)
     return read.select(
+        "path",
         SOURCE_NAME,
         F.col("modificationTime").alias("ingest_ts"),
         documents.pages_text(F.col("pages")).alias("text"),
@@ -27,26 +36,29 @@ def read_documents(files: DataFrame, extract: documents.PageExtractor) -> DataFr
 
 
 def store_documents(files: DataFrame, records: DataFrame, stored: KeyedTable) -> None:
-    """Keep the files of ``records`` under their normalised keys, the last one of a key.
+    """Keep the files of ``records`` (``path`` and key) under their normalised keys, the last one of a key.
 
     ``stored`` is keyed on ``run_norm``; what it holds for a key is replaced.
     Records without a usable key store nothing.
     """
-    keyed = files.join(lookup_side(records.select(SOURCE_NAME, F.col(f"`{RECORD_KEY}`"))), SOURCE_NAME)
-    last = listing.put_documents(keyed, RECORD_KEY, ["modificationTime", "path"])
-    stored.refresh(last, last.select("run_norm"))
+    keys = records.select("path", F.col(f"`{RECORD_KEY}`"))
+    # which file a key keeps is settled without contents, once
+    named = files.select("path", "modificationTime").join(lookup_side(keys), "path")
+    winners = cut_lineage(listing.last_documents(named, RECORD_KEY, ["modificationTime", "path"]))
+    last = files.join(lookup_side(winners.select("run_norm", "modificationTime", "path")), ["modificationTime", "path"])
+    stored.refresh(last, winners.select("run_norm"))
 
 
 def extract_records(texts: DataFrame, model: models.ChatModel, fence_only: bool = False,
                     batch_size: int = 16, concurrency: int | None = None,
                     template: str = EXTRACTION_PROMPT) -> DataFrame:
-    """Records from document texts ``(pdf_name, ingest_ts, text[, error])``.
+    """Records from document texts ``([path,] pdf_name, ingest_ts, text[, error])``.
 
     Blank documents are not sent to the model. Every document keeps one row:
     the ten fields, or the reason in ``error``. The result is written down
     once, so later steps do not repeat the calls.
     """
-    marked = documents.mark_blank(texts)
+    marked = documents.mark_blank(identified(texts))
     earlier = [F.col("error")] if "error" in texts.columns else []
     marked = marked.withColumn("error", F.coalesce(*earlier, F.col("reject_reason")))
     payload = F.when(F.col("error").isNull(), chat_request(extraction_prompt(F.col("text"), template)))
@@ -88,30 +100,37 @@ def load_records(
 ) -> Load:
     """Load reviewed records and refresh the vectors of the keys that changed.
 
-    ``reviewed`` has the record fields, ``pdf_name`` and ``ingest_ts``; ``texts``
-    gives the text of each ``pdf_name``. Corrections apply first, by ``pdf_name``,
+    ``reviewed`` has the record fields, ``pdf_name``, ``ingest_ts`` and the ``path`` of its
+    document; ``texts`` gives the text of each ``path``. Corrections apply first, by ``path``,
     and may set the key. A key is refreshed as a whole: where ``texts`` lacks its
     document, or one of its chunks has no vector, its old rows stay and such
-    chunks come back as failed.
+    chunks come back as failed. A document whose text is empty now has no chunks any more.
+
+    A load merges the rows it staged itself and then removes them. What a load that died has left
+    in staging is neither merged nor removed here; run that load again, or clear the table.
     """
+    spark = reviewed.sparkSession
+    reviewed, texts = identified(reviewed), identified(texts)
     if corrections is not None:
-        reviewed = candidates.apply_corrections(reviewed, corrections, SOURCE_NAME)
+        reviewed = candidates.apply_corrections(reviewed, corrections, "path")
     valid, invalid = candidates.split_by_key(reviewed)
-    append_rows(valid.select(*[F.col(f"`{f.name}`") for f in STAGING.fields]), staging)
-    staged = reviewed.sparkSession.table(staging)
+    load_id = stage_rows(valid.select(*[F.col(f"`{f.name}`") for f in STAGING.fields]), staging)
+    staged = spark.table(staging).where(F.col("load_id") == load_id).drop("load_id")
 
-    # the file each key's record came from, before the merge empties staging
+    # the document each key's record came from: the row that the merge takes
     source = candidates.latest_rows(
-        staged.select(F.col(f"`{RECORD_KEY}`").alias("RUN"), "ingest_ts", SOURCE_NAME), "RUN", ["ingest_ts", SOURCE_NAME]
+        staged.select(F.col(f"`{RECORD_KEY}`").alias("RUN"), "ingest_ts", SOURCE_NAME, "path"), "RUN",
+        ["ingest_ts", SOURCE_NAME, "path"],
     )
-    changed = cut_lineage(candidates_table.merge(staged))
-    to_index = candidates.with_changed_key(source, changed).select("RUN", SOURCE_NAME)
-    keyed = texts.select(SOURCE_NAME, "text").join(lookup_side(to_index), SOURCE_NAME)
+    source = cut_lineage(source)
+    changed = candidates_table.merge(staged)
+    to_index = candidates.with_changed_key(source, changed).select("RUN", "path")
+    keyed = texts.where("text IS NOT NULL").select("path", "text").join(lookup_side(to_index), "path")
     pieces = index_texts(keyed, embedder, size=size, concurrency=concurrency)
     failed = pieces.where(F.col("error").isNotNull())
-    ready = pieces.select("RUN").distinct().join(failed.select("RUN").distinct(), "RUN", "left_anti")
+    ready = cut_lineage(keyed.select("RUN").distinct().join(failed.select("RUN").distinct(), "RUN", "left_anti"))
     chunks_table.refresh(pieces.select(*CHUNKS.names), ready)
-    clear_table(reviewed.sparkSession, staging)
+    drop_load(spark, staging, load_id)
     return Load(changed, invalid, failed)
 
 
@@ -126,18 +145,21 @@ def answer_questions(
     concurrency: int | None = None,
     template: tuple[str, str] = SUMMARY_PROMPT,
 ) -> tuple[DataFrame, DataFrame]:
-    """Answers ``(query_id, answer_text)`` and the hits behind them.
+    """Answers ``(query_id, answer_text, failed_hits)`` and the hits behind them.
 
     From a keyed table the search reads the vectors, and the texts come only
-    from the buckets with hits. A question without hits has no row, as has one whose model calls all
-    failed; the hits carry the reasons.
+    from the buckets with hits. ``failed_hits`` counts the hits that an answer lacks because their
+    model call failed. A question without hits has no answer, as has one whose calls all failed. The
+    hits carry the reasons; a question whose own embedding failed is among them, without a key.
     """
     keys = keys or ["RUN", "chunk_no"]
     asked = cut_lineage(models.embed(questions, embedder, text="question", concurrency=concurrency))
     held = chunks.read() if isinstance(chunks, KeyedTable) else chunks
     hits = cut_lineage(similarity.top_k(asked, held, k, keys=keys, per_candidate=per_candidate))
     texts = chunks.near(hits) if isinstance(chunks, KeyedTable) else chunks
-    return answer_hits(hits, texts, model, keys, concurrency, template)
+    answered, done = answer_hits(hits, texts, model, keys, concurrency, template)
+    refused = asked.where(F.col("error").isNotNull()).select("query_id", "error")
+    return answered, done.unionByName(refused, allowMissingColumns=True)
 
 
 def answer_hits(hits: DataFrame, chunks: DataFrame, model: models.ChatModel, keys: list[str],
@@ -150,4 +172,6 @@ def answer_hits(hits: DataFrame, chunks: DataFrame, model: models.ChatModel, key
     read = extraction.read_chat_replies(called.withColumnRenamed("error", "_call_error"))
     summed = read.withColumn("error", F.coalesce("_call_error", "error")).withColumnRenamed("content", "answer")
     done = cut_lineage(summed.select(*hits.columns, "answer", "total_tokens", "error"))
-    return answers.join_answers(done.where(F.col("error").isNull())), done
+    lost = done.where(F.col("error").isNotNull()).groupBy("query_id").agg(F.count(F.lit(1)).alias("failed_hits"))
+    answered = answers.join_answers(done.where(F.col("error").isNull())).join(lost, "query_id", "left")
+    return answered.withColumn("failed_hits", F.coalesce("failed_hits", F.lit(0).cast("bigint"))), done

@@ -117,6 +117,12 @@ def _letter_counts(text: str) -> str:
     return f"list_transform({_LETTERS}, lambda x: cast(length({text}) - length(replace({text}, x, '')) as double))"
 
 
+def _indexed(text: str) -> str:
+    """What the chunk table has of a text: number of chunks, digest, letters weighed by their place."""
+    weighed = f"list_sum(list_transform({_letter_counts(text)}, lambda x, i: x * i))"
+    return f"ceil(length({text}) / 1000.0)::bigint as n_chunks, md5({text}) as text_digest, cast({weighed} as bigint) as letters"
+
+
 _STUB_RECORDS = f"""
   select doc_id, text, 'd'||doc_id||'.pdf' as pdf_name, length(prompt) as n, md5(prompt) as digest, md5(prompt)[1] as first
   from (select *, {_text(EXTRACTION_PROMPT)}||text as prompt from documents)"""
@@ -140,7 +146,7 @@ ORACLES: dict[str, str] = {
   select conv_id, string_agg(coalesce(text, ''), chr(10) order by turn)||chr(10) as text, count(*) as n_pages
   from conversations group by conv_id""",
     "document_files": """
-  select conv_id, cast(strlen(string_agg(text, chr(12) order by turn)) + 1 as bigint) as length,
+  select conv_id, true as named, cast(strlen(string_agg(text, chr(12) order by turn)) + 1 as bigint) as length,
     cast(count(*) as integer) as n_pages, string_agg(text, chr(10) order by turn)||chr(10) as text,
     cast(null as varchar) as error
   from conversations group by conv_id""",
@@ -189,7 +195,7 @@ ORACLES: dict[str, str] = {
     "embedding_payload": """
   select cast(doc_id as varchar) as request_id, to_json({input: text})::varchar as payload from documents""",
     "replies_joined": """
-  select cast(d.doc_id as varchar) as request_id, 't'||l.toxic as body
+  select cast(d.doc_id as varchar) as request_id, md5(d.text) as payload_digest, 't'||l.toxic as body
   from documents d left join labels l using (doc_id)""",
     "extract_records": f"""
   select pdf_name, case when first > '5' then 'n'||substr(digest, 1, 8) end as "Nombre",
@@ -231,16 +237,20 @@ ORACLES: dict[str, str] = {
   where "{RECORD_KEY}" in (select "{RECORD_KEY}" from ({_MERGED}) where action = 'UPDATED')""",
     "load_records": f"""
   with submitted as (select {_key('doc_id')} as "RUN", lang, source, doc_id, text from documents where lang <> 'en'),
-  pieces as (select "RUN", count(*) as n_chunks, cast(sum(length(piece)) as bigint) as n_chars
-    from (select "RUN", unnest(list_transform(range(0, length(text), 1000), lambda i: substring(text, cast(i as bigint) + 1, 1000))) as piece
-      from submitted) group by "RUN")
+  pieces as (select "RUN", {_indexed('text')} from submitted where length(text) > 0)
   select coalesce(t."{RECORD_KEY}", s."RUN") as "RUN",
     coalesce(lang, "Nombre") as "Nombre", coalesce(source, "Ciudad") as "Ciudad",
     coalesce('d'||doc_id||'.pdf', pdf_name) as pdf_name,
     case when s."RUN" is null then null when t."{RECORD_KEY}" is null then 'NEW' else 'UPDATED' end as action,
-    n_chunks, n_chars
+    n_chunks, text_digest, letters, cast(0 as integer) as n_staged
   from ({_HELD}) t full outer join submitted s on t."{RECORD_KEY}" = s."RUN"
   left join pieces p on p."RUN" = s."RUN\"""",
+    "same_name_files": f"""
+  with c as (select conv_id, string_agg(text, chr(10) order by turn)||chr(10)||chr(10) as text from conversations group by conv_id),
+  r as (select *, md5({_text(EXTRACTION_PROMPT)}||text) as digest from c)
+  select digest as "RUN", ceil(length(text) / 1000.0)::bigint as n_chunks, md5(text) as text_digest,
+    'inbox/'||conv_id||'/cv.pdf' as path, md5(text[:-2]) as content_digest
+  from r where digest[1] > '5'""",
     "list_keys": 'select distinct doc_id as "RUN" from documents where length(text) > 0',
     "list_keys_limit": 'select distinct source as "RUN" from documents order by source limit 5',
     "rows_of_key": "select doc_id, source from documents where lang = 'fr'",
@@ -250,18 +260,38 @@ ORACLES: dict[str, str] = {
   union all
   select * from ({_chunks(300, "RUN")}) where "RUN" in (select doc_id from labels)""",
     "table_delete": """
-  select doc_id, lang, source, n_chars from documents where doc_id not in (select doc_id from labels)""",
-    "table_reload": "select doc_id, lang, lang||'/'||source as source, n_chars from documents",
+  select doc_id, lang, source, n_chars, text from documents where doc_id not in (select doc_id from labels)""",
+    "table_reload": "select doc_id, lang, lang||'/'||source as source, n_chars, text from documents",
+    "table_recreate": """
+  select cast(0 as integer) as step, 'doc_id bigint,text string,lang string' as columns, count(*) as n_rows, false as still_there from documents
+  union all
+  select cast(1 as integer), 'doc_id bigint,source string,n_chars bigint', count(*), false from documents""",
     "index_documents": f"""
   select "RUN", chunk_no, cast(unnest(range(0, 26)) as integer) as letter,
     unnest(list_transform({_letter_counts('text')}, lambda x: cast(x as bigint))) as n
   from ({_PIECES})""",
     "embed_hash": f"""
-  select doc_id, cast(256 as integer) as dimension,
-    case when trim(text, {_BLANK}) = '' then 0.0 else 1.0 end::double as vector_length
-  from documents""",
+  with words as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as w from documents),
+  counts as (select doc_id, ('0x'||substr(md5(w), 1, 8))::bigint % 256 as place, count(*) as n from words group by all),
+  sizes as (select doc_id, sqrt(sum(n * n)) as size from counts group by doc_id),
+  places as (select doc_id, unnest(range(0, 256)) as place from documents)
+  select p.doc_id, cast(p.place as integer) as place, round(coalesce(cast(n / size as float), 0)::double, 5) as cell
+  from places p left join counts using (doc_id, place) left join sizes on sizes.doc_id = p.doc_id""",
     "knn_top2": f"select query_id, vec_id, round(raw, 6) as score, rank from ({_top_k(2)})",
     "knn_tiles": f"select query_id, vec_id, round(raw, 6) as score, rank from ({_top_k(2)})",
+    "knn_near_copies": """
+  with held as (select vec_id, cast(copy as integer) as copy,
+      list_concat([embedding[1]::double + shift], embedding[2:]::double[]) as vector
+    from embeddings, (values (0, 0.0::double), (1, 0.001::double), (2, 0.01::double)) s(copy, shift)),
+  scored as (select q.vec_id as query_id, h.vec_id, h.copy,
+      round(list_cosine_similarity(q.embedding::double[], h.vector), 9) as raw
+    from embeddings q, held h)
+  select query_id, vec_id, copy, round(raw, 6) as score,
+    cast(row_number() over (partition by query_id order by raw desc, vec_id, copy) as integer) as rank
+  from scored qualify rank <= 3""",
+    "knn_lsh": """
+  select vec_id as query_id, cast(2 as bigint) as n_hits, true as scores_hold, true as none_beyond, true as recall_holds
+  from embeddings""",
     "knn_top10": f"select query_id, vec_id, round(raw, 6) as score, rank from ({_top_k(10)})",
     "knn_per_candidate": """
   with best as (select q.vec_id as query_id, c.label, c.vec_id,
@@ -275,17 +305,20 @@ ORACLES: dict[str, str] = {
   select e.vec_id, e.label, round(list_cosine_similarity(e.embedding::double[], h.head::double[]), 6) as score
   from embeddings e join (select label, arg_min(embedding, vec_id) as head from embeddings group by label) h using (label)""",
     "answer_concat": f"""
-  select query_id, string_agg(source||chr(10), chr(10) order by rank) as answer_text
+  select query_id, string_agg(text||chr(10), chr(10) order by rank) as answer_text
   from ({_top_k(2)}) k join documents d on d.doc_id = k.vec_id group by query_id""",
     "answer_questions": f"""
-  with q as (select conv_id||'-'||turn as query_id, {_letter_counts('text')} as v from conversations),
+  with every as (select conv_id||'-'||turn as query_id, text, {_letter_counts('text')} as v from conversations),
+  q as (select query_id, v from every where length(text) % 7 > 0),
   c as (select doc_id, text, {_letter_counts('text')} as v from documents),
   hits as (select query_id, doc_id, text, round(list_cosine_similarity(q.v, c.v), 9) as score,
       row_number() over (partition by query_id order by score desc, doc_id) as rank
     from q, c where list_sum(q.v) > 0 and list_sum(c.v) > 0 qualify rank <= 2)
   select query_id, string_agg('resumen '||md5({_text(SUMMARY_PROMPT[0])}||text||{_text(SUMMARY_PROMPT[1])})||chr(10), chr(10) order by rank)
-    as answer_text
-  from hits group by query_id""",
+    as answer_text, cast(0 as bigint) as failed_hits, null as error
+  from hits group by query_id
+  union all
+  select query_id, null, null, 'model call failed: refused' from every where length(text) % 7 = 0""",
     "chat_replay": "select conv_id, turn, role, text from conversations order by conv_id, turn",
     "chat_append": """
   with size as (select conv_id, max(turn) as last, cast(count(*) as varchar) as n from conversations group by conv_id)
@@ -302,7 +335,7 @@ ORACLES: dict[str, str] = {
   from ({_LISTED}) l left join ({_STORED}) s on s.run = l.run""",
     "doc_fetch": f"""
   select doc_id, replace(replace(l.run, '.', ''), '-', '') as run_norm, md5(s.text) as digest
-  from ({_LISTED}) l left join ({_STORED}) s on s.run = l.run where l.run is not null""",
+  from ({_LISTED}) l left join ({_STORED}) s on s.run = l.run""",
     "doc_put": f"""
   select replace(replace({_key('conv_id')}, '.', ''), '-', '') as run_norm, max(turn) as turn, md5(arg_max(text, turn)) as digest
   from conversations group by conv_id""",
@@ -314,11 +347,12 @@ ORACLES: dict[str, str] = {
   select replace(replace({_key('n')}, '.', ''), '-', '') as run_norm, path, cast(strlen(text) as bigint) as length, md5(text) as digest
   from kept""",
     "stream_intake": f"""
-  with pieces as (select "RUN", count(*) as n_chunks, cast(sum(length(text)) as bigint) as n_chars
-    from (select digest as "RUN", unnest(list_transform(range(0, length(text), 1000), lambda i: substring(text, cast(i as bigint) + 1, 1000))) as text
-      from (select * from ({_STUB_RECORDS})
-        where first > '5' qualify row_number() over (partition by digest order by pdf_name desc) = 1)) group by "RUN")
+  with pieces as (select digest as "RUN", {_indexed('text')} from ({_STUB_RECORDS})
+    where first > '5' and length(text) > 0 qualify row_number() over (partition by digest order by pdf_name desc) = 1)
   select r.digest as "RUN", 'n'||substr(r.digest, 1, 8) as "Nombre", max(pdf_name) as pdf_name,
-    any_value(n_chunks) as n_chunks, any_value(n_chars) as n_chars
-  from ({_STUB_RECORDS}) r left join pieces p on p."RUN" = r.digest where first > '5' group by r.digest""",
+    any_value(n_chunks) as n_chunks, any_value(text_digest) as text_digest, any_value(letters) as letters, null as error
+  from ({_STUB_RECORDS}) r left join pieces p on p."RUN" = r.digest where first > '5' group by r.digest
+  union all
+  select null, null, pdf_name, null, null, null, case when first in ('2', '3') then 'not text: Nombre' else 'no JSON object in reply' end
+  from ({_STUB_RECORDS}) where first <= '5'""",
 }

@@ -29,7 +29,7 @@ from vitaeflow.operators import (
 )
 from vitaeflow.plans import jobs
 from vitaeflow.schema import CANDIDATES, CHUNKS, STORED_DOCUMENTS
-from vitaeflow.session import configure, new_folder
+from vitaeflow.session import configure, cut_lineage, new_folder
 from vitaeflow.sources import files, tables
 from vitaeflow.streaming.intake import start_intake
 
@@ -122,10 +122,12 @@ def vector_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return asked, rows.select("label", "vec_id", F.col("embedding").alias("vector"))
 
 
-def letter_counts() -> models.Embedder:
-    """A stand-in embedding: how often each letter occurs."""
+def letter_counts(refused: int | None = None) -> models.Embedder:
+    """A stand-in embedding: how often each letter occurs. Texts of every ``refused``-th length fail."""
 
     def embedder(texts: list[str]) -> list[list[float]]:
+        if refused and any(len(text) % refused == 0 for text in texts):
+            raise ValueError("refused")
         return [[float(text.count(letter)) for letter in "abcdefghijklmnopqrstuvwxyz"] for text in texts]
 
     return embedder
@@ -171,7 +173,20 @@ def workers(spark: SparkSession) -> int:
 
 
 def scratch_table(spark: SparkSession, schema, key: str) -> tables.KeyedTable:
-    return tables.KeyedTable(spark, f"scratch_{uuid.uuid4().hex}", schema, key, buckets=8).create()
+    """A table for one query. It belongs to the session: results read it lazily, so it is dropped when the
+    session ends (``drop_scratch``), or with its warehouse."""
+    made = tables.KeyedTable(spark, f"scratch_{uuid.uuid4().hex}", schema, key, buckets=8).create()
+    _SCRATCH.append(made)
+    return made
+
+
+_SCRATCH: list[tables.KeyedTable] = []
+
+
+def drop_scratch() -> None:
+    """Drop the tables that queries made, once their results have been used."""
+    while _SCRATCH:
+        _SCRATCH.pop().drop()
 
 
 # --- documents --------------------------------------------------------------
@@ -219,8 +234,9 @@ def document_files(spark, sf_dir):
 
     read = documents.read_pages(files.document_files(spark, folder, glob="*.txt"), extract)
     number = F.regexp_extract("path", r"conv_id=(\d+)/", 1).cast("long")
+    named = F.col("path").endswith(F.concat(F.lit("/"), F.col("pdf_name")))
     return read.select(
-        number.alias("conv_id"), "length", F.size("pages").alias("n_pages"),
+        number.alias("conv_id"), named.alias("named"), "length", F.size("pages").alias("n_pages"),
         documents.pages_text(F.col("pages")).alias("text"), "error",
     )
 
@@ -320,7 +336,8 @@ def replies_joined(spark, sf_dir):
         F.col("doc_id").cast("string").alias("request_id"),
         F.explode(F.array(F.concat(F.lit("q"), F.col("quality")), F.concat(F.lit("t"), F.col("toxic")))).alias("body"),
     )
-    return models.join_replies(asked, label).select("request_id", "body")
+    joined = models.join_replies(asked, label)
+    return joined.select("request_id", F.md5("payload").alias("payload_digest"), "body")
 
 
 @register
@@ -434,6 +451,14 @@ def changed_sources(spark, sf_dir):
     return candidates.with_changed_key(rows, candidates.updated(changed))
 
 
+def indexed_texts(indexed: tables.KeyedTable) -> DataFrame:
+    """Each key's chunks in the table, put together again, and its vectors weighed by letter."""
+    weighed = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda total, x: total + x)
+    whole = F.expr("md5(listagg(text) WITHIN GROUP (ORDER BY chunk_no))")
+    return indexed.read().groupBy("RUN").agg(
+        F.count(F.lit(1)).alias("n_chunks"), whole.alias("text_digest"), F.sum(weighed).cast("bigint").alias("letters"))
+
+
 @register
 def load_records(spark, sf_dir):
     """The whole load job: stage, merge, refresh vectors; the tables afterwards.
@@ -455,11 +480,29 @@ def load_records(spark, sf_dir):
     texts = document.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("pdf_name"), "text")
     done = jobs.load_records(reviewed, texts, held, indexed, staging, letter_counts(), size=CHUNK_SIZE,
                              concurrency=workers(spark))
-    found = indexed.read().groupBy("RUN").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars")
-    )
     state = held.read().select(F.col(f"`{RECORD_KEY}`").alias("RUN"), "Nombre", "Ciudad", "pdf_name")
-    return state.join(done.changes, "RUN", "left").join(found, "RUN", "left")
+    left = F.lit(spark.table(staging).count()).alias("n_staged")
+    return state.join(done.changes, "RUN", "left").join(indexed_texts(indexed), "RUN", "left").select("*", left)
+
+
+@register
+def same_name_files(spark, sf_dir):
+    """Conversations as files of one name in many folders, extracted, loaded and stored."""
+    content = documents.assemble(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    inbox = cut_lineage(content.select(
+        F.concat(F.lit("inbox/"), F.col("conv_id"), F.lit("/cv.pdf")).alias("path"), F.lit("cv.pdf").alias("pdf_name"),
+        F.timestamp_seconds(F.lit(0)).alias("modificationTime"), F.octet_length("text").cast("bigint").alias("length"),
+        F.col("text").cast("binary").alias("content"),
+    ))
+    texts = cut_lineage(jobs.read_documents(inbox, lambda data: [data.decode()]))
+    records = jobs.extract_records(texts, digest_records(), concurrency=workers(spark)).where("error IS NULL")
+    held, indexed = scratch_table(spark, CANDIDATES, RECORD_KEY), scratch_table(spark, CHUNKS, "RUN")
+    stored = scratch_table(spark, STORED_DOCUMENTS, "run_norm")
+    jobs.load_records(records, texts, held, indexed, f"scratch_{uuid.uuid4().hex}", letter_counts(), size=CHUNK_SIZE,
+                      concurrency=workers(spark))
+    jobs.store_documents(inbox, records, stored)
+    kept = stored.read().select(F.col("run_norm").alias("RUN"), "path", F.md5("content").alias("content_digest"))
+    return indexed_texts(indexed).join(kept, "RUN", "full").drop("letters")
 
 
 # --- the chunk collection ---------------------------------------------------
@@ -497,7 +540,7 @@ def vector_refresh(spark, sf_dir):
 @register
 def table_delete(spark, sf_dir):
     """The same delete on a stored table, where only the touched buckets are rewritten."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     stored = scratch_table(spark, rows.schema, "doc_id")
     stored.insert(rows)
     stored.delete(table(spark, sf_dir, "labels").select("doc_id"))
@@ -507,7 +550,7 @@ def table_delete(spark, sf_dir):
 @register
 def table_reload(spark, sf_dir):
     """A table is filled, emptied and filled with something else."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     stored = scratch_table(spark, rows.schema, "doc_id")
     stored.insert(rows)
     stored.empty()
@@ -515,6 +558,23 @@ def table_reload(spark, sf_dir):
     return stored.read()
 
 
+@register
+def table_recreate(spark, sf_dir):
+    """A table is made, described, dropped and made again from other columns."""
+    rows = table(spark, sf_dir, "documents")
+    name = f"scratch_{uuid.uuid4().hex}"
+    steps = []
+    for step, columns in enumerate((["doc_id", "text", "lang"], ["doc_id", "source", "n_chars"])):
+        made = tables.KeyedTable(spark, name, rows.select(*columns).schema, "doc_id", buckets=4 + step).create()
+        made.insert(rows.select(*columns))
+        shown = made.describe().limit(3).agg(
+            F.listagg(F.concat_ws(" ", "col_name", "data_type"), F.lit(",")).alias("columns"))
+        shown = cut_lineage(shown.withColumn("n_rows", F.lit(made.read().count()).cast("bigint")))
+        made.drop()
+        steps.append(shown.select(F.lit(step).alias("step"), "columns", "n_rows", F.lit(spark.catalog.tableExists(name)).alias("still_there")))
+    return steps[0].unionByName(steps[1])
+
+
 @register
 def index_documents(spark, sf_dir):
     """The whole index job with a stand-in embedding, one row per vector cell."""
@@ -527,8 +587,8 @@ def index_documents(spark, sf_dir):
 @register
 def embed_hash(spark, sf_dir):
     rows = models.hash_embed(table(spark, sf_dir, "documents").select("doc_id", "text"), dimension=256)
-    length = F.round(vectors.norm(F.col("vector")), 4)
-    return rows.select("doc_id", F.size("vector").alias("dimension"), length.alias("vector_length"))
+    cells = rows.select("doc_id", F.posexplode("vector").alias("place", "cell"))
+    return cells.withColumn("cell", F.round(F.col("cell").cast("double"), 5))
 
 
 # --- similarity -------------------------------------------------------------
@@ -546,9 +606,20 @@ def knn_top2(spark, sf_dir):
 
 @register
 def knn_tiles(spark, sf_dir):
-    """The same answer by the join that bounds neither side."""
+    """The same answer where the query side takes many blocks."""
     asked, held = vector_sides(spark, sf_dir)
-    return _scored(similarity.top_k_tiles(asked, held.select("vec_id", "vector"), keys=["vec_id"], tile_rows=256))
+    return _scored(similarity.top_k(asked, held.select("vec_id", "vector"), keys=["vec_id"], block_bytes=1 << 16))
+
+
+@register
+def knn_near_copies(spark, sf_dir):
+    """Every vector beside copies of it that differ a little in one number."""
+    rows = table(spark, sf_dir, "embeddings")
+    held = rows.select("vec_id", "embedding", F.posexplode(F.array(*(F.lit(x) for x in (0.0, 0.001, 0.01)))).alias("copy", "shift"))
+    moved = F.transform("embedding", lambda x, i: x + F.when(i == 0, F.col("shift")).otherwise(0.0))
+    held = held.select("vec_id", "copy", moved.alias("vector"))
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return _scored(similarity.top_k(asked, held, k=3, keys=["vec_id", "copy"]))
 
 
 @register
@@ -565,8 +636,23 @@ def knn_per_candidate(spark, sf_dir):
 
 @register
 def knn_lsh(spark, sf_dir):
+    """What a user may rely on, per query: two hits, scored as the pair's cosine is, none beyond the exact
+    ones; and over all queries nine tenths of the exact hits."""
     asked, held = vector_sides(spark, sf_dir)
-    return _scored(similarity.top_k_hashed(asked, held.select("vec_id", "vector"), keys=["vec_id"]))
+    held = held.select("vec_id", "vector")
+    found = similarity.top_k_hashed(asked, held, keys=["vec_id"])
+    exact = similarity.top_k(asked, held, keys=["vec_id"]).select("query_id", "rank", F.col("vec_id").alias("true_id"),
+                                                                  F.col("score").alias("true_score"))
+    pairs = found.join(asked.withColumnRenamed("vector", "asked"), "query_id").join(held, "vec_id")
+    pairs = pairs.withColumn("pair_score", vectors.cosine(F.col("asked"), F.col("vector"))).drop("asked", "vector")
+    compared = pairs.join(exact, ["query_id", "rank"])
+    same = exact.join(found.select("query_id", F.col("vec_id").alias("true_id")), ["query_id", "true_id"], "left_semi")
+    enough = same.count() >= 0.9 * exact.count()
+    return compared.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_hits"),
+        F.every(F.abs(F.col("score") - F.col("pair_score")) < 1e-6).alias("scores_hold"),
+        F.every(F.col("score") <= F.col("true_score") + 1e-9).alias("none_beyond"),
+    ).withColumn("recall_holds", F.lit(enough))
 
 
 @register
@@ -586,13 +672,16 @@ def answer_concat(spark, sf_dir):
     """The hits' documents, in rank order, as one text per query."""
     asked, held = vector_sides(spark, sf_dir)
     hits = similarity.top_k(asked, held.select("vec_id", "vector"), keys=["vec_id"])
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source")
-    return answers.join_answers(answers.hit_texts(hits, texts, ["vec_id"], "source"), answer="text")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return answers.join_answers(answers.hit_texts(hits, texts, ["vec_id"]), answer="text")
 
 
 @register
 def answer_questions(spark, sf_dir):
-    """The whole answer job: turns ask, document chunks are searched, a stand-in model sums up."""
+    """The whole answer job: turns ask, document chunks are searched, a stand-in model sums up.
+
+    Every seventh length of a question is refused; such questions come back with the reason.
+    """
     turn = table(spark, sf_dir, "conversations")
     asked = turn.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
@@ -600,8 +689,9 @@ def answer_questions(spark, sf_dir):
     )
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("RUN"), "text")
     held = jobs.index_texts(texts, letter_counts(), size=None, concurrency=workers(spark))
-    answered, _ = jobs.answer_questions(asked, held, letter_counts(), digest_answers(), concurrency=workers(spark))
-    return answered
+    answered, hits = jobs.answer_questions(asked, held, letter_counts(refused=7), digest_answers(), concurrency=workers(spark))
+    failed = hits.where(F.col("error").isNotNull()).select("query_id", "error")
+    return answered.unionByName(failed, allowMissingColumns=True)
 
 
 @register
@@ -649,7 +739,7 @@ def _listed(spark, sf_dir):
 @register
 def doc_link(spark, sf_dir):
     stored = listing.stored_under_key(_stored(spark, sf_dir))
-    return listing.candidate_listing(_listed(spark, sf_dir), stored, "run", link_column="link")
+    return listing.candidate_listing(_listed(spark, sf_dir), stored, "run", mode="data_uri", link_column="link")
 
 
 @register
@@ -661,7 +751,7 @@ def doc_link_path(spark, sf_dir):
 @register
 def doc_fetch(spark, sf_dir):
     stored = listing.stored_under_key(_stored(spark, sf_dir))
-    fetched = listing.fetch_documents(_listed(spark, sf_dir).where("run is not null"), stored, "run")
+    fetched = listing.fetch_documents(_listed(spark, sf_dir), stored, "run")
     return fetched.select("doc_id", "run_norm", F.md5("content").alias("digest"))
 
 
@@ -689,7 +779,7 @@ def document_store(spark, sf_dir):
             name.alias("pdf_name"), name.alias("path"), F.timestamp_seconds(F.lit(day)).alias("modificationTime"),
             F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"),
         )
-        records = rows.select(name.alias("pdf_name"), national_key(F.col("n")).alias(RECORD_KEY))
+        records = rows.select(name.alias("path"), national_key(F.col("n")).alias(RECORD_KEY))
         jobs.store_documents(arrived, records, stored)
     return stored.read().select("run_norm", "path", "length", F.md5("content").alias("digest"))
 
@@ -709,11 +799,14 @@ def stream_intake(spark, sf_dir):
     )
     held = scratch_table(spark, CANDIDATES, RECORD_KEY)
     indexed = scratch_table(spark, CHUNKS, "RUN")
+    rejected = new_folder(spark, "rejected")
+
+    def note(batch: DataFrame, _: int) -> None:
+        batch.select("pdf_name", "error").write.mode("append").parquet(rejected)
+
     query = start_intake(arriving, new_folder(spark, "intake"), digest_records(), letter_counts(), held, indexed,
-                         f"scratch_{uuid.uuid4().hex}", size=CHUNK_SIZE, concurrency=workers(spark))
+                         f"scratch_{uuid.uuid4().hex}", note, size=CHUNK_SIZE, concurrency=workers(spark))
     query.awaitTermination()
-    found = indexed.read().groupBy("RUN").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars")
-    )
     state = held.read().select(F.col(f"`{RECORD_KEY}`").alias("RUN"), "Nombre", "pdf_name")
-    return state.join(found, "RUN", "left")
+    lost = spark.read.parquet(rejected).select("pdf_name", "error")
+    return state.join(indexed_texts(indexed), "RUN", "left").unionByName(lost, allowMissingColumns=True)

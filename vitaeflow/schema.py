@@ -13,25 +13,15 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 _S, _I, _L = T.StringType(), T.IntegerType(), T.LongType()
 
-PAGES = _struct(("doc_key", _S), ("page_no", _I), ("text", _S))
-DOCUMENTS = _struct(("doc_key", _S), ("text", _S))
 STORED_DOCUMENTS = _struct(
     ("run_norm", _S), ("path", _S), ("modificationTime", T.TimestampType()), ("length", _L), ("content", T.BinaryType())
 )
 
 RECORD = _struct(*((name, _S) for name in RECORD_FIELDS))
 CANDIDATES = T.StructType([*RECORD.fields, T.StructField(SOURCE_NAME, _S)])
-STAGING = T.StructType([*CANDIDATES.fields, T.StructField("ingest_ts", T.TimestampType())])
-CHANGES = _struct(("RUN", _S), ("action", _S))
+STAGING = T.StructType([*CANDIDATES.fields, T.StructField("ingest_ts", T.TimestampType()), T.StructField("path", _S)])
 
 CHUNKS = _struct(("RUN", _S), ("chunk_no", _I), ("text", _S), ("vector", T.ArrayType(T.FloatType())))
-# the same collection keyed by a number
-CHUNKS_BY_ID = _struct(("resume_id", _L), ("chunk_no", _I), ("text", _S), ("vector", T.ArrayType(T.FloatType())))
-
-TURNS = _struct(("conv_id", _L), ("turn", _L), ("role", _S), ("text", _S))
-
-REQUESTS = _struct(("request_id", _S), ("payload", _S))
-REPLIES = _struct(("request_id", _S), ("body", _S))
 
 CHAT_REPLY = _struct(
     ("choices", T.ArrayType(_struct(("message", _struct(("content", _S)))))),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +27,34 @@ def document_files(spark: SparkSession, path: str, glob: str = _GLOB, recursive:
     return files.withColumn("pdf_name", F.col("_metadata.file_name"))
 
 
-def document_file_stream(spark: SparkSession, path: str, glob: str = _GLOB, files_per_batch: int = 1000) -> DataFrame:
-    """Files that arrive under ``path``, each once."""
+def pack_documents(spark: SparkSession, folders: list[str], target: str, glob: str = _GLOB) -> DataFrame:
+    """Pack the files of ``folders`` into one table of paths and contents, folder by folder.
+
+    Listing happens on the driver, so a very large inbox is packed by its sub-folders (the letters of
+    a name, the days of arrival), each of which the driver can list; later jobs read the table and
+    list nothing. Each folder fills a part of its own, which packing it again replaces.
+    """
+    for folder in folders:
+        part = hashlib.sha256(folder.encode()).hexdigest()[:32]
+        document_files(spark, folder, glob).write.mode("overwrite").parquet(f"{target}/folder={part}")
+    return spark.read.parquet(target).drop("folder")
+
+
+def document_file_stream(spark: SparkSession, path: str, glob: str = _GLOB, files_per_batch: int = 1000,
+                         max_file_age: str = "36500d") -> DataFrame:
+    """Files that arrive under ``path``, each once.
+
+    A file counts as seen by its path: one that is overwritten is not read again, so an update needs a
+    new name or folder. Files older than ``max_file_age`` before the newest are passed over; Spark's
+    own default would be a week.
+    """
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILES)
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", max_file_age)
         .load(path)
     )
     return files.withColumn("pdf_name", F.col("_metadata.file_name"))

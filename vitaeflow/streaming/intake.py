@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vitaeflow.fixed_values import RECORD_KEY
 from vitaeflow.operators import extraction, models
 from vitaeflow.plans import jobs
 from vitaeflow.session import cut_lineage
@@ -22,17 +23,19 @@ def start_intake(
     candidates_table: KeyedTable,
     chunks_table: KeyedTable,
     staging: str,
+    rejects: Callable[[DataFrame, int], None],
     size: int | None = None,
-    rejects: Callable[[DataFrame, int], None] | None = None,
     available_now: bool = True,
     concurrency: int | None = None,
 ) -> StreamingQuery:
-    """Run a stream of ``(pdf_name, ingest_ts, text[, error])`` into the tables.
+    """Run a stream of ``([path,] pdf_name, ingest_ts, text[, error])`` into the tables.
 
     ``jobs.read_documents`` over ``document_file_stream`` gives such a stream.
     Loads are keyed, so a batch that runs twice after a failure changes
-    nothing more; only its model calls repeat. ``rejects`` gets each batch's
-    rejected records. ``checkpoint`` belongs on the folder all executors share.
+    nothing more; only its model calls repeat. ``rejects`` gets what a batch could not load, with
+    the reason in ``error``: rejected records, records without a usable key, and the keys whose
+    chunks could not be embedded, which keep their old ones. It is called before the checkpoint
+    moves on. ``checkpoint`` belongs on the folder all executors share.
     """
 
     spark = texts.sparkSession
@@ -44,9 +47,11 @@ def start_intake(
         records = jobs.extract_records(held, model, concurrency=concurrency)
         result = jobs.load_records(extraction.accepted(records), held, candidates_table, chunks_table, staging,
                                    embedder, size=size, concurrency=concurrency)
-        if rejects is not None:
-            unkeyed = result.invalid.withColumn("error", F.lit("no usable key"))
-            rejects(extraction.rejected(records).unionByName(unkeyed), batch_id)
+        unkeyed = result.invalid.withColumn("error", F.lit("no usable key"))
+        stale = result.failed_chunks.groupBy(F.col("RUN").alias(RECORD_KEY)).agg(
+            F.concat(F.lit("chunks not embedded: "), F.min("error")).alias("error"))
+        lost = extraction.rejected(records).unionByName(unkeyed).unionByName(stale, allowMissingColumns=True)
+        rejects(lost, batch_id)
 
     writer = texts.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
