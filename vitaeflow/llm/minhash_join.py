@@ -17,8 +17,10 @@ signature of ``K`` coordinates, and is posted under coordinate-value pairs:
 * In the other lists, agreements are counted between members of different
   components on signature bytes, in blocks of bounded size; a long list is cut
   into blocks and pairs of blocks are dealt to tasks. Only pairs above the
-  threshold leave the task, each from the first list that has both. They are
-  confirmed too, and the final components follow.
+  threshold leave the task, each from the first list that has both. This is
+  done twice: first for pairs that are likely links, and once those are
+  confirmed and have joined components, for the less likely ones between
+  components that are still apart.
 
 Pairs are decided by the full sets, so no pair below the similarity is linked.
 A pair at exactly 0.85 is missed if fewer coordinates agree than asked for:
@@ -46,9 +48,11 @@ from vitaeflow.session import lookup_side
 SHINGLE = 5
 #: Links: 100 * |A and B| >= LEAST * |A or B|.
 LEAST = 85
-K, POSTED = 256, 64
+K, POSTED = 512, 64
 #: Four standard deviations and more below what pairs of similarity 0.85 agree in.
-MATCHES, CONFIRMED = 43, 194
+MATCHES, CONFIRMED = 43, 403
+#: What pairs of similarity 0.85 agree in on average.
+LIKELY = 436
 #: Members of a list that one task compares with each other or with another block.
 BLOCK = 4096
 #: Words of one task whose hashes are remembered.
@@ -198,31 +202,33 @@ def star_candidates(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("ok", agree(F.struct("x", "y"))).where("ok").select("a", "b")
 
 
-_MEMBERS = "key bigint, low int, high int, side int, node bigint, component bigint, bytes binary, earlier array<bigint>"
 
 
-def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block pair; holds the at most two blocks of one pair."""
-    open_key, rows = None, []
+def _count_blocks(least: int, below: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block pair; holds the at most two blocks of one pair."""
+        open_key, rows = None, []
 
-    def counted() -> pa.RecordBatch:
-        found = _pairs_above(open_key, rows)
-        return pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        def counted() -> pa.RecordBatch:
+            found = pairs_between(open_key, rows, least, below)
+            return pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for key, low, high, *row in zip(*columns):
-            if (key, low, high) != open_key:
-                if rows:
-                    yield counted()
-                open_key, rows = (key, low, high), []
-            rows.append(row)
-    if rows:
-        yield counted()
-
-
-def _pairs_above(block: tuple[int, int, int], rows: list) -> list[tuple[int, int]]:
-    """Pairs of members in different components with enough agreements, unless an earlier list has them."""
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for key, low, high, *row in zip(*columns):
+                if (key, low, high) != open_key:
+                    if rows:
+                        yield counted()
+                    open_key, rows = (key, low, high), []
+                rows.append(row)
+        if rows:
+            yield counted()
+
+    return run
+
+
+def pairs_between(block: tuple[int, int, int], rows: list, least: int, below: int) -> list[tuple[int, int]]:
+    """Pairs of members in different components with ``least`` to ``below - 1`` agreements, unless an earlier list has them."""
     _, low, high = block
     side = np.array([r[0] for r in rows])
     node, part = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
@@ -238,12 +244,12 @@ def _pairs_above(block: tuple[int, int, int], rows: list) -> list[tuple[int, int
             others = others[second[others] > i]
         if not len(others):
             continue
-        # after each quarter, pairs that cannot reach the threshold any more are skipped
+        # after every 64, pairs that cannot reach the threshold any more are skipped
         count = np.zeros(len(others), np.int16)
         near = others
         for start in range(0, K, 64):
             count = count + (columns[start : start + 64, near] == marks[i, start : start + 64, None]).sum(0, dtype=np.int16)
-            left = count + (K - start - 64) >= CONFIRMED
+            left = (count + (K - start - 64) >= least) & (count < below)
             near, count = near[left], count[left]
             if not len(near):
                 break
@@ -254,8 +260,8 @@ def _pairs_above(block: tuple[int, int, int], rows: list) -> list[tuple[int, int
     return found
 
 
-def cross_candidates(lists: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of members of different components, with enough agreements, in lists that still have several."""
+def cross_candidates(lists: DataFrame, nodes: DataFrame, label: DataFrame, least: int, below: int) -> DataFrame:
+    """Pairs of members of different components, with agreements in the range, in lists that still have several."""
     placed = lists.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the least and greatest component differ if a list has several
     several = placed.groupBy("key").agg(
@@ -267,7 +273,7 @@ def cross_candidates(lists: DataFrame, nodes: DataFrame, label: DataFrame) -> Da
     marked = dealt.join(nodes.select("node", "bytes"), "node").select(
         "key", "low", "high", "side", "node", "component", "bytes", "earlier")
     return marked.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "node").mapInArrow(
-        _count_blocks, "a bigint, b bigint")
+        _count_blocks(least, below), "a bigint, b bigint")
 
 
 # --- confirming on full sets --------------------------------------------------------------
@@ -327,11 +333,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = write_down(prefix_lists(nodes), "lists")
     links = write_down(confirmed(write_down(star_candidates(lists, nodes), "pairs"), nodes, docs), "links")
     label = components(links)
-    cross = write_down(cross_candidates(lists, nodes, label).distinct(), "pairs")
-    if not cross.isEmpty():
-        more = write_down(confirmed(cross, nodes, docs), "links")
-        if not more.isEmpty():
-            label = components(links.union(more))
+    for least, below in ((LIKELY, K + 1), (CONFIRMED, LIKELY)):
+        cross = write_down(cross_candidates(lists, nodes, label, least, below).distinct(), "pairs")
+        if not cross.isEmpty():
+            more = write_down(confirmed(cross, nodes, docs), "links")
+            if not more.isEmpty():
+                links = links.union(more)
+                label = components(links)
     rep = nodes.select("node", "set_id", "rep")
     grouped = label.join(rep.select("node", "rep"), "node")
     least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
