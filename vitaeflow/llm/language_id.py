@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from vitaeflow.llm.common import array_function, parts, utf8
 from vitaeflow.llm.svm import train_svm
 
-#: Documents of each language that are learned from, and languages at most, the most frequent first.
-PER_LANGUAGE, LANGUAGES = 400, 64
+#: Documents of each language that are learned from; languages, the most frequent first; and documents in all.
+PER_LANGUAGE, LANGUAGES, DOCUMENTS = 400, 64, 6400
 #: Buckets of the n-grams of one, two and three bytes.
 _WIDTHS = (256, 1024, 4096)
 WIDTH = sum(_WIDTHS)
@@ -140,18 +140,19 @@ def _vectors():
 def train(docs: DataFrame, learn_from: Column) -> Model:
     """Learn from the rows for which ``learn_from`` holds and ``lang`` is not null.
 
-    Which rows is settled on ids alone; only their vectors come to the driver, at most
-    ``PER_LANGUAGE * LANGUAGES`` of some 20 KB.
+    Which rows is settled on ids alone; only their vectors come to the driver, at most ``DOCUMENTS``
+    of some 20 KB.
     """
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    each = min(PER_LANGUAGE, DOCUMENTS // max(1, common.count()))
     nth = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang").join(F.broadcast(common.select("lang")), "lang", "left_semi")
-    chosen = chosen.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
-    # at most PER_LANGUAGE * LANGUAGES ids
+    chosen = chosen.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= each).select("doc_id", "lang").distinct()
+    # at most DOCUMENTS ids
     picked = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     found = picked.select("lang", array_function(_vectors, "binary")(utf8("text")).alias("x")).limit(
-        2 * PER_LANGUAGE * LANGUAGES).toPandas()
+        2 * DOCUMENTS).toPandas()
     if found.empty:
         return Model((), (), np.zeros((0, WIDTH + 1)), ())
     order = found.sort_values(["lang", "x"], kind="stable")  # the same model whatever the tasks' order
