@@ -5,26 +5,33 @@ from vitaeflow.llm import positional_index as P
 
 
 def brute(docs, items, size=P.WINDOW, slop=0):
+    """Every run of words of every document, looked up among the windows or, with slop, compared one by one."""
+    windows = {}
+    for name, item in items:
+        for window in P.windows_of(P.words_of((item or "").encode()), size):
+            windows.setdefault(window, set()).add("null" if name is None else str(name))
     found = {}
     for i, text in docs:
         words = P.words_of((text or "").encode())
         hit, items_of = set(), set()
-        for name, item in items:
-            for window in P.windows_of(P.words_of((item or "").encode()), size):
-                for s in range(len(words) - len(window) + 1):
-                    rare = min(range(len(window)), key=lambda k: words.count(window[k]))
-                    if slop:
-                        near = all(any(0 <= s + k + d < len(words) and words[s + k + d] == w for d in range(-slop, slop + 1))
-                                   for k, w in enumerate(window)) and words[s + rare] == window[rare]
-                    else:
-                        near = tuple(words[s : s + len(window)]) == window
-                    if near:
-                        hit |= set(range(s, s + len(window)))
-                        items_of.add(str(name) if name is not None else "null")
+        if slop:
+            pairs = [(w, s) for w in windows for s in range(len(words) - len(w) + 1) if near(words, w, s, slop)]
+        else:
+            runs = ((tuple(words[s : s + n]), s) for n in {len(w) for w in windows} for s in range(len(words) - n + 1))
+            pairs = [(w, s) for w, s in runs if w in windows]
+        for window, s in pairs:
+            hit |= set(range(s, s + len(window)))
+            items_of |= windows[window]
         found[i] = (len(words), len(hit), sorted(items_of))
     return found
 
 
+def near(words, window, s, slop):
+    rare = min(range(len(window)), key=lambda k: words.count(window[k]))
+    there = (any(0 <= s + k + d < len(words) and words[s + k + d] == w for d in range(-slop, slop + 1)) for k, w in enumerate(window))
+    return words[s + rare] == window[rare] and all(there)
+
+
 def tables(spark, seed=3):
     rng = random.Random(seed)
     word = lambda: rng.choice("aa bb cc Dd éé ff7 g".split())

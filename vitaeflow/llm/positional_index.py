@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import Numbering, free_name, parts, utf8
-from vitaeflow.session import new_folder
+from vitaeflow.llm.common import Numbering, free_name, parts, utf8, write_down
+from vitaeflow.session import lookup_side, new_folder
 
 #: Words of a block, unless one document has more.
 BLOCK_WORDS = 1 << 18
@@ -281,13 +281,13 @@ def judge(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns.
 
-    Contaminated ids are few or many; the join is an anti join on ``doc_id``, whose many-sided
-    keys adaptive execution splits. Rows that share a ``doc_id`` go together; those whose
-    ``doc_id`` is null cannot be named and are judged by their text's hash instead.
+    Contaminated ids are written down and looked up, broadcast if they measure small, so that texts
+    stay where they are. Rows that share a ``doc_id`` go together; those whose ``doc_id`` is null
+    cannot be named and are judged by their text's hash instead.
     """
     key = free_name(docs, "key")
     named = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
     marked = docs.withColumn(key, named)
     index = build(docs.select(named.alias("doc_id"), "text"))
-    bad = judge(search(index, benchmark)).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
-    return marked.join(bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    bad = write_down(judge(search(index, benchmark)).where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "bad")
+    return marked.join(lookup_side(bad), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
