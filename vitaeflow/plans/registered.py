@@ -587,7 +587,8 @@ def index_documents(spark, sf_dir):
 @register
 def embed_hash(spark, sf_dir):
     rows = models.hash_embed(table(spark, sf_dir, "documents").select("doc_id", "text"), dimension=256)
-    cells = rows.select("doc_id", F.posexplode("vector").alias("place", "cell"))
+    # the outer form, as the inner one would infer a filter that computes every vector again
+    cells = rows.select("doc_id", F.posexplode_outer("vector").alias("place", "cell"))
     return cells.withColumn("cell", F.round(F.col("cell").cast("double"), 5))
 
 
