@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitaeflow.llm import language_id as L
 from vitaeflow.llm import quality_classifier as C
 from vitaeflow.llm.registered import LLM_QUERIES
-from vitaeflow.llm.svm import train_svm
+from vitaeflow.llm.svm import train_svm, train_svms
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,6 +55,35 @@ def test_language_odd_rows(spark):
     assert L.identify(odd_rows.no_documents(spark), model).count() == 0
 
 
+def test_every_language_has_its_machine(spark):
+    """More languages than any fixed number of classes, the last ones rare; one id in thousands of rows crowds none out."""
+    rng = np.random.default_rng(3)
+    words = {f"q{k:03}": [bytes(rng.integers(97, 123, 5)).decode() for _ in range(4)] for k in range(90)}
+    rows = [(100 * k + i, " ".join(rng.choice(own, 40)), lang)
+            for k, (lang, own) in enumerate(words.items()) for i in range(2 if k >= 60 else 4)]
+    rows += [(0, rows[0][1], "q000")] * 20_000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = L.train(docs, F.lit(True))
+    assert {lang for family in model.languages for lang in family} == set(words)
+    found = L.identify(docs.dropDuplicates(["doc_id"]), model).join(docs.dropDuplicates(["doc_id"]), "doc_id").collect()
+    assert len(found) == 300 and all(r["lang_pred"] == r["lang"] for r in found)
+
+
+def test_languages_share_the_sample():
+    assert L.quota([10**9] * 4) == 400 and L.quota([]) == 400
+    assert L.quota([10**9] * 10 + [5] * 300) == 400  # rare languages leave their part to the others
+    assert L.quota([10**9] * 64) == 100
+    assert L.quota([10**9] * 5000) == L.LEAST
+
+
+def test_machines_trained_together_are_those_trained_alone():
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(60, 7)).astype(np.float32)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    signs = np.stack([np.sign(rows[:, 0]), np.sign(rows[:, 1] - 0.1), np.ones(60)], axis=1).astype(np.float32)
+    assert np.allclose(train_svms(rows, signs), [train_svm(rows, sign) for sign in signs.T], atol=1e-3)
+
+
 def test_quality_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))

@@ -8,7 +8,9 @@ told apart by machines that have seen nothing but those two.
 
 The machines are trained on the driver from vectors of at most
 ``PER_LANGUAGE`` documents of each language, chosen by a hash of the id; the
-texts stay in the tasks. Everything else covers all rows.
+texts stay in the tasks. Every language has its machine, however many there
+are: if they are many, each is learned from fewer documents, but not from
+fewer than ``LEAST`` where it has them. Everything else covers all rows.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0,
 as is every text if there was nothing to learn from. A language outside the
@@ -25,10 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaeflow.llm.common import array_function, parts, utf8
-from vitaeflow.llm.svm import train_svm
+from vitaeflow.llm.svm import train_svm, train_svms
 
-#: Documents of each language that are learned from; languages, the most frequent first; and documents in all.
-PER_LANGUAGE, LANGUAGES, DOCUMENTS = 400, 64, 6400
+#: Documents of each language that are learned from, at most; so many of each in any case; and documents in all otherwise.
+PER_LANGUAGE, LEAST, DOCUMENTS = 400, 20, 6400
 #: Buckets of the n-grams of one, two and three bytes.
 _WIDTHS = (256, 1024, 4096)
 WIDTH = sum(_WIDTHS)
@@ -115,7 +117,7 @@ def fit(vectors: np.ndarray, langs: list[str]) -> Model:
         by_family.setdefault(FAMILIES.get(lang, lang), []).append(lang)
     families = tuple(sorted(by_family))
     family_of = np.array([FAMILIES.get(lang, lang) for lang in langs], dtype=object)
-    top = np.array([train_svm(vectors, np.where(family_of == f, 1.0, -1.0).astype(np.float32)) for f in families])
+    top = train_svms(vectors, np.where(family_of[:, None] == np.array(families, dtype=object), 1.0, -1.0).astype(np.float32))
     pairs = []
     for f in families:
         made = []
@@ -137,22 +139,28 @@ def _vectors():
     return work
 
 
+def quota(counts: list[int]) -> int:
+    """Documents of each language to learn from: as many as fit ``DOCUMENTS`` in all, but ``LEAST`` in any case."""
+    fits = (each for each in range(PER_LANGUAGE, LEAST, -1) if sum(min(n, each) for n in counts) <= DOCUMENTS)
+    return next(fits, LEAST)
+
+
 def train(docs: DataFrame, learn_from: Column) -> Model:
     """Learn from the rows for which ``learn_from`` holds and ``lang`` is not null.
 
-    Which rows is settled on ids alone; only their vectors come to the driver, at most ``DOCUMENTS``
-    of some 20 KB.
+    Which rows is settled on ids alone; only their vectors, of some 20 KB, come to the driver: at most
+    ``DOCUMENTS``, or ``LEAST`` of each language if those are more.
     """
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    each = min(PER_LANGUAGE, DOCUMENTS // max(1, common.count()))
+    each = quota([r["count"] for r in rows.groupBy("lang").count().collect()])
     nth = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").join(F.broadcast(common.select("lang")), "lang", "left_semi")
-    chosen = chosen.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= each).select("doc_id", "lang").distinct()
-    # at most DOCUMENTS ids
+    chosen = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(nth)).where(
+        F.col("nth") <= each).select("doc_id", "lang").distinct()
     picked = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    found = picked.select("lang", array_function(_vectors, "binary")(utf8("text")).alias("x")).limit(
-        2 * DOCUMENTS).toPandas()
+    vectors = picked.select("doc_id", "lang", array_function(_vectors, "binary")(utf8("text")).alias("x"))
+    # rows that repeat an id may be more; each language is cut for itself, so that none is crowded out
+    vectors = vectors.withColumn("nth", F.row_number().over(nth.orderBy(F.xxhash64("doc_id"), "doc_id", "x")))
+    found = vectors.where(F.col("nth") <= each).select("lang", "x").toPandas()
     if found.empty:
         return Model((), (), np.zeros((0, WIDTH + 1)), ())
     order = found.sort_values(["lang", "x"], kind="stable")  # the same model whatever the tasks' order
