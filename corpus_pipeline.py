@@ -19,6 +19,9 @@ from vitaeflow.llm.common import free_name, table, write_down  # noqa: E402
 from vitaeflow.llm.registered import piece_model  # noqa: E402
 from vitaeflow.session import configure  # noqa: E402
 
+#: Percent of similarity from which the near-dedup stage links texts; the op5 query has its own.
+NEAR = 80
+
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a rule of the production policy go."""
@@ -26,8 +29,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest ``doc_id`` stays."""
-    return minhash_join.keep_one(docs)
+    """Of each group of near copies, five words and similarity 0.8 or more, the smallest ``doc_id`` stays."""
+    return minhash_join.keep_one(docs, NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

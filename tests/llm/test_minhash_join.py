@@ -59,6 +59,29 @@ def test_groups_match_brute_force(spark, monkeypatch):
     assert result(M.near_duplicates(docs)) == expected
 
 
+def test_similarity_is_a_parameter(spark):
+    """Pairs between 0.80 and 0.85 are linked at 80 and not at 85."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    texts = []
+    for k in range(0, 40, 2):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        edited = list(base)
+        for at in range(20, 20 + 30 * 6, 30):  # 6 edits touch 30 of 296 shingles: 266 / 326 = 0.816
+            edited[at] = "x"
+        texts += [(k, " ".join(base)), (k + 1, " ".join(edited))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert all(r["kept"] for r in M.near_duplicates(docs).collect())
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in M.near_duplicates(docs, 80).collect())
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(range(0, 40, 2))
+
+
+def test_asked_agreements_follow_the_similarity():
+    assert M.agreements_for(85) == M.Agreements(85, 43, 403, 436)
+    assert M.agreements_for(80) == M.Agreements(80, 38, 373, 410)
+
+
 def test_signatures_estimate_similarity():
     rng = random.Random(4)
     a = [str(rng.random()) for _ in range(400)]

@@ -4,8 +4,8 @@ A text's set is its distinct 5-word shingles. Equal sets form one class first,
 so that copies in any number are one node from there on. A class has a
 signature of ``K`` coordinates, and is posted under coordinate-value pairs:
 
-* Two classes are candidates if they agree in ``MATCHES`` of ``POSTED``
-  coordinates and in ``CONFIRMED`` of all ``K``.
+* Two classes are candidates if they agree in enough of ``POSTED``
+  coordinates and in enough of all ``K`` (``agreements_for`` a similarity).
 * Prefix: pairs that only one class has cannot be shared. Of the others, taken
   from rare to frequent, a class is posted under so few that any partner with
   enough agreements meets it in one of them; a class with too few shared pairs
@@ -34,7 +34,10 @@ a class like other copies. Empty tables give empty results. Extra columns are
 not read.
 """
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +49,9 @@ from vitaeflow.llm.components import components
 from vitaeflow.session import lookup_side
 
 SHINGLE = 5
-#: Links: 100 * |A and B| >= LEAST * |A or B|.
+#: Links: 100 * |A and B| >= LEAST * |A or B|, unless another percentage is asked for.
 LEAST = 85
 K, POSTED = 512, 64
-#: Four standard deviations and more below what pairs of similarity 0.85 agree in.
-MATCHES, CONFIRMED = 43, 403
-#: What pairs of similarity 0.85 agree in on average.
-LIKELY = 436
 #: Members of a list that one task compares with each other or with another block.
 BLOCK = 4096
 #: Words of one task whose hashes are remembered.
@@ -66,6 +65,29 @@ _WIDE = _MIX.integers(1, 1 << 63, (2, POSTED), dtype=np.uint64) * np.uint64(2) +
 _NARROW = _MIX.integers(1, 1 << 31, (2, K - POSTED), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+@dataclass(frozen=True)
+class Agreements:
+    """What is asked of pairs, from the percentage ``least`` of their similarity.
+
+    ``matches`` of the posted coordinates and ``confirmed`` of all are about four standard deviations
+    below what pairs at ``least`` agree in; ``likely`` is what they agree in on average. Bytes of
+    different coordinates agree once in 256.
+    """
+
+    least: int
+    matches: int
+    confirmed: int
+    likely: int
+
+
+def agreements_for(least: int) -> Agreements:
+    share = least / 100
+    same = share + (1 - share) / 256
+    return Agreements(
+        least, max(1, round(POSTED * share - 4 * math.sqrt(POSTED * share * (1 - share)))),
+        max(1, math.floor(K * same - 4 * math.sqrt(K * same * (1 - same)))), math.ceil(K * same))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (wraps round on purpose)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -162,7 +184,7 @@ def _pairs_of_signature():
     return work
 
 
-def prefix_lists(nodes: DataFrame) -> DataFrame:
+def prefix_lists(nodes: DataFrame, matches: int) -> DataFrame:
     """``(key, node, earlier)``: the lists under which each class is posted.
 
     ``earlier`` are the lists before this one, from rare to frequent, of the same class.
@@ -171,8 +193,8 @@ def prefix_lists(nodes: DataFrame) -> DataFrame:
     pairs = nodes.select("node", F.explode(keys).alias("key"))
     shared = pairs.groupBy("key").count().where("count > 1")
     own = pairs.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("own"))
-    # K coordinates, K - MATCHES may differ: of the shared pairs, so many must be looked at
-    posted = own.where(F.size("own") >= MATCHES).select("node", F.slice("own.key", F.lit(1), F.size("own") - (MATCHES - 1)).alias("keys"))
+    # all but so many coordinates may differ: of the shared pairs, so many must be looked at
+    posted = own.where(F.size("own") >= matches).select("node", F.slice("own.key", F.lit(1), F.size("own") - (matches - 1)).alias("keys"))
     return posted.select("node", "keys", F.posexplode("keys").alias("at", "key")).select(
         "key", "node", F.slice("keys", F.lit(1), F.col("at")).alias("earlier"))
 
@@ -184,21 +206,21 @@ def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(-1)
 
 
-def _agree():
+def _agree(confirmed: int):
     def work(pairs: pa.Array) -> pa.Array:
         a, b = (np.frombuffer(b"".join(pairs.field(n).to_pylist()), np.uint8).reshape(-1, K) for n in ("x", "y"))
-        return pa.array(agreements(a, b) >= CONFIRMED)
+        return pa.array(agreements(a, b) >= confirmed)
 
     return work
 
 
-def star_candidates(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+def star_candidates(lists: DataFrame, nodes: DataFrame, confirmed: int) -> DataFrame:
     """Pairs of each list's smallest member with its others that agree often enough."""
     smallest = lists.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     pairs = lists.select("key", F.col("node").alias("b")).join(smallest, "key").where("a < b").select("a", "b").distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("bytes").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("bytes").alias("y"))
-    agree = array_function(_agree, "boolean")
+    agree = array_function(partial(_agree, confirmed), "boolean")
     return pairs.join(left, "a").join(right, "b").withColumn("ok", agree(F.struct("x", "y"))).where("ok").select("a", "b")
 
 
@@ -279,31 +301,34 @@ def cross_candidates(lists: DataFrame, nodes: DataFrame, label: DataFrame, least
 # --- confirming on full sets --------------------------------------------------------------
 
 
-def _same_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, kept = WordHashes(), {}
+def _same_enough(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, kept = WordHashes(), {}
+
+        def of(node: int, name: bytes, data: bytes) -> np.ndarray | None:
+            # partners often come one after another
+            if node not in kept:
+                if len(kept) >= 8:
+                    kept.clear()
+                found = shingles(data, known)
+                same = np.array([found.sum(), _mixed(found + np.uint64(1)).sum()], np.uint64).tobytes() == name
+                kept[node] = found if same else None  # another text under the same doc_id
+            return kept[node]
 
-    def of(node: int, name: bytes, data: bytes) -> np.ndarray | None:
-        # partners often come one after another
-        if node not in kept:
-            if len(kept) >= 8:
-                kept.clear()
-            found = shingles(data, known)
-            same = np.array([found.sum(), _mixed(found + np.uint64(1)).sum()], np.uint64).tobytes() == name
-            kept[node] = found if same else None  # another text under the same doc_id
-        return kept[node]
-
-    for batch in batches:
-        linked = []
-        for a, b, name_a, name_b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            x, y = of(a, name_a, text_a), of(b, name_b, text_b)
-            if x is not None and y is not None:
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * both >= LEAST * (len(x) + len(y) - both):
-                    linked.append((a, b))
-        yield pa.record_batch([pa.array([p[i] for p in linked], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+        for batch in batches:
+            linked = []
+            for a, b, name_a, name_b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                x, y = of(a, name_a, text_a), of(b, name_b, text_b)
+                if x is not None and y is not None:
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    if 100 * both >= least * (len(x) + len(y) - both):
+                        linked.append((a, b))
+            yield pa.record_batch([pa.array([p[i] for p in linked], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """The pairs whose full sets are similar enough.
 
     Only texts of classes in ``pairs`` move. The ids that are looked up in ``docs`` are broadcast if
@@ -316,34 +341,35 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     left = texts.toDF("a", "name_a", "text_a")
     right = texts.toDF("b", "name_b", "text_b")
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b", "text_a", "text_b")
-    return met.mapInArrow(_same_enough, "a bigint, b bigint").distinct()
+    return met.mapInArrow(_same_enough(least), "a bigint, b bigint").distinct()
 
 
 # --- the whole job ----------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
-    ``component_id`` is the smallest ``doc_id`` that links lead to, itself included; null where
+    Texts are linked from ``least`` percent similarity on. ``component_id`` is the smallest ``doc_id`` that links lead to, itself included; null where
     ``doc_id`` is.
     """
     signed = write_down(signatures(docs), "signed")
     nodes = write_down(classes(signed), "classes")
-    lists = write_down(prefix_lists(nodes), "lists")
-    links = write_down(confirmed(write_down(star_candidates(lists, nodes), "pairs"), nodes, docs), "links")
+    asked = agreements_for(least)
+    lists = write_down(prefix_lists(nodes, asked.matches), "lists")
+    links = write_down(confirmed(write_down(star_candidates(lists, nodes, asked.confirmed), "pairs"), nodes, docs, least), "links")
     label = components(links)
-    for least, below in ((LIKELY, K + 1), (CONFIRMED, LIKELY)):
-        cross = write_down(cross_candidates(lists, nodes, label, least, below).distinct(), "pairs")
+    for low, below in ((asked.likely, K + 1), (asked.confirmed, asked.likely)):
+        cross = write_down(cross_candidates(lists, nodes, label, low, below).distinct(), "pairs")
         if not cross.isEmpty():
-            more = write_down(confirmed(cross, nodes, docs), "links")
+            more = write_down(confirmed(cross, nodes, docs, least), "links")
             if not more.isEmpty():
                 links = links.union(more)
                 label = components(links)
     rep = nodes.select("node", "set_id", "rep")
     grouped = label.join(rep.select("node", "rep"), "node")
-    least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
-    linked = grouped.join(least, "component").select("node", "least")
+    smallest = grouped.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = grouped.join(smallest, "component").select("node", "least")
     named = rep.join(linked, "node", "left").select("set_id", F.coalesce("least", "rep").alias("group"))
     found = signed.select("doc_id", "n", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
@@ -351,13 +377,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, and all whose ``doc_id`` is null; columns as they were.
 
     Ids to drop are looked up (broadcast if measured small), so texts stay in place. Rows that
     repeat a ``doc_id`` are reduced to one, with a shuffle only if there are any.
     """
-    judged = write_down(near_duplicates(docs), "judged")
+    judged = write_down(near_duplicates(docs, least), "judged")
     gone = free_name(docs, "gone")
     drop = judged.where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
     number = free_name(docs, "number")
