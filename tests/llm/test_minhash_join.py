@@ -59,6 +59,25 @@ def test_groups_match_brute_force(spark, monkeypatch):
     assert result(M.near_duplicates(docs)) == expected
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Whatever the order: links of a text are found under an id that others have too, and no clean text goes with it."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    bases = [[word() for _ in range(200)] for _ in range(8)]
+    near = [" ".join(["x", *base[1:]]) for base in bases]
+    texts = [" ".join(base) for base in bases]
+    clean = [" ".join(word() for _ in range(50)) for _ in range(8)]
+    rows = [(k, t) for k in range(8) for t in (clean[k], texts[k])[:: 1 if k % 2 else -1]]  # an id for two texts
+    rows += [(100 + k, near[k]) for k in range(8)] + [(200, near[0]), (200, clean[0] + " more"), (300, texts[1]), (300, near[1]), (0, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = {(r["doc_id"], r["component_id"]) for r in M.near_duplicates(docs).collect()}
+    assert {(100 + k, k) for k in range(8)} <= found and (300, 1) in found
+    kept = sorted(tuple(r) for r in M.keep_one(docs).collect())
+    groups = [{texts[k], near[k]} for k in range(8)] + [{clean[0], clean[0] + " more"}] + [{t} for t in clean[1:]]
+    assert len(kept) == len(groups) and all(sum(t in group for _, t in kept) == 1 for group in groups)
+    assert all(i < 8 for i, _ in kept)
+
+
 def test_similarity_is_a_parameter(spark):
     """Pairs between 0.80 and 0.85 are linked at 80 and not at 85."""
     import corpus_pipeline

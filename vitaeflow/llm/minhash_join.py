@@ -41,7 +41,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitaeflow.llm.common import array_function, free_name, utf8, write_down
@@ -133,6 +133,21 @@ def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return wide, np.concatenate([_mixed(wide).astype(np.uint8), (_mixed(narrow.astype(np.uint64))).astype(np.uint8)])
 
 
+def _name(found: np.ndarray) -> bytes:
+    """Two independent sums name a set whatever the order."""
+    return np.array([found.sum(), _mixed(found + np.uint64(1)).sum()], np.uint64).tobytes()
+
+
+def _names():
+    known = WordHashes()
+
+    def work(texts: pa.Array) -> pa.Array:
+        sets = (shingles(data, known) for data in texts.to_pylist())
+        return pa.array([_name(found) if len(found) else None for found in sets], pa.binary())
+
+    return work
+
+
 _SETS = "struct<n: bigint, set_id: binary, wide: binary, bytes: binary>"
 
 
@@ -147,9 +162,7 @@ def _summary():
                 rows.append((0, None, None, None))
                 continue
             wide, small = signature(found)
-            # two independent sums name a set whatever the order
-            name = np.array([found.sum(), _mixed(found + np.uint64(1)).sum()], np.uint64).tobytes()
-            rows.append((len(found), name, wide.tobytes(), small.tobytes()))
+            rows.append((len(found), _name(found), wide.tobytes(), small.tobytes()))
         columns = zip(*rows) if rows else [()] * 4
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n", "set_id", "wide", "bytes"])
@@ -311,7 +324,7 @@ def _same_enough(least: int):
                 if len(kept) >= 8:
                     kept.clear()
                 found = shingles(data, known)
-                same = np.array([found.sum(), _mixed(found + np.uint64(1)).sum()], np.uint64).tobytes() == name
+                same = _name(found) == name
                 kept[node] = found if same else None  # another text under the same doc_id
             return kept[node]
 
@@ -328,16 +341,23 @@ def _same_enough(least: int):
     return run
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, repeated: bool) -> DataFrame:
     """The pairs whose full sets are similar enough.
 
     Only texts of classes in ``pairs`` move. The ids that are looked up in ``docs`` are broadcast if
-    measured small, so that the other texts stay where they are.
+    measured small, so that the other texts stay where they are. Where ids are ``repeated``, the text of
+    a class is told from others under its id by the name of its set, and taken once.
     """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = write_down(nodes.select("node", "rep", "set_id").join(wanted, "node", "left_semi"), "wanted")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("rep"), utf8("text").alias("text"))
-    texts = write_down(rows.join(lookup_side(wanted), "rep").select("node", "set_id", "text"), "texts")
+    if repeated:
+        ids = write_down(wanted.select("rep").distinct(), "ids")
+        rows = rows.join(lookup_side(ids), "rep", "left_semi").withColumn("set_id", array_function(_names, "binary")(F.col("text")))
+        found = rows.join(lookup_side(wanted), ["rep", "set_id"]).dropDuplicates(["node"])
+    else:
+        found = rows.join(lookup_side(wanted), "rep")
+    texts = write_down(found.select("node", "set_id", "text"), "texts")
     left = texts.toDF("a", "name_a", "text_a")
     right = texts.toDF("b", "name_b", "text_b")
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b", "text_a", "text_b")
@@ -347,33 +367,44 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: int) -
 # --- the whole job ----------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    return rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
 
-    Texts are linked from ``least`` percent similarity on. ``component_id`` is the smallest ``doc_id`` that links lead to, itself included; null where
-    ``doc_id`` is.
-    """
+
+def _judged(docs: DataFrame, least: int) -> DataFrame:
+    """``doc_id, n, set_id, component_id`` of every row, and ``chosen``, the set of its group that stays."""
     signed = write_down(signatures(docs), "signed")
     nodes = write_down(classes(signed), "classes")
+    repeated = not repeated_ids(signed).isEmpty()
     asked = agreements_for(least)
     lists = write_down(prefix_lists(nodes, asked.matches), "lists")
-    links = write_down(confirmed(write_down(star_candidates(lists, nodes, asked.confirmed), "pairs"), nodes, docs, least), "links")
+    links = write_down(confirmed(write_down(star_candidates(lists, nodes, asked.confirmed), "pairs"), nodes, docs, least, repeated), "links")
     label = components(links)
     for low, below in ((asked.likely, K + 1), (asked.confirmed, asked.likely)):
         cross = write_down(cross_candidates(lists, nodes, label, low, below).distinct(), "pairs")
         if not cross.isEmpty():
-            more = write_down(confirmed(cross, nodes, docs, least), "links")
+            more = write_down(confirmed(cross, nodes, docs, least, repeated), "links")
             if not more.isEmpty():
                 links = links.union(more)
                 label = components(links)
     rep = nodes.select("node", "set_id", "rep")
-    grouped = label.join(rep.select("node", "rep"), "node")
-    smallest = grouped.groupBy("component").agg(F.min("rep").alias("least"))
+    grouped = label.join(rep, "node")
+    smallest = grouped.groupBy("component").agg(F.min(F.struct("rep", "set_id")).alias("least"))
     linked = grouped.join(smallest, "component").select("node", "least")
-    named = rep.join(linked, "node", "left").select("set_id", F.coalesce("least", "rep").alias("group"))
+    named = rep.join(linked, "node", "left").select(
+        "set_id", F.coalesce("least.rep", "rep").alias("group"), F.coalesce("least.set_id", "set_id").alias("chosen"))
     found = signed.select("doc_id", "n", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
+    return found.select("doc_id", "n", "set_id", component.alias("component_id"), "chosen")
+
+
+def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row.
+
+    Texts are linked from ``least`` percent similarity on. ``component_id`` is the smallest ``doc_id`` that links lead to, itself included; null where
+    ``doc_id`` is.
+    """
+    return _judged(docs, least).select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
@@ -381,20 +412,25 @@ def keep_one(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, and all whose ``doc_id`` is null; columns as they were.
 
     Ids to drop are looked up (broadcast if measured small), so texts stay in place. Rows that
-    repeat a ``doc_id`` are reduced to one, with a shuffle only if there are any.
+    repeat a ``doc_id`` are told apart by their sets and reduced to one of each, with a shuffle only
+    if there are any.
     """
-    judged = write_down(near_duplicates(docs, least), "judged")
-    gone = free_name(docs, "gone")
-    drop = judged.where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
-    number = free_name(docs, "number")
+    judged = write_down(_judged(docs, least), "judged")
+    stays = F.col("doc_id").isNull() | (
+        (F.col("doc_id") == F.col("component_id")) & F.col("set_id").eqNullSafe(F.col("chosen")))
+    gone, number = free_name(docs, "gone"), free_name(docs, "number")
+    drop = judged.where(~stays).select(F.col("doc_id").alias(gone), "set_id").distinct()
     marked = docs.withColumn(number, F.col("doc_id").cast("bigint"))
-    left = marked.join(lookup_side(drop), F.col(f"`{number}`") == F.col(f"`{gone}`"), "left_anti")
-    repeated = judged.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        one = left.where(_named(number)).dropDuplicates([number])
-        left = one.unionByName(left.where(~_named(number)))
+    by_id = F.col(f"`{number}`") == F.col(f"`{gone}`")
+    repeated = write_down(repeated_ids(judged).select(F.col("doc_id").alias(gone)), "repeated")
+    if repeated.isEmpty():
+        left = marked.join(lookup_side(drop.select(gone)), by_id, "left_anti")
+    else:
+        several = lookup_side(repeated)
+        once = marked.join(several, by_id, "left_anti").join(lookup_side(drop.select(gone).distinct()), by_id, "left_anti")
+        name, other = free_name(docs, "set_name"), free_name(docs, "other_name")
+        again = marked.join(several, by_id, "left_semi").withColumn(name, array_function(_names, "binary")(utf8("text")))
+        drop = drop.withColumnRenamed("set_id", other)
+        again = again.join(lookup_side(drop), by_id & (F.col(f"`{name}`") == F.col(f"`{other}`")), "left_anti")
+        left = once.unionByName(again.dropDuplicates([number, name]).drop(name))
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-def _named(number: str) -> Column:
-    return F.col(f"`{number}`").isNotNull()
