@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vitaeflow.llm import (
     chat_format,
+    conversation_repair,
     html_extraction,
     language_id,
     minhash_join,
@@ -272,3 +273,73 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"), "ids", "nbest",
         F.col("back").eqNullSafe(F.col("text")).alias("decodes"),
     )
+
+
+@register
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a rule, with its faults and its cheapest repair."""
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.reports(conversation_repair.repair(rows, "present"))
+
+
+LLM_ORACLES["op11_conversation_repair"] = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                        lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+  FROM conversations
+), k AS (
+  SELECT * EXCLUDE (bytes), xor(list_reduce(bytes, lambda r, b: list_reduce(
+             [xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE z END)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind
+  FROM t
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM o
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM f GROUP BY conv_id
+), inserted(p, m, inserts, added) AS (
+  VALUES ('', '', '', CAST([] AS VARCHAR[])), ('', 'u', 'I', ['user:']), ('', 'a', 'II', ['user:', 'assistant:']),
+         ('s', 's', '', []), ('s', 'u', 'I', ['user:']), ('s', 'a', 'II', ['user:', 'assistant:']),
+         ('u', 'u', '', []), ('u', 'a', 'I', ['assistant:']), ('a', 'a', '', []), ('a', 'u', 'I', ['user:'])
+), follows(m, q, named) AS (
+  VALUES ('', 's', NULL), ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')
+), edits AS (
+  SELECT m, 'K' AS edit, q, 0 AS cost, NULL AS named FROM follows
+  UNION ALL SELECT m, 'R', q, 1, named FROM follows WHERE named IS NOT NULL
+  UNION ALL SELECT m, 'D', m, 2, NULL FROM (SELECT DISTINCT p AS m FROM inserted)
+), made(conv_id, i, state, cost, audit, said) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM f
+  UNION ALL
+  SELECT made.conv_id, f.i, q, made.cost + 5 * len(inserts) + edits.cost + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS total,
+         audit || inserts || edit AS longer,
+         list_concat(list_concat(said, added), CASE WHEN edit = 'D' THEN [] ELSE [coalesce(named, role) || ':' || text] END)
+  FROM made JOIN f ON made.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = made.i + 1
+  JOIN inserted ON p = state JOIN edits ON edits.m = inserted.m
+  WHERE edit = 'D' OR (fault IN ('', 'truncated') AND (edit = 'R' OR q = initial))
+  QUALIFY row_number() OVER (PARTITION BY made.conv_id, q ORDER BY total, longer) = 1
+), closed AS (
+  SELECT made.conv_id, cost + 5 * len(inserts) AS cost, audit || inserts AS audit, list_concat(said, added) AS said
+  FROM made JOIN counted ON made.conv_id IS NOT DISTINCT FROM counted.conv_id AND made.i = n
+  JOIN inserted ON p = state AND ((p = '' AND m = '') OR m = 'a')
+  QUALIFY row_number() OVER (PARTITION BY made.conv_id ORDER BY made.cost + 5 * len(inserts), audit || inserts) = 1
+)
+SELECT every.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS every
+LEFT JOIN counted ON every.conv_id IS NOT DISTINCT FROM counted.conv_id
+LEFT JOIN closed ON every.conv_id IS NOT DISTINCT FROM closed.conv_id
+"""
