@@ -1,0 +1,149 @@
+"""Mixing against targets and samples computed plainly from all rows."""
+
+import hashlib
+import math
+import random
+from collections import defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import odd_rows
+import oracle
+from vitaeflow.llm import source_mixing as sm
+
+WS = " \t\n\v\f\r"
+
+
+def size(text):
+    for c in WS:
+        text = (text or "").replace(c, " ")
+    return len([w for w in text.split(" ") if w])
+
+
+def key(i, text, weight):
+    number = int(hashlib.md5(f"{'' if i is None else i}:{text or ''}".encode()).hexdigest()[:13], 16)
+    return -math.log((number + 0.5) / 2**52) / weight
+
+
+def brute_targets(sizes):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, held = sum(sizes.values()), set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in held)
+        free = [s for s in names if s not in held]
+        weights = sum(weight[s] for s in free)
+        above = [s for s in free if left * weight[s] > 3 * sizes[s] * weights]
+        if not above:
+            return {s: (3 * sizes[s], 3 * sizes[s]) if s in held else (left * weight[s] / weights, left * weight[s] // weights) for s in names}
+        held.update(above)
+
+
+def brute(rows):
+    """``rows``: id, source, text, weight."""
+    sizes, by_key = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for i, source, text, weight in rows:
+        sizes[source] += size(text)
+        if size(text):
+            by_key[source][key(i, text, weight)] += size(text)
+    aims = brute_targets(sizes)
+    share = {}
+    for source, found in by_key.items():
+        rest = aims[source][1] % sizes[source]
+        for k in sorted(found):
+            share[source, k] = (min(rest, found[k]), found[k])
+            rest -= min(rest, found[k])
+    made = []
+    for i, source, text, weight in rows:
+        n = size(text)
+        part, whole = share.get((source, key(i, text, weight)), (0, 1))
+        epochs = aims[source][1] // sizes[source] if sizes[source] else 0
+        made.append((i, n, sizes[source], float(aims[source][0]), epochs * n + n * part // whole))
+    return made
+
+
+def text(chance, n):
+    return "".join(chance.choice(["word", "é", "three-part"]) + chance.choice([" ", "\n", " \t "]) for _ in range(n))
+
+
+def rows_of(seed, n=600):
+    chance = random.Random(seed)
+    rows = [(i, "hot" if i % 3 == 0 else chance.choice(["a", "B", "z", "é", "😀", "￿", None, "rare"] if i % 50 == 0 else ["a", "B", "z"]),
+             text(chance, chance.choice([0, 1, 5, 60]))) for i in range(n)]
+    copies = [(7, "hot", "the same row " * 9)] * 80
+    return rows + copies + [(None, "a", None), (None, None, "no id"), (None, None, "no id")]
+
+
+def normal(rows):
+    return sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix_matches_brute_force(spark, seed):
+    rows = rows_of(seed)
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(7)
+    got = [tuple(r) for r in sm.mix(df, F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(0.5)).select(
+        "doc_id", "size", "source_size", "target", "taken").collect()]
+    weighted = [(i, s, t, 3.0 if i is not None and i % 2 == 0 else 0.5) for i, s, t in rows]
+    assert normal(got) == normal(brute(weighted))
+    words, aim, limit = defaultdict(int), {}, all(r[4] <= 3 * r[1] for r in got)
+    for (_, source, _), (_, _, whole, target, _) in zip(rows, brute(weighted)):
+        aim[source] = target
+    for r in sm.mix(df).collect():
+        words[r["source"]] += r["taken"]
+    # only copies that share what is left can miss a target, by less than a word each
+    assert limit and all(aim[s] - 81 <= words[s] <= aim[s] for s in aim)
+
+
+def test_ranges_of_names_rank_alike(spark, monkeypatch):
+    rows = [(i, f"source {i % 97}", "one two three") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    whole = oracle.from_spark(sm.mix(df))
+    monkeypatch.setattr(sm, "RANGE_ROWS", 10)
+    assert oracle.from_spark(sm.mix(df)) == whole
+
+
+def test_heavier_documents_come_sooner(spark):
+    rows = [(i, "small" if i % 10 == 0 else "large", "w " * 20) for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    weighed = sm.mix(df, F.when(F.col("doc_id") % 4 == 1, 4.0).otherwise(1.0)).where("source = 'large'")
+    share = {r[0]: r[1] for r in weighed.groupBy(F.col("doc_id") % 4 == 1).agg(F.avg((F.col("sampled") > 0).cast("int"))).collect()}
+    assert share[True] > 0.95 and share[False] < 0.8
+    # a scale of all weights changes nothing
+    assert oracle.from_spark(sm.mix(df, F.lit(1.0))) == oracle.from_spark(sm.mix(df, F.lit(512.0)))
+
+
+def test_texts_of_the_mix_have_the_words_taken(spark):
+    df = spark.createDataFrame(rows_of(5), "doc_id bigint, source string, text string")
+    taken = {(r["doc_id"], r["source"], r["size"]): 0 for r in sm.mix(df).collect()}
+    total = sum(r["taken"] for r in sm.mix(df).collect())
+    texts = sm.mixed_texts(df).collect()
+    assert sum(size(r["text"]) for r in texts) == total and taken
+    originals = {(r["doc_id"], r["text"]) for r in df.collect()}
+    assert all(any(i == r["doc_id"] and t.startswith(r["text"]) for i, t in originals if t) for r in texts)
+
+
+def test_odd_rows(spark):
+    docs = odd_rows.documents(spark).withColumn("source", F.when(F.col("doc_id") > 2, "s"))
+    got = sm.mix(docs, F.lit(None)).collect()
+    assert len(got) == len(odd_rows.TEXTS)
+    assert normal(tuple(r[c] for c in ("doc_id", "size", "source_size", "target", "taken")) for r in got) == normal(
+        brute([(i, "s" if i and i > 2 else None, t, sm.LEAST_WEIGHT) for i, t in odd_rows.TEXTS]))
+    assert sm.mix(docs.limit(0)).collect() == []
+    nothing = docs.withColumn("text", F.lit(None).cast("string"))
+    assert {(r["target"], r["taken"]) for r in sm.mix(nothing).collect()} == {(0.0, 0)}
+
+
+def test_sql_agrees_on_odd_tables(spark, tmp_path):
+    from vitaeflow.llm.registered import LLM_ORACLES, LLM_QUERIES
+
+    spark.createDataFrame(rows_of(9), "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (7, 1), (3, 0)], "doc_id bigint, quality int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = oracle.from_spark(LLM_QUERIES["op12_source_mixing"](spark, str(tmp_path)))
+    assert got == oracle.from_sql(con, LLM_ORACLES["op12_source_mixing"])

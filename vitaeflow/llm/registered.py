@@ -18,6 +18,7 @@ from vitaeflow.llm import (
     quality_rules,
     secret_scan,
     sharding,
+    source_mixing,
 )
 from vitaeflow.llm.common import table
 from vitaeflow.session import configure
@@ -343,3 +344,53 @@ FROM (SELECT DISTINCT conv_id FROM conversations) AS every
 LEFT JOIN counted ON every.conv_id IS NOT DISTINCT FROM counted.conv_id
 LEFT JOIN closed ON every.conv_id IS NOT DISTINCT FROM closed.conv_id
 """
+
+
+@register
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources takes; labelled quality weighs the sample."""
+    docs, weight = source_mixing.label_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return source_mixing.mix(docs, weight).select("doc_id", "size", "source_size", "target", "taken")
+
+
+LLM_ORACLES["op12_source_mixing"] = r"""
+WITH best AS (
+  SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT d.doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5)
+             / 4503599627370496) / CASE best.quality WHEN 1 THEN 4.0 WHEN 0 THEN 1.0 ELSE 2.0 END AS key
+  FROM documents d LEFT JOIN best USING (doc_id)
+), s AS (
+  SELECT source, sum(size) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+         coalesce(sum(3 * source_size) OVER w, 0) AS held, coalesce(sum(weight) OVER w, 0) AS held_weights
+  FROM s WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), h AS (
+  SELECT *, bool_and((total - held) * weight > (weights - held_weights) * 3 * source_size)
+              OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above
+  FROM o
+), l AS (
+  SELECT *, max(total) OVER () - coalesce(sum(3 * source_size) FILTER (above) OVER (), 0) AS left_over,
+         sum(weight) FILTER (NOT above) OVER () AS left_weights
+  FROM h
+), t AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size,
+         CASE WHEN above THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(left_over * weight AS DOUBLE) / CAST(left_weights AS DOUBLE) END AS target,
+         CAST(CASE WHEN above THEN 3 * source_size ELSE left_over * weight // left_weights END AS BIGINT) AS budget
+  FROM l
+), a AS (
+  SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs,
+         budget - CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * source_size AS rest
+  FROM t
+), keys AS (
+  SELECT source, key, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY key) AS until FROM d WHERE size > 0 GROUP BY source, key
+)
+SELECT d.doc_id, d.size, a.source_size, a.target,
+       CAST(a.epochs * d.size + CASE WHEN keys.key IS NULL OR until - words >= rest THEN 0 WHEN until <= rest THEN d.size
+                                     ELSE d.size * (rest - until + words) // words END AS BIGINT) AS taken
+FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source
+LEFT JOIN keys ON d.source IS NOT DISTINCT FROM keys.source AND d.key = keys.key AND d.size > 0
+"""
