@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in LLM_QUERIES) == [*range(1, 13)]
+    assert sorted(int(name[2:].split("_")[0]) for name in LLM_QUERIES) == [*range(1, 14)]
 
 
 def test_secret_query_matches_regular_expressions(spark):

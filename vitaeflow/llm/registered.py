@@ -12,6 +12,7 @@ from vitaeflow.llm import (
     html_extraction,
     language_id,
     minhash_join,
+    negative_mining,
     piece_lattice,
     positional_index,
     quality_classifier,
@@ -394,3 +395,32 @@ SELECT d.doc_id, d.size, a.source_size, a.target,
 FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source
 LEFT JOIN keys ON d.source IS NOT DISTINCT FROM keys.source AND d.key = keys.key AND d.size > 0
 """
+
+
+@register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor's hard negatives; labels of one row in seven are moved on first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negative_mining.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+LLM_ORACLES["op13_hard_negatives"] = r"""
+WITH r AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS nth
+  FROM p WHERE same QUALIFY nth <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor, nth ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN (SELECT * FROM p WHERE NOT same) AS n USING (anchor, anchor_id)
+WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
