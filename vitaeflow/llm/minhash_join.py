@@ -14,13 +14,13 @@ signature of ``K`` coordinates, and is posted under coordinate-value pairs:
 * First every list links its members to its smallest one only. Candidates are
   confirmed on the full sets and give first components. Lists whose members
   all came together are done.
-* In the other lists, agreements are counted between members of different
-  components on signature bytes, in blocks of bounded size; a long list is cut
-  into blocks and pairs of blocks are dealt to tasks. Only pairs above the
-  threshold leave the task, each from the first list that has both. This is
-  done twice: first for pairs that are likely links, and once those are
-  confirmed and have joined components, for the less likely ones between
-  components that are still apart.
+* In the other lists, members of different components are compared inside the
+  tasks, in blocks of bounded bytes that hold signatures and full sets: a long
+  list is cut into blocks and pairs of blocks are dealt to tasks. Agreements are
+  counted on signature bytes, pairs with enough of them are confirmed on the sets
+  in the first list that has both, and what is confirmed joins at once, so that
+  further pairs inside a component are passed over. What leaves a task is a
+  spanning forest: fewer links than members, however many pairs are near.
 
 Pairs are decided by the full sets, so no pair below the similarity is linked.
 A pair at exactly 0.85 is missed if fewer coordinates agree than asked for:
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import array_function, free_name, utf8, write_down
+from vitaeflow.llm.common import array_function, free_name, parts, utf8, write_down
 from vitaeflow.llm.components import components
 from vitaeflow.session import lookup_side
 
@@ -52,8 +52,8 @@ SHINGLE = 5
 #: Links: 100 * |A and B| >= LEAST * |A or B|, unless another percentage is asked for.
 LEAST = 85
 K, POSTED = 512, 64
-#: Members of a list that one task compares with each other or with another block.
-BLOCK = 4096
+#: Members of a list, and bytes of their signatures and sets, that one task compares with each other or with another block.
+BLOCK, BLOCK_BYTES = 4096, 32_000_000
 #: Words of one task whose hashes are remembered.
 _REMEMBERED = 1 << 20
 
@@ -70,14 +70,12 @@ class Agreements:
     """What is asked of pairs, from the percentage ``least`` of their similarity.
 
     ``matches`` of the posted coordinates and ``confirmed`` of all are about four standard deviations
-    below what pairs at ``least`` agree in; ``likely`` is what they agree in on average. Bytes of
-    different coordinates agree once in 256.
+    below what pairs at ``least`` agree in. Bytes of different coordinates agree once in 256.
     """
 
     least: int
     matches: int
     confirmed: int
-    likely: int
 
 
 def agreements_for(least: int) -> Agreements:
@@ -85,7 +83,7 @@ def agreements_for(least: int) -> Agreements:
     same = share + (1 - share) / 256
     return Agreements(
         least, max(1, round(POSTED * share - 4 * math.sqrt(POSTED * share * (1 - share)))),
-        max(1, math.floor(K * same - 4 * math.sqrt(K * same * (1 - same)))), math.ceil(K * same))
+        max(1, math.floor(K * same - 4 * math.sqrt(K * same * (1 - same)))))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -204,8 +202,9 @@ def prefix_lists(nodes: DataFrame, matches: int) -> DataFrame:
     """
     keys = array_function(_pairs_of_signature, "array<bigint>")(F.col("wide"))
     pairs = nodes.select("node", F.explode(keys).alias("key"))
-    shared = pairs.groupBy("key").count().where("count > 1")
-    own = pairs.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("own"))
+    # written down, so that adaptive execution can split the rows of a hot pair
+    shared = write_down(pairs.groupBy("key").count().where("count > 1"), "shared")
+    own = pairs.join(lookup_side(shared), "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("own"))
     # all but so many coordinates may differ: of the shared pairs, so many must be looked at
     posted = own.where(F.size("own") >= matches).select("node", F.slice("own.key", F.lit(1), F.size("own") - (matches - 1)).alias("keys"))
     return posted.select("node", "keys", F.posexplode("keys").alias("at", "key")).select(
@@ -230,6 +229,7 @@ def _agree(confirmed: int):
 def star_candidates(lists: DataFrame, nodes: DataFrame, confirmed: int) -> DataFrame:
     """Pairs of each list's smallest member with its others that agree often enough."""
     smallest = lists.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    smallest = lookup_side(write_down(smallest, "smallest"))
     pairs = lists.select("key", F.col("node").alias("b")).join(smallest, "key").where("a < b").select("a", "b").distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("bytes").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("bytes").alias("y"))
@@ -237,15 +237,13 @@ def star_candidates(lists: DataFrame, nodes: DataFrame, confirmed: int) -> DataF
     return pairs.join(left, "a").join(right, "b").withColumn("ok", agree(F.struct("x", "y"))).where("ok").select("a", "b")
 
 
-
-
-def _count_blocks(least: int, below: int):
+def _compare_blocks(asked: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by block pair; holds the at most two blocks of one pair."""
         open_key, rows = None, []
 
-        def counted() -> pa.RecordBatch:
-            found = pairs_between(open_key, rows, least, below)
+        def linked() -> pa.RecordBatch:
+            found = forest(open_key, rows, Agreements(*asked))
             return pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -253,62 +251,99 @@ def _count_blocks(least: int, below: int):
             for key, low, high, *row in zip(*columns):
                 if (key, low, high) != open_key:
                     if rows:
-                        yield counted()
+                        yield linked()
                     open_key, rows = (key, low, high), []
                 rows.append(row)
         if rows:
-            yield counted()
+            yield linked()
 
     return run
 
 
-def pairs_between(block: tuple[int, int, int], rows: list, least: int, below: int) -> list[tuple[int, int]]:
-    """Pairs of members in different components with ``least`` to ``below - 1`` agreements, unless an earlier list has them."""
+def forest(block: tuple[int, int, int], rows: list, asked: Agreements) -> list[tuple[int, int]]:
+    """Links that join the components of a block's members, or of two blocks', as far as their pairs are similar enough.
+
+    ``rows`` are ``(side, node, component, signature bytes, set, earlier lists)``. A pair that an earlier list has is
+    left to that list; one whose members have come together is passed over.
+    """
     _, low, high = block
     side = np.array([r[0] for r in rows])
-    node, part = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+    node = [r[1] for r in rows]
+    _, part = np.unique([r[2] for r in rows], return_inverse=True)
     marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, K)
-    earlier = [r[4] for r in rows]
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    sizes = np.array([len(x) for x in sets])
+    earlier = [frozenset(r[5]) for r in rows]
     first = np.flatnonzero(side == low)
     second = first if low == high else np.flatnonzero(side == high)
     found = []
     columns = np.ascontiguousarray(marks[second].T)
     for i in first:
-        others = np.flatnonzero(part[second] != part[i])
-        if low == high:
-            others = others[second[others] > i]
-        if not len(others):
-            continue
+        # sets whose sizes differ too much are never similar enough
+        fits = (part[second] != part[i]) & (100 * np.minimum(sizes[second], sizes[i]) >= asked.least * np.maximum(sizes[second], sizes[i]))
+        near = np.flatnonzero(fits & (second > i) if low == high else fits)
         # after every 64, pairs that cannot reach the threshold any more are skipped
-        count = np.zeros(len(others), np.int16)
-        near = others
+        count = np.zeros(len(near), np.int16)
         for start in range(0, K, 64):
-            count = count + (columns[start : start + 64, near] == marks[i, start : start + 64, None]).sum(0, dtype=np.int16)
-            left = (count + (K - start - 64) >= least) & (count < below)
-            near, count = near[left], count[left]
             if not len(near):
                 break
-        for j in second[near]:
-            if not set(earlier[i]).intersection(earlier[j]):
-                a, b = int(node[i]), int(node[j])
-                found.append((min(a, b), max(a, b)))
+            count = count + (columns[start : start + 64, near] == marks[i, start : start + 64, None]).sum(0, dtype=np.int16)
+            left = count + (K - start - 64) >= asked.confirmed
+            near, count = near[left], count[left]
+        near = second[near[np.argsort(-count, kind="stable")]]
+        near = [j for j in near if earlier[i].isdisjoint(earlier[j])]
+        # the likeliest ones first, as the others may come along with them
+        for at in range(0, len(near), 64):
+            others = [j for j in near[at : at + 64] if part[j] != part[i]]
+            if not others:
+                continue
+            both = _shared(sets[i], [sets[j] for j in others])
+            for j in np.array(others)[100 * both >= asked.least * (sizes[i] + sizes[others] - both)]:
+                if part[j] != part[i]:
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+                    part[part == part[j]] = part[i]
     return found
 
 
-def cross_candidates(lists: DataFrame, nodes: DataFrame, label: DataFrame, least: int, below: int) -> DataFrame:
-    """Pairs of members of different components, with agreements in the range, in lists that still have several."""
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the sorted sets shares with ``one``; no set is empty."""
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    return np.add.reduceat((one[at] == every).astype(np.int64), starts)
+
+
+def _sets():
+    known = WordHashes()
+
+    def work(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(data, known).tobytes() for data in texts.to_pylist()], pa.binary())
+
+    return work
+
+
+def block_links(lists: DataFrame, nodes: DataFrame, label: DataFrame, docs: DataFrame, asked: Agreements, repeated: bool) -> DataFrame:
+    """Confirmed links between members of different components, in lists that still have several."""
     placed = lists.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = write_down(placed, "placed")
     # the least and greatest component differ if a list has several
-    several = placed.groupBy("key").agg(
-        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"),
-    ).where("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(several, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    several = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    members = write_down(placed.join(lookup_side(write_down(several, "several")), "key", "left_semi"), "members")
+    texts = texts_of(members.select("node").distinct(), nodes, docs, repeated)
+    sets = texts.select("node", array_function(_sets, "binary")(F.col("text")).alias("set"))
+    sets = write_down(sets.join(nodes.select("node", "bytes"), "node").withColumn("held", F.octet_length("set") + K), "sets")
+    sized = members.join(sets.select("node", "held"), "node")
+    weight = F.col("held") + 8 * F.size("earlier")
+    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    # lists of one block, nearly all, need no look-up
+    long = lookup_side(write_down(blocks.where("blocks > 1"), "long"))
+    members = members.join(long, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "component", "earlier")
-    marked = dealt.join(nodes.select("node", "bytes"), "node").select(
-        "key", "low", "high", "side", "node", "component", "bytes", "earlier")
+    marked = dealt.join(sets, "node").select("key", "low", "high", "side", "node", "component", "bytes", "set", "earlier")
     return marked.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "node").mapInArrow(
-        _count_blocks(least, below), "a bigint, b bigint")
+        _compare_blocks(parts(asked)), "a bigint, b bigint").distinct()
 
 
 # --- confirming on full sets --------------------------------------------------------------
@@ -341,14 +376,13 @@ def _same_enough(least: int):
     return run
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, repeated: bool) -> DataFrame:
-    """The pairs whose full sets are similar enough.
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """``node, set_id, text`` of the classes in ``wanted (node)``, written down; only their texts move.
 
-    Only texts of classes in ``pairs`` move. The ids that are looked up in ``docs`` are broadcast if
-    measured small, so that the other texts stay where they are. Where ids are ``repeated``, the text of
-    a class is told from others under its id by the name of its set, and taken once.
+    The ids that are looked up in ``docs`` are broadcast if measured small, so that the other texts stay where
+    they are. Where ids are ``repeated``, the text of a class is told from others under its id by the name of its
+    set, and taken once.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = write_down(nodes.select("node", "rep", "set_id").join(wanted, "node", "left_semi"), "wanted")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("rep"), utf8("text").alias("text"))
     if repeated:
@@ -357,7 +391,12 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, r
         found = rows.join(lookup_side(wanted), ["rep", "set_id"]).dropDuplicates(["node"])
     else:
         found = rows.join(lookup_side(wanted), "rep")
-    texts = write_down(found.select("node", "set_id", "text"), "texts")
+    return write_down(found.select("node", "set_id", "text"), "texts")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, repeated: bool) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs, repeated)
     left = texts.toDF("a", "name_a", "text_a")
     right = texts.toDF("b", "name_b", "text_b")
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b", "text_a", "text_b")
@@ -380,13 +419,9 @@ def _judged(docs: DataFrame, least: int) -> DataFrame:
     lists = write_down(prefix_lists(nodes, asked.matches), "lists")
     links = write_down(confirmed(write_down(star_candidates(lists, nodes, asked.confirmed), "pairs"), nodes, docs, least, repeated), "links")
     label = components(links)
-    for low, below in ((asked.likely, K + 1), (asked.confirmed, asked.likely)):
-        cross = write_down(cross_candidates(lists, nodes, label, low, below).distinct(), "pairs")
-        if not cross.isEmpty():
-            more = write_down(confirmed(cross, nodes, docs, least, repeated), "links")
-            if not more.isEmpty():
-                links = links.union(more)
-                label = components(links)
+    more = write_down(block_links(lists, nodes, label, docs, asked, repeated), "links")
+    if not more.isEmpty():
+        label = components(links.union(more))
     rep = nodes.select("node", "set_id", "rep")
     grouped = label.join(rep, "node")
     smallest = grouped.groupBy("component").agg(F.min(F.struct("rep", "set_id")).alias("least"))
