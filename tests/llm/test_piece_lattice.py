@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import odd_rows
@@ -16,8 +17,6 @@ def pieces():
 
 
 def choices(encoder, text):
-    import numpy as np
-
     ids, best = encoder.encode(text)
     ids = np.frombuffer(ids, np.int32).tolist()
     return [(b["score"], P.apply_edits(ids, b["edits"])) for b in best]
@@ -100,7 +99,8 @@ def test_library_gives_the_same(pieces):
 
 
 def test_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(P, "_REMEMBERED", 50)
+    monkeypatch.setattr(P, "_HELD_BYTES", 5000)
+    monkeypatch.setattr(P, "_LIST_BYTES", 5000)
     docs = odd_rows.documents(spark)
     shared = P.shared_pieces(spark, piece_model())
     rows = P.encode(docs, shared, name="coded").select("doc_id", "text", F.col("coded.ids").alias("i"), "coded.nbest")
@@ -109,3 +109,36 @@ def test_odd_rows(spark, monkeypatch):
     assert len(got) == len(odd_rows.TEXTS)
     assert all(r["back"] == r["text"] and (r["i"] is None) == (r["text"] is None) for r in got)
     assert P.encode(odd_rows.no_documents(spark), shared).count() == 0
+
+
+def test_words_side_by_side_give_what_each_gives_alone(pieces):
+    rng = random.Random(8)
+    words = {"".join(rng.choice("abceilnorst é😀ß\u07ff\u0800中\n") for _ in range(rng.randint(1, P._SHORT))) for _ in range(400)}
+    words |= {" the", " of", "x", " " * P._SHORT, "\U0010ffff", "\x7f\x80"}
+    words = list(words)
+    scores, extra, counts, ids = P.many_first_choices(P.Nodes(pieces), words)
+    ends = counts.cumsum().tolist()
+    alone = dict(zip(sorted(words), P.first_choices(pieces, sorted(words))))
+    for k, word in enumerate(words):
+        assert (scores[k], extra[k], ids[ends[k] - counts[k] : ends[k]].tolist()) == alone[word], word
+
+
+def test_remembered_words_are_bounded_by_bytes(pieces, monkeypatch):
+    monkeypatch.setattr(P, "_HELD_BYTES", 200_000)
+    monkeypatch.setattr(P, "_LIST_BYTES", 50_000)
+    monkeypatch.setattr(P, "_GROUP", 2000)
+    rng, encoder, most = random.Random(9), P.Encoder(pieces), [0, 0]
+    texts = [" ".join("".join(rng.choice("abcdefg") for _ in range(8)) for _ in range(100)) for _ in range(100)]
+    for text, (ids, _) in zip(texts, encoder.encode_all(texts)):
+        assert P.decode_ids(pieces, np.frombuffer(ids, np.int32).tolist()) == text
+        most = [max(most[0], encoder.held), max(most[1], encoder.held_lists)]
+    # beyond the bound by what one group of texts adds at most
+    assert 100_000 < most[0] < 400_000 and most[1] < 100_000
+
+
+def test_ids_that_are_no_text_decode_with_marks(spark, pieces):
+    shared = P.shared_pieces(spark, piece_model())
+    ids = [[pieces.byte_ids[b] for b in data] for data in (b" \xff\xfe", b" a\xc3", b" ok")]
+    df = spark.createDataFrame([(0, None), (1, []), *((k, x) for k, x in enumerate(ids, 2))], "k int, ids array<int>").coalesce(1)
+    got = {r["k"]: r["text"] for r in P.decode(df, shared).collect()}
+    assert got == {0: None, 1: "", 2: "\ufffd\ufffd", 3: "a\ufffd", 4: "ok"}

@@ -6,8 +6,8 @@ heuristic (they are exact) is an A* search that completes segmentations in
 order of score, best first.
 
 No piece has a space behind another character, so every path passes the start
-of every word: the lattice of a text is a chain of word lattices. A word is
-searched once and remembered, and the N best of a text are combined from its
+of every word: the lattice of a text is a chain of word lattices. New words are
+searched side by side in arrays and remembered, in bounded bytes; the N best of a text are combined from its
 words: only the N - 1 words whose second choice costs least can differ from
 the best segmentation, so only those get their own list by A*. The result is
 that of the search over the whole lattice (``nbest`` does that, and tests
@@ -29,12 +29,13 @@ stay or are not read.
 import heapq
 import math
 import re
-from array import array
+import sys
 from dataclasses import dataclass
 from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,12 @@ from vitaeflow.llm.common import array_function, parts, utf8
 
 #: Segmentations for each text.
 N_BEST = 4
-#: Words of a task that are remembered, and their characters; beyond either, all are forgotten.
-_REMEMBERED, _HELD = 400_000, 16_000_000
+#: Bytes of the words that a task remembers, and of their N best; beyond either, those are forgotten.
+_HELD_BYTES, _LIST_BYTES = 64_000_000, 16_000_000
 #: Characters of texts that are encoded together.
-_GROUP = 2_000_000
+_GROUP = 1_000_000
+#: Words that are searched together, and the longest of them; longer ones are searched alone.
+_TOGETHER, _SHORT = 16_384, 64
 _SPACE = "▁"
 
 
@@ -219,6 +222,113 @@ def first_choices(pieces: Pieces, words: list[str]):
         yield best[n], best[n] - second[n], ids
 
 
+class Nodes:
+    """The tree of pieces as arrays, to walk it for many words at once."""
+
+    def __init__(self, pieces: Pieces):
+        keys, child, score, number = [], [], [0.0], [-1]
+        todo = [(0, pieces.tree)]
+        while todo:
+            parent, branches = todo.pop()
+            for character, (below, value, piece) in branches.items():
+                keys.append(parent << 21 | ord(character))
+                child.append(len(score))
+                todo.append((len(score), below))
+                score.append(value)
+                number.append(piece)
+        order = np.argsort(keys)
+        self.keys, self.child = np.array(keys, np.int64)[order], np.array(child, np.int64)[order]
+        self.score, self.number = np.array(score), np.array(number, np.int64)
+        self.unknown, self.byte_ids = pieces.unknown, np.array(pieces.byte_ids, np.int32)
+
+    def below(self, node: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The branches of ``node`` by character, and where there is one."""
+        wanted = node << 21 | codes
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.child[at], self.keys[at] == wanted
+
+
+def _character_bytes(codes: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of characters, each row filled up with -1 in front."""
+    made = np.full((len(codes), 4), -1, np.int64)
+    made[:, 3] = np.where(codes < 0x80, codes, 0x80 | codes & 0x3F)
+    for size, first, place in ((2, 0xC0, 2), (3, 0xE0, 1), (4, 0xF0, 0)):
+        least = (0x80, 0x800, 0x10000)[size - 2]
+        here = codes >= least
+        made[here, place] = 0x80 | codes[here] >> 6 * (3 - place) & 0x3F
+        last = here & (codes < (0x800, 0x10000, 0x110000)[size - 2])
+        made[last, place] = first | codes[last] >> 6 * (3 - place)
+    return made
+
+
+def many_first_choices(nodes: Nodes, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``first_choices`` of words of at most ``_SHORT`` characters, side by side: scores, extra costs, numbers of ids, all ids."""
+    lengths = np.array([len(w) for w in words])
+    order = np.argsort(-lengths, kind="stable")  # at any position, the words that reach it come first
+    size = lengths[order]
+    n, width = len(words), int(size[0])
+    codes = np.zeros((n, width), np.int64)
+    text = "".join(words[i] for i in order)
+    codes[np.arange(width) < size[:, None]] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.ascontiguousarray(codes.T)
+    best, second = np.zeros((width + 1, n)), np.full((width + 1, n), -np.inf)
+    origin, last = np.zeros((width + 1, n), np.int64), np.full((width + 1, n), -1, np.int64)
+    for j in range(1, width + 1):
+        m = int(np.searchsorted(-size, -j, side="right"))
+        top, after, start, chosen = best[j], second[j], origin[j], last[j]
+        top[:m], start[:m] = -np.inf, j - 1
+        single = np.zeros(m, bool)
+        word, node = np.arange(m), np.zeros(m, np.int64)
+        for i in range(j - 1, -1, -1):
+            found, there = nodes.below(node, codes[i, word])
+            word, node = word[there], found[there]
+            if not len(word):
+                break
+            piece = nodes.number[node]
+            ends = piece >= 0
+            w, piece = word[ends], piece[ends]
+            if i == j - 1:
+                single[w] = True
+            score = nodes.score[node[ends]] + best[i, w]
+            higher = score > top[w]
+            a = w[higher]
+            after[a] = np.maximum(top[a], score[higher] - best[i, a] + second[i, a])
+            top[a], start[a], chosen[a] = score[higher], i, piece[higher]
+            b = w[~higher]
+            after[b] = np.maximum(after[b], score[~higher])
+        alone = np.flatnonzero(~single)
+        score = best[j - 1, alone] + nodes.unknown
+        higher = score > top[alone]
+        a = alone[higher]
+        after[a] = np.maximum(top[a], second[j - 1, a] + nodes.unknown)
+        top[a], start[a], chosen[a] = score[higher], j - 1, -1
+        b = alone[~higher]
+        after[b] = np.maximum(after[b], score[~higher])
+    # from the end of each word to its start; characters without a piece give up to four ids
+    word, at, step = np.arange(n), size.copy(), 0
+    owner, place, ids = [], [], []
+    while len(word):
+        piece, before = last[at, word], origin[at, word]
+        known = piece >= 0
+        owner.append(word[known])
+        place.append(np.full(int(known.sum()), -4 * step))
+        ids.append(piece[known])
+        if not known.all():
+            data = _character_bytes(codes[at[~known] - 1, word[~known]])
+            row, column = np.nonzero(data >= 0)
+            owner.append(word[~known][row])
+            place.append(column - 3 - 4 * step)
+            ids.append(nodes.byte_ids[data[row, column]])
+        on = before > 0
+        word, at, step = word[on], before[on], step + 1
+    owner, place, ids = (np.concatenate(x) for x in (owner, place, ids))
+    ids = ids[np.lexsort((place, order[owner]))].astype(np.int32)
+    scores, extra = np.empty(n), np.empty(n)
+    columns = np.arange(n)
+    scores[order], extra[order] = best[size, columns], best[size, columns] - second[size, columns]
+    return scores, extra, np.bincount(order[owner], minlength=n), ids
+
+
 # --- whole texts -----------------------------------------------------------------
 
 _WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")
@@ -241,29 +351,47 @@ class Encoder:
     """Encodes texts, remembering words. ``words`` splits only where no piece goes across."""
 
     def __init__(self, pieces: Pieces, n: int = N_BEST):
-        self.pieces, self.n = pieces, n
+        self.pieces, self.n, self.nodes = pieces, n, Nodes(pieces)
         self.words = _WORD if _stands_alone(pieces.tree, "\n") else re.compile(r" +[^ ]*|[^ ]+")
         self.forget()
+        self.forget_lists()
 
     def forget(self) -> None:
+        """Words have numbers; what is known of them stands in arrays that grow."""
         self.number: dict[str, int] = {}
-        self.encoded: dict[str, bytes] = {}
-        self.held = 0
-        # of each word: score, what the second choice costs more, number of pieces
-        self.facts = np.zeros((3, 1024))
+        # of each word: score, what the second choice costs more
+        self.facts = np.zeros((2, 1024))
+        # where each word's ids begin among all, and how many there are
+        self.places = np.zeros((2, 1024), np.int64)
+        self.ids, self.n_ids, self.held = np.zeros(4096, np.int32), 0, 0
+
+    def forget_lists(self) -> None:
         self.lists: dict[str, list] = {}
+        self.held_lists = 0
 
     def learn(self, words: set[str]) -> None:
-        while len(self.number) + len(words) > self.facts.shape[1]:
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)], axis=1)
-        facts, before, order = [], len(self.number), sorted(words)
-        for number, (word, (score, extra, ids)) in enumerate(zip(order, first_choices(self.pieces, order)), before):
-            facts.append((score, extra, len(ids)))
-            self.number[word] = number
-            self.encoded[word] = array("i", ids).tobytes()
-            self.held += len(word)
-        if facts:
-            self.facts[:, before : before + len(facts)] = np.array(facts).T
+        short = sorted((w for w in words if len(w) <= _SHORT), key=len)
+        for start in range(0, len(short), _TOGETHER):
+            part = short[start : start + _TOGETHER]
+            self._add(part, *many_first_choices(self.nodes, part))
+        long = sorted(w for w in words if len(w) > _SHORT)
+        if long:
+            score, extra, ids = zip(*first_choices(self.pieces, long))
+            self._add(long, np.array(score), np.array(extra), np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], np.int32))
+
+    def _add(self, words: list[str], score: np.ndarray, extra: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        before, after = len(self.number), len(self.number) + len(words)
+        while after > self.facts.shape[1]:
+            self.facts, self.places = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (self.facts, self.places))
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(self.n_ids + 2 * len(ids), np.int32)])
+        self.facts[:, before:after] = score, extra
+        self.places[:, before:after] = self.n_ids + np.cumsum(counts) - counts, counts
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+        self.number.update(zip(words, range(before, after)))
+        # an entry of the table of words and its number take some 130 bytes, the arrays twice what they hold
+        self.held += sum(map(sys.getsizeof, words)) + 200 * len(words) + 8 * len(ids)
 
     def encode_all(self, texts: list[str | None]):
         """``encode`` for every text, in order; the new words of texts that follow each other are learned together."""
@@ -275,8 +403,10 @@ class Encoder:
                 group.append(self.words.findall(" " + text) if text else None if text is None else [])
                 size += len(text or "")
                 at += 1
-            if len(self.number) >= _REMEMBERED or self.held >= _HELD or len(self.lists) >= _REMEMBERED // 4:
+            if self.held >= _HELD_BYTES:
                 self.forget()
+            if self.held_lists >= _LIST_BYTES:
+                self.forget_lists()
             self.learn(set().union(*(words for words in group if words)).difference(self.number))
             for words in group:
                 yield (b"", []) if words is None else self._encoded(words)
@@ -289,8 +419,10 @@ class Encoder:
         if not words:
             return b"", [{"score": 0.0, "edits": []}]
         number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        ids = b"".join(map(self.encoded.__getitem__, words))
-        score, extra, length = self.facts[:, number]
+        score, extra = self.facts[:, number]
+        start, length = self.places[:, number]
+        ends = np.cumsum(length)
+        ids = self.ids[np.repeat(start - ends + length, length) + np.arange(ends[-1])].tobytes()
         chosen = self._cheapest(extra)
         total = float(score.sum())
         made = []
@@ -317,10 +449,12 @@ class Encoder:
         """The N cheapest ``(extra cost, choice for each word)``, cheapest first."""
         for word in words:
             if word not in self.lists:
-                chosen = np.frombuffer(self.encoded[word], np.int32).tolist()
+                start, length = self.places[:, self.number[word]]
+                chosen = self.ids[start : start + length].tolist()
                 found = nbest(self.pieces, word, self.n)
                 # of equal scores, the one that was chosen comes first
                 self.lists[word] = [(found[0][0], chosen), *(f for f in found if f[1] != chosen)][: self.n]
+                self.held_lists += sys.getsizeof(word) + 200 + sum(200 + 40 * len(f[1]) for f in found)
         costs = [[self.lists[w][0][0] - score for score, _ in self.lists[w]] for w in words]
         start = (0,) * len(words)
         heap, seen, found = [(0.0, start)], {start}, []
@@ -377,33 +511,51 @@ def _encode(shared, n: int):
 
 def _decode(shared):
     def make():
-        texts = Pieces(*shared.value).texts
+        table = pa.array(shared.value, pa.large_binary())
 
         def work(lists: pa.Array) -> pa.Array:
-            made = []
-            for cell in lists:
-                if not cell.is_valid:
-                    made.append(None)
-                    continue
-                data = b"".join(map(texts.__getitem__, cell.values.to_numpy().tolist()))
-                made.append(data.decode("utf-8", "replace")[1:])
-            return pa.array(made, pa.string())
+            # all ids of the batch become bytes at once; a text's are those between its first and last piece
+            flat = lists.flatten()
+            data = table.take(flat)
+            ends = np.frombuffer(data.buffers()[1], np.int64, len(flat) + 1, 8 * data.offset) if len(flat) else np.zeros(1, np.int64)
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            places = ends[np.concatenate([[0], np.cumsum(lengths)])]
+            held = np.frombuffer(data.buffers()[2] or b"", np.uint8)[: places[-1]]
+            # without the space that encoding puts in front
+            fronts = places[:-1][np.diff(places) > 0]
+            places = places - np.concatenate([[0], np.cumsum(np.diff(places) > 0)])
+            buffers = [None, pa.py_buffer(np.ascontiguousarray(places)), pa.py_buffer(np.delete(held, fronts))]
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), buffers)
+            texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.large_binary()))
+            try:
+                return texts.cast(pa.string())
+            except pa.ArrowInvalid:  # ids that were no text before
+                return pa.array([x if x is None else x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
 
         return work
 
     return array_function(make, "string")
 
 
-def shared_pieces(spark: SparkSession, path: str, scores: str = "zipf"):
-    """The vocabulary as a broadcast; some MB, bounded by the file."""
-    return spark.sparkContext.broadcast(parts(load_pieces(path, scores)))
+@dataclass(frozen=True)
+class SharedPieces:
+    """The vocabulary as broadcasts, some MB, bounded by the file: the lattice for encoding, the pieces' bytes for decoding."""
+
+    lattice: object
+    texts: object
+
+
+def shared_pieces(spark: SparkSession, path: str, scores: str = "zipf") -> SharedPieces:
+    pieces = load_pieces(path, scores)
+    context = spark.sparkContext
+    return SharedPieces(context.broadcast(parts(pieces)), context.broadcast(list(pieces.texts)))
 
 
-def encode(docs: DataFrame, shared, n: int = N_BEST, name: str = "encoded") -> DataFrame:
+def encode(docs: DataFrame, shared: SharedPieces, n: int = N_BEST, name: str = "encoded") -> DataFrame:
     """``docs`` with the struct ``name``: the best ``ids``, and ``nbest`` as scores and edits of them; no shuffle."""
-    return docs.withColumn(name, _encode(shared, n)(utf8("text")))
+    return docs.withColumn(name, _encode(shared.lattice, n)(utf8("text")))
 
 
-def decode(rows: DataFrame, shared, ids: str = "ids", text: str = "text") -> DataFrame:
+def decode(rows: DataFrame, shared: SharedPieces, ids: str = "ids", text: str = "text") -> DataFrame:
     """``rows`` with the text that ``ids`` stand for; a null list gives null."""
-    return rows.withColumn(text, _decode(shared)(F.col(ids)))
+    return rows.withColumn(text, _decode(shared.texts)(F.col(ids)))
