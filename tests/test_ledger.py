@@ -1,0 +1,115 @@
+"""Model answers that are kept: what is asked, what is not asked again."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from test_jobs import extract_pages, letters, reader_model, rows, stores, write
+from vitaeflow.operators import models
+from vitaeflow.plans import jobs
+from vitaeflow.sources import files
+from vitaeflow.sources.ledger import REPLIES, VECTORS, Ledger
+from vitaeflow.streaming.intake import start_intake
+
+
+def texts(spark, *values):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "n INT, text STRING").repartition(3)
+
+
+def counting(spark, model):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(inputs):
+        calls.add(len(inputs))
+        return model(inputs)
+
+    return counted, calls
+
+
+def test_equal_texts_are_asked_once(spark):
+    ledger = Ledger(spark, "once_vectors", VECTORS, "m1", buckets=4)
+    embedder, calls = counting(spark, letters)
+    expected = [(0, [1.0] + [0.0] * 7, None), (1, [0.0, 1.0] + [0.0] * 6, None), (2, [1.0] + [0.0] * 7, None), (3, None, "no input"),
+                (4, [0.0] * 8, None)]
+    for asked in (3, 3):
+        made = models.embed(texts(spark, "a", "b", "a", None, ""), embedder, ledger=ledger)
+        assert made.columns == ["n", "text", "vector", "error"]
+        assert rows(made, "n", "vector", "error") == expected and calls.value == asked
+    models.embed(texts(spark, "a", "c"), embedder, ledger=ledger).collect()
+    assert calls.value == 4
+    # another model's answers are its own
+    models.embed(texts(spark, "a"), embedder, ledger=Ledger(spark, "once_vectors", VECTORS, "m2")).collect()
+    assert calls.value == 5
+
+
+def test_failures_are_tried_again_and_earlier_errors_stay(spark):
+    ledger = Ledger(spark, "again_vectors", VECTORS, buckets=2)
+    state = {"refuse": True}
+
+    def embedder(batch, refuse=True):
+        if refuse and any("no" in t for t in batch):
+            raise RuntimeError("refused")
+        return letters(batch)
+
+    df = texts(spark, "a", "no").withColumn("error", F.when(F.col("n") == 0, "earlier"))
+    assert rows(models.embed(df, embedder, ledger=ledger), "n", "error") == [(0, "earlier"), (1, "model call failed: refused")]
+    got = models.embed(df, lambda batch: embedder(batch, False), ledger=ledger)
+    assert rows(got, "n", "error") == [(0, "earlier"), (1, None)] and state["refuse"]
+
+
+def test_answers_of_a_job_that_died_are_kept(spark, tmp_path):
+    """The model ends its worker at one text, as a lost machine would; the parts before that one stay answered."""
+    ledger = Ledger(spark, "died_replies", REPLIES, buckets=2, part_calls=4)
+    flag = str(tmp_path / "mended")
+    model, calls = counting(spark, lambda batch: [t.upper() for t in batch])
+
+    def dying(batch):
+        if not os.path.exists(flag):
+            if "t7" in batch:
+                os._exit(1)
+        return model(batch)
+
+    df = texts(spark, *(f"t{i}" for i in range(20)))
+    with pytest.raises(Exception):
+        models.complete(df, dying, "text", "body", batch_size=1, ledger=ledger).collect()
+    kept = ledger.table.read().count()
+    open(flag, "w").close()
+    before = calls.value
+    got = models.complete(df, dying, "text", "body", batch_size=1, ledger=ledger)
+    assert rows(got, "body") == sorted((f"T{i}",) for i in range(20))
+    assert calls.value - before == 20 - kept
+    assert ledger.table.read().count() == 20
+
+
+def test_a_replayed_batch_asks_nothing_again(spark, tmp_path):
+    inbox, checkpoint = tmp_path / "inbox", str(tmp_path / "checkpoint")
+    inbox.mkdir()
+    write(inbox, one="ada/1-9", two="eva/2-7", copy="plain", other="plain")
+    held, indexed, staging = stores(spark, "replayed")
+    model, asked = counting(spark, reader_model())
+    embedder, embedded = counting(spark, letters)
+    ledgers = {"replies": Ledger(spark, "replayed_replies", REPLIES, buckets=2), "vectors": Ledger(spark, "replayed_vectors", VECTORS, buckets=2)}
+    state, shared = {"fail": True}, spark.conf.get("spark.checkpoint.dir")
+
+    def copies():
+        return {name for name in os.listdir(shared) if name.startswith("copy-")} if os.path.isdir(shared) else set()
+
+    def note(batch, _):
+        batch.count()
+        if state["fail"]:
+            raise RuntimeError("the sink is down")
+
+    def run():
+        stream = jobs.read_documents(files.document_file_stream(spark, str(inbox)), extract_pages)
+        start_intake(stream, checkpoint, model, embedder, held, indexed, staging, note, **ledgers).awaitTermination()
+
+    before = copies()
+    with pytest.raises(Exception, match="the sink is down"):
+        run()
+    assert (asked.value, embedded.value) == (3, 2)  # two documents are alike
+    state["fail"] = False
+    run()
+    assert (asked.value, embedded.value) == (3, 2)
+    assert rows(indexed.read(), "RUN", "text") == [("1-9", "ada/1-9\n"), ("2-7", "eva/2-7\n")]
+    assert spark.table(staging).count() == 0 and copies() == before

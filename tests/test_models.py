@@ -93,3 +93,33 @@ def test_hash_embedding(spark):
 def test_answers_in_rank_order(spark):
     rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "query_id INT, rank INT, answer STRING")
     assert sorted(tuple(r) for r in A.join_answers(rows).collect()) == [(1, "a\n\nb\n"), (2, "c\n")]
+
+
+def test_a_malformed_result_costs_its_row(spark):
+    odd = {"type": ["oops"], "cell": [1.0, None], "nan": [float("nan")], "huge": [1e300], "nested": [[1.0]], "text": "12", "empty": [],
+           "none": None, "number": 3.0, "list": [1, 2], "good": [0.5]}
+    rows = spark.createDataFrame([(name,) for name in odd], "text STRING").coalesce(1)
+    got = {r["text"]: (r["vector"], r["error"]) for r in M.embed(rows, lambda texts: [odd[t] for t in texts]).collect()}
+    assert got["good"] == ([0.5], None) and got["list"] == ([1.0, 2.0], None) and got["none"] == (None, "empty result")
+    bad = [name for name in odd if name not in ("good", "list", "none")]
+    assert all(got[name][0] is None and got[name][1].startswith("malformed result: ") for name in bad), got
+
+    replies = {"dict": {"a": 1}, "bytes": b"x", "good": "{}"}
+    rows = spark.createDataFrame([(name,) for name in replies], "payload STRING").coalesce(1)
+    got = {r["payload"]: (r["body"], r["error"]) for r in M.complete(rows, lambda asked: [replies[p] for p in asked]).collect()}
+    assert got == {"dict": (None, "malformed result: dict instead of text"), "bytes": (None, "malformed result: bytes instead of text"),
+                   "good": ("{}", None)}
+
+
+def test_results_that_are_no_list_are_an_error(spark):
+    rows = spark.createDataFrame([("ab",)], "text STRING")
+    assert M.embed(rows, lambda texts: "xy").first()["error"] == "model call failed: str instead of a list of results"
+
+
+def test_a_text_instead_of_pages_is_an_error(spark):
+    from vitaeflow.operators import documents
+
+    files = spark.createDataFrame([(b"a",), (b"b",)], "content BINARY").coalesce(1)
+    read = documents.read_pages(files, lambda data: "page" if data == b"a" else ["page"]).collect()
+    assert [(r["pages"], r["error"]) for r in read] == [
+        (None, "unreadable document: str instead of a list of pages"), (["page"], None)]

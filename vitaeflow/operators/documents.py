@@ -38,7 +38,10 @@ def read_pages(files: DataFrame, extract: PageExtractor, content: str = "content
                 try:
                     if data is None:
                         raise ValueError("no content")
-                    pages.append(["" if text is None else str(text) for text in extract(bytes(data))])
+                    found = extract(bytes(data))
+                    if isinstance(found, (str, bytes, dict)):
+                        raise ValueError(f"{type(found).__name__} instead of a list of pages")
+                    pages.append(["" if text is None else str(text) for text in found])
                     errors.append(None)
                 except Exception as problem:  # one bad file must not end the job
                     pages.append(None)

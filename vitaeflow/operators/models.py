@@ -21,27 +21,68 @@ ChatModel = Callable[[list[str]], list[str]]
 TASK_CALLS, _PAUSE = 64, 0.2
 
 
-def _call(rows: DataFrame, function: Callable, source: str, output: str, kind: T.DataType,
-          batch_size: int, concurrency: int | None, attempts: int) -> DataFrame:
+def _vector_checker():
+    """A closure, so that workers need no import of this package."""
+
+    def checked(value):
+        """The numbers of an embedding, or an error."""
+        import numpy
+
+        cells = numpy.asarray(value)
+        if cells.ndim != 1 or cells.dtype.kind not in "iuf":
+            raise ValueError("not a list of numbers")
+        with numpy.errstate(over="ignore"):
+            cells = cells.astype(numpy.float32)
+        if not len(cells) or not numpy.isfinite(cells).all():
+            raise ValueError("no numbers" if not len(cells) else "numbers that are not finite")
+        return cells.tolist()
+
+    return checked
+
+
+def _text_checker():
+    def checked(value):
+        if not isinstance(value, str):
+            raise ValueError(f"{type(value).__name__} instead of text")
+        return value
+
+    return checked
+
+
+def _call(rows: DataFrame, function: Callable, source: str, output: str, kind: T.DataType, checked: Callable,
+          batch_size: int, concurrency: int | None, attempts: int, expected: int | None = None) -> DataFrame:
     """Add ``output`` and ``error``: one call per ``batch_size`` inputs.
 
     Only the input column goes to Python. A failing call is tried ``attempts`` times, each after a
     longer pause, then input by input, so that one bad input costs one row; null inputs are not sent.
+    A result that ``checked`` does not take costs its own row and no other.
 
     With ``concurrency`` the rows are dealt to that many tasks, and to more where a task would have
     over ``TASK_CALLS`` calls, so that a lost task repeats few of them. How many run at a time is up
     to the cluster's cores; a service that takes fewer is best protected by a limiter in ``function``.
+    ``expected`` is the number of rows where it is known, which saves counting them.
     """
     result = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])
 
+    def judged(value):
+        if value is None:
+            return None, "empty result"
+        try:
+            return checked(value), None
+        except Exception as problem:
+            return None, f"malformed result: {problem}"
+
     def answer(inputs, tries=attempts):
         import time
 
         try:
-            answers = list(function(inputs))
+            given = function(inputs)
+            if isinstance(given, (str, bytes, dict)):
+                raise ValueError(f"{type(given).__name__} instead of a list of results")
+            answers = list(given)
             if len(answers) != len(inputs):
                 raise ValueError(f"{len(answers)} results for {len(inputs)} inputs")
-            return [(value, None if value is not None else "empty result") for value in answers]
+            return [judged(value) for value in answers]
         except Exception as problem:
             if tries > 1:
                 time.sleep(_PAUSE * 2 ** (attempts - tries))
@@ -65,7 +106,8 @@ def _call(rows: DataFrame, function: Callable, source: str, output: str, kind: T
     # nondeterministic: Catalyst must neither repeat nor reorder the calls
     call = F.pandas_udf(run, result).asNondeterministic()
     if concurrency is not None:
-        rows = rows.repartition(max(concurrency, math.ceil(rows.count() / (TASK_CALLS * batch_size))))
+        number = rows.count() if expected is None else expected
+        rows = rows.repartition(max(concurrency, math.ceil(number / (TASK_CALLS * batch_size))))
     called = rows.withColumn("_call", call(F.col(source))).withColumn(output, F.col("_call.value"))
     error = F.col("_call.error")
     if "error" in rows.columns:
@@ -73,16 +115,29 @@ def _call(rows: DataFrame, function: Callable, source: str, output: str, kind: T
     return called.withColumn("error", error).drop("_call")
 
 
-def embed(rows: DataFrame, embedder: Embedder, text: str = "text", output: str = "vector",
-          batch_size: int = 64, concurrency: int | None = None, attempts: int = 2) -> DataFrame:
-    """Add the embedding of a text column and ``error``."""
-    return _call(rows, embedder, text, output, T.ArrayType(T.FloatType()), batch_size, concurrency, attempts)
+def _answered(rows: DataFrame, function: Callable, source: str, output: str, kind: T.DataType, checked: Callable, ledger, **how) -> DataFrame:
+    if ledger is None:
+        return _call(rows, function, source, output, kind, checked, **how)
+    # what is asked of a ledger is counted there
+    how["expected"] = None
+    return ledger.answered(rows, lambda asked: _call(asked, function, source, "value", kind, checked, **how), source, output)
+
+
+def embed(rows: DataFrame, embedder: Embedder, text: str = "text", output: str = "vector", batch_size: int = 64,
+          concurrency: int | None = None, attempts: int = 2, expected: int | None = None, ledger=None) -> DataFrame:
+    """Add the embedding of a text column and ``error``.
+
+    With a ``sources.ledger.Ledger``, equal texts are embedded once, and those it knows not at all.
+    """
+    return _answered(rows, embedder, text, output, T.ArrayType(T.FloatType()), _vector_checker(), ledger,
+                     batch_size=batch_size, concurrency=concurrency, attempts=attempts, expected=expected)
 
 
-def complete(rows: DataFrame, model: ChatModel, payload: str = "payload", output: str = "body",
-             batch_size: int = 16, concurrency: int | None = None, attempts: int = 2) -> DataFrame:
-    """Add the reply body to request bodies and ``error``."""
-    return _call(rows, model, payload, output, T.StringType(), batch_size, concurrency, attempts)
+def complete(rows: DataFrame, model: ChatModel, payload: str = "payload", output: str = "body", batch_size: int = 16,
+             concurrency: int | None = None, attempts: int = 2, expected: int | None = None, ledger=None) -> DataFrame:
+    """Add the reply body to request bodies and ``error``; with a ``Ledger``, equal requests are sent once in all."""
+    return _answered(rows, model, payload, output, T.StringType(), _text_checker(), ledger,
+                     batch_size=batch_size, concurrency=concurrency, attempts=attempts, expected=expected)
 
 
 def chat_model(answer: Callable[[list[str]], list[str]]) -> ChatModel:

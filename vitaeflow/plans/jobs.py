@@ -12,6 +12,7 @@ from vitaeflow.functions.prompts import chat_request, extraction_prompt, summary
 from vitaeflow.operators import answers, candidates, documents, extraction, listing, models, similarity
 from vitaeflow.schema import CHUNKS, STAGING
 from vitaeflow.session import cut_lineage, lookup_side
+from vitaeflow.sources.ledger import Ledger
 from vitaeflow.sources.tables import KeyedTable, drop_load, stage_rows
 
 
@@ -51,19 +52,19 @@ def store_documents(files: DataFrame, records: DataFrame, stored: KeyedTable) ->
 
 def extract_records(texts: DataFrame, model: models.ChatModel, fence_only: bool = False,
                     batch_size: int = 16, concurrency: int | None = None,
-                    template: str = EXTRACTION_PROMPT) -> DataFrame:
+                    template: str = EXTRACTION_PROMPT, replies: Ledger | None = None) -> DataFrame:
     """Records from document texts ``([path,] pdf_name, ingest_ts, text[, error])``.
 
     Blank documents are not sent to the model. Every document keeps one row:
     the ten fields, or the reason in ``error``. The result is written down
-    once, so later steps do not repeat the calls.
+    once, so later steps do not repeat the calls; a ledger of ``replies`` saves them to other jobs too.
     """
     marked = documents.mark_blank(identified(texts))
     earlier = [F.col("error")] if "error" in texts.columns else []
     marked = marked.withColumn("error", F.coalesce(*earlier, F.col("reject_reason")))
     payload = F.when(F.col("error").isNull(), chat_request(extraction_prompt(F.col("text"), template)))
     called = models.complete(marked.withColumn("payload", payload), model, batch_size=batch_size,
-                             concurrency=concurrency)
+                             concurrency=concurrency, ledger=replies)
     read = extraction.read_chat_replies(called.withColumnRenamed("error", "_call_error"))
     reason = F.coalesce(F.col("_call_error"), F.col("error"))
     records = extraction.extract_records(read, fence_only=fence_only, earlier_error=reason)
@@ -72,10 +73,13 @@ def extract_records(texts: DataFrame, model: models.ChatModel, fence_only: bool
 
 
 def index_texts(texts: DataFrame, embedder: models.Embedder, key: str = "RUN", size: int | None = None,
-                batch_size: int = 64, concurrency: int | None = None) -> DataFrame:
-    """Chunk rows ``(key, chunk_no, text, vector, error)``, written down once."""
+                batch_size: int = 64, concurrency: int | None = None, vectors: Ledger | None = None) -> DataFrame:
+    """Chunk rows ``(key, chunk_no, text, vector, error)``, written down once.
+
+    With a ledger of ``vectors``, a chunk whose text was embedded before costs no call.
+    """
     pieces = documents.chunk(texts, key, size)
-    return cut_lineage(models.embed(pieces, embedder, batch_size=batch_size, concurrency=concurrency))
+    return cut_lineage(models.embed(pieces, embedder, batch_size=batch_size, concurrency=concurrency, ledger=vectors))
 
 
 @dataclass
@@ -97,6 +101,8 @@ def load_records(
     corrections: DataFrame | None = None,
     size: int | None = None,
     concurrency: int | None = None,
+    vectors: Ledger | None = None,
+    load_id: str | None = None,
 ) -> Load:
     """Load reviewed records and refresh the vectors of the keys that changed.
 
@@ -107,14 +113,15 @@ def load_records(
     chunks come back as failed. A document whose text is empty now has no chunks any more.
 
     A load merges the rows it staged itself and then removes them. What a load that died has left
-    in staging is neither merged nor removed here; run that load again, or clear the table.
+    in staging is neither merged nor removed here; run that load again, or clear the table. A load
+    that names itself by ``load_id`` replaces what an earlier attempt has staged under that name.
     """
     spark = reviewed.sparkSession
     reviewed, texts = identified(reviewed), identified(texts)
     if corrections is not None:
         reviewed = candidates.apply_corrections(reviewed, corrections, "path")
     valid, invalid = candidates.split_by_key(reviewed)
-    load_id = stage_rows(valid.select(*[F.col(f"`{f.name}`") for f in STAGING.fields]), staging)
+    load_id = stage_rows(valid.select(*[F.col(f"`{f.name}`") for f in STAGING.fields]), staging, load_id)
     staged = spark.table(staging).where(F.col("load_id") == load_id).drop("load_id")
 
     # the document each key's record came from: the row that the merge takes
@@ -126,7 +133,7 @@ def load_records(
     changed = candidates_table.merge(staged)
     to_index = candidates.with_changed_key(source, changed).select("RUN", "path")
     keyed = texts.where("text IS NOT NULL").select("path", "text").join(lookup_side(to_index), "path")
-    pieces = index_texts(keyed, embedder, size=size, concurrency=concurrency)
+    pieces = index_texts(keyed, embedder, size=size, concurrency=concurrency, vectors=vectors)
     failed = pieces.where(F.col("error").isNotNull())
     ready = cut_lineage(keyed.select("RUN").distinct().join(failed.select("RUN").distinct(), "RUN", "left_anti"))
     chunks_table.refresh(pieces.select(*CHUNKS.names), ready)
@@ -168,7 +175,7 @@ def answer_hits(hits: DataFrame, chunks: DataFrame, model: models.ChatModel, key
     """The second half of ``answer_questions``: from hits to texts."""
     found = answers.hit_texts(hits, chunks, keys)
     asking = found.withColumn("payload", chat_request(summary_prompt(F.col("text"), template)))
-    called = models.complete(asking, model, concurrency=concurrency)
+    called = models.complete(asking, model, concurrency=concurrency, expected=hits.count())
     read = extraction.read_chat_replies(called.withColumnRenamed("error", "_call_error"))
     summed = read.withColumn("error", F.coalesce("_call_error", "error")).withColumnRenamed("content", "answer")
     done = cut_lineage(summed.select(*hits.columns, "answer", "total_tokens", "error"))

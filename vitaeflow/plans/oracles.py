@@ -277,6 +277,21 @@ ORACLES: dict[str, str] = {
   places as (select doc_id, unnest(range(0, 256)) as place from documents)
   select p.doc_id, cast(p.place as integer) as place, round(coalesce(cast(n / size as float), 0)::double, 5) as cell
   from places p left join counts using (doc_id, place) left join sizes on sizes.doc_id = p.doc_id""",
+    "embed_once": f"""
+  with p as (select d.lang = 'en' as own, p.text, {_letter_counts('p.text')} as counts from ({_chunks(1000)}) p join documents d on d.doc_id = p.doc_id),
+  sums as (select own, text, list_sum(counts) as letters from p)
+  select cast(0 as integer) as round, count(*) as n_chunks, cast(coalesce(sum(letters), 0) as bigint) as letters, count(distinct text) as n_asked
+  from sums where own
+  union all
+  select 1, count(*), cast(coalesce(sum(letters), 0) as bigint), count(distinct text) - count(distinct text) filter (own) from sums
+  union all
+  select 2, count(*), cast(coalesce(sum(letters), 0) as bigint), 0 from sums""",
+    "replies_once": f"""
+  with r as (select first, text from ({_STUB_RECORDS}))
+  select cast(n as integer) as round, count(*) as n_documents, count(*) filter (first > '5') as n_records,
+    case when n = 0 then count(distinct text) else 0 end as n_asked
+  from r, range(2) s(n) group by n""",
+    "knn_cells": f"select query_id, vec_id, round(raw, 6) as score, rank from ({_top_k(10)})",
     "knn_top2": f"select query_id, vec_id, round(raw, 6) as score, rank from ({_top_k(2)})",
     "knn_tiles": f"select query_id, vec_id, round(raw, 6) as score, rank from ({_top_k(2)})",
     "knn_near_copies": """

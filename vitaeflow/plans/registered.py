@@ -19,6 +19,7 @@ from vitaeflow.functions import links, prompts, replies, text, vectors
 from vitaeflow.operators import (
     answers,
     candidates,
+    cells,
     chunks,
     conversation,
     documents,
@@ -30,7 +31,7 @@ from vitaeflow.operators import (
 from vitaeflow.plans import jobs
 from vitaeflow.schema import CANDIDATES, CHUNKS, STORED_DOCUMENTS
 from vitaeflow.session import configure, cut_lineage, new_folder
-from vitaeflow.sources import files, tables
+from vitaeflow.sources import files, ledger, tables
 from vitaeflow.streaming.intake import start_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -592,6 +593,55 @@ def embed_hash(spark, sf_dir):
     return cells.withColumn("cell", F.round(F.col("cell").cast("double"), 5))
 
 
+def scratch_ledger(spark: SparkSession, kind) -> ledger.Ledger:
+    made = ledger.Ledger(spark, f"scratch_{uuid.uuid4().hex}", kind, buckets=8)
+    _SCRATCH.append(made.table)
+    return made
+
+
+def counted(spark: SparkSession, model: Callable[[list[str]], list]) -> tuple[Callable[[list[str]], list], Callable[[], int]]:
+    """A model that counts its inputs, and how many there were so far."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def counting(inputs: list[str]) -> list:
+        asked.add(len(inputs))
+        return model(inputs)
+
+    return counting, lambda: asked.value
+
+
+@register
+def embed_once(spark, sf_dir):
+    """Chunks of the documents of one language, then of all, then of all again, embedded through one ledger.
+
+    For each round its chunks, the letters that their vectors count, and the texts that the model was asked for.
+    """
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("RUN"), "text", "lang")
+    embedder, asked = counted(spark, letter_counts())
+    kept, before, rounds = scratch_ledger(spark, ledger.VECTORS), 0, []
+    for number, part in enumerate((texts.where("lang = 'en'"), texts, texts)):
+        made = jobs.index_texts(part, embedder, size=CHUNK_SIZE, concurrency=workers(spark), vectors=kept)
+        n, letters = made.agg(F.count("vector"), F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x))).first()
+        rounds.append((number, n, int(letters or 0), asked() - before))
+        before = asked()
+    return spark.createDataFrame(rounds, "round int, n_chunks bigint, letters bigint, n_asked bigint")
+
+
+@register
+def replies_once(spark, sf_dir):
+    """Records extracted twice through one ledger: equal documents are asked for once, and no document again."""
+    texts = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("pdf_name"), F.timestamp_seconds(F.lit(0)).alias("ingest_ts"), "text")
+    model, asked = counted(spark, digest_records())
+    kept, before, rounds = scratch_ledger(spark, ledger.REPLIES), 0, []
+    for number in range(2):
+        made = jobs.extract_records(texts, model, concurrency=workers(spark), replies=kept)
+        n, good = made.agg(F.count(F.lit(1)), F.count(F.when(F.col("error").isNull(), 1))).first()
+        rounds.append((number, n, good, asked() - before))
+        before = asked()
+    return spark.createDataFrame(rounds, "round int, n_documents bigint, n_records bigint, n_asked bigint")
+
+
 # --- similarity -------------------------------------------------------------
 
 
@@ -629,6 +679,14 @@ def knn_top10(spark, sf_dir):
     return _scored(similarity.top_k(asked, held.select("vec_id", "vector"), k=10, keys=["vec_id"]))
 
 
+@register
+def knn_cells(spark, sf_dir):
+    """The same answer as ``knn_top10``, from an index by cell of which only some cells are read."""
+    asked, held = vector_sides(spark, sf_dir)
+    index = cells.CellIndex.build(held.select("vec_id", "vector"), new_folder(spark, "cells"), cells=32, keys=["vec_id"])
+    return _scored(index.top_k(asked, k=10, keys=["vec_id"], block_bytes=1 << 16))
+
+
 @register
 def knn_per_candidate(spark, sf_dir):
     asked, held = vector_sides(spark, sf_dir)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of copies that are removed when the innermost ``copies_removed`` ends.
+_COPIES: ContextVar[list[str] | None] = ContextVar("copies", default=None)
+
+
+@contextmanager
+def copies_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the copies that ``cut_lineage`` makes inside, at the end; results must have been used by then."""
+    made: list[str] = []
+    token = _COPIES.set(made)
+    try:
+        yield
+    finally:
+        _COPIES.reset(token)
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the copy, in ``spark`` if given.
 
@@ -56,6 +77,8 @@ def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     repeats them. A parquet copy keeps column pruning and gives Catalyst sizes.
     """
     folder = new_folder(df.sparkSession, "copy")
+    if (made := _COPIES.get()) is not None:
+        made.append(folder)
     df.write.parquet(folder)
     return (spark or df.sparkSession).read.schema(df.schema).parquet(folder)
 

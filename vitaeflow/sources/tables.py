@@ -37,9 +37,15 @@ def append_rows(rows: DataFrame, table: str) -> None:
     rows.write.mode("append").format("parquet").saveAsTable(table)
 
 
-def stage_rows(rows: DataFrame, table: str) -> str:
-    """Add the rows of one load to a staging table, under an id that is returned."""
-    load_id = uuid.uuid4().hex
+def stage_rows(rows: DataFrame, table: str, load_id: str | None = None) -> str:
+    """Add the rows of one load to a staging table, under an id that is returned.
+
+    Under an id that is given, what an earlier attempt of that load has left is replaced.
+    """
+    if load_id is None:
+        load_id = uuid.uuid4().hex
+    elif rows.sparkSession.catalog.tableExists(table):
+        drop_load(rows.sparkSession, table, load_id)
     marked = rows.withColumn("load_id", F.lit(load_id))
     marked.write.mode("append").format("parquet").partitionBy("load_id").saveAsTable(table)
     return load_id

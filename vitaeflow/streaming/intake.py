@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from vitaeflow.fixed_values import RECORD_KEY
 from vitaeflow.operators import extraction, models
 from vitaeflow.plans import jobs
-from vitaeflow.session import cut_lineage
+from vitaeflow.session import copies_removed, cut_lineage
+from vitaeflow.sources.ledger import Ledger
 from vitaeflow.sources.tables import KeyedTable
 
 
@@ -27,12 +29,16 @@ def start_intake(
     size: int | None = None,
     available_now: bool = True,
     concurrency: int | None = None,
+    replies: Ledger | None = None,
+    vectors: Ledger | None = None,
 ) -> StreamingQuery:
     """Run a stream of ``([path,] pdf_name, ingest_ts, text[, error])`` into the tables.
 
     ``jobs.read_documents`` over ``document_file_stream`` gives such a stream.
     Loads are keyed, so a batch that runs twice after a failure changes
-    nothing more; only its model calls repeat. ``rejects`` gets what a batch could not load, with
+    nothing more, and with ledgers of ``replies`` and ``vectors`` no call that was answered is
+    repeated. Staged rows of a batch that died are replaced when it runs again, and the copies that a
+    batch writes down are removed when it ends. ``rejects`` gets what a batch could not load, with
     the reason in ``error``: rejected records, records without a usable key, and the keys whose
     chunks could not be embedded, which keep their old ones. It is called before the checkpoint
     moves on. ``checkpoint`` belongs on the folder all executors share.
@@ -41,12 +47,17 @@ def start_intake(
     spark = texts.sparkSession
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        with copies_removed(spark):
+            load_batch(batch, batch_id)
+
+    def load_batch(batch: DataFrame, batch_id: int) -> None:
         # A batch's own session runs without adaptive execution. From its copy
         # on, the load runs in the outer session, which splits hot keys.
         held = cut_lineage(batch, spark)
-        records = jobs.extract_records(held, model, concurrency=concurrency)
+        records = jobs.extract_records(held, model, concurrency=concurrency, replies=replies)
+        load_id = hashlib.sha256(f"{checkpoint}\n{batch_id}".encode()).hexdigest()[:32]
         result = jobs.load_records(extraction.accepted(records), held, candidates_table, chunks_table, staging,
-                                   embedder, size=size, concurrency=concurrency)
+                                   embedder, size=size, concurrency=concurrency, vectors=vectors, load_id=load_id)
         unkeyed = result.invalid.withColumn("error", F.lit("no usable key"))
         stale = result.failed_chunks.groupBy(F.col("RUN").alias(RECORD_KEY)).agg(
             F.concat(F.lit("chunks not embedded: "), F.min("error")).alias("error"))
