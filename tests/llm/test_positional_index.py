@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import odd_rows
 from vitaeflow.llm import positional_index as P
 
@@ -27,9 +29,8 @@ def brute(docs, items, size=P.WINDOW, slop=0):
 
 
 def near(words, window, s, slop):
-    rare = min(range(len(window)), key=lambda k: words.count(window[k]))
-    there = (any(0 <= s + k + d < len(words) and words[s + k + d] == w for d in range(-slop, slop + 1)) for k, w in enumerate(window))
-    return words[s + rare] == window[rare] and all(there)
+    """By the definition alone: every term stands in the document within ``slop`` of its place in the run from ``s``."""
+    return all(any(0 <= s + k + d < len(words) and words[s + k + d] == w for d in range(-slop, slop + 1)) for k, w in enumerate(window))
 
 
 def tables(spark, seed=3):
@@ -55,13 +56,39 @@ def test_phrases_match_brute_force(spark, monkeypatch):
     assert answers(P.search(index, b, size=4)) == expected
 
 
-def test_proximity_matches_brute_force(spark):
+@pytest.mark.parametrize("words,tasks", [(1 << 18, 1), (100, 1), (30, 3), (1, 4)])
+def test_proximity_matches_brute_force(spark, monkeypatch, words, tasks):
+    monkeypatch.setattr(P, "BLOCK_WORDS", words)
     docs, items, d, b = tables(spark, 5)
-    index = P.build(d.coalesce(1).limit(1).unionByName(d.limit(0)))
-    one = [r.asDict() for r in d.coalesce(1).limit(1).collect()]
-    docs = [(r["doc_id"], r["text"]) for r in one]
-    got = answers(P.search(index, b, size=3, slop=1))
-    assert got == brute(docs, items, 3, slop=1)
+    for slop in (1, 2):
+        assert answers(P.search(P.build(d.repartition(tasks)), b, size=3, slop=slop)) == brute(docs, items, 3, slop=slop)
+
+
+def test_blocks_do_not_decide_matches(spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(0, "a x b x c"), (1, "a a c c"), (2, "a b y"), (3, "c z z"), (4, "c b a")], "doc_id bigint, text string")
+    for n in (1, 2, 5):
+        got = answers(P.search(P.build(docs.repartition(n)), bench, slop=1))
+        assert {i: v[1] for i, v in got.items()} == {0: 3, 1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_fifty_groups_of_queries_and_equal_texts(spark, monkeypatch):
+    docs, items, d, b = tables(spark, 8)
+    items += [(100 + k, f"aa bb w{k}") for k in range(150)] + [(300 + k, "aa bb cc Dd") for k in range(40)]
+    docs += [(200 + k, f"x aa bb w{k} y") for k in range(0, 150, 7)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = answers(P.search(P.build(d), b, size=4))
+    assert whole == brute(docs, items, 4)
+    monkeypatch.setattr(P, "QUERY_BYTES", 100)
+    groups, _ = P.query_groups(b, 4)
+    assert groups >= 40 and answers(P.search(P.build(d), b, size=4)) == whole
+
+
+def test_a_clean_text_stays_beside_a_contaminated_one(spark):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(7, "one two three"), (7, "clean"), (None, "one two three"), (None, "fine"), (8, None)], "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in P.clean(docs, bench).collect()), key=str) == [(7, "clean"), (8, None), (None, "fine")]
 
 
 def test_odd_rows(spark):

@@ -8,11 +8,13 @@ bounded size. It is written once and serves any number of test sets.
 A query is a sequence of terms. In a block that has all of them, the lists are
 intersected from the rarest term on, each shifted by the term's place: what is
 left are the exact phrases. With ``slop``, a term may stand that many words
-away from its place, which gives proximity matches. Matches never cross from
-one document into the next.
+away from its place: there is a match where a run of as many words as the query
+lies in a document and every term stands in that document within ``slop`` of its
+place in the run. Neither blocks nor the order of intersection decide that.
 
-Test items are the stated query set. They are read in groups of at most
-``QUERY_BYTES``, each broadcast and run against all blocks.
+Test items are the stated query set. Equal texts are one query. They are read in
+groups of about ``QUERY_BYTES``, each broadcast, run against all blocks and
+dropped before the next; what several groups find is written down and joined.
 
 Defined cases: null and empty texts have no words, and are returned with
 zeros. An item without words matches nothing; a null ``item_id`` counts as an
@@ -109,12 +111,13 @@ def build(docs: DataFrame, path: str | None = None, text: str = "text") -> DataF
 
 @dataclass(frozen=True)
 class Queries:
-    """Different term sequences, padded with -1, the length of each, and the items it stands for."""
+    """Different term sequences, padded with -1, the length of each, the texts it is from, and the items of each text."""
 
     terms: dict[bytes, int]
     windows: np.ndarray
     lengths: np.ndarray
-    items: list[tuple[str, ...]]
+    texts: list[tuple[int, ...]]
+    names: list[tuple[str, ...]]
 
 
 def windows_of(words: list, size: int) -> list[tuple]:
@@ -124,43 +127,64 @@ def windows_of(words: list, size: int) -> list[tuple]:
     return list(zip(*(words[k : len(words) - size + 1 + k] for k in range(size))))
 
 
-def compile_queries(items: list[tuple[str, bytes]], size: int = WINDOW) -> Queries:
+def compile_queries(items: list[tuple[tuple[str, ...], bytes]], size: int = WINDOW) -> Queries:
+    """From different texts, each with the names of its items."""
     terms: Numbering = Numbering()
-    owners: dict[tuple, set[str]] = {}
-    for item, data in items:
+    owners: dict[tuple, set[int]] = {}
+    for number, (_, data) in enumerate(items):
         for window in windows_of([terms[w] for w in words_of(data)], size):
-            owners.setdefault(window, set()).add(item)
+            owners.setdefault(window, set()).add(number)
     windows = np.full((len(owners), size), -1, np.int64)
     for i, window in enumerate(owners):
         windows[i, : len(window)] = window
-    return Queries(dict(terms), windows, (windows >= 0).sum(1), [tuple(sorted(o)) for o in owners.values()])
+    return Queries(dict(terms), windows, (windows >= 0).sum(1), [tuple(o) for o in owners.values()], [names for names, _ in items])
 
 
-def query_groups(benchmark: DataFrame, size: int = WINDOW) -> Iterator[Queries]:
-    """The items of ``benchmark`` compiled in groups of about ``QUERY_BYTES``, dealt by a hash of the text."""
+def query_groups(benchmark: DataFrame, size: int = WINDOW) -> tuple[int, Iterator[Queries]]:
+    """How many groups there are, and the different texts of ``benchmark`` compiled in groups, dealt by a hash of the text."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), utf8("text").alias("text"))
-    rows = rows.where("text IS NOT NULL")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = write_down(rows.where("text IS NOT NULL").groupBy("text").agg(F.array_sort(F.collect_set("item")).alias("items")), "queries")
+    held = F.octet_length("text") + F.size("items") * 16
+    total = rows.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
     groups = max(1, -(-total // QUERY_BYTES))
-    for g in range(groups):
-        part = rows if groups == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g)
-        yield compile_queries([(r["item"], bytes(r["text"])) for r in part.toLocalIterator()], size)
+
+    def compiled() -> Iterator[Queries]:
+        for g in range(groups):
+            part = rows if groups == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g)
+            yield compile_queries([(tuple(r["items"]), bytes(r["text"])) for r in part.toLocalIterator()], size)
+
+    return groups, compiled()
 
 
 # --- search ------------------------------------------------------------------------
 
 
-def occurrences(lists: list[np.ndarray], slop: int = 0) -> np.ndarray:
-    """Positions where a sequence begins; ``lists[k]`` has the sorted positions of its ``k``-th term."""
-    order = sorted(range(len(lists)), key=lambda k: len(lists[k]))
+def occurrences(lists: list[np.ndarray], ends: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Where a sequence begins, and in which document; ``lists[k]`` has the sorted positions of its ``k``-th term.
+
+    ``ends`` are the documents' ends in the block.
+    """
+    n, starts = len(lists), np.concatenate([[0], ends[:-1]])
+    order = sorted(range(n), key=lambda k: len(lists[k]))
     found = lists[order[0]] - order[0]
-    for k in order[1:]:
-        if not len(found):
-            break
-        at = np.searchsorted(lists[k], found + (k - slop))
-        near = lists[k][np.minimum(at, len(lists[k]) - 1)]
-        found = found[(at < len(lists[k])) & (near <= found + (k + slop))]
-    return found
+    if slop:
+        found = np.unique(found[:, None] + np.arange(-slop, slop + 1))
+    else:
+        for k in order[1:]:
+            if not len(found):
+                break
+            at = np.searchsorted(lists[k], found + k)
+            found = found[(at < len(lists[k])) & (lists[k][np.minimum(at, len(lists[k]) - 1)] == found + k)]
+    found = found[(found >= 0) & (found + n <= (ends[-1] if len(ends) else 0))]
+    doc = np.searchsorted(ends, found, side="right")
+    inside = found + n <= ends[doc]
+    found, doc = found[inside], doc[inside]
+    for k in order if slop else ():
+        low, high = np.maximum(found + (k - slop), starts[doc]), np.minimum(found + (k + slop), ends[doc] - 1)
+        at = np.searchsorted(lists[k], low)
+        near = (at < len(lists[k])) & (lists[k][np.minimum(at, len(lists[k]) - 1)] <= high)
+        found, doc = found[near], doc[near]
+    return found, doc
 
 
 def _search_block(queries: Queries, ends: np.ndarray, terms: list[bytes], counts: np.ndarray, gaps: np.ndarray, slop: int):
@@ -183,12 +207,9 @@ def _search_block(queries: Queries, ends: np.ndarray, terms: list[bytes], counts
     found = []
     for q in candidates:
         length = queries.lengths[q]
-        at = occurrences([positions_of(here[t]) for t in queries.windows[q, :length]], slop)
-        at = at[(at >= 0) & (at + length <= (ends[-1] if len(ends) else 0))]
-        doc = np.searchsorted(ends, at, side="right")
-        inside = (at >= starts[doc]) & (at + length <= ends[doc])
-        if inside.any():
-            doc, at = doc[inside], at[inside] - starts[doc[inside]]
+        at, doc = occurrences([positions_of(here[t]) for t in queries.windows[q, :length]], ends, slop)
+        if len(at):
+            at = at - starts[doc]
             found.append((doc, at, at + length, np.full(len(doc), q)))
     return [np.concatenate(c) for c in zip(*found)] if found else None
 
@@ -209,9 +230,7 @@ _FOUND = ("block bigint, nth int, doc_id bigint, n_words bigint, spans array<str
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _search(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(parts(queries))
-
+def _search(index: DataFrame, shared, slop: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = Queries(*shared.value)
         for batch in batches:
@@ -229,7 +248,8 @@ def _search(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
                     cuts = np.flatnonzero(np.diff(doc)) + 1
                     for d, a, b, q in zip(doc[np.concatenate([[0], cuts])], *(np.split(m, cuts) for m in (start, end, query))):
                         spans[d] = [{"start": x, "end": y} for x, y in _merged(a, b)]
-                        items[d] = sorted({item for k in set(q.tolist()) for item in asked.items[k]})
+                        texts = {text for k in set(q.tolist()) for text in asked.texts[k]}
+                        items[d] = sorted({name for text in texts for name in asked.names[text]})
                 yield pa.record_batch(
                     [pa.array([cell["block"].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()),
                      cell["doc_ids"].values, pa.array(np.diff(ends, prepend=0), pa.int64()),
@@ -242,19 +262,28 @@ def _search(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
 def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
     """For every indexed document: ``doc_id, n_words``, ``spans`` of hit words, and the ``items`` found, sorted.
 
-    With one group of queries nothing is shuffled; the answers to several are joined by document.
+    With one group of queries nothing is shuffled. Several are scanned one after another: the matches of each
+    are written down, its broadcast is dropped, and in the end they are joined by document.
     """
-    found = [_search(index, queries, slop) for queries in query_groups(benchmark, size)]
-    if len(found) == 1:
-        return found[0].select("doc_id", "n_words", "spans", "items")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("block", "nth").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+    context = index.sparkSession.sparkContext
+    groups, compiled = query_groups(benchmark, size)
+    if groups == 1:
+        return _search(index, context.broadcast(parts(next(compiled))), slop).select("doc_id", "n_words", "spans", "items")
+    hits = None
+    for queries in compiled:
+        shared = context.broadcast(parts(queries))
+        found = write_down(_search(index, shared, slop).where(F.size("spans") > 0).select("block", "nth", "spans", "items"), "matches")
+        shared.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("block", "nth").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).drop("block", "nth")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    docs = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "ends")).alias("nth", "d"), "ends")
+    before = F.when(F.col("nth") > 0, F.try_element_at("ends", F.col("nth"))).otherwise(0)
+    docs = docs.select("block", "nth", F.col("d.doc_ids").alias("doc_id"), (F.col("d.ends") - before).cast("bigint").alias("n_words"))
+    joined = docs.join(lookup_side(write_down(hits, "hits")), ["block", "nth"], "left")
+    kinds = dict(hits.dtypes)
+    return joined.select("doc_id", "n_words", *(F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in ("spans", "items")))
 
 
 def hit_words(spans: str = "spans") -> Column:
@@ -281,12 +310,11 @@ def judge(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns.
 
-    Contaminated ids are written down and looked up, broadcast if they measure small, so that texts
-    stay where they are. Rows that share a ``doc_id`` go together; those whose ``doc_id`` is null
-    cannot be named and are judged by their text's hash instead.
+    Rows are told apart by a hash of id and text, so that a clean text under the id of a contaminated one stays. The
+    hashes of contaminated ones are written down and looked up, broadcast if they measure small: texts stay where they are.
     """
     key = free_name(docs, "key")
-    named = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
+    named = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text"))
     marked = docs.withColumn(key, named)
     index = build(docs.select(named.alias("doc_id"), "text"))
     bad = write_down(judge(search(index, benchmark)).where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "bad")
