@@ -96,6 +96,20 @@ def test_quality_of_held_out_documents(spark):
     assert area > 0.97 and (rows["predicted"] == rows["quality"]).mean() > 0.95
 
 
+def test_copies_and_partitions_do_not_change_the_model(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    monkeypatch.setattr(C, "PER_CLASS", 20)
+    alone = C.train(docs, labels, F.lit(True))
+    other = docs.limit(1).crossJoin(spark.range(500)).select("doc_id", "text")
+    for rows in (docs.repartition(9), docs.unionByName(docs).unionByName(other).repartition(4)):
+        again = C.train(rows, labels.unionByName(labels), F.lit(True))
+        assert np.array_equal(again.gain, alone.gain) and again.constant == alone.constant
+    monkeypatch.setattr(C, "PER_CLASS_PARTS", 3000)
+    fewer = C.train(docs, labels, F.lit(True))
+    assert not np.array_equal(fewer.gain, alone.gain)
+
+
 def test_scores_are_those_of_the_whole_bag():
     rng = np.random.default_rng(2)
     model = C.Model(rng.normal(size=C.BUCKETS).astype(np.float32), 0.3)

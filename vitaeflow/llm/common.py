@@ -62,13 +62,6 @@ def code_points(data: bytes) -> int:
     return len(data) if data.isascii() else int(np.count_nonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80))
 
 
-def digest(parts: list[str]) -> str:
-    """SHA-256 of the comma-joined parts, in lowercase hex."""
-    import hashlib
-
-    return hashlib.sha256(",".join(parts).encode()).hexdigest()
-
-
 class Numbering(dict):
     """Numbers keys as they come: 0, 1, 2, …"""
 

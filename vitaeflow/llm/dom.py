@@ -2,8 +2,8 @@
 
 The reader keeps what a content model needs: block elements with their cues,
 and between two block boundaries one run of text with the share of it that is
-linked. Inline markup and ``br`` vanish, scripts and other unseen elements go
-with their content, unclosed and stray tags are mended the way browsers do it
+linked. Inline markup vanishes, ``br`` is white space, formulas keep their text, scripts and
+other unseen elements go with their content, unclosed and stray tags are mended the way browsers do it
 for the common cases. It is linear in the length of the page.
 """
 
@@ -14,7 +14,7 @@ import re
 BLOCKS = frozenset("""address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select
 summary table tbody td tfoot th thead tr ul""".split())
-UNSEEN = frozenset("head script style template noscript title textarea iframe object svg math canvas audio video".split())
+UNSEEN = frozenset("head script style template noscript title textarea iframe object svg canvas audio video".split())
 _EMPTY = frozenset("hr".split())
 #: A new one of these ends an open one of the named kinds in the same container.
 _ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}, "tr": {"tr", "td", "th"},
@@ -30,6 +30,8 @@ _FOR = re.compile(r"(?<![a-z])(?:article\w*|body|content|entry|main|post|story|t
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 
+#: Where a drawing ends that has no end tag: at the next block.
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?![a-z0-9-])", re.IGNORECASE)
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _CLOSE = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 
@@ -99,6 +101,7 @@ def read_page(source: str | None) -> Page:
     run: list[str] = []
     in_link = linked = 0
     at, plain = 0, False
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -146,9 +149,11 @@ def read_page(source: str | None) -> Page:
             tag, at = name[2].lower(), end
             if tag == "a":
                 in_link = 0 if name[1] else 1
+            elif tag == "br":
+                put(" ")
             elif tag in UNSEEN:
                 if not name[1] and source[end - 2] != "/":
-                    at = _behind(source, tag, end)
+                    at = _behind(source, tag, end, endless)
             elif tag in BLOCKS:
                 flush()
                 if name[1]:
@@ -159,11 +164,17 @@ def read_page(source: str | None) -> Page:
     return page
 
 
-def _behind(source: str, tag: str, at: int) -> int:
-    """Behind the end of an unseen element; where it has none, behind its start tag, for ``head``, or at the page's end."""
-    end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(source, at)
+def _behind(source: str, tag: str, at: int, endless: set[str]) -> int:
+    """Behind the end of an unseen element. Where it has none: behind its start tag for ``head``, at the next block for
+    ``svg``, else at the page's end. ``endless`` are the tags that have no end in the rest of the page.
+    """
+    end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(source, at)
     if end:
         return end.end()
+    endless.add(tag)
+    if tag == "svg":
+        block = _BLOCK_TAG.search(source, at)
+        return block.start() if block else len(source)
     return at if tag == "head" else len(source)
 
 

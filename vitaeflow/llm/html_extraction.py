@@ -185,12 +185,12 @@ def fit_pages(pages: list[Page], seed: int = 11) -> Model:
 
 
 def train(pages: DataFrame) -> Model:
-    """Learn from at most ``TRAINING_PAGES`` pages of at most ``TRAINING_CHARS``, chosen by a hash of the page."""
-    rows = pages.where(F.col("html").isNotNull() & (F.length("html") <= TRAINING_CHARS)).select("html")
-    # a hash lets about four times as many pages through, so that no task sends more than its part of them
-    share = min(1.0, 4 * TRAINING_PAGES / max(1, pages.count()))
-    drawn = rows.where(F.shiftrightunsigned(F.xxhash64("html"), 11) <= F.lit(share * 2.0**53))
-    found = drawn.orderBy(F.xxhash64("html"), "html").limit(TRAINING_PAGES).collect()
+    """Learn from at most ``TRAINING_PAGES`` different pages of at most ``TRAINING_CHARS``, chosen by a hash of the page."""
+    rows = pages.where(F.col("html").isNotNull() & (F.length("html") <= TRAINING_CHARS)).select("html", F.xxhash64("html").alias("h"))
+    # a hash lets about four times as many different pages through, so that no task sends more than its part of them
+    share = min(1.0, 4 * TRAINING_PAGES / max(1, rows.agg(F.approx_count_distinct("h")).first()[0]))
+    drawn = rows.where(F.shiftrightunsigned("h", 11) <= F.lit(share * 2.0**53)).dropDuplicates(["h"])
+    found = drawn.orderBy("h").limit(TRAINING_PAGES).collect()
     return fit_pages([read_page(r["html"]) for r in found])
 
 

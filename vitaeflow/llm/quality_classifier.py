@@ -10,7 +10,11 @@ The output is linear in the words up to the softmax, so scoring needs one
 number for each word: words of a batch are worked out together and remembered.
 
 Training uses at most ``PER_CLASS`` labelled documents of each class, chosen by
-a hash of the id, as bags of hashed parts made in the tasks.
+a hash of the id, as bags of hashed parts made in the tasks; of those, in the
+same order, as many as have ``PER_CLASS_PARTS`` parts in all. Of texts that share
+an id, the one whose hash is smallest is taken. A document's step on the table
+is its gradient divided by its largest share, so that long texts, whose shares
+are small, move it as far as short ones.
 
 Defined cases: null and empty texts, or texts of white space, have no words and
 get the score of the learned constant. Without labels of both classes every
@@ -26,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import array_function, parts, utf8
+from vitaeflow.llm.common import array_function, parts, utf8, write_down
 
 PER_CLASS = 1000
+#: Parts with shares, of 8 bytes, that come to the driver for each class.
+PER_CLASS_PARTS = 2_500_000
 #: Rows of the table, numbers in a vector, lengths of n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (3, 4, 5)
 EPOCHS, RATE = 12, 0.5
@@ -174,14 +180,27 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model:
     """Learn ``quality`` from labelled rows for which ``learn_from`` (over ``doc_id``) holds."""
     known = labels.where(learn_from & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    nth = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= PER_CLASS).drop("nth")
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    # a hash lets about four times as many ids through, so that no task orders more than that
+    share = F.lit(0.0)
+    for quality, n in counts.items():
+        share = F.when(F.col("quality") == quality, min(1.0, 4 * PER_CLASS / n)).otherwise(share)
+    drawn = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) <= share * 2.0**53)
+    in_order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = drawn.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= PER_CLASS).drop("nth")
     # at most 2 * PER_CLASS rows
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = picked.select("doc_id", "quality", array_function(_bags, _BAG)(utf8("text")).alias("b")).select("doc_id", "quality", "b.*")
-    rows = found.limit(4 * PER_CLASS).toPandas().sort_values("doc_id", kind="stable")
-    bags = [(np.asarray(b, np.int64), np.asarray(s, np.float32)) for b, s in zip(rows["buckets"], rows["shares"])]
-    return fit(bags, rows["quality"].to_numpy(np.int64))
+    picked = docs.select("doc_id", "text").join(F.broadcast(write_down(chosen, "chosen")), "doc_id")
+    picked = picked.withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    least = write_down(picked.groupBy("doc_id").agg(F.min("h").alias("h")), "least")
+    once = picked.join(F.broadcast(least), ["doc_id", "h"]).dropDuplicates(["doc_id"])
+    bags = write_down(once.select("doc_id", "quality", array_function(_bags, _BAG)(utf8("text")).alias("b")).select("doc_id", "quality", "b.*"), "bags")
+    size = F.sum(F.size("buckets")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sized = bags.select("doc_id", "quality", F.size("buckets").alias("n"), size.alias("size"))
+    fits = sized.where((F.col("size") <= PER_CLASS_PARTS) | (F.col("size") == F.col("n"))).select("doc_id")
+    # the first document of a class is taken whatever its size
+    found = bags.join(F.broadcast(fits), "doc_id", "left_semi").toArrow().sort_by("doc_id")
+    texts = [(b.values.to_numpy().astype(np.int64), s.values.to_numpy()) for b, s in zip(found.column("buckets"), found.column("shares"))]
+    return fit(texts, found.column("quality").to_numpy().astype(np.int64))
 
 
 def _score(shared):

@@ -21,7 +21,7 @@ from vitaeflow.llm import (
     sharding,
     source_mixing,
 )
-from vitaeflow.llm.common import table
+from vitaeflow.llm.common import table, write_down
 from vitaeflow.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,14 +92,19 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's measurements, failure bits and verdict under the production policy."""
-    rows = quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    """Every document's measurements, failure bits and verdict under the production policy, and how many documents it would keep without each rule."""
+    rows = write_down(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    # a row for each rule of the policy
+    without = {r["rule"]: r["kept_without"] for r in quality_rules.ablations(rows).where(
+        F.col("version") == quality_rules.PRODUCTION.version).collect()}
+    rows = quality_rules.verdicts(rows)
     base, policy = quality_rules.POLICIES[0], quality_rules.PRODUCTION
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality_rules.passes(F.col("failures"), base)).alias("base_failed"),
         quality_rules.passes(F.col("failures"), policy).alias("kept"),
         "failures", F.concat_ws(",", "kept_by").alias("kept_by"),
+        *(F.lit(without[name]).cast("bigint").alias(f"kept_without_{name}") for name in policy.rules),
     )
 
 
@@ -143,7 +148,11 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failures & 3 <> 0 AS base_failed,
        failures & 15 = 0 AS kept, CAST(failures AS BIGINT) AS failures,
        CASE WHEN failures = 0 THEN 'base-1,junk-1,strict-1' WHEN failures & 15 = 0 THEN 'base-1,junk-1'
-            WHEN failures & 3 = 0 THEN 'base-1' ELSE '' END AS kept_by
+            WHEN failures & 3 = 0 THEN 'base-1' ELSE '' END AS kept_by,
+       count(*) FILTER (failures & 14 = 0) OVER () AS kept_without_few_words,
+       count(*) FILTER (failures & 13 = 0) OVER () AS kept_without_repeated_words,
+       count(*) FILTER (failures & 11 = 0) OVER () AS kept_without_symbols,
+       count(*) FILTER (failures & 7 = 0) OVER () AS kept_without_upper_case
 FROM f
 """
 
