@@ -109,6 +109,9 @@ def test_odd_rows(spark, monkeypatch):
     assert len(got) == len(odd_rows.TEXTS)
     assert all(r["back"] == r["text"] and (r["i"] is None) == (r["text"] is None) for r in got)
     assert P.encode(odd_rows.no_documents(spark), shared).count() == 0
+    monkeypatch.setattr(P, "_SLICE", 100)
+    checked = P.encode(docs, shared, name="coded", checked=True).select("doc_id", "text", "coded.*").collect()
+    assert sorted((str(r["text"]), r["ids"] or [], r["decodes"]) for r in checked) == sorted((str(r["text"]), r["i"] or [], True) for r in got)
 
 
 def test_words_side_by_side_give_what_each_gives_alone(pieces):

@@ -44,9 +44,9 @@ from vitaeflow.llm.common import array_function, parts, utf8
 #: Segmentations for each text.
 N_BEST = 4
 #: Bytes of the words that a task remembers, and of their N best; beyond either, those are forgotten.
-_HELD_BYTES, _LIST_BYTES = 64_000_000, 16_000_000
-#: Characters of texts that are encoded together.
-_GROUP = 1_000_000
+_HELD_BYTES, _LIST_BYTES = 48_000_000, 8_000_000
+#: Characters of texts that are encoded together, and bytes of texts whose results are Python objects at a time.
+_GROUP, _SLICE = 1_000_000, 4_000_000
 #: Words that are searched together, and the longest of them; longer ones are searched alone.
 _TOGETHER, _SHORT = 16_384, 64
 _SPACE = "▁"
@@ -488,11 +488,14 @@ _EDITS = pa.list_(pa.struct([("at", pa.int32()), ("removed", pa.int32()), ("ids"
 _NBEST = pa.list_(pa.struct([("score", pa.float64()), ("edits", _EDITS)]))
 
 
-def _encode(shared, n: int):
+def _encode(lattice, pieces, n: int):
+    """Encodes; with ``pieces`` also decodes and compares, in the same worker, so that ids need not travel."""
+
     def make():
-        encoder = Encoder(Pieces(*shared.value), n)
+        encoder = Encoder(Pieces(*lattice.value), n)
+        decoded = _decoder(pieces.value) if pieces is not None else None
 
-        def work(texts: pa.Array) -> pa.Array:
+        def encoded(texts: pa.Array) -> pa.StructArray:
             ids, choices = [], []
             for made, best in encoder.encode_all([data if data is None else data.decode() for data in texts.to_pylist()]):
                 ids.append(made)
@@ -502,39 +505,54 @@ def _encode(shared, n: int):
             here = [*texts.is_valid().to_pylist(), True]
             offsets = pa.array([end if valid else None for end, valid in zip(ends, here)], pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            return pa.StructArray.from_arrays([lists, pa.array(choices, _NBEST)], ["ids", "nbest"])
+            columns = {"ids": lists, "nbest": pa.array(choices, _NBEST)}
+            if decoded is not None:
+                back = decoded(lists).cast(pa.binary())
+                columns["decodes"] = pc.if_else(texts.is_valid(), pc.fill_null(pc.equal(back, texts.cast(pa.binary())), False), back.is_null())
+            return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+        def work(texts: pa.Array) -> pa.Array:
+            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            made, at = [], 0
+            while at < len(texts) or not made:
+                held = int(ends[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, held + _SLICE, side="right")))
+                made.append(encoded(texts.slice(at, end - at)))
+                at = end
+            return pa.concat_arrays(made)
 
         return work
 
-    return array_function(make, _ENCODED)
+    return array_function(make, _ENCODED if pieces is None else _ENCODED[:-1] + ", decodes: boolean>")
 
 
-def _decode(shared):
-    def make():
-        table = pa.array(shared.value, pa.large_binary())
-
-        def work(lists: pa.Array) -> pa.Array:
-            # all ids of the batch become bytes at once; a text's are those between its first and last piece
-            flat = lists.flatten()
-            data = table.take(flat)
-            ends = np.frombuffer(data.buffers()[1], np.int64, len(flat) + 1, 8 * data.offset) if len(flat) else np.zeros(1, np.int64)
-            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            places = ends[np.concatenate([[0], np.cumsum(lengths)])]
-            held = np.frombuffer(data.buffers()[2] or b"", np.uint8)[: places[-1]]
-            # without the space that encoding puts in front
-            fronts = places[:-1][np.diff(places) > 0]
-            places = places - np.concatenate([[0], np.cumsum(np.diff(places) > 0)])
-            buffers = [None, pa.py_buffer(np.ascontiguousarray(places)), pa.py_buffer(np.delete(held, fronts))]
-            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), buffers)
-            texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.large_binary()))
-            try:
-                return texts.cast(pa.string())
-            except pa.ArrowInvalid:  # ids that were no text before
-                return pa.array([x if x is None else x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+def _decoder(pieces: list[bytes]):
+    table = pa.array(pieces, pa.large_binary())
+
+    def decoded(lists: pa.Array) -> pa.Array:
+        # all ids of the batch become bytes at once; a text's are those between its first and last piece
+        flat = lists.flatten()
+        data = table.take(flat)
+        ends = np.frombuffer(data.buffers()[1], np.int64, len(flat) + 1, 8 * data.offset) if len(flat) else np.zeros(1, np.int64)
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        places = ends[np.concatenate([[0], np.cumsum(lengths)])]
+        held = np.frombuffer(data.buffers()[2] or b"", np.uint8)[: places[-1]]
+        # without the space that encoding puts in front
+        fronts = places[:-1][np.diff(places) > 0]
+        places = places - np.concatenate([[0], np.cumsum(np.diff(places) > 0)])
+        buffers = [None, pa.py_buffer(np.ascontiguousarray(places)), pa.py_buffer(np.delete(held, fronts))]
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), buffers)
+        texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.large_binary()))
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that were no text before
+            return pa.array([x if x is None else x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+
+    return decoded
 
-        return work
 
-    return array_function(make, "string")
+def _decode(pieces):
+    return array_function(lambda: _decoder(pieces.value), "string")
 
 
 @dataclass(frozen=True)
@@ -551,9 +569,12 @@ def shared_pieces(spark: SparkSession, path: str, scores: str = "zipf") -> Share
     return SharedPieces(context.broadcast(parts(pieces)), context.broadcast(list(pieces.texts)))
 
 
-def encode(docs: DataFrame, shared: SharedPieces, n: int = N_BEST, name: str = "encoded") -> DataFrame:
-    """``docs`` with the struct ``name``: the best ``ids``, and ``nbest`` as scores and edits of them; no shuffle."""
-    return docs.withColumn(name, _encode(shared.lattice, n)(utf8("text")))
+def encode(docs: DataFrame, shared: SharedPieces, n: int = N_BEST, name: str = "encoded", checked: bool = False) -> DataFrame:
+    """``docs`` with the struct ``name``: the best ``ids``, and ``nbest`` as scores and edits of them; no shuffle.
+
+    ``checked`` adds ``decodes`` to the struct: whether decoding the ids gives the text back.
+    """
+    return docs.withColumn(name, _encode(shared.lattice, shared.texts if checked else None, n)(utf8("text")))
 
 
 def decode(rows: DataFrame, shared: SharedPieces, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -277,12 +277,10 @@ def piece_model() -> str:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's best ids, its N best segmentations as edits, and whether decoding gives the text back."""
     shared = piece_lattice.shared_pieces(spark, piece_model())
-    rows = piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), shared)
-    rows = rows.select("doc_id", "text", "encoded.*")
-    back = piece_lattice.decode(rows, shared, "ids", "back")
-    return back.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"), "ids", "nbest",
-        F.col("back").eqNullSafe(F.col("text")).alias("decodes"),
+    rows = piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), shared, checked=True)
+    return rows.select(
+        "doc_id", F.coalesce(F.size("encoded.ids"), F.lit(0)).cast("bigint").alias("n_pieces"), "encoded.ids", "encoded.nbest",
+        "encoded.decodes",
     )
 
 
