@@ -23,6 +23,9 @@ STAGING = T.StructType([*CANDIDATES.fields, T.StructField("ingest_ts", T.Timesta
 
 CHUNKS = _struct(("RUN", _S), ("chunk_no", _I), ("text", _S), ("vector", T.ArrayType(T.FloatType())))
 
+# Versions of files that an intake has taken in.
+SEEN_FILES = _struct(("path", _S), ("modificationTime", T.TimestampType()), ("length", _L))
+
 CHAT_REPLY = _struct(
     ("choices", T.ArrayType(_struct(("message", _struct(("content", _S)))))),
     ("usage", _struct(("total_tokens", _L))),

@@ -7,11 +7,17 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitaeflow.fixed_values import SOURCE_NAME
 from vitaeflow.schema import BINARY_FILES
 
 _GLOB = "*.[pP][dD][fF]"
 
 
+def named(files: DataFrame) -> DataFrame:
+    """Add the name of each file as it is; the one in Spark's metadata has blanks and accents escaped."""
+    return files.withColumn(SOURCE_NAME, F.substring_index("path", "/", -1))
+
+
 def document_files(spark: SparkSession, path: str, glob: str = _GLOB, recursive: bool = True) -> DataFrame:
     """All document files under ``path`` with their bytes.
 
@@ -24,7 +30,7 @@ def document_files(spark: SparkSession, path: str, glob: str = _GLOB, recursive:
         .option("recursiveFileLookup", str(recursive).lower())
         .load(path)
     )
-    return files.withColumn("pdf_name", F.col("_metadata.file_name"))
+    return named(files)
 
 
 def pack_documents(spark: SparkSession, folders: list[str], target: str, glob: str = _GLOB) -> DataFrame:
@@ -57,7 +63,7 @@ def document_file_stream(spark: SparkSession, path: str, glob: str = _GLOB, file
         .option("maxFileAge", max_file_age)
         .load(path)
     )
-    return files.withColumn("pdf_name", F.col("_metadata.file_name"))
+    return named(files)
 
 
 def read_candidates(spark: SparkSession, source: str, format: str | None = None, **options: str) -> DataFrame:
