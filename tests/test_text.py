@@ -95,3 +95,44 @@ def test_read_pages_keeps_unreadable_files(spark):
     assert rows["a"] == (["x", "y"], None)
     assert rows["b"] == (None, "unreadable document: broken")
     assert rows["c"] == (None, "unreadable document: no content")
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(-40, 40), st.text("xy\nñ😀", max_size=12) | st.none()),
+             unique_by=lambda row: row[:2], max_size=30),
+    st.integers(1, 9), st.integers(0, 4))
+def test_chunks_of_pages_are_those_of_documents(spark, pages, size, bits):
+    held = spark.createDataFrame(pages, "k string, no int, text string")
+    whole = D.chunk(D.assemble(held, "k", "no"), "k", size)
+    found = D.chunk_pages(held, "k", size, "no", block_bits=bits)
+    assert found.columns == whole.columns and found.dtypes == whole.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_chunks_of_a_hot_document(spark):
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("doc_key"), F.col("id").alias("page_no"), F.col("id").cast("string").alias("text"))
+    found = D.chunk_pages(rows, size=100)
+    hot = sorted((r.chunk_no, r.text) for r in found.where("doc_key = 0").collect())
+    text = "".join(f"{i}\n" for i in range(60_000) if i % 3 > 0 or i == 0)
+    assert [t for _, t in hot] == [text[i : i + 100] for i in range(0, len(text), 100)]
+    assert [n for n, _ in hot] == list(range(len(hot)))
+    assert found.where("doc_key > 0").count() == 19_999
+
+
+def test_chunks_of_pages_refuse_what_has_no_answer(spark):
+    pages = spark.createDataFrame([("a", "1", "x")], "doc_key string, page_no string, text string")
+    with pytest.raises(ValueError, match="whole numbers"):
+        D.chunk_pages(pages, size=5)
+    for size in (None, 0, -1):
+        with pytest.raises(ValueError, match="positive"):
+            D.chunk_pages(pages.withColumn("page_no", F.lit(1)), size=size)
+
+
+def test_a_page_of_many_chunks_and_a_null_number(spark):
+    pages = spark.createDataFrame([("a", 5, "b" * 2500), ("a", None, "a" * 7), ("a", 2000, "c"), (None, None, None)],
+                                  "doc_key string, page_no int, text string")
+    found = sorted((str(r.doc_key), r.chunk_no, r.text) for r in D.chunk_pages(pages, size=1000).collect())
+    text = "a" * 7 + "\n" + "b" * 2500 + "\nc\n"
+    assert found == [("None", 0, "\n"), *(("a", i // 1000, text[i : i + 1000]) for i in range(0, len(text), 1000))]

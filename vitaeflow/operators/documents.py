@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitaeflow.functions.text import fixed_chunks, has_text
+from vitaeflow.session import cut_lineage, lookup_side
 
 #: ``extract(content) -> page texts``; supplied by the user (any PDF reader).
 PageExtractor = Callable[[bytes], list[str]]
 
+#: Bits of a page's number that tell pages of one block apart, in ``chunk_pages``.
+BLOCK_BITS = 10
+
 _PAGES = T.StructType(
     [
         T.StructField("pages", T.ArrayType(T.StringType())),
@@ -106,3 +110,51 @@ def chunk(documents: DataFrame, key: str, size: int | None = None, text: str = "
     """Chunk rows ``(key, chunk_no, text)``: fixed size, no overlap."""
     pieces = fixed_chunks(F.col(text), size)
     return documents.select(F.col(key), F.posexplode(pieces).alias("chunk_no", "text"))
+
+
+def chunk_pages(pages: DataFrame, key: str = "doc_key", size: int | None = None, order: str = "page_no", text: str = "text",
+                block_bits: int = BLOCK_BITS) -> DataFrame:
+    """``chunk`` of the assembled documents, from page rows, without assembling them.
+
+    Every page is followed by a newline; null page texts count as empty. Where a page begins in its
+    document is a prefix sum in two levels: of the pages in a block of consecutive numbers, then of the
+    blocks. A document of any number of pages is so spread over tasks, and no cell holds more than a page
+    or a chunk. Pages are cut where chunks begin. A chunk that lies inside one page is done; only the
+    pieces of the others move once more, to be joined.
+
+    ``order`` is a whole number. Among pages that share one, texts come in their own order; null numbers come
+    first (both meet in one task, as they have no order that could divide them). A null key is a key like others. ``size`` must be given, as a whole document is one cell.
+    """
+    if size is None or size <= 0:
+        raise ValueError(f"chunk size must be positive, got {size}")
+    if not isinstance(pages.schema[order].dataType, T.IntegralType):
+        raise ValueError(f"page numbers must be whole numbers, {order} is not")
+    rows = pages.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{order}`").cast("bigint").alias("number"),
+        F.shiftright(F.col(f"`{order}`").cast("bigint"), block_bits).alias("block"),
+        F.concat(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("\n")).alias("text"))
+    # lengths are summed per block before they move; a document of one block needs no look-up
+    blocks = rows.groupBy("key", "block").agg(F.sum(F.length("text")).alias("n"))
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.withColumn("base", F.sum("n").over(before)).where("base IS NOT NULL").select(
+        F.col("key").alias("_key"), F.col("block").alias("_block"), "base")
+    inside = Window.partitionBy("key", "block").orderBy("number", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("within", F.coalesce(F.sum(F.length("text")).over(inside), F.lit(0)))
+    met = F.col("key").eqNullSafe(F.col("_key")) & F.col("block").eqNullSafe(F.col("_block"))
+    placed = placed.join(lookup_side(cut_lineage(bases)), met, "left")
+    start = F.coalesce("base", F.lit(0)) + F.col("within")
+    # the rest of the chunk that is open where the page begins, then whole chunks
+    open_ = F.when(start % size > 0, F.lit(size) - start % size).otherwise(0).cast("int")
+    head = F.when(open_ > 0, F.array(F.substring(F.col("text"), F.lit(1), open_))).otherwise(F.array().cast("array<string>"))
+    cut = placed.select("key", start.alias("start"), F.concat(
+        head, fixed_chunks(F.substring(F.col("text"), open_ + 1, F.length("text")), size)).alias("pieces"))
+    # of a chunk's pieces, the one that begins it (only a page's first piece can begin elsewhere) comes first
+    pieces = cut.select("key", "start", F.posexplode("pieces").alias("at", "piece")).select(
+        "key", (F.floor(F.col("start") / size).cast("bigint") + F.col("at")).cast("int").alias("chunk_no"),
+        F.when(F.col("at") == 0, F.col("start")).otherwise(-1).alias("start"), "piece")
+    pieces = cut_lineage(pieces)
+    whole = F.length("piece") == size
+    joined = pieces.where(~whole).groupBy("key", "chunk_no").agg(
+        F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY start)").alias("text"))
+    done = pieces.where(whole).select("key", "chunk_no", F.col("piece").alias("text")).unionByName(joined)
+    return done.select(F.col("key").alias(key), "chunk_no", "text")
