@@ -17,6 +17,12 @@ STORED_DOCUMENTS = _struct(
     ("run_norm", _S), ("path", _S), ("modificationTime", T.TimestampType()), ("length", _L), ("content", T.BinaryType())
 )
 
+# The same with contents once: which content a key has, and the contents.
+REFERENCES = _struct(
+    ("run_norm", _S), ("path", _S), ("modificationTime", T.TimestampType()), ("length", _L), ("digest", _S)
+)
+CONTENTS = _struct(("digest", _S), ("length", _L), ("content", T.BinaryType()))
+
 RECORD = _struct(*((name, _S) for name in RECORD_FIELDS))
 CANDIDATES = T.StructType([*RECORD.fields, T.StructField(SOURCE_NAME, _S)])
 STAGING = T.StructType([*CANDIDATES.fields, T.StructField("ingest_ts", T.TimestampType()), T.StructField("path", _S)])
