@@ -158,6 +158,11 @@ ORACLES: dict[str, str] = {
     then 'document has no text' end as reject_reason
   from documents""",
     "chunk_fixed": _chunks(1000),
+    "chunk_pages": _chunks(1000).replace("from documents", "from (select doc_id, text||chr(10) as text from documents)"),
+    "folder_listing": """
+  select lang||'/'||source||'/doc '||doc_id||'.pdf' as name, 'doc '||doc_id||'.pdf' as pdf_name,
+    cast(strlen(text) as bigint) as length, md5(text) as digest
+  from documents where text <> ''""",
     "chunk_whole": "select doc_id, cast(0 as integer) as chunk_no, text from documents where length(text) > 0",
     "reply_clean_json": f"""
   select *, cast(json_text->>'$.k' as bigint) as k
@@ -221,6 +226,10 @@ ORACLES: dict[str, str] = {
   select c_custkey, c_name, c_acctbal from customer where c_mktsegment = 'BUILDING'
   order by c_acctbal desc, c_custkey limit 20""",
     "grid_sort_all": "select * from customer order by c_mktsegment, c_acctbal desc, c_custkey",
+    "seek_pages": """
+  with numbered as (select *, row_number() over (order by c_mktsegment, c_acctbal desc, c_custkey) - 1 as n, count(*) over () as total
+    from customer)
+  select cast(n // ((total + 6) // 7) as integer) as page, c_mktsegment, c_acctbal, c_custkey from numbered""",
     "grid_rows": "select count(*) as n_rows from customer",
     "merge_candidates": _MERGED,
     "changed_keys": f"""
@@ -354,6 +363,15 @@ ORACLES: dict[str, str] = {
     "doc_put": f"""
   select replace(replace({_key('conv_id')}, '.', ''), '-', '') as run_norm, max(turn) as turn, md5(arg_max(text, turn)) as digest
   from conversations group by conv_id""",
+    "content_store": f"""
+  with conv as (select conv_id, string_agg(text, chr(10) order by turn)||chr(10) as text from conversations group by conv_id),
+  kept as (select coalesce(conv_id, doc_id) as n, case when conv_id is not null then '1-'||conv_id else '0-'||doc_id end||'.pdf' as path,
+      coalesce(c.text, d.text) as text
+    from documents d full outer join conv c on c.conv_id = d.doc_id),
+  gone as (select text from documents except select text from kept)
+  select replace(replace({_key('n')}, '.', ''), '-', '') as run_norm, path, cast(strlen(text) as bigint) as length, md5(text) as digest,
+    (select count(distinct text) from kept) as n_contents, (select count(*) from gone) as n_gone
+  from kept""",
     "document_store": f"""
   with conv as (select conv_id, string_agg(text, chr(10) order by turn)||chr(10) as text from conversations group by conv_id),
   kept as (select coalesce(conv_id, doc_id) as n, case when conv_id is not null then '1-'||conv_id else '0-'||doc_id end||'.pdf' as path,
@@ -370,4 +388,12 @@ ORACLES: dict[str, str] = {
   union all
   select null, null, pdf_name, null, null, null, case when first in ('2', '3') then 'not text: Nombre' else 'no JSON object in reply' end
   from ({_STUB_RECORDS}) where first <= '5'""",
+    "replaced_files": f"""
+  with conv as (select conv_id, string_agg(coalesce(text, ''), chr(10) order by turn)||chr(10) as body from conversations group by conv_id),
+  read as (select conv_id, {_key('conv_id')} as key, {_key('conv_id')}||chr(10)||if(conv_id % 3 = 0, 'x', '')||body||chr(10) as text from conv)
+  select key as "RUN", 'n'||substr(md5({_text(EXTRACTION_PROMPT)}||text), 1, 8) as "Nombre", conv_id||'.pdf' as pdf_name, {_indexed('text')}
+  from read
+  union all
+  select 'run '||run, null, null, (select count(*) from conv where run = 0 or run = 1 and conv_id % 3 = 0), null, null
+  from (select unnest([0, 1, 2]) as run)""",
 }

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.fixed_values import CHUNK_SIZE, FIELD_DEFAULT, KEYS_LISTED, RECORD_FIELDS, RECORD_KEY
+from vitaeflow.fixed_values import CHUNK_SIZE, EXTRACTION_PROMPT, FIELD_DEFAULT, KEYS_LISTED, RECORD_FIELDS, RECORD_KEY
 from vitaeflow.functions import links, prompts, replies, text, vectors
 from vitaeflow.operators import (
     answers,
@@ -26,13 +27,14 @@ from vitaeflow.operators import (
     extraction,
     listing,
     models,
+    paging,
     similarity,
 )
 from vitaeflow.plans import jobs
-from vitaeflow.schema import CANDIDATES, CHUNKS, STORED_DOCUMENTS
+from vitaeflow.schema import CANDIDATES, CHUNKS, SEEN_FILES, STORED_DOCUMENTS
 from vitaeflow.session import configure, cut_lineage, new_folder
-from vitaeflow.sources import files, ledger, tables
-from vitaeflow.streaming.intake import start_intake
+from vitaeflow.sources import contents, files, folders, ledger, tables
+from vitaeflow.streaming.intake import start_folder_intake, start_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -222,6 +224,24 @@ def chunk_whole(spark, sf_dir):
     return documents.chunk(table(spark, sf_dir, "documents"), "doc_id", None)
 
 
+@register
+def chunk_pages(spark, sf_dir):
+    """Lines are pages: the chunks of the documents that they make up, which are never put together."""
+    pages = documents.split_pages(table(spark, sf_dir, "documents"), "doc_id", separator="\n")
+    return documents.chunk_pages(pages, "doc_id", CHUNK_SIZE)
+
+
+@register
+def folder_listing(spark, sf_dir):
+    """Documents put into a folder for each language and source, listed and read by the tasks of their folders."""
+    inbox = new_folder(spark, "inbox")
+    name = F.concat_ws("/", "lang", "source", F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    folders.put_files(table(spark, sf_dir, "documents").select(name.alias("name"), F.col("text").cast("binary").alias("content")), inbox)
+    read = folders.with_contents(folders.list_files(spark, inbox, levels=2))
+    place = F.substring_index("path", "/", -3)
+    return read.select(place.alias("name"), "pdf_name", "length", F.md5("content").alias("digest"))
+
+
 @register
 def document_files(spark, sf_dir):
     """Conversations written out as one file each, then read as files: names, bytes, pages, text."""
@@ -400,6 +420,17 @@ def grid_sort_all(spark, sf_dir):
     return candidates.grid(people, order_by=["c_mktsegment", F.desc("c_acctbal"), "c_custkey"])
 
 
+@register
+def seek_pages(spark, sf_dir):
+    """Customers in the order of ``grid_sort_all``, laid out once, then seven pages of which each is read by itself."""
+    people = table(spark, sf_dir, "customer")
+    order = ["c_mktsegment", "c_acctbal desc", "c_custkey"]
+    held = paging.lay_out(people, order, new_folder(spark, "pages"), part_rows=max(1, people.count() // 5))
+    size = -(-held.count() // 7)
+    shown = [held.page(size, after).withColumn("page", F.lit(n)) for n, (after, _) in enumerate(held.pages(size))]
+    return reduce(DataFrame.unionByName, shown).select("page", "c_mktsegment", "c_acctbal", "c_custkey")
+
+
 @register
 def grid_rows(spark, sf_dir):
     return candidates.row_count(table(spark, sf_dir, "customer"))
@@ -828,6 +859,25 @@ def doc_put(spark, sf_dir):
 def document_store(spark, sf_dir):
     """Documents are stored under their number, then conversations that share it replace them."""
     stored = scratch_table(spark, STORED_DOCUMENTS, "run_norm")
+    for arrived, records in _uploads(spark, sf_dir):
+        jobs.store_documents(arrived, records, stored)
+    return stored.read().select("run_norm", "path", "length", F.md5("content").alias("digest"))
+
+
+@register
+def content_store(spark, sf_dir):
+    """The same with equal contents kept once, as listed by key, and how many contents were left without a key."""
+    stored = contents.ContentStore(spark, f"scratch_{uuid.uuid4().hex}", buckets=8).create()
+    _SCRATCH.append(stored)
+    for arrived, records in _uploads(spark, sf_dir):
+        stored.put(arrived, records)
+    gone, held = stored.remove_unreferenced(), stored.contents.read().count()
+    listed = stored.read().select("run_norm", "path", "length", F.md5("content").alias("digest"))
+    return listed.withColumn("n_contents", F.lit(held).cast("bigint")).withColumn("n_gone", F.lit(gone).cast("bigint"))
+
+
+def _uploads(spark, sf_dir):
+    """Documents under their number, then conversations that share it, as files and records."""
     batches = [
         (table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), "text"), 0),
         (documents.assemble(table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumnRenamed("conv_id", "n"), 1),
@@ -838,9 +888,7 @@ def document_store(spark, sf_dir):
             name.alias("pdf_name"), name.alias("path"), F.timestamp_seconds(F.lit(day)).alias("modificationTime"),
             F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"),
         )
-        records = rows.select(name.alias("path"), national_key(F.col("n")).alias(RECORD_KEY))
-        jobs.store_documents(arrived, records, stored)
-    return stored.read().select("run_norm", "path", "length", F.md5("content").alias("digest"))
+        yield arrived, rows.select(name.alias("path"), national_key(F.col("n")).alias(RECORD_KEY))
 
 
 # --- continuous intake ------------------------------------------------------
@@ -869,3 +917,46 @@ def stream_intake(spark, sf_dir):
     state = held.read().select(F.col(f"`{RECORD_KEY}`").alias("RUN"), "Nombre", "pdf_name")
     lost = spark.read.parquet(rejected).select("pdf_name", "error")
     return state.join(indexed_texts(indexed), "RUN", "left").unionByName(lost, allowMissingColumns=True)
+
+
+def first_line_records() -> models.ChatModel:
+    """A stand-in chat model that finds the key in the first line of a document."""
+    template = EXTRACTION_PROMPT
+
+    def answer(prompts: list[str]) -> list[str]:
+        import hashlib
+
+        return ['{"Nombre": "n%s", "RUN del postulante": "%s"}'
+                % (hashlib.md5(prompt.encode()).hexdigest()[:8], prompt[len(template):].split("\n", 1)[0]) for prompt in prompts]
+
+    return models.chat_model(answer)
+
+
+@register
+def replaced_files(spark, sf_dir):
+    """Conversations as files in folders, taken in; then every third file is replaced, and the folders are looked at twice again.
+
+    The tables afterwards, and for each run how many documents the model was asked for.
+    """
+    inbox, checkpoint = new_folder(spark, "inbox"), new_folder(spark, "intake")
+    held, indexed = scratch_table(spark, CANDIDATES, RECORD_KEY), scratch_table(spark, CHUNKS, "RUN")
+    seen, staging = scratch_table(spark, SEEN_FILES, "path"), f"scratch_{uuid.uuid4().hex}"
+    model, asked = counted(spark, first_line_records())
+    texts = documents.assemble(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    name = F.concat((F.col("conv_id") % 4).cast("string"), F.lit("/"), F.col("conv_id").cast("string"), F.lit(".pdf"))
+    first = texts.select(
+        "conv_id", name.alias("name"), F.concat(national_key(F.col("conv_id")), F.lit("\n"), F.col("text")).cast("binary").alias("content"))
+    second = texts.where("conv_id % 3 = 0").select(
+        name.alias("name"), F.concat(national_key(F.col("conv_id")), F.lit("\nx"), F.col("text")).cast("binary").alias("content"))
+    runs, before = [], 0
+    for run, arriving in enumerate((first.select("name", "content"), second, None)):
+        if arriving is not None:
+            folders.put_files(arriving, inbox)
+        listing_ = folders.listing_stream(spark, inbox, levels=1)
+        start_folder_intake(listing_, seen, lambda content: [content.decode()], checkpoint, model, letter_counts(), held, indexed,
+                            staging, lambda batch, _: None, size=CHUNK_SIZE, concurrency=workers(spark)).awaitTermination()
+        runs.append((f"run {run}", asked() - before))
+        before = asked()
+    state = held.read().select(F.col(f"`{RECORD_KEY}`").alias("RUN"), "Nombre", "pdf_name")
+    counts = spark.createDataFrame(runs, "RUN string, n_chunks bigint")
+    return state.join(indexed_texts(indexed), "RUN", "left").unionByName(counts, allowMissingColumns=True)
