@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitaeflow.fixed_values import LINK_MISSING, RECORD_KEY
 from vitaeflow.functions.links import data_link, key_in_path, path_link
 from vitaeflow.functions.text import normal_key, valid_key
+from vitaeflow.operators.prefilter import may_match
 from vitaeflow.session import configure, is_small, lookup_side
 
 
@@ -43,11 +44,13 @@ def last_documents(documents: DataFrame, key: str, stamp: list[str]) -> DataFram
 def _wanted(stored: DataFrame, keys: DataFrame) -> DataFrame:
     """The stored documents under ``keys (run_norm)``.
 
-    For a list that measures small the others drop out where they are, before contents move. A long one
-    wants most of the store, which then meets it in the one join that follows.
+    For a list that measures small the others drop out where they are, before contents move. For a long one
+    a bitmap of its keys drops nearly all of them there; the few that are left meet the join that follows.
     """
     distinct = keys.distinct()
-    return stored.join(F.broadcast(distinct), "run_norm", "left_semi") if is_small(distinct) else stored
+    if is_small(distinct):
+        return stored.join(F.broadcast(distinct), "run_norm", "left_semi")
+    return may_match(stored, distinct, "run_norm")
 
 
 def fetch_documents(keys: DataFrame, stored: DataFrame, key: str = RECORD_KEY) -> DataFrame:

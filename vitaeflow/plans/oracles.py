@@ -360,6 +360,9 @@ ORACLES: dict[str, str] = {
     "doc_fetch": f"""
   select doc_id, replace(replace(l.run, '.', ''), '-', '') as run_norm, md5(s.text) as digest
   from ({_LISTED}) l left join ({_STORED}) s on s.run = l.run""",
+    "doc_fetch_long": f"""
+  select run_norm, md5(text) as digest from ({_STORED})
+  where run_norm in (select replace(replace({_key('o_custkey')}, '.', ''), '-', '') from orders group by o_custkey having count(*) > 1)""",
     "doc_put": f"""
   select replace(replace({_key('conv_id')}, '.', ''), '-', '') as run_norm, max(turn) as turn, md5(arg_max(text, turn)) as digest
   from conversations group by conv_id""",

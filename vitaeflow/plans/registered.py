@@ -28,6 +28,7 @@ from vitaeflow.operators import (
     listing,
     models,
     paging,
+    prefilter,
     similarity,
 )
 from vitaeflow.plans import jobs
@@ -845,6 +846,20 @@ def doc_fetch(spark, sf_dir):
     return fetched.select("doc_id", "run_norm", F.md5("content").alias("digest"))
 
 
+@register
+def doc_fetch_long(spark, sf_dir):
+    """Stored documents of the keys of customers with several orders, by the bitmap that long lists take."""
+    stored = listing.stored_under_key(_stored(spark, sf_dir))
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").count().where("count > 1")
+    wanted = orders.select(stored_key(F.col("o_custkey")).alias("run_norm"))
+    near = prefilter.may_match(stored, wanted, "run_norm")
+    return near.join(wanted, "run_norm").select("run_norm", F.md5("content").alias("digest"))
+
+
+def stored_key(number: Column) -> Column:
+    return text.normal_key(national_key(number))
+
+
 @register
 def doc_put(spark, sf_dir):
     """Turns are uploads under their conversation's key; the last one stays."""
