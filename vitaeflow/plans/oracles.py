@@ -132,6 +132,9 @@ _STORED = f"""
     case when quality = 0 and toxic = 1 then '' else text end as text
   from documents d join labels using (doc_id)"""
 
+_SUBMITTED = f"""select o_orderkey, case when o_orderpriority = '1-URGENT' then 'URGENT' else {_key('o_custkey')} end as run from orders"""
+_HELD_KEYS = f"""select {_key('c_custkey')} as held_key, c_name from customer where c_mktsegment = 'BUILDING'
+  union all select 'URGENT', r_name from region where r_regionkey = 0"""
 _LISTED = f"select doc_id, case when lang <> 'en' then {_key('doc_id')} end as run from documents"
 
 
@@ -357,6 +360,15 @@ ORACLES: dict[str, str] = {
     "doc_link_path": f"""
   select doc_id, l.run, case when s.text <> '' then 'curriculums/'||run_norm||'.pdf' else {_text(LINK_MISSING)} end as link
   from ({_LISTED}) l left join ({_STORED}) s on s.run = l.run""",
+    "colocated_listing": f"""
+  select doc_id, l.run, case when s.text <> '' then 'curriculums/'||run_norm||'.pdf' else {_text(LINK_MISSING)} end as link
+  from ({_LISTED}) l left join ({_STORED}) s on s.run = l.run""",
+    "colocated_submissions": f"""
+  with submitted as ({_SUBMITTED}), held as ({_HELD_KEYS})
+  select o_orderkey, run as "RUN", c_name from submitted left join held on run = held_key""",
+    "colocated_keys": f"""
+  with submitted as ({_SUBMITTED}), held as ({_HELD_KEYS})
+  select held_key, c_name, held_key in (select run from submitted) as submitted from held""",
     "doc_fetch": f"""
   select doc_id, replace(replace(l.run, '.', ''), '-', '') as run_norm, md5(s.text) as digest
   from ({_LISTED}) l left join ({_STORED}) s on s.run = l.run""",

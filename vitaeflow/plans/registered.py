@@ -34,7 +34,7 @@ from vitaeflow.operators import (
 from vitaeflow.plans import jobs
 from vitaeflow.schema import CANDIDATES, CHUNKS, SEEN_FILES, STORED_DOCUMENTS
 from vitaeflow.session import configure, cut_lineage, new_folder
-from vitaeflow.sources import contents, files, folders, ledger, tables
+from vitaeflow.sources import colocated, contents, files, folders, ledger, tables
 from vitaeflow.streaming.intake import start_folder_intake, start_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,7 +184,13 @@ def scratch_table(spark: SparkSession, schema, key: str) -> tables.KeyedTable:
     return made
 
 
-_SCRATCH: list[tables.KeyedTable] = []
+def scratch_colocated(rows: DataFrame, key: str, hot_rows: int = colocated.HOT_ROWS) -> colocated.ColocatedTable:
+    made = colocated.ColocatedTable(rows.sparkSession, f"scratch_{uuid.uuid4().hex}", key, buckets=8)
+    _SCRATCH.append(made)
+    return made.write(rows, hot_rows)
+
+
+_SCRATCH: list[tables.KeyedTable | colocated.ColocatedTable] = []
 
 
 def drop_scratch() -> None:
@@ -839,6 +845,41 @@ def doc_link_path(spark, sf_dir):
     return listing.candidate_listing(_listed(spark, sf_dir), stored, "run", mode="path", link_column="link")
 
 
+@register
+def colocated_listing(spark, sf_dir):
+    """The listing of ``doc_link_path`` where candidates and stored documents lie by key."""
+    listed = _listed(spark, sf_dir).withColumn("run_norm", text.normal_key(F.col("run")))
+    stored = listing.stored_under_key(_stored(spark, sf_dir)).select("run_norm", "path", "length")
+    joined = scratch_colocated(listed, "run_norm").joined(scratch_colocated(stored, "run_norm"), "left")
+    return joined.select("doc_id", "run", links.path_link(F.col("path"), F.col("length")).alias("link"))
+
+
+def _submitted_and_held(spark, sf_dir):
+    """Orders are submissions under their customer's key, urgent ones all under one shared key, which no bucket should
+    hold. Held are the customers of the building segment and the shared key."""
+    submitted = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "URGENT").otherwise(national_key(F.col("o_custkey"))).alias("RUN"))
+    held = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(
+        national_key(F.col("c_custkey")).alias("held_key"), "c_name")
+    shared = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("URGENT"), "r_name")
+    return scratch_colocated(submitted, "RUN", hot_rows=100), scratch_colocated(held.union(shared), "held_key", hot_rows=100)
+
+
+@register
+def colocated_submissions(spark, sf_dir):
+    """Each submission with the name that is held under its key."""
+    submitted, held = _submitted_and_held(spark, sf_dir)
+    return submitted.joined(held, "left")
+
+
+@register
+def colocated_keys(spark, sf_dir):
+    """Held keys that have submissions, and those that have none."""
+    submitted, held = _submitted_and_held(spark, sf_dir)
+    found = held.joined(submitted, "left_semi").withColumn("submitted", F.lit(True))
+    return found.unionByName(held.joined(submitted, "left_anti").withColumn("submitted", F.lit(False)))
+
+
 @register
 def doc_fetch(spark, sf_dir):
     stored = listing.stored_under_key(_stored(spark, sf_dir))
