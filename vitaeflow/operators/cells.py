@@ -105,6 +105,7 @@ class CellIndex:
         self.cells = sorted((r["cell"], int(r["cell"].partition("_")[0]), r["centroid"], r["angle"]) for r in facts)
         #: Of each scan: how many cells it read.
         self.visits: list[int] = []
+        self._chunks: DataFrame | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, cells: int = 256, keys: list[str] | None = None, vector: str = "vector") -> CellIndex:
@@ -126,8 +127,13 @@ class CellIndex:
         return cls(spark, path)
 
     def chunks(self) -> DataFrame:
-        """The indexed vectors with their keys and ``cell``, which scans are pruned by."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/chunks").drop("angle")
+        """The indexed vectors with their keys and ``cell``, which scans are pruned by.
+
+        Its many folders are listed once; nothing changes them after ``build``.
+        """
+        if self._chunks is None:
+            self._chunks = self.spark.read.schema(self.schema).parquet(f"{self.path}/chunks").drop("angle")
+        return self._chunks
 
     def _bounds(self, matrix):
         """For each cell of the vectors' length, the highest score that its members can have with each query."""

@@ -160,7 +160,7 @@ class KeyedTable:
         """Delete the folders under the table that no partition shows; not while others read it."""
         jvm, location = self.spark._jvm, self._location()
         system = jvm.org.apache.hadoop.fs.Path(location).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        shown = {self._partition_folder(bucket) for bucket in self._partitions()}
+        shown = self._shown()
         for found in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{location}/{_FOLDERS}/*/{_BUCKET}=*")) or []:
             if found.getPath().toString().rpartition(f"{_FOLDERS}/")[2] not in shown:
                 system.delete(found.getPath(), True)
@@ -169,9 +169,11 @@ class KeyedTable:
         rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(self.name)}").where("col_name = 'Location'")
         return rows.first()["data_type"].rstrip("/")
 
-    def _partition_folder(self, bucket: int) -> str:
-        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(self.name)} PARTITION ({_BUCKET}={bucket})")
-        return rows.where("col_name = 'Location'").first()["data_type"].rstrip("/").rpartition(f"{_FOLDERS}/")[2]
+    def _shown(self) -> set[str]:
+        """The folders that partitions show, from one listing of the table; none is shown without files."""
+        self.spark.catalog.refreshTable(self.name)
+        files = self.spark.table(self.name).inputFiles()
+        return {file.rpartition(f"{_FOLDERS}/")[2].rpartition("/")[0] for file in files}
 
     def _folder(self) -> str:
         """A new folder under the table; its name keeps it out of listings of the table itself."""
