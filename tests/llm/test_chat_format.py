@@ -56,7 +56,9 @@ def test_conversations(spark):
     rows = [(1, 0, "user", spoof), (1, 1, "assistant", spoof), (1, 1, "assistant", spoof), (2, None, None, None), (2, 3, "assistant", ""),
             (None, 1, "user", "é😀"), (3, 0, "<|end|>", "\\"), (3, 1, "assistant", "a" * 100_000)]
     rows += [(4, i, "user" if i % 2 else "assistant", f"turn {i} <|") for i in range(25_000)]  # one hot conversation
-    df = spark.createDataFrame([(*r, "own") for r in rows], "conv_id bigint, turn bigint, role string, text string, piece string")
+    names = ("piece", "position", "start", "spans", "turns_sha256", "n_turns", "messages", "last")
+    df = spark.createDataFrame([(*r, *["own"] * len(names)) for r in rows],
+                               "conv_id bigint, turn bigint, role string, text string, " + ", ".join(f"{n} string" for n in names))
     got = {r["conv_id"]: tuple(r)[1:] for r in C.summaries(C.format_turns(df.repartition(5))).collect()}
     assert got == expected(rows)
     assert C.summaries(C.format_turns(df.limit(0))).count() == 0

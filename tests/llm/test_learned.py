@@ -55,6 +55,70 @@ def test_language_odd_rows(spark):
     assert L.identify(odd_rows.no_documents(spark), model).count() == 0
 
 
+def plain_vector(text):
+    """The vector by its definition, one n-gram at a time."""
+    total = [0] * L.WIDTH
+    folded = [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in b" " + text.encode() + b" "]
+    word = (1 << 32) - 1
+    for at, a in enumerate(folded):
+        total[a] += 1
+        if at + 1 < len(folded):
+            total[256 + (((a * 0x9E3779B1 + folded[at + 1] * 0x85EBCA6B) & word) >> 22)] += 1
+        if at + 2 < len(folded):
+            three = (a * 0x9E3779B1 + folded[at + 1] * 0x85EBCA6B + folded[at + 2] * 0xC2B2AE35) & word
+            total[1280 + (((three * 0x27D4EB2F) & word) >> 20)] += 1
+    total[32] = 0
+    size = sum(total) ** 0.5
+    return [n**0.5 / max(size, 1e-12) for n in total]
+
+
+def plain_prediction(model, text):
+    """Best family, then votes of all pairs of its languages, one product at a time."""
+    x = [*plain_vector(text), 1.0]
+    product = lambda weights: sum(float(w) * v for w, v in zip(weights, x) if v)
+    margins = [product(weights) for weights in model.family]
+    f = margins.index(max(margins))
+    votes = dict.fromkeys(model.languages[f], 0)
+    gains = dict.fromkeys(model.languages[f], 0.0)
+    pairs = [(a, b) for i, a in enumerate(model.languages[f]) for b in model.languages[f][i + 1 :]]
+    for (a, b), weights in zip(pairs, model.pairs[f]):
+        margin = product(weights)
+        votes[a if margin >= 0 else b] += 1
+        gains[a] += margin
+        gains[b] -= margin
+    return max(model.languages[f], key=lambda name: (votes[name], gains[name]))
+
+
+def test_predictions_are_those_of_families_and_votes(spark):
+    """Random machines, so that families and languages of all kinds win, and no language wins all its pairs at times."""
+    rng = np.random.default_rng(6)
+    languages = (("ca", "es", "fr", "it"), ("en",), ("cs", "pl", "sk"))
+    model = L.Model(("romance", "germanic", "slavic"), languages, rng.normal(size=(3, L.WIDTH + 1)).astype(np.float32),
+                    tuple(rng.normal(size=(len(names) * (len(names) - 1) // 2, L.WIDTH + 1)).astype(np.float32) for names in languages))
+    letters = list("abcdefgéñžß ABC.,1")
+    rows = [(i, "a" + "".join(rng.choice(rng.choice(letters, 3), rng.integers(1, 60)))) for i in range(250)]
+    assert np.allclose(L.vector(rows[0][1].encode()), plain_vector(rows[0][1]), atol=1e-6)
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identify(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    expected = {i: plain_prediction(model, text) for i, text in rows}
+    assert got == expected and len(set(expected.values())) == 8
+
+
+def test_language_sample_is_the_first_ids_by_hash(spark, monkeypatch):
+    """The bound on hashes lets through what the whole order would have taken; copies and partitions change nothing."""
+    taken = []
+    monkeypatch.setattr(L, "PER_LANGUAGE", 25)
+    monkeypatch.setattr(L, "fit", lambda vectors, langs: taken.append((vectors.tobytes(), langs)))
+    rows = [(i, f"text number {i} of it", "en" if i % 3 else "fr") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    L.train(docs, F.lit(True))
+    first = docs.orderBy(F.xxhash64("doc_id")).collect()
+    expected = sorted((lang, L.vector(r["text"].encode()).tobytes())
+                      for lang in ("en", "fr") for r in [r for r in first if r["lang"] == lang][:25])
+    assert taken[0] == (b"".join(x for _, x in expected), [lang for lang, _ in expected])
+    L.train(docs.repartition(5).unionByName(docs.where("doc_id % 50 = 0").limit(0)), F.lit(True))
+    assert taken[1] == taken[0]
+
+
 def test_every_language_has_its_machine(spark):
     """More languages than any fixed number of classes, the last ones rare; one id in thousands of rows crowds none out."""
     rng = np.random.default_rng(3)

@@ -27,6 +27,23 @@ def test_sizes_are_near_equal_with_a_hot_text(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, S.assign(docs, 24).collect()))
 
 
+def test_shards_are_equal_cuts_of_the_whole_order(spark, monkeypatch):
+    """Against the whole table sorted and cut in one place, where no range is overfull."""
+    monkeypatch.setattr(S, "PIECES_PER_SHARD", 2)
+    texts = [(i, "é" * (i * 7919 % 211) + "x") for i in range(3000)] + [(i, None) for i in range(3000, 3050)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(6)
+    for shards in (1, 5, 24):
+        got = {r["doc_id"]: (r["shard"], r["slot"]) for r in S.assign(docs, shards, key=(F.col("doc_id") * 7907) % 3001).collect()}
+        total, before, expected, slots = sum(len((t or "").encode()) + 8 for _, t in texts), 0, {}, {}
+        for i, t in sorted(texts, key=lambda row: (row[0] * 7907 % 3001, row[0])):
+            size = len((t or "").encode()) + 8
+            shard = min(shards - 1, (2 * before + size) * shards // (2 * total))
+            expected[i] = (shard, slots.setdefault(shard, 0))
+            slots[shard] += 1
+            before += size
+        assert got == expected
+
+
 def test_odd_rows(spark):
     check(S.assign(odd_rows.documents(spark), 3).collect(), odd_rows.TEXTS, 3)
     empty = S.assign(odd_rows.no_documents(spark), 3)

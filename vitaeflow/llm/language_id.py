@@ -31,6 +31,8 @@ from vitaeflow.llm.svm import train_svm, train_svms
 
 #: Documents of each language that are learned from, at most; so many of each in any case; and documents in all otherwise.
 PER_LANGUAGE, LEAST, DOCUMENTS = 400, 20, 6400
+#: Ids of a language that are put in order, as a multiple of those that are taken.
+DRAWN = 4
 #: Buckets of the n-grams of one, two and three bytes.
 _WIDTHS = (256, 1024, 4096)
 WIDTH = sum(_WIDTHS)
@@ -145,6 +147,11 @@ def quota(counts: list[int]) -> int:
     return next(fits, LEAST)
 
 
+def _low(share: float) -> int:
+    """The highest of the lowest ``share`` of all 64-bit hashes."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 def train(docs: DataFrame, learn_from: Column) -> Model:
     """Learn from the rows for which ``learn_from`` holds and ``lang`` is not null.
 
@@ -152,10 +159,14 @@ def train(docs: DataFrame, learn_from: Column) -> Model:
     ``DOCUMENTS``, or ``LEAST`` of each language if those are more.
     """
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    each = quota([r["count"] for r in rows.groupBy("lang").count().collect()])
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).collect()
+    each = quota([r["n"] for r in counts])
+    # only ids whose hash is low enough are put in order, so that one language's are few whatever the table
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], _low(DRAWN * each / max(1, r["ids"]))) for r in counts], "lang string, bound bigint")
+    low = rows.select("doc_id", "lang").join(F.broadcast(bounds), "lang").where(F.xxhash64("doc_id") <= F.col("bound"))
     nth = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(nth)).where(
-        F.col("nth") <= each).select("doc_id", "lang").distinct()
+    chosen = low.select("doc_id", "lang").distinct().withColumn("nth", F.row_number().over(nth)).where(
+        F.col("nth") <= each).select("doc_id", "lang")
     picked = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     vectors = picked.select("doc_id", "lang", array_function(_vectors, "binary")(utf8("text")).alias("x"))
     # rows that repeat an id may be more; each language is cut for itself, so that none is crowded out
