@@ -93,10 +93,17 @@ def test_predictions_are_those_of_families_and_votes(spark):
     """Random machines, so that families and languages of all kinds win, and no language wins all its pairs at times."""
     rng = np.random.default_rng(6)
     languages = (("ca", "es", "fr", "it"), ("en",), ("cs", "pl", "sk"))
-    model = L.Model(("romance", "germanic", "slavic"), languages, rng.normal(size=(3, L.WIDTH + 1)).astype(np.float32),
-                    tuple(rng.normal(size=(len(names) * (len(names) - 1) // 2, L.WIDTH + 1)).astype(np.float32) for names in languages))
     letters = list("abcdefgéñžß ABC.,1")
     rows = [(i, "a" + "".join(rng.choice(rng.choice(letters, 3), rng.integers(1, 60)))) for i in range(250)]
+    middle = np.mean([L.vector(text.encode()) for _, text in rows], axis=0)
+
+    def machines(n):
+        weights = rng.normal(size=(n, L.WIDTH + 1)).astype(np.float32)
+        weights[:, -1] = -weights[:, :-1] @ middle  # so that both sides of each machine occur
+        return weights
+
+    model = L.Model(("romance", "germanic", "slavic"), languages, machines(3),
+                    tuple(machines(len(names) * (len(names) - 1) // 2) for names in languages))
     assert np.allclose(L.vector(rows[0][1].encode()), plain_vector(rows[0][1]), atol=1e-6)
     got = {r["doc_id"]: r["lang_pred"] for r in L.identify(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
     expected = {i: plain_prediction(model, text) for i, text in rows}
