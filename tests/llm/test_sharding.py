@@ -27,6 +27,26 @@ def test_sizes_are_near_equal_with_a_hot_text(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, S.assign(docs, 24).collect()))
 
 
+def test_copies_of_one_row_are_cut(spark, monkeypatch):
+    """A third of all rows are one row, another the same without an id: no piece holds more than its share of them."""
+    seen = []
+    real = S._cut_copies
+
+    def spied(placed, most_bytes, most_rows):
+        made = real(placed, most_bytes, most_rows)
+        seen.append((max(r["count"] for r in made.groupBy("range", "part", "cut").count().collect()), most_rows))
+        return made
+
+    monkeypatch.setattr(S, "_cut_copies", spied)
+    texts = [(7, "one row again and again")] * 3000 + [(None, "one row again and again")] * 2000 + [(i, f"text {i}") for i in range(4000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
+    sizes = check(S.assign(docs, 4).collect(), texts, 4)
+    assert max(sizes.values()) - min(sizes.values()) <= 100
+    assert all(largest <= 2 * most for largest, most in seen) and seen
+    again = S.assign(docs.repartition(2), 4)
+    assert sorted(map(str, again.collect())) == sorted(map(str, S.assign(docs, 4).collect()))
+
+
 def test_shards_are_equal_cuts_of_the_whole_order(spark, monkeypatch):
     """Against the whole table sorted and cut in one place, where no range is overfull."""
     monkeypatch.setattr(S, "PIECES_PER_SHARD", 2)
