@@ -85,6 +85,19 @@ def test_new_keys_are_appended(spark):
     assert list_files(spark, folder) == []
 
 
+def test_merge_keeps_the_files_of_unchanged_buckets(spark):
+    schema = spark.createDataFrame([], "RUN STRING, n INT, pdf_name STRING").schema
+    table = tables.KeyedTable(spark, "kept_files", schema, "RUN", 16).create()
+    table.insert(numbers(spark, 0, 200).withColumn("pdf_name", F.lit("f")))
+    before = files_of(table)
+    staged = numbers(spark, 7, 8).withColumns({"pdf_name": F.lit("g"), "ingest_ts": F.current_timestamp()})
+    assert rows(table.merge(staged), "RUN", "action") == [("7", "UPDATED")]
+    after = files_of(table)
+    assert len(before) >= 16 and len(before - after) == len(after - before) == 1
+    assert rows(table.read().where("RUN = '7'"), "pdf_name") == [("g",)] and table.read().count() == 200
+    table.drop()
+
+
 def list_files(spark, folder):
     import glob
 

@@ -98,3 +98,18 @@ def candidate_listing(
     joined = listed.join(documents, "_norm", "left").withColumn(link_column, link)
     columns = [F.col(f"`{c}`") for c in [*candidates.columns, link_column]]
     return joined.select(*columns).unionByName(unlisted.select(*columns))
+
+
+def listing_in_place(candidates, stored, link_column: str = "Ver PDF") -> DataFrame:
+    """The listing by path of two ``ColocatedTable``, where nothing moves but what hot keys need.
+
+    ``candidates`` is laid out by what ``by_normal_key`` adds, and ``stored`` (``run_norm, path, length``, one row a
+    key) by ``run_norm``. Rows with unusable keys, which have a null one there, lie apart.
+    """
+    joined = candidates.joined(stored, "left").withColumn(link_column, path_link(F.col("path"), F.col("length")))
+    return joined.drop(candidates.key, "path", "length")
+
+
+def by_normal_key(candidates: DataFrame, key: str = RECORD_KEY) -> DataFrame:
+    """``candidates`` with ``run_norm``, the normalised key, null where the key is unusable."""
+    return candidates.withColumn("run_norm", F.when(valid_key(F.col(f"`{key}`")), normal_key(F.col(f"`{key}`"))))

@@ -848,10 +848,9 @@ def doc_link_path(spark, sf_dir):
 @register
 def colocated_listing(spark, sf_dir):
     """The listing of ``doc_link_path`` where candidates and stored documents lie by key."""
-    listed = _listed(spark, sf_dir).withColumn("run_norm", text.normal_key(F.col("run")))
+    listed = listing.by_normal_key(_listed(spark, sf_dir), "run")
     stored = listing.stored_under_key(_stored(spark, sf_dir)).select("run_norm", "path", "length")
-    joined = scratch_colocated(listed, "run_norm").joined(scratch_colocated(stored, "run_norm"), "left")
-    return joined.select("doc_id", "run", links.path_link(F.col("path"), F.col("length")).alias("link"))
+    return listing.listing_in_place(scratch_colocated(listed, "run_norm"), scratch_colocated(stored, "run_norm"), "link")
 
 
 def _submitted_and_held(spark, sf_dir):
