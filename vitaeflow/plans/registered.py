@@ -819,12 +819,15 @@ def chat_clear(spark, sf_dir):
 def _stored(spark, sf_dir):
     """Labelled documents have a stored file; in the worst class it is empty."""
     labelled = table(spark, sf_dir, "labels")
-    held = table(spark, sf_dir, "documents").join(labelled, "doc_id")
+    # sizes are taken where the texts lie, so that a listing by path moves none
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").alias("bytes"))
+    held = texts.join(labelled, "doc_id")
     bad = (F.col("quality") == 0) & (F.col("toxic") == 1)
     return held.select(
         links.document_path(national_key(F.col("doc_id"))).alias("path"),
         F.when(bad, F.lit("")).otherwise(F.col("text")).cast("binary").alias("content"),
-    ).withColumn("length", F.octet_length("content"))
+        F.when(bad, 0).otherwise(F.col("bytes")).alias("length"),
+    )
 
 
 def _listed(spark, sf_dir):
