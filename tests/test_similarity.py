@@ -152,3 +152,42 @@ def test_cosine_of_a_pair(spark):
     made = spark.createDataFrame(list(enumerate(pairs)), "i INT, p STRUCT<a: ARRAY<FLOAT>, b: ARRAY<FLOAT>>")
     got = [r[0] for r in made.orderBy("i").select(F.round(V.cosine(F.col("p.a"), F.col("p.b")), 9)).collect()]
     assert got == [1.0, 0.0, None, None, None]
+
+
+@pytest.mark.parametrize("search", [S.top_k, S.top_k_hashed])
+def test_large_query_sides_do_not_pass_the_driver(spark, monkeypatch, search):
+    queries, chunks = random_sides(17, n_queries=30)
+    want = run(search, spark, queries, chunks, 2)
+    # the hashed search sends its few queries without hits through the exact one, whose side is small
+    monkeypatch.setattr(S, "_scan", lambda *args: pytest.fail("queries are collected"))
+    assert run(search, spark, queries, chunks, 2, block_bytes=1) == want
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+@pytest.mark.parametrize("tables", [0, 3])
+def test_blocks_keep_the_best_of_all(monkeypatch, grouped, tables):
+    """Many blocks, ties, and owners that span blocks, against sorting every pair."""
+    monkeypatch.setattr(S, "FIRST_ROWS", 3)
+    monkeypatch.setattr(S, "CHUNK_ROWS", 7)
+    made = np.random.default_rng(3)
+    matrix, unit = made.integers(-2, 3, (90, 4)).astype(float), made.integers(-2, 3, (20, 4)).astype(float)
+    owners = np.sort(made.integers(0, 9, 90))
+    held, asked = made.integers(0, 4, (90, 3)), made.integers(0, 4, (20, 3))
+    for k in (1, 4, 30):
+        row, column, score = S._searcher(k, grouped, tables)(unit, matrix, owners, asked, held)
+        for q in range(len(unit)):
+            pairs = sorted((-round(float(unit[q] @ matrix[c]), 9), c) for c in range(90) if not tables or (asked[q] == held[c]).any())
+            if grouped:
+                first = {}
+                for pair in pairs:
+                    first.setdefault(owners[pair[1]], pair)
+                pairs = sorted(first.values())
+            assert [(-s, c) for s, c in zip(score[row == q], column[row == q])] == pairs[:k]
+
+
+def test_null_keys_come_first_among_ties(spark):
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id INT, vector ARRAY<FLOAT>")
+    held = spark.createDataFrame([("a", 1, [1.0, 0.0]), (None, 2, [2.0, 0.0]), ("b", None, [3.0, 0.0])], "RUN STRING, chunk_no INT, vector ARRAY<FLOAT>")
+    for size in (1, 100):
+        hits = S.top_k(asked, held.coalesce(1), 2, block_bytes=size).orderBy("rank").collect()
+        assert [(r["RUN"], r["chunk_no"]) for r in hits] == [(None, 2), ("a", 1)]

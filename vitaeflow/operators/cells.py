@@ -69,7 +69,7 @@ def _placed(rows: DataFrame, vector: str, centroids: dict) -> DataFrame:
     """``rows`` that can be scored, with ``cell`` and the ``angle`` to its centroid; nothing moves."""
     shared = rows.sparkSession.sparkContext.broadcast(centroids)
     schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.StringType()), T.StructField("angle", T.DoubleType())])
-    unit_rows, _ = S._vector_tools()
+    unit_rows = S._vector_tools()
     name, names = _name, rows.columns
 
     def place(batches):
@@ -103,6 +103,7 @@ class CellIndex:
         facts = spark.read.parquet(f"{path}/cells").collect()
         #: Cells with their vector length, centroid (if any) and greatest angle.
         self.cells = sorted((r["cell"], int(r["cell"].partition("_")[0]), r["centroid"], r["angle"]) for r in facts)
+        self._rows = {r["cell"]: r["n"] for r in facts}
         #: Of each scan: how many cells it read.
         self.visits: list[int] = []
         self._chunks: DataFrame | None = None
@@ -135,117 +136,89 @@ class CellIndex:
             self._chunks = self.spark.read.schema(self.schema).parquet(f"{self.path}/chunks").drop("angle")
         return self._chunks
 
-    def _bounds(self, matrix):
-        """For each cell of the vectors' length, the highest score that its members can have with each query."""
-        import numpy as np
-
-        mine = [c for c in self.cells if c[1] == matrix.shape[1]]
-        bounds = np.ones((len(matrix), len(mine)))
-        known = [i for i, c in enumerate(mine) if c[2] is not None]
-        if known:
-            centres = np.array([mine[i][2] for i in known])
-            angles = np.arccos(np.clip(matrix @ centres.T, -1, 1)) - np.array([mine[i][3] for i in known]) - _ANGLE
-            bounds[:, known] = np.cos(np.maximum(angles, 0))
-        return [c[0] for c in mine], bounds
-
     def top_k(self, queries: DataFrame, k: int = HITS_PER_QUESTION, query_id: str = "query_id", keys: list[str] | None = None,
               vector: str = "vector", per_candidate: bool = False, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """The rows of ``similarity.top_k`` over the indexed chunks.
 
-        Queries go in blocks of ``block_bytes`` that are near each other, so that a block reads few cells.
+        Queries go to the cells that they read, where a task has ``similarity.HELD_BYTES`` of either side. None pass the
+        driver, so ``block_bytes``, which bounded those that did, is kept for callers only.
         """
         keys = keys or ["RUN", "chunk_no"]
         asked = S._query_side(queries, query_id, vector)
-        centroids: dict = {}
-        for _, dimension, centroid, _ in self.cells:
-            if centroid is not None:
-                centroids.setdefault(dimension, []).append(centroid)
-        import numpy as np
-
-        placed = cut_lineage(_placed(asked, "vector", {d: np.array(c) for d, c in centroids.items()}).drop("angle"))
-        size = S._cell_bytes(asked, "vector")
-        hits = None
-        for block in self._blocks(placed, query_id, size, block_bytes):
-            found = cut_lineage(self._searched(block, k, query_id, keys, per_candidate))
-            hits = found if hits is None else hits.unionByName(found)
-        if hits is None:
-            schema = S._hit_schema(asked, self.chunks(), query_id, keys)
-            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType(), False)]))
-        return hits
-
-    @staticmethod
-    def _blocks(placed: DataFrame, query_id: str, size: int, block_bytes: int):
-        """Queries of neighbouring cells together; those of a cell that is more than a block in several."""
-        sums = sorted((r["cell"], size * r["n"]) for r in placed.groupBy("cell").agg(F.sum(F.size("vector")).alias("n")).collect())
-        gathered, held = [], 0
-        for cell, bytes_ in sums:
-            if gathered and held + bytes_ > block_bytes:
-                yield placed.where(F.col("cell").isin(gathered)).drop("cell")
-                gathered, held = [], 0
-            if bytes_ > block_bytes:
-                parts = math.ceil(bytes_ / block_bytes)
-                for number in range(parts):
-                    yield placed.where((F.col("cell") == cell) & (F.pmod(F.xxhash64(query_id), F.lit(parts)) == number)).drop("cell")
-            else:
-                gathered, held = [*gathered, cell], held + bytes_
-        if gathered:
-            yield placed.where(F.col("cell").isin(gathered)).drop("cell")
-
-    def _searched(self, block: DataFrame, k: int, query_id: str, keys: list[str], per_candidate: bool) -> DataFrame:
-        import numpy as np
-
-        sides = []
-        for ids, matrix in S._query_blocks(block, query_id):
-            matrix = matrix.astype(np.float64)
-            norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-            usable = np.isfinite(norms) & (norms > 0)
-            unit = matrix[usable] / norms[usable, None]
-            sides.append(([i for i, ok in zip(ids, usable) if ok], unit, *self._bounds(unit)))
-        first, seen = {}, []
-        for number, (_, unit, names, bounds) in enumerate(sides):
-            read = np.zeros(bounds.shape, bool)
-            if len(names):
-                np.put_along_axis(read, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-            seen.append(read)
-            first |= {names[c]: (number, np.flatnonzero(read[:, c])) for c in np.flatnonzero(read.any(0))}
-        schema = S._hit_schema(block, self.chunks(), query_id, keys)
-        hits = cut_lineage(self._scan(sides, first, k, query_id, keys, per_candidate, schema))
+        first = cut_lineage(self._wanted(asked))
+        hits = cut_lineage(self._searched(first, k, query_id, keys, per_candidate))
         ranked = S._rank(hits, k, query_id, keys, per_candidate)
-        floors = {r[query_id]: r["score"] for r in ranked.where(F.col("rank") == k).select(query_id, "score").toLocalIterator()}
-        second = {}
-        for number, ((ids, _, names, bounds), read) in enumerate(zip(sides, seen)):
-            floor = np.array([floors.get(i, -np.inf) for i in ids])
-            wanted = (bounds >= floor[:, None] - _SCORE) & ~read
-            second |= {names[c]: (number, np.flatnonzero(wanted[:, c])) for c in np.flatnonzero(wanted.any(0))}
-        if second:
-            hits = hits.unionByName(self._scan(sides, second, k, query_id, keys, per_candidate, schema))
-        return S._rank(hits, k, query_id, keys, per_candidate)
-
-    def _scan(self, sides: list, wanted: dict, k: int, query_id: str, keys: list[str], per_candidate: bool, schema: T.StructType) -> DataFrame:
-        """Hits in the cells that are ``wanted``, each with the queries that want it; partitions of other cells are not read."""
-        self.visits.append(len(wanted))
-        shared = self.spark.sparkContext.broadcast(([side[:2] for side in sides], wanted))
-        search, _ = S._searcher(k, keys, per_candidate)
-        emit = S._emitter(k, query_id, keys)
-        arrow = S._arrow(schema)
-
-        def scan(batches):
+        floors = ranked.where(F.col("rank") == k).select(query_id, F.col("score").alias("_floor"))
+        # most of the queries have a floor; those without one read every cell
+        second = cut_lineage(self._wanted(first.join(floors, query_id, "left")))
+        return S._rank(hits.unionByName(self._searched(second, k, query_id, keys, per_candidate)), k, query_id, keys, per_candidate)
+
+    def _wanted(self, asked: DataFrame) -> DataFrame:
+        """Queries that can be scored, with ``_cells``: the most promising ones, or, given those and ``_floor``, the others
+        whose bound on their members' scores reaches it."""
+        shared, unit_rows = self.spark.sparkContext.broadcast(self.cells), S._vector_tools()
+        kept = [f for f in asked.schema.fields if f.name not in ("_cells", "_floor")]
+        schema = T.StructType([*kept, T.StructField("_cells", T.ArrayType(T.StringType()))])
+        names, later, most, angle, slack = [f.name for f in kept], "_floor" in asked.columns, FIRST, _ANGLE, _SCORE
+
+        def bounds(matrix):
+            """For each cell of the vectors' length, the highest score that its members can have with each query."""
+            import numpy as np
+
+            mine = [c for c in shared.value if c[1] == matrix.shape[1]]
+            made = np.ones((len(matrix), len(mine)))
+            known = [i for i, c in enumerate(mine) if c[2] is not None]
+            if known:
+                centres = np.array([mine[i][2] for i in known])
+                angles = np.arccos(np.clip(matrix @ centres.T, -1, 1)) - np.array([mine[i][3] for i in known]) - angle
+                made[:, known] = np.cos(np.maximum(angles, 0))
+            return [c[0] for c in mine], made
+
+        def run(batches):
+            import numpy as np
             import pyarrow as pa
-            import pyarrow.compute as pc
 
-            asked, cells = shared.value
-            states = {}
             for batch in batches:
-                table = pa.Table.from_batches([batch])
-                for cell in pc.unique(table.column("cell")).to_pylist():
-                    number, queries = cells[cell]
-                    if cell not in states:
-                        ids, matrix = asked[number]
-                        states[cell] = ([ids[i] for i in queries], matrix[queries], {})
-                    _, matrix, state = states[cell]
-                    search(state, matrix, None, table.filter(pc.equal(table.column("cell"), cell)))
-            for ids, _, state in states.values():
-                yield emit(state, ids, arrow)
-
-        rows = self.chunks().where(F.col("cell").isin(list(wanted))).select(*keys, "vector", "cell")
-        return rows.mapInArrow(scan, schema)
+                vectors = batch.column("vector")
+                lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+                for dimension in np.unique(lengths[lengths > 0]).tolist():
+                    rows, unit = unit_rows(vectors, dimension)
+                    cells, reach = bounds(unit)
+                    if not len(rows) or not cells:
+                        continue
+                    part = batch.take(pa.array(rows))
+                    if later:
+                        floor = part.column("_floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                        read = [set(c) for c in part.column("_cells").to_pylist()]
+                        wanted = [[cells[i] for i in np.flatnonzero(line) if cells[i] not in done]
+                                  for line, done in zip(reach >= floor[:, None] - slack, read)]
+                    else:
+                        wanted = [[cells[i] for i in line] for line in np.argsort(-reach, axis=1, kind="stable")[:, :most]]
+                    yield pa.record_batch([*(part.column(name) for name in names), pa.array(wanted, pa.list_(pa.string()))],
+                                          names=[*names, "_cells"])
+
+        return asked.mapInArrow(run, schema)
+
+    def _searched(self, wanted: DataFrame, k: int, query_id: str, keys: list[str], per_candidate: bool) -> DataFrame:
+        """Hits of queries in their ``_cells``; partitions of cells that none wants are not read."""
+        pairs = wanted.select(query_id, "vector", F.explode("_cells").alias("cell"))
+        # one row for each cell
+        asked = {r["cell"]: r["count"] for r in pairs.groupBy("cell").count().collect()}
+        self.visits.append(len(asked))
+        parts, tasks = [], 0
+        cores = self.spark.sparkContext.defaultParallelism
+        for cell, _, _, _ in self.cells:
+            if cell in asked:
+                size = 8 * int(cell.partition("_")[0])
+                least = [max(1, math.ceil(size * n / S.HELD_BYTES)) for n in (asked[cell], self._rows[cell])]
+                # where cells are few, their queries are divided
+                rows = max(least[0], min(asked[cell], math.ceil(4 * cores / len(asked) / least[1])))
+                parts.append((cell, tasks, rows, least[1]))
+                tasks += rows * least[1]
+        layout = F.broadcast(self.spark.createDataFrame(parts, "cell string, _from int, _rows int, _columns int"))
+        here, there = F.pmod(F.xxhash64(query_id, "vector"), "_rows"), F.pmod(F.xxhash64(*keys, "vector"), "_columns")
+        one = pairs.join(layout, "cell").withColumn(
+            "_cell", S._cells(F.col("_columns"), lambda i: F.col("_from") + here * F.col("_columns") + i))
+        other = self.chunks().where(F.col("cell").isin(list(asked))).join(layout, "cell").withColumn(
+            "_cell", S._cells(F.col("_rows"), lambda i: F.col("_from") + there + i * F.col("_columns")))
+        return S._matched(one, other, max(1, tasks), query_id, keys, S._matcher(k, query_id, keys, per_candidate))

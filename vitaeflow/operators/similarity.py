@@ -1,14 +1,16 @@
 """Cosine top-k search of many query vectors in a table of chunk vectors.
 
-Pairs of query and chunk never become rows, and chunk vectors never move. The
-query side is cut into blocks of bounded bytes; for each block its matrix is
-broadcast and the chunks are scanned where they are. A task multiplies slices
-of chunks with the matrix and keeps the best ``k`` per query, so what leaves it
-is at most ``k`` rows per query. Exact or approximate, one block or many: it is
-the same code with the same arithmetic.
+Pairs of query and chunk never become rows. A task holds some queries and some
+chunks, multiplies them block by block and keeps the best ``k`` per query, so
+what leaves it is at most ``k`` rows per query. Exact or approximate, small or
+large: it is the same code with the same arithmetic.
+
+A query side of bounded bytes is broadcast and the chunks are scanned where they
+are. A larger one never passes the driver: queries and chunks are dealt into
+groups of bounded bytes, and each pair of groups is a task.
 
 ``top_k``         exact
-``top_k_hashed``  scores only chunks that share a hash bucket with the query
+``top_k_hashed``  takes only chunks that share a hash bucket with the query
 
 Ranking: score rounded to 9 decimals, highest first, then the lowest chunk key.
 Null, zero and odd-length vectors have no score and are not ranked, nor are
@@ -19,21 +21,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitaeflow.fixed_values import HITS_PER_QUESTION
 from vitaeflow.session import BROADCAST_BYTES, cut_lineage
 
-#: Rows of a slice that is searched at a time.
-SLICE_ROWS = 16384
-#: Scores held at a time.
-_SCORES = 4_000_000
+#: Bytes that the vectors of either side take in a task, as doubles.
+HELD_BYTES = 32 * 1024 * 1024
+#: Queries and chunks that are multiplied at a time, and the chunks that each query's first hits come from.
+QUERY_ROWS, CHUNK_ROWS, FIRST_ROWS = 1024, 4096, 1024
 
 
 def _vector_tools():
-    """Numpy helpers for the tasks, as closures so that workers need no import of this package."""
+    """A numpy helper for the tasks, as a closure so that workers need no import of this package."""
     import numpy as np
 
     def unit_rows(vectors, dimension):
@@ -46,109 +48,158 @@ def _vector_tools():
         usable = np.isfinite(norms) & (norms > 0)
         return rows[usable], matrix[usable] / norms[usable, None]
 
-    def best_columns(scores, k):
-        """Per row the ``k`` largest columns; equal scores go to the lower column."""
-        n = min(k, scores.shape[1])
-        if n > 16:
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-            return order, np.take_along_axis(scores, order, axis=1)
-        lines = np.arange(scores.shape[0])
-        columns = np.empty((scores.shape[0], n), dtype=np.int64)
-        values = np.empty((scores.shape[0], n))
-        for i in range(n):
-            columns[:, i] = scores.argmax(axis=1)
-            values[:, i] = scores[lines, columns[:, i]]
-            scores[lines, columns[:, i]] = -np.inf
-        return columns, values
-
-    return unit_rows, best_columns
+    return unit_rows
 
 
-def _searcher(k: int, keys: list[str], grouped: bool, tables: int = 0, width: int = 0):
-    """``search(state, queries, codes, table)`` folds one Arrow table of chunks into ``state``.
+def _searcher(k: int, grouped: bool, tables: int = 0):
+    """``search(unit, matrix, owners, asked, held)``: row, column and score of the best ``k`` columns of each row.
 
-    With ``tables``, ``codes`` has the queries' buckets and the projections that make them.
+    Columns are in the order of their keys, so that the lower column is the lower key. With ``grouped``, one column counts
+    per owner; owners are in order too. With ``tables``, only columns that share a bucket with the row count.
     """
-    unit_rows, best_columns = _vector_tools()
-    slice_rows, most = SLICE_ROWS, _SCORES
+    import numpy as np
 
-    def fold(entry, score, key):
-        """Keep the best ``k`` of a query, one per group when grouped."""
+    chunk_rows, first_rows = CHUNK_ROWS, FIRST_ROWS
+    # a score beats another one only by half a unit of the ninth decimal
+    half, unit_ = 4e-10, 1e-9
+
+    def best(row, column, score, owners):
         if grouped:
-            same = next((i for i, (_, other) in enumerate(entry) if other[0] == key[0]), None)
-            if same is not None:
-                if (score, key) >= entry[same]:
-                    return
-                entry.pop(same)
-        entry.append((score, key))
-        entry.sort()
-        del entry[k:]
-
-    def buckets(matrix, projections):
-        import numpy as np
+            order = np.lexsort((column, -score, owners[column], row))
+            row, column, score = row[order], column[order], score[order]
+            owner = owners[column]
+            first = np.concatenate(([True], (row[1:] != row[:-1]) | (owner[1:] != owner[:-1])))
+            row, column, score = row[first], column[first], score[first]
+        order = np.lexsort((column, -score, row))
+        row, column, score = row[order], column[order], score[order]
+        starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+        return row[place < k], column[place < k], score[place < k]
+
+    def first_columns(scores, row, run, firsts):
+        """The first column of each row's run that has the run's highest rounded score."""
+        ends, columns = np.append(firsts[1:], scores.shape[1]), firsts[run]
+        order = np.argsort(run, kind="stable")
+        cuts = np.flatnonzero(np.diff(run[order])) + 1
+        for where in np.split(order, cuts):
+            start, end = firsts[run[where[0]]], ends[run[where[0]]]
+            if end - start > 1:
+                columns[where] = start + np.round(scores[row[where], start:end], 9).argmax(axis=1)
+        return columns
+
+    def hits(scores, floor, owners, asked, held):
+        """Rows, columns and scores that may be among the best, given what each row's last hit scores."""
+        open_ = np.flatnonzero(floor == -np.inf)
+        if tables and (grouped or len(open_)):
+            rows = np.arange(len(scores)) if grouped else open_
+            apart = np.ones((len(rows), scores.shape[1]), bool)
+            for t in range(tables):
+                apart &= asked[rows, t][:, None] != held[:, t]
+            scores[rows] = np.where(apart, -np.inf, scores[rows])
+        values = scores
+        if grouped:
+            firsts = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1])))
+            values = np.maximum.reduceat(scores, firsts, axis=1)
+        least = floor + half
+        if len(open_) and values.shape[1] > k:
+            least[open_] = np.partition(values[open_], -k, axis=1)[:, -k] - unit_
+        row, column = np.divmod(np.flatnonzero((values >= least[:, None]).ravel()), values.shape[1])
+        score = np.round(values[row, column], 9)
+        if tables:
+            met = score > -np.inf
+            row, column, score = row[met], column[met], score[met]
+            if not grouped:
+                met = (asked[row] == held[column]).any(axis=1)
+                row, column, score = row[met], column[met], score[met]
+        if grouped and len(row):
+            column = first_columns(scores, row, column, firsts)
+        return row, column, score
+
+    def search(unit, matrix, owners=None, asked=None, held=None):
+        picked = None
+        if tables:
+            # chunks that share no bucket with any query here are not multiplied
+            near = np.zeros(len(matrix), bool)
+            for t in range(tables):
+                near |= np.isin(held[:, t], asked[:, t])
+            if not near.all():
+                picked = np.flatnonzero(near)
+                matrix, held, owners = matrix[picked], held[picked], owners[picked] if grouped else None
+        row, column, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floor, start = np.full(len(unit), -np.inf), 0
+        while start < len(matrix):
+            end = min(len(matrix), start + (chunk_rows if start else first_rows))
+            part = slice(start, end)
+            more = hits(unit @ matrix[part].T, floor, owners[part] if grouped else None, asked, held[part] if tables else None)
+            if len(more[0]):
+                row, column, score = best(np.concatenate((row, more[0])), np.concatenate((column, start + more[1])),
+                                          np.concatenate((score, more[2])), owners)
+                counts = np.bincount(row, minlength=len(unit))
+                floor[counts == k] = score[np.cumsum(counts)[counts == k] - 1]
+            start = end
+        return row, column if picked is None else picked[column], score
+
+    return search
+
+
+def _matcher(k: int, query_id: str, keys: list[str], grouped: bool, hashing: tuple[int, int, int] | None = None):
+    """``match(asked, chunks, schema)`` yields the hits of an Arrow table of queries in one of chunks."""
+    tables, width, seed = hashing or (0, 0, 0)
+    unit_rows, search = _vector_tools(), _searcher(k, grouped, tables)
+    query_rows = QUERY_ROWS
 
-        bits = (matrix @ projections > 0).reshape(len(matrix), tables, width)
-        return bits @ (1 << np.arange(width))
+    def whole(column):
+        import pyarrow as pa
+
+        return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
-    def scored(queries, matrix, codes):
+    def buckets(matrix):
         import numpy as np
 
-        if codes is None:
-            return np.round(queries @ matrix.T, 9)
-        scores = np.full((len(queries), len(matrix)), -np.inf)
-        asked, held = codes[0], buckets(matrix, codes[1])
-        for t in range(tables):
-            for bucket in np.intersect1d(asked[:, t], held[:, t]):
-                q, c = np.flatnonzero(asked[:, t] == bucket), np.flatnonzero(held[:, t] == bucket)
-                scores[np.ix_(q, c)] = np.round(queries[q] @ matrix[c].T, 9)
-        return scores
-
-    def search(state, queries, codes, table):
-        for start in range(0, table.num_rows, slice_rows):
-            search_slice(state, queries, codes, table.slice(start, slice_rows))
-
-    def search_slice(state, queries, codes, batch):
+        if not tables:
+            return None
+        # the same planes in every task: they follow from seed and dimension
+        planes = np.random.default_rng((seed, matrix.shape[1])).normal(size=(matrix.shape[1], tables * width))
+        bits = (matrix @ planes > 0).reshape(len(matrix), tables, width)
+        return (bits @ (1 << np.arange(width))).astype(np.min_scalar_type((1 << width) - 1))
+
+    def laid_out(chunks):
+        """By vector length: names in the order of the keys, unit vectors, owners and buckets."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        best = state.setdefault("best", {})
-        floors = state.setdefault("floors", np.full(len(queries), -np.inf))
-        column = batch.column("vector")
-        vectors = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        rows, matrix = unit_rows(vectors, queries.shape[1])
-        if not len(rows):
-            return
-        # only the keys are sorted: the lower column is then the lower key
-        names = batch.select(keys).take(pa.array(rows))
-        order = pc.sort_indices(names, sort_keys=[(name, "ascending") for name in keys]).to_numpy()
-        owners = names.column(keys[0]).take(pa.array(order)).to_pylist() if grouped else None
-        step = max(256, most // max(1, len(queries)))
-        for start in range(0, len(rows), step):
-            part = order[start : start + step]
-            scores = scored(queries, matrix[part], codes)
+        vectors, made = whole(chunks.column("vector")), {}
+        lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        for dimension in np.unique(lengths[lengths > 0]).tolist():
+            rows, matrix = unit_rows(vectors, dimension)
+            if not len(rows):
+                continue
+            # only the keys are sorted: the lower column is then the lower key
+            names = chunks.select(keys).take(pa.array(rows))
+            order = pc.sort_indices(names, sort_keys=[(name, "ascending") for name in keys], null_placement="at_start")
+            names, matrix, owners = names.take(order), matrix[order.to_numpy()], None
             if grouped:
-                own = owners[start : start + step]
-                firsts = [0] + [i for i in range(1, len(own)) if own[i] != own[i - 1]]
-                ends = [*firsts[1:], len(own)]
-                columns, values = best_columns(np.maximum.reduceat(scores, firsts, axis=1), k)
-            else:
-                columns, values = best_columns(scores, k)
-            for q in np.flatnonzero((values[:, 0] >= floors) & (values[:, 0] > -np.inf)):
-                entry = best.setdefault(int(q), [])
-                for column_no, value in zip(columns[q], values[q]):
-                    if value == -np.inf or (len(entry) == k and -value > entry[-1][0]):
-                        break
-                    if grouped:
-                        first, end = firsts[column_no], ends[column_no]
-                        row = part[first + int(scores[q, first:end].argmax())]
-                    else:
-                        row = part[column_no]
-                    fold(entry, -float(value), tuple(names.column(name)[int(row)].as_py() for name in keys))
-                if len(entry) == k:
-                    floors[q] = -entry[-1][0]
-
-    return search, buckets
+                owners = whole(names.column(keys[0])).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            made[dimension] = (names, matrix, owners, buckets(matrix))
+        return made
+
+    def match(asked, chunks, schema):
+        import pyarrow as pa
+
+        held = laid_out(chunks)
+        for start in range(0, asked.num_rows, query_rows):
+            part = asked.slice(start, query_rows)
+            for dimension, (names, matrix, owners, codes) in held.items():
+                rows, unit = unit_rows(whole(part.column("vector")), dimension)
+                if not len(rows):
+                    continue
+                row, column, score = search(unit, matrix, owners, buckets(unit), codes)
+                found = names.take(pa.array(column))
+                columns = [part.column(query_id).take(pa.array(rows[row])), *found.columns, pa.chunked_array([pa.array(score + 0.0)])]
+                yield from pa.table([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema).to_batches()
+
+    return match
 
 
 def _hit_schema(queries: DataFrame, chunks: DataFrame, query_id: str, keys: list[str]) -> T.StructType:
@@ -161,23 +212,6 @@ def _hit_schema(queries: DataFrame, chunks: DataFrame, query_id: str, keys: list
     )
 
 
-def _emitter(k: int, query_id: str, keys: list[str]):
-    def emit(state, ids, schema):
-        import pyarrow as pa
-
-        columns = {name: [] for name in [query_id, *keys, "score"]}
-        for q, entry in state.get("best", {}).items():
-            for score, key in entry:
-                columns[query_id].append(ids[q])
-                for name, value in zip(keys, key):
-                    columns[name].append(value)
-                columns["score"].append(-score + 0.0)
-        arrays = [pa.array(columns[field.name], type=field.type) for field in schema]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    return emit
-
-
 def _rank(hits: DataFrame, k: int, query_id: str, keys: list[str], per_candidate: bool) -> DataFrame:
     """The best ``k`` of the partial hits of each query."""
     if per_candidate:
@@ -223,8 +257,9 @@ def top_k(
 
     ``keys`` identify a chunk; the first one names the candidate, which
     ``per_candidate`` ranks by its best chunk. ``queries`` must give the same
-    vectors when read twice; write model output down first. A query side of more
-    than ``block_bytes`` takes one scan of the chunks per block.
+    vectors when read twice; write model output down first. Query sides of up to
+    ``block_bytes`` are broadcast and chunks stay in place; of larger ones, and of their
+    chunks, a task has groups of ``HELD_BYTES``, so the work is spread and nothing passes the driver.
     """
     keys = keys or ["RUN", "chunk_no"]
     hits = _partial_hits(queries, chunks, k, query_id, keys, vector, per_candidate, block_bytes)
@@ -232,20 +267,61 @@ def top_k(
 
 
 def _partial_hits(queries, chunks, k, query_id, keys, vector, per_candidate, block_bytes, hashing=None) -> DataFrame:
-    """At most ``k`` hits per query and scan task; several blocks are scanned one after another and written down."""
-    asked = _query_side(queries, query_id, vector)
+    """At most ``k`` hits per query and task."""
+    asked, chunks = _query_side(queries, query_id, vector), _named(chunks, keys, vector)
     cells = asked.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(_cell_bytes(queries, vector) * cells / block_bytes))
-    if blocks == 1:
-        return _scan(asked, chunks, k, query_id, keys, vector, per_candidate, hashing)[0]
-    hits = None
-    for number in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == number)
-        found, packed = _scan(block, chunks, k, query_id, keys, vector, per_candidate, hashing)
-        found = cut_lineage(found)
-        packed.unpersist()
-        hits = found if hits is None else hits.unionByName(found)
-    return hits
+    match = _matcher(k, query_id, keys, per_candidate, hashing)
+    if _cell_bytes(queries, vector) * cells <= block_bytes:
+        return _scan(asked, chunks, query_id, keys, match)
+    held = chunks.where(F.size("vector") > 0)
+    sizes = [8 * cells, 8 * held.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]]
+    rows, columns = _groups([max(1, math.ceil(size / HELD_BYTES)) for size in sizes], chunks.sparkSession)
+    # every pair of a group of queries and one of chunks meets in one task
+    here, there = F.pmod(F.xxhash64(query_id, "vector"), F.lit(rows)), F.pmod(F.xxhash64(*keys, "vector"), F.lit(columns))
+    asked = asked.withColumn("_cell", _cells(F.lit(columns), lambda i: here * columns + i))
+    held = held.withColumn("_cell", _cells(F.lit(rows), lambda i: there + i * columns))
+    return _matched(asked, held, rows * columns, query_id, keys, match)
+
+
+def _groups(least: list[int], spark) -> list[int]:
+    """Numbers of groups on two sides, raised alike until there are tasks for all cores."""
+    wider = math.sqrt(max(1.0, 4 * spark.sparkContext.defaultParallelism / math.prod(least)))
+    return [math.ceil(n * wider) for n in least]
+
+
+def _cells(count: Column, number) -> Column:
+    """A row for each of ``count`` tasks."""
+    return F.explode(F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: number(i).cast("int")))
+
+
+def _matched(asked: DataFrame, held: DataFrame, cells: int, query_id: str, keys: list[str], match) -> DataFrame:
+    """Hits of the queries in the chunks of their ``_cell``, one of ``cells`` that are a task each."""
+    schema = _hit_schema(asked, held, query_id, keys)
+    names = {name: f"_key{i}" for i, name in enumerate(keys)}
+    nothing = [F.lit(None).cast(held.schema[name].dataType).alias(alias) for name, alias in names.items()]
+    one = asked.select("_cell", F.lit(True).alias("_asked"), F.col(query_id).alias("_query"), *nothing, "vector")
+    other = held.select("_cell", F.lit(False).alias("_asked"), F.lit(None).cast(asked.schema[query_id].dataType).alias("_query"),
+                        *[F.col(name).alias(alias) for name, alias in names.items()], "vector")
+    arrow_schema = _arrow(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for cell in pc.unique(table.column("_cell")).to_pylist():
+                mine = table.filter(pc.equal(table.column("_cell"), cell))
+                sides = parts.setdefault(cell, ([], []))
+                sides[0].append(mine.filter(mine.column("_asked")).select(["_query", "vector"]))
+                sides[1].append(mine.filter(pc.invert(mine.column("_asked"))).select([*names.values(), "vector"]))
+        while parts:
+            _, (some, rows) = parts.popitem()
+            asked_ = pa.concat_tables(some).rename_columns([query_id, "vector"])
+            yield from match(asked_, pa.concat_tables(rows).rename_columns([*names, "vector"]), arrow_schema)
+
+    return one.unionByName(other).repartitionById(cells, "_cell").mapInArrow(run, schema)
 
 
 def _query_blocks(asked: DataFrame, query_id: str) -> list:
@@ -269,44 +345,26 @@ def _query_blocks(asked: DataFrame, query_id: str) -> list:
     return blocks
 
 
-def _scan(asked: DataFrame, chunks: DataFrame, k: int, query_id: str, keys: list[str], vector: str, per_candidate: bool, hashing):
-    """Hits of one block of queries, and the broadcast they need."""
-    spark = chunks.sparkSession
-    packed = spark.sparkContext.broadcast(_query_blocks(asked, query_id))
-    schema = _hit_schema(asked.withColumnRenamed("vector", vector), chunks, query_id, keys)
-    tables, width, seed = hashing or (0, 0, 0)
-    search, buckets = _searcher(k, keys, per_candidate, tables, width)
-    emit = _emitter(k, query_id, keys)
-    arrow_schema = _arrow(schema)
-
-    def scaled(ids, matrix):
-        """Ids, unit vectors and bucket codes of the queries that can be scored."""
-        import numpy
-
-        matrix = matrix.astype(numpy.float64)
-        norms = numpy.sqrt(numpy.einsum("ij,ij->i", matrix, matrix))
-        usable = numpy.isfinite(norms) & (norms > 0)
-        matrix = matrix[usable] / norms[usable, None]
-        codes = None
-        if tables:
-            # the same planes in every task: they follow from seed and dimension
-            planes = numpy.random.default_rng((seed, matrix.shape[1])).normal(size=(matrix.shape[1], tables * width))
-            codes = (buckets(matrix, planes), planes)
-        return [i for i, ok in zip(ids, usable) if ok], matrix, codes
+def _scan(asked: DataFrame, chunks: DataFrame, query_id: str, keys: list[str], match) -> DataFrame:
+    """Hits of queries that are broadcast; chunks stay where they are."""
+    packed = chunks.sparkSession.sparkContext.broadcast(asked.toArrow())
+    schema = _hit_schema(asked, chunks, query_id, keys)
+    arrow_schema, most = _arrow(schema), HELD_BYTES
 
     def scan(batches):
         import pyarrow as pa
 
-        blocks = [block for block in (scaled(*side) for side in packed.value) if block[0]]
-        states = [{} for _ in blocks]
+        held, size = [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for state, (_, matrix, codes) in zip(states, blocks):
-                search(state, matrix, codes, table)
-        for state, (ids, _, _) in zip(states, blocks):
-            yield emit(state, ids, arrow_schema)
+            held.append(batch)
+            size += batch.nbytes
+            if size >= most:
+                yield from match(packed.value, pa.Table.from_batches(held), arrow_schema)
+                held, size = [], 0
+        if held:
+            yield from match(packed.value, pa.Table.from_batches(held), arrow_schema)
 
-    return _named(chunks, keys, vector).mapInArrow(scan, schema), packed
+    return chunks.mapInArrow(scan, schema)
 
 
 def _arrow(schema: T.StructType):
@@ -328,13 +386,13 @@ def top_k_hashed(
     block_bytes: int = BROADCAST_BYTES,
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate top-k: only chunks that share a hash bucket with the query are scored, and scored exactly.
+    """Approximate top-k: only chunks that share a hash bucket with the query are hits, and are scored exactly.
 
     The side of ``width`` random planes that a vector lies on makes one bucket; a chunk is a candidate
-    if it agrees with the query in any of ``tables`` buckets. Chunks are hashed in the scan and stay in
-    place. Queries that find fewer than ``k`` go through the exact search. For vectors in all directions
-    about ``tables / 2**width`` of the pairs are multiplied, fewer if they form groups; that pays where
-    vectors are long. Recall rises with ``tables`` and falls with ``width``: the defaults find over nine
+    if it agrees with the query in any of ``tables`` buckets. Chunks are hashed in the task that searches
+    them. Queries that find fewer than ``k`` go through the exact search. A block of queries is multiplied
+    with the chunks that share a bucket with any of them, as one product is cheaper than many small
+    ones; that leaves out much where buckets are fine or vectors form groups. Recall rises with ``tables`` and falls with ``width``: the defaults find over nine
     tenths of the nearest two even where the second best has a cosine below 0.4.
     """
     keys = keys or ["RUN", "chunk_no"]
