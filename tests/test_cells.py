@@ -72,3 +72,11 @@ def test_empty_sides(spark, tmp_path):
     assert index.top_k(asked.limit(0), 3).columns == S.top_k(asked, held, 3).columns
     nothing = CellIndex.build(held.limit(0), str(tmp_path / "two"), cells=4)
     assert nothing.top_k(asked, 3).collect() == []
+
+
+def test_queries_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    queries, chunks = random_sides(21, n_queries=12)
+    asked, held = sides(spark, queries, chunks)
+    index = CellIndex.build(held, str(tmp_path / "index"), cells=6)
+    monkeypatch.setattr(S, "_query_blocks", lambda *args: pytest.fail("queries are collected"))
+    assert found(index.top_k(asked, 3)) == brute(queries, chunks, 3)
