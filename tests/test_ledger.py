@@ -82,6 +82,23 @@ def test_answers_of_a_job_that_died_are_kept(spark, tmp_path):
     assert ledger.table.read().count() == 20
 
 
+def test_texts_are_written_down_once_and_once_more_if_new(spark, monkeypatch):
+    from vitaeflow.sources import ledger as module
+
+    kept, written = Ledger(spark, "lean_vectors", VECTORS, buckets=2), []
+    cut = module.cut_lineage
+
+    def noting(df):
+        written.append("text" in df.columns)
+        return cut(df)
+
+    monkeypatch.setattr(module, "cut_lineage", noting)
+    for copies in (2, 1):
+        written.clear()
+        assert models.embed(texts(spark, "a", "b", "a"), letters, ledger=kept).count() == 3
+        assert sum(written) == copies
+
+
 def test_a_replayed_batch_asks_nothing_again(spark, tmp_path):
     inbox, checkpoint = tmp_path / "inbox", str(tmp_path / "checkpoint")
     inbox.mkdir()

@@ -63,7 +63,8 @@ def extract_records(texts: DataFrame, model: models.ChatModel, fence_only: bool
     earlier = [F.col("error")] if "error" in texts.columns else []
     marked = marked.withColumn("error", F.coalesce(*earlier, F.col("reject_reason")))
     payload = F.when(F.col("error").isNull(), chat_request(extraction_prompt(F.col("text"), template)))
-    called = models.complete(marked.withColumn("payload", payload), model, batch_size=batch_size,
+    # the request holds the text; a ledger writes its rows down
+    called = models.complete(marked.withColumn("payload", payload).drop("text"), model, batch_size=batch_size,
                              concurrency=concurrency, ledger=replies)
     read = extraction.read_chat_replies(called.withColumnRenamed("error", "_call_error"))
     reason = F.coalesce(F.col("_call_error"), F.col("error"))

@@ -44,11 +44,17 @@ class Ledger:
         digest = F.when(F.col(source).isNotNull(), self.digest(F.col(source)))
         marked = cut_lineage(rows.withColumn("_digest", digest))
         asked = marked.where("_digest IS NOT NULL").select(F.col("_digest").alias("digest"), F.col(source))
-        # copies of an input meet inside the tasks first
-        different = cut_lineage(asked.dropDuplicates(["digest"]))
-        names = cut_lineage(different.select("digest"))
-        failed = self._ask(different.join(lookup_side(self._known(names).select("digest")), "digest", "left_anti"), call)
-        answers = self._known(names).withColumn("_error", F.lit(None).cast("string")).unionByName(failed)
+        names = cut_lineage(asked.select("digest").distinct())
+        known = self._known(names)
+        # which inputs are new is settled by digest; of those that are known, no text moves
+        unknown = cut_lineage(names.join(lookup_side(known.select("digest")), "digest", "left_anti"))
+        failed = None
+        if not unknown.isEmpty():
+            failed = self._ask(asked.join(lookup_side(unknown), "digest", "left_semi").dropDuplicates(["digest"]), call)
+            known = self._known(names)
+        answers = known.withColumn("_error", F.lit(None).cast("string"))
+        if failed is not None:
+            answers = answers.unionByName(failed)
         answers = answers.select(F.col("digest").alias("_digest"), F.col("value").alias(output), "_error")
         found = marked.drop(output).join(lookup_side(answers), "_digest", "left")
         error = F.when(F.col("_digest").isNull(), "no input").otherwise(F.col("_error"))
@@ -62,16 +68,15 @@ class Ledger:
         held = self.table.read().join(lookup_side(names), "digest", "left_semi")
         return cut_lineage(held.dropDuplicates(["digest"]))
 
-    def _ask(self, fresh: DataFrame, call: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Call for ``fresh`` part by part; returns the failures ``(digest, value, _error)``."""
+    def _ask(self, fresh: DataFrame, call: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+        """Call for ``fresh`` part by part; returns the failures ``(digest, value, _error)``, if anything was asked."""
         fresh = cut_lineage(fresh)
         parts = math.ceil(fresh.count() / self.part_calls)
         failed = None
         for number in range(parts):
             part = fresh.where(F.pmod(F.xxhash64("digest"), F.lit(parts)) == number)
-            done = cut_lineage(call(part))
+            done = cut_lineage(call(part).select("digest", "value", "error"))
             self.table.insert(done.where("error IS NULL").select("digest", "value"))
             lost = done.where("error IS NOT NULL").select("digest", "value", F.col("error").alias("_error"))
             failed = lost if failed is None else failed.unionByName(lost)
-        empty = self.table.read().limit(0).select("digest", "value", F.lit(None).cast("string").alias("_error"))
-        return empty if failed is None else failed
+        return failed
