@@ -130,3 +130,23 @@ def test_a_replayed_batch_asks_nothing_again(spark, tmp_path):
     assert (asked.value, embedded.value) == (3, 2)
     assert rows(indexed.read(), "RUN", "text") == [("1-9", "ada/1-9\n"), ("2-7", "eva/2-7\n")]
     assert spark.table(staging).count() == 0 and copies() == before
+
+
+def test_chunks_with_a_ledger_are_written_down_once(spark, monkeypatch):
+    """Texts that the ledger knows are in one copy, from which a use without texts reads digests only."""
+    from vitaeflow.sources import ledger as L
+
+    ledger = Ledger(spark, "written_vectors", VECTORS, buckets=4)
+    held = texts(spark, "ab", "b", "ab", None, "").withColumnRenamed("n", "RUN")
+    first = rows(jobs.index_texts(held, letters, size=1, vectors=ledger), "RUN", "chunk_no", "text", "vector", "error")
+    copies, plain = [], L.cut_lineage
+
+    def noted(df, *more):
+        copies.append(df.columns)
+        return plain(df, *more)
+
+    monkeypatch.setattr(L, "cut_lineage", noted)
+    monkeypatch.setattr(jobs, "cut_lineage", noted)
+    again = jobs.index_texts(held, letters, size=1, vectors=ledger)
+    assert rows(again, "RUN", "chunk_no", "text", "vector", "error") == first
+    assert sum("text" in columns for columns in copies) == 1

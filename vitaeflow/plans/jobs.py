@@ -77,10 +77,12 @@ def index_texts(texts: DataFrame, embedder: models.Embedder, key: str = "RUN", s
                 batch_size: int = 64, concurrency: int | None = None, vectors: Ledger | None = None) -> DataFrame:
     """Chunk rows ``(key, chunk_no, text, vector, error)``, written down once.
 
-    With a ledger of ``vectors``, a chunk whose text was embedded before costs no call.
+    With a ledger of ``vectors``, a chunk whose text was embedded before costs no call. The ledger has written down
+    the chunks and their answers, which are joined where they are used; a use without texts moves none.
     """
     pieces = documents.chunk(texts, key, size)
-    return cut_lineage(models.embed(pieces, embedder, batch_size=batch_size, concurrency=concurrency, ledger=vectors))
+    embedded = models.embed(pieces, embedder, batch_size=batch_size, concurrency=concurrency, ledger=vectors)
+    return embedded if vectors is not None else cut_lineage(embedded)
 
 
 @dataclass

@@ -74,12 +74,12 @@ def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the copy, in ``spark`` if given.
 
     Used after model calls, so that neither a lost executor nor a second use
-    repeats them. A parquet copy keeps column pruning and gives Catalyst sizes.
+    repeats them. A parquet copy keeps column pruning and gives Catalyst sizes. Copies are read few times: they are packed tightly.
     """
     folder = new_folder(df.sparkSession, "copy")
     if (made := _COPIES.get()) is not None:
         made.append(folder)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return (spark or df.sparkSession).read.schema(df.schema).parquet(folder)
 
 
