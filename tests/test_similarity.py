@@ -191,3 +191,36 @@ def test_null_keys_come_first_among_ties(spark):
     for size in (1, 100):
         hits = S.top_k(asked, held.coalesce(1), 2, block_bytes=size).orderBy("rank").collect()
         assert [(r["RUN"], r["chunk_no"]) for r in hits] == [(None, 2), ("a", 1)]
+
+
+def test_products_in_single_precision_only_screen(monkeypatch):
+    """Scores that single precision cannot tell apart are ranked by their doubles, among copies and many blocks."""
+    monkeypatch.setattr(S, "FIRST_ROWS", 8)
+    monkeypatch.setattr(S, "SINGLE_ROWS", 16)
+    made, products = np.random.default_rng(5), []
+    base = made.normal(size=26)
+    matrix = base + 1e-5 * made.normal(size=(900, 26))
+    matrix[300:340] = matrix[7]
+    unit = np.concatenate((base + 1e-5 * made.normal(size=(30, 26)), made.normal(size=(30, 26))))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+
+    class Seen(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **given):
+            plain = [np.asarray(x) for x in inputs]
+            if ufunc is np.matmul:
+                products.append(plain[0].dtype)
+            return getattr(ufunc, method)(*plain, **given)
+
+    for k in (1, 4, 50):
+        row, column, score = S._searcher(k, False)(unit, matrix)
+        exact = np.round(unit @ matrix.T, 9)
+        for q in range(len(unit)):
+            order = np.lexsort((np.arange(900), -exact[q]))[:k]
+            assert column[row == q].tolist() == order.tolist()
+            assert np.allclose(score[row == q], exact[q][order], atol=1.5e-9, rtol=0)
+    # vectors that lie all round are multiplied in single precision only
+    monkeypatch.setattr(S, "FIRST_ROWS", 1024)
+    far = made.normal(size=(8000, 26))
+    S._searcher(2, False)(unit[30:].view(Seen), far / np.linalg.norm(far, axis=1)[:, None])
+    assert np.float64 not in products

@@ -32,6 +32,8 @@ from vitaeflow.session import BROADCAST_BYTES, cut_lineage
 HELD_BYTES = 32 * 1024 * 1024
 #: Queries and chunks that are multiplied at a time, and the chunks that each query's first hits come from.
 QUERY_ROWS, CHUNK_ROWS, FIRST_ROWS = 1024, 4096, 1024
+#: Chunks that are multiplied in single precision at a time, whose scores stay in the cache, and the most between two rankings.
+SINGLE_ROWS, MOST_ROWS = 512, 16384
 
 
 def _vector_tools():
@@ -56,10 +58,13 @@ def _searcher(k: int, grouped: bool, tables: int = 0):
 
     Columns are in the order of their keys, so that the lower column is the lower key. With ``grouped``, one column counts
     per owner; owners are in order too. With ``tables``, only columns that share a bucket with the row count.
+
+    Without owners, products in single precision tell which columns cannot be among the best, by a bound on their error;
+    the scores of all others are taken in doubles.
     """
     import numpy as np
 
-    chunk_rows, first_rows = CHUNK_ROWS, FIRST_ROWS
+    chunk_rows, first_rows, single_rows, most_rows = CHUNK_ROWS, FIRST_ROWS, SINGLE_ROWS, MOST_ROWS
     # a score beats another one only by half a unit of the ninth decimal
     half, unit_ = 4e-10, 1e-9
 
@@ -115,8 +120,60 @@ def _searcher(k: int, grouped: bool, tables: int = 0):
             column = first_columns(scores, row, column, firsts)
         return row, column, score
 
+    def places_of(mask):
+        """``flatnonzero`` of a mask with few marks: eight cells at a time."""
+        flat = mask.ravel()
+        even = len(flat) // 8 * 8
+        words = np.flatnonzero(flat[:even].view(np.uint64) != 0)
+        near = (words[:, None] * 8 + np.arange(8)).ravel()
+        return np.concatenate((near[flat[near]], even + np.flatnonzero(flat[even:])))
+
+    def likely(unit, single, matrix, floor, asked, held):
+        """``hits`` without owners, by way of products in single precision."""
+        # twice what sums of that many rounded products can be off by, as no row is longer than one
+        off = (unit.shape[1] + 4) * 2.0**-23
+        open_ = np.flatnonzero(floor == -np.inf)
+        if len(open_):
+            scores = single @ matrix.astype(np.float32).T
+            some = scores[open_]
+            if tables:
+                apart = np.ones(some.shape, bool)
+                for t in range(tables):
+                    apart &= asked[open_, t][:, None] != held[:, t]
+                some = np.where(apart, -np.inf, some)
+                scores[open_] = some
+            least = floor + (half - off)
+            if scores.shape[1] > k:
+                least[open_] = np.partition(some, -k, axis=1)[:, -k] - (2 * off + unit_)
+            found = [(0, places_of(scores >= least[:, None].astype(np.float32)), scores.shape[1])]
+        else:
+            least, found = (floor + (half - off))[:, None].astype(np.float32), []
+            # the same memory for all products; new memory would take as long as they do
+            scores, mask = np.empty(len(unit) * single_rows, np.float32), np.empty(len(unit) * single_rows, bool)
+            for start in range(0, len(matrix), single_rows):
+                part = matrix[start : start + single_rows].astype(np.float32)
+                shape = len(unit), len(part)
+                size = shape[0] * shape[1]
+                some, high = scores[:size].reshape(shape), mask[:size].reshape(shape)
+                np.matmul(single, part.T, out=some)
+                np.greater_equal(some, least, out=high)
+                places = places_of(high)
+                if len(places):
+                    found.append((start, places, len(part)))
+        if 16 * sum(len(places) for _, places, _ in found) > len(unit) * len(matrix):
+            # many equal scores: one product in doubles is cheaper than so many single ones
+            return hits(unit @ matrix.T, floor, None, asked, held)
+        row = np.concatenate([places // width for _, places, width in found] or [np.zeros(0, np.int64)])
+        column = np.concatenate([start + places % width for start, places, width in found] or [np.zeros(0, np.int64)])
+        if tables:
+            met = (asked[row] == held[column]).any(axis=1)
+            row, column = row[met], column[met]
+        score = np.round(np.einsum("ij,ij->i", unit[row], matrix[column]), 9)
+        beats = score >= floor[row] + half
+        return row[beats], column[beats], score[beats]
+
     def search(unit, matrix, owners=None, asked=None, held=None):
-        picked = None
+        picked, single = None, unit.astype(np.float32)
         if tables:
             # chunks that share no bucket with any query here are not multiplied
             near = np.zeros(len(matrix), bool)
@@ -128,9 +185,14 @@ def _searcher(k: int, grouped: bool, tables: int = 0):
         row, column, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         floor, start = np.full(len(unit), -np.inf), 0
         while start < len(matrix):
-            end = min(len(matrix), start + (chunk_rows if start else first_rows))
+            # without owners, stretches double: each is expected to hold as few new hits as the one before
+            end = min(len(matrix), start + ((chunk_rows if grouped else min(start, most_rows)) if start else first_rows))
             part = slice(start, end)
-            more = hits(unit @ matrix[part].T, floor, owners[part] if grouped else None, asked, held[part] if tables else None)
+            near_ = held[part] if tables else None
+            if grouped:
+                more = hits(unit @ matrix[part].T, floor, owners[part], asked, near_)
+            else:
+                more = likely(unit, single, matrix[part], floor, asked, near_)
             if len(more[0]):
                 row, column, score = best(np.concatenate((row, more[0])), np.concatenate((column, start + more[1])),
                                           np.concatenate((score, more[2])), owners)
