@@ -123,3 +123,20 @@ def test_a_text_instead_of_pages_is_an_error(spark):
     read = documents.read_pages(files, lambda data: "page" if data == b"a" else ["page"]).collect()
     assert [(r["pages"], r["error"]) for r in read] == [
         (None, "unreadable document: str instead of a list of pages"), (["page"], None)]
+
+
+def test_calls_that_fail_share_their_pauses(spark):
+    """Many calls fail for one input each: a pause for every one of them would take over a minute."""
+    import time
+
+    def refusing(texts):
+        if "bad" in texts:
+            raise ValueError("refused")
+        return [[1.0] for _ in texts]
+
+    rows = spark.range(0, 2000, 1, 1).select("id", F.when(F.col("id") % 4 == 0, "bad").otherwise("good").alias("text"))
+    began = time.time()
+    made = M.embed(rows, refusing, batch_size=5).groupBy("text").agg(
+        F.count("vector").alias("n"), F.count("error").alias("failed")).orderBy("text").collect()
+    assert [tuple(r) for r in made] == [("bad", 0, 500), ("good", 1500, 0)]
+    assert time.time() - began < 30
