@@ -1,7 +1,10 @@
 """Listing by tasks, contents, and an intake that notices replaced files."""
 
 import os
+import threading
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +80,67 @@ def test_files_are_put(spark, tmp_path):
     assert not [f for f in os.listdir(tmp_path / "out") if f.startswith(".")]
 
 
+class Storage:
+    """Local storage that answers after a time; it notes the folders that are made and how many files are asked for at a time."""
+
+    def __init__(self, seconds):
+        from pyarrow import fs
+
+        self.local, self.seconds, self.made, self.asked, self.most, self.lock = fs.LocalFileSystem(), seconds, [], 0, 0, threading.Lock()
+
+    def create_dir(self, folder, recursive):
+        self.made.append(folder)
+        self.local.create_dir(folder, recursive=recursive)
+
+    def answered(self, opening, path):
+        with self.lock:
+            self.asked += 1
+            self.most = max(self.most, self.asked)
+        time.sleep(self.seconds)
+        with self.lock:
+            self.asked -= 1
+        return opening(path)
+
+    def open_output_stream(self, path):
+        return self.answered(self.local.open_output_stream, path)
+
+    def open_input_stream(self, path):
+        return self.answered(self.local.open_input_stream, path)
+
+    def move(self, source, target):
+        self.local.move(source, target)
+
+
+@pytest.mark.parametrize("seconds", [0.0, 0.01])
+def test_late_files_are_waited_for_together(tmp_path, monkeypatch, seconds):
+    storage = Storage(seconds)
+    monkeypatch.setattr(folders, "_opened", lambda folder: (storage, folder.removeprefix("file:"), "file:"))
+    paths = [f"file:{tmp_path}/{i % 2}/{i}.pdf" for i in range(80)]
+    put = pa.record_batch([pa.array(paths), pa.array([f"text {i:02}".encode() for i in range(80)])], ["path", "content"])
+    assert sum(b.num_rows for b in folders._write_contents(0, 1)(iter([put]))) == 80
+    # once a task, not once a file
+    assert sorted(storage.made) == [f"{tmp_path}/0", f"{tmp_path}/1"]
+    assert not seconds or storage.most > 4
+    storage.most = 0
+    listed = pa.record_batch([pa.array(paths), pa.array([7] * 80)], ["path", "length"])
+    read = list(folders._read_contents(0, 1)(iter([listed])))
+    assert [c for b in read for c in b.column(2).to_pylist()] == put.column(1).to_pylist()
+    assert not seconds or storage.most > 4
+
+
+def test_the_last_of_rows_with_one_name_is_put(tmp_path):
+    path = f"file:{tmp_path}/a.pdf"
+    put = pa.record_batch([pa.array([path] * 50), pa.array([str(i).encode() for i in range(50)])], ["path", "content"])
+    assert sum(b.num_rows for b in folders._write_contents(0, 1)(iter([put]))) == 50
+    assert (tmp_path / "a.pdf").read_bytes() == b"49"
+
+
+def test_windows_hold_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(folders, "_BATCH_BYTES", 10)
+    assert list(folders._windows([4, 6, 1, 30, 0, 10, 11, 3])) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7), (7, 8)]
+    assert list(folders._windows([])) == [] and list(folders._windows([99])) == [(0, 1)]
+
+
 def test_replaced_files_are_taken_in(spark, tmp_path):
     inbox, checkpoint = tmp_path / "inbox", str(tmp_path / "checkpoint")
     held, indexed, staging = stores(spark, "replaced")

@@ -104,6 +104,25 @@ def list_files(spark, folder):
     return glob.glob(folder.removeprefix("file:") + "/**/*.parquet", recursive=True)
 
 
+def test_buckets_that_hold_all_keys_take_no_insert(spark, monkeypatch):
+    table = keyed(spark, "all_held", 2).create()
+    added, insert = [], table.insert
+    monkeypatch.setattr(table, "insert", lambda rows_: (added.append(1), insert(rows_)))
+    table.refresh(numbers(spark, 0, 40), numbers(spark, 0, 40))
+    assert len(added) == 1
+    twice = numbers(spark, 0, 20).withColumn("n", F.col("n") * 2)
+    table.refresh(twice, twice)
+    changed = table.merge(spark.createDataFrame([("30", -1), ("31", -1), ("new", -2), ("other", -2), (None, 0)], "RUN string, n int").where("RUN <> 'x'"))
+    assert len(added) == 1
+    assert rows(changed, "RUN", "action") == [("30", "UPDATED"), ("31", "UPDATED"), ("new", "NEW"), ("other", "NEW")]
+    expected = {str(i): i * 2 if i < 20 else i for i in range(40)} | {"30": -1, "31": -1, "new": -2, "other": -2}
+    assert {r["RUN"]: r["n"] for r in table.read().collect()} == expected and table.read().count() == 42
+    # no keys at all change nothing
+    assert table.merge(numbers(spark, 0, 0)).count() == 0
+    table.refresh(numbers(spark, 0, 0), numbers(spark, 0, 0))
+    assert table.read().count() == 42
+
+
 def test_another_bucket_count_is_refused(spark):
     table = keyed(spark, "counted", 4).create()
     table.insert(numbers(spark, 0, 9))

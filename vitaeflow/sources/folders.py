@@ -32,6 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _GLOB, _FORMAT = "*.[pP][dD][fF]", "vitaeflow_folders"
 #: Bytes that one task reads, and that one batch of contents holds (a larger file is a batch by itself).
 TASK_BYTES, _BATCH_BYTES, _BATCH_ROWS = 128 * 1024 * 1024, 16 * 1024 * 1024, 10_000
+#: Files that a task opens at a time where one takes longer than so many seconds.
+_AT_ONCE, _LATE = 16, 0.002
 
 
 def _opened(folder: str):
@@ -175,25 +177,63 @@ def _system_of(known: dict, path: str):
     return system, path.removeprefix(before)
 
 
-def _read_contents(place: int):
+def _in_turn(pool, function):
+    """Results of calls in their order: one after another while storage answers at once, as threads then cost more
+    than they bring, and side by side from where it does not."""
+    late = False
+
+    def run(items: list) -> Iterator:
+        import time
+
+        nonlocal late
+        for start in range(0, len(items), _AT_ONCE):
+            part = items[start : start + _AT_ONCE]
+            if late:
+                yield from pool.map(function, part)
+            else:
+                began = time.monotonic()
+                done = [function(item) for item in part]
+                late = time.monotonic() - began > _LATE * len(part)
+                yield from done
+
+    return run
+
+
+def _windows(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Neighbours that have ``_BATCH_BYTES`` at most together (a larger one is alone), as places from and to."""
+    start, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > start and held + (size or 0) > _BATCH_BYTES:
+            yield start, at
+            start, held = at, 0
+        held += size or 0
+    if sizes:
+        yield start, len(sizes)
+
+
+def _read_contents(place: int, length: int):
+    def read(where: tuple):
+        system, inside = where
+        try:
+            with system.open_input_stream(inside) as stream:
+                return stream.read()
+        except FileNotFoundError:
+            return None
+
     def run(batches: Iterator) -> Iterator:
+        from concurrent.futures import ThreadPoolExecutor
+
         import pyarrow as pa
 
         known: dict = {}
-        for batch in batches:
-            paths, contents, held, start = batch.column(place).to_pylist(), [], 0, 0
-            for at, path in enumerate(paths):
-                try:
-                    system, inside = _system_of(known, path)
-                    with system.open_input_stream(inside) as stream:
-                        contents.append(stream.read())
-                except FileNotFoundError:
-                    contents.append(None)
-                held += len(contents[-1] or b"")
-                if held >= _BATCH_BYTES or at == len(paths) - 1:
-                    rows = batch.slice(start, at + 1 - start)
-                    yield pa.record_batch([*rows.columns, pa.array(contents, pa.binary())], [*rows.schema.names, "content"])
-                    contents, held, start = [], 0, at + 1
+        with ThreadPoolExecutor(_AT_ONCE) as pool:
+            read_all = _in_turn(pool, read)
+            for batch in batches:
+                for start, end in _windows(batch.column(length).to_pylist()):
+                    rows = batch.slice(start, end - start)
+                    places = [_system_of(known, path) for path in rows.column(place).to_pylist()]
+                    contents = pa.array(list(read_all(places)), pa.binary())
+                    yield pa.record_batch([*rows.columns, contents], [*rows.schema.names, "content"])
 
     return run
 
@@ -208,27 +248,41 @@ def with_contents(listed: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     # a file takes a request too, whatever its size
     tasks = max(1, -(-size // task_bytes), -(-n // 1000))
     schema = T.StructType([*held.schema.fields, T.StructField("content", T.BinaryType())])
-    return held.repartition(tasks, "path").mapInArrow(_read_contents(held.columns.index("path")), schema)
+    return held.repartition(tasks, "path").mapInArrow(_read_contents(held.columns.index("path"), held.columns.index("length")), schema)
 
 
 def _write_contents(path: int, content: int):
-    def run(batches: Iterator) -> Iterator:
+    def write(file: tuple) -> None:
         import uuid
 
+        (system, inside), data = file
+        # readers never see half a file: its name is hidden until it is whole
+        hidden = f"{inside.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+        with system.open_output_stream(hidden) as stream:
+            stream.write(data or b"")
+        system.move(hidden, inside)
+
+    def run(batches: Iterator) -> Iterator:
+        from concurrent.futures import ThreadPoolExecutor
+
         import pyarrow as pa
 
         known: dict = {}
-        for batch in batches:
-            for name, data in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist()):
-                system, inside = _system_of(known, name)
-                folder = inside.rpartition("/")[0]
-                system.create_dir(folder, recursive=True)
-                # readers never see half a file: its name is hidden until it is whole
-                hidden = f"{folder}/.{uuid.uuid4().hex}"
-                with system.open_output_stream(hidden) as stream:
-                    stream.write(data or b"")
-                system.move(hidden, inside)
-            yield pa.record_batch([batch.column(path)], ["path"])
+        made: set = set()
+        with ThreadPoolExecutor(_AT_ONCE) as pool:
+            write_all = _in_turn(pool, write)
+            for batch in batches:
+                # of rows that share a name in spite of all, the last one counts
+                last = dict(zip(batch.column(path).to_pylist(), batch.column(content).to_pylist()))
+                files = [(_system_of(known, name), data) for name, data in last.items()]
+                for system, inside in (where for where, _ in files):
+                    folder = inside.rpartition("/")[0]
+                    if folder not in made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
+                for _ in write_all(files):
+                    pass
+                yield pa.record_batch([batch.column(path)], ["path"])
 
     return run
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,15 +124,16 @@ class KeyedTable:
 
     def delete(self, keys: DataFrame) -> None:
         """Remove the rows of ``keys``."""
-        self._rewrite(self._holding(keys), lambda old: K.without_keys(old, keys, self.key))
+        self._rewrite(self._holding(keys)[0], lambda old: K.without_keys(old, keys, self.key))
 
     def refresh(self, fresh: DataFrame, keys: DataFrame) -> None:
         """Replace the rows of ``keys`` by those in ``fresh``."""
-        rows, held = fresh.select(*self.schema.names), self._holding(keys)
+        rows, (held, others) = fresh.select(*self.schema.names), self._holding(keys)
         bucket = self._bucket()
         self._rewrite(held, lambda old: K.refresh(old, rows.where(bucket.isin(held)), keys, self.key))
         # what is left falls in buckets without any of the keys
-        self.insert(K.refresh(rows.limit(0), rows.where(~bucket.isin(held)) if held else rows, keys, self.key))
+        if others:
+            self.insert(K.refresh(rows.limit(0), rows.where(~bucket.isin(held)) if held else rows, keys, self.key))
 
     def merge(self, staging: DataFrame, only_changed: bool = False) -> DataFrame:
         """Merge staged rows; returns the ``(RUN, action)`` of what changed.
@@ -139,21 +141,24 @@ class KeyedTable:
         The changes are written down before the table moves, since they follow
         from the state before the merge.
         """
-        held, bucket = self._holding(staging), self._bucket()
+        (held, others), bucket = self._holding(staging), self._bucket()
         old = self._rows_in(held)
-        inside, outside = (staging.where(bucket.isin(held)), staging.where(~bucket.isin(held))) if held else (None, staging)
-        added = cut_lineage(C.merge(old.limit(0), outside, self.key, only_changed=only_changed))
-        changed = C.changes(added, self.key)
-        folder = self._folder()
+        parts, folder = [], self._folder()
+        if others:
+            outside = staging.where(~bucket.isin(held)) if held else staging
+            added = cut_lineage(C.merge(old.limit(0), outside, self.key, only_changed=only_changed))
+            parts.append(C.changes(added, self.key))
         if held:
+            inside = staging.where(bucket.isin(held))
             self._write(C.merge(old, inside, self.key, only_changed=only_changed), folder)
             schema = T.StructType([*self.schema.fields, T.StructField("action", T.StringType()),
                                    T.StructField(_BUCKET, T.IntegerType())])
-            changed = changed.unionByName(C.changes(self.spark.read.schema(schema).parquet(folder), self.key))
-        changed = cut_lineage(changed)
+            parts.append(C.changes(self.spark.read.schema(schema).parquet(folder), self.key))
+        changed = cut_lineage(reduce(DataFrame.unionByName, parts))
         if held:
             self._point(held, folder, self._partitions())
-        self.insert(added)
+        if others:
+            self.insert(added)
         return changed
 
     def remove_old(self) -> None:
@@ -192,12 +197,19 @@ class KeyedTable:
         """Buckets the keys fall in, null keys included; at most ``buckets`` numbers."""
         return sorted(row["b"] for row in rows.select(self._bucket().alias("b")).distinct().collect())
 
-    def _holding(self, keys: DataFrame) -> list[int]:
-        """Buckets that have rows of ``keys``; reads the key column of the buckets they fall in."""
+    def _holding(self, keys: DataFrame) -> tuple[list[int], bool]:
+        """Buckets that have rows of ``keys``, and whether there may be keys in others.
+
+        Reads the key column of the buckets they fall in; of a table without rows, nothing.
+        """
+        if not self._partitions():
+            return [], True
         wanted = keys.select(F.col(f"`{self.key}`"))
-        rows = self.spark.table(self.name).where(F.col(_BUCKET).isin(self._buckets_of(wanted))).select(F.col(f"`{self.key}`"), _BUCKET)
+        fallen = self._buckets_of(wanted)
+        rows = self.spark.table(self.name).where(F.col(_BUCKET).isin(fallen)).select(F.col(f"`{self.key}`"), _BUCKET)
         found = rows.join(lookup_side(wanted.distinct()), self.key, "left_semi").select(_BUCKET).distinct()
-        return sorted(row[_BUCKET] for row in found.collect())
+        held = sorted(row[_BUCKET] for row in found.collect())
+        return held, not held or held != fallen
 
     def _rows_in(self, touched: list[int]) -> DataFrame:
         return self.spark.table(self.name).where(F.col(_BUCKET).isin(touched)).drop(_BUCKET)
